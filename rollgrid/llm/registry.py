@@ -1,11 +1,13 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from rollgrid.llm import line_dedup
+from rollgrid.llm import line_dedup, mixing
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op7_mixing": mixing.op7_mixing,
 }
 
 ORACLE_SQL = {
     "op3_line_dedup": line_dedup.OP3_SQL,
+    "op7_mixing": mixing.OP7_SQL,
 }
