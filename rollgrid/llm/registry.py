@@ -1,13 +1,15 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from rollgrid.llm import line_dedup, mixing
+from rollgrid.llm import decontaminate, line_dedup, mixing
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op7_mixing": mixing.op7_mixing,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 
 ORACLE_SQL = {
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op9_decontaminate": decontaminate.OP9_SQL,
 }
