@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from rollgrid.llm import decontaminate, line_dedup, mixing
+from rollgrid.llm import decontaminate, line_dedup, mixing, token_counts
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op9_decontaminate": decontaminate.op9_decontaminate,
