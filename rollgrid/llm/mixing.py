@@ -76,29 +76,29 @@ def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, mo
     identity = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), identity.alias("ident"))
     sized = stored(
-        sized.select("doc_id", "source", "size", size_class(F.col("size")).alias("size_class"), F.pmod(hex_number(F.col("ident"), 1, 4), F.lit(HASH_CLASSES)).alias("hash_class"), hex_number(F.col("ident"), 5, 12).alias("place")),
+        sized.select("doc_id", "source", "size", F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null")).alias("name"), size_class(F.col("size")).alias("size_class"), F.pmod(hex_number(F.col("ident"), 1, 4), F.lit(HASH_CLASSES)).alias("hash_class"), hex_number(F.col("ident"), 5, 12).alias("place")),
         "mix-sizes",
     )
-    buckets = sized.groupBy("source", "size_class", "hash_class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bucket_size"))
+    buckets = sized.groupBy("name", "source", "size_class", "hash_class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bucket_size"))
     buckets = stored(buckets, "mix-buckets")
     plan = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share_percent, most)
     offset = F.pmod(hex_number(F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null")), 1, 8), F.lit(UNIT))
     ratio = F.when(F.col("source_size") > 0, F.floor(F.col("target") * F.lit(UNIT) / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    plan = stored(plan.select("source", "source_size", "target", ratio.alias("expected"), offset.alias("offset")), "mix-plan")
-
-    same = F.col("b.source").eqNullSafe(F.col("p.source"))
-    order = W.partitionBy("b.source").orderBy(F.col("size_class").desc(), "hash_class").rowsBetween(W.unboundedPreceding, -1)
-    starts = buckets.alias("b").join(broadcast_if_small(plan).alias("p"), same).select(
-        F.col("b.source").alias("source"), "size_class", "hash_class", "source_size", "target", "expected",
-        (F.col("offset") + F.coalesce(F.sum(F.col("n") * F.col("expected")).over(order), F.lit(0))).alias("start"),
-    )
-    starts = stored(starts, "mix-starts")
-    bucket = W.partitionBy("d.source", "d.size_class", "d.hash_class").orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    keyed = [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("source", "size_class", "hash_class")]
-    joined = sized.alias("d").join(broadcast_if_small(starts).alias("s"), keyed)
+    name = F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null"))
+    plan = stored(plan.select(name.alias("name"), "source_size", "target", ratio.alias("expected"), offset.alias("offset")), "mix-plan")
+
+    # the last join and the last window share their keys, and so one exchange of the documents' sizes
+    keys = ["name", "size_class", "hash_class"]
+    order = W.partitionBy("name").orderBy(F.col("size_class").desc(), "hash_class").rowsBetween(W.unboundedPreceding, -1)
+    starts = buckets.join(broadcast_if_small(plan), "name").select(
+        *keys, "source_size", "target", "expected", (F.col("offset") + F.coalesce(F.sum(F.col("n") * F.col("expected")).over(order), F.lit(0))).alias("start")
+    )
+    bucket = W.partitionBy(*keys).orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    joined = sized.join(stored(starts, "mix-starts"), keys)
     end = F.col("start") + F.sum("expected").over(bucket)
-    out = joined.select("doc_id", "size", "source_size", "target", F.call_function("shiftright", end, F.lit(24)).alias("_e"), F.call_function("shiftright", end - F.col("expected"), F.lit(24)).alias("_b"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("_e") - F.col("_b")).alias("copies"), ((F.col("_e") - F.col("_b")) * F.col("size")).alias("taken"))
+    edges = joined.select("doc_id", "size", "source_size", "target", F.shiftright(end, 24).alias("end"), F.shiftright(end - F.col("expected"), 24).alias("begin"))
+    copies = F.col("end") - F.col("begin")
+    return edges.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
