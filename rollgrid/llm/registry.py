@@ -1,16 +1,18 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from rollgrid.llm import decontaminate, line_dedup, mixing, token_counts
+from rollgrid.llm import decontaminate, line_dedup, mixing, near_dedup, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 
 ORACLE_SQL = {
     "op3_line_dedup": line_dedup.OP3_SQL,
+    "op4_near_dedup": near_dedup.OP4_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
 }
