@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from rollgrid.llm import decontaminate, line_dedup, mixing, near_dedup, token_counts
+from rollgrid.llm import decontaminate, line_dedup, mixing, near_dedup, token_counts, top_k
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op6_top_k": top_k.op6_top_k,
     "op7_mixing": mixing.op7_mixing,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
@@ -13,6 +14,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op4_near_dedup": near_dedup.OP4_SQL,
+    "op6_top_k": top_k.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
 }
