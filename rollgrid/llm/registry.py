@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from rollgrid.llm import decontaminate, line_dedup, mixing, near_dedup, substring_dedup, token_counts, top_k
+from rollgrid.llm import decontaminate, html_text, line_dedup, mixing, near_dedup, substring_dedup, token_counts, top_k
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op6_top_k": top_k.op6_top_k,
     "op7_mixing": mixing.op7_mixing,
+    "op8_html_text": html_text.op8_html_text,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
