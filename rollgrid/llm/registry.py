@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from rollgrid.llm import decontaminate, html_text, language_id, line_dedup, mixing, near_dedup, substring_dedup, token_counts, top_k
+from rollgrid.llm import decontaminate, html_text, language_id, line_dedup, mixing, near_dedup, quality, substring_dedup, token_counts, top_k
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_language_id": language_id.op2_language_id,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op5_quality": quality.op5_quality,
     "op6_top_k": top_k.op6_top_k,
     "op7_mixing": mixing.op7_mixing,
     "op8_html_text": html_text.op8_html_text,
