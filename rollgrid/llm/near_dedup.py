@@ -59,11 +59,15 @@ def components(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").where("a <> b")
     both = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     roots = None
+
+    def jump(hooked: DataFrame) -> DataFrame:
+        x, y = hooked.alias("x"), hooked.alias("y")
+        return x.join(y, F.col("x.root") == F.col("y.v"), "left").select(F.col("x.v").alias("v"), F.col("x.root").alias("old"), F.coalesce("y.root", "x.root").alias("root"))
+
     while not both.isEmpty():
         hooked = stored(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "hooks")
-        while True:
-            jumped = hooked.alias("x").join(hooked.alias("y"), F.col("x.root") == F.col("y.v"), "left").select(F.col("x.v").alias("v"), F.col("x.root").alias("old"), F.coalesce("y.root", "x.root").alias("root"))
-            jumped = stored(jumped, "jumps")
+        while True:  # each pass follows a pointer twice, so paths shrink to a quarter
+            jumped = stored(jump(jump(hooked).select("v", "root")), "jumps")
             hooked = jumped.select("v", "root")
             if jumped.where("old <> root").isEmpty():
                 break
@@ -126,9 +130,8 @@ class Linker:
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose union sketch leaves the similarity possible."""
-        ids = stored(pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct(), "pair-ids")
+        ids = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
         sketches = self.reps.select("v", "n", "sketch").join(broadcast_if_small(ids), "v", "left_semi")
-        sketches = stored(sketches, "pair-sketches")
         sides = [sketches.select(F.col("v").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in ("a", "b")]
         met = pairs.join(sides[0], "a").join(sides[1], "b")
         union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, self.k)
@@ -141,7 +144,7 @@ class Linker:
 
     def sets_of(self, ids: DataFrame) -> DataFrame:
         """(v, set): the full sets of the classes ``ids`` (v), from their texts."""
-        rows = stored(self.reps.select("v", "k1", "k2").join(broadcast_if_small(stored(ids.distinct(), "set-ids")), "v", "left_semi"), "set-rows")
+        rows = self.classes.select("v", "k.k1", "k.k2").join(broadcast_if_small(ids.distinct()), "v", "left_semi").dropDuplicates(["v"])
         k1, k2 = row_keys(*self.ids)
         words = self.docs.select(k1, k2, F.col(self.text_col).alias("text")).join(broadcast_if_small(rows), ["k1", "k2"]).select("v", words_of(F.col("text")).alias("words"))
         return stored(words.select("v", shingle_set(F.col("words"), self.shingle).alias("set")).dropDuplicates(["v"]), "sets")
