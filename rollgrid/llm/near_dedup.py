@@ -176,19 +176,22 @@ class Linker:
         most = F.ceil((g - F.col("h") * p + 1) / (100.0 + p))
         least = F.ceil((g - F.col("h") * 100) / (100.0 + p))
         apart = g > F.col("h") * 100
-        met = met.withColumn("apart", apart).withColumn("own", F.size("d") - most + 1).withColumn("reach", F.when(apart, F.size("d") - F.greatest(least, F.lit(1)) + 1).otherwise(F.col("own")))
+        met = met.withColumn("g", g).withColumn("apart", apart).withColumn("own", F.size("d") - most + 1).withColumn("reach", F.when(apart, F.size("d") - F.greatest(least, F.lit(1)) + 1).otherwise(F.col("own")))
         met = stored(met, "differences")
         each = met.select("lv", "v", F.explode("d").alias("x"))
         shared = stored(each.groupBy("lv", "x").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared-differences")
         found = each.join(broadcast_if_small(shared), ["lv", "x"])
         ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("lv", "v").orderBy("df", "x"))).withColumn("all", F.count(F.lit(1)).over(W.partitionBy("lv", "v")))
-        info = met.select("lv", "v", "comp", "n", "apart", "own", "reach", F.size("d").alias("nd"))
+        info = met.select("lv", "v", "comp", "n", "h", "g", "apart", "own", "reach", F.size("d").alias("nd"))
         index = ranked.join(info, ["lv", "v"]).withColumn("at", F.col("nd") - F.col("all") + F.col("rank")).where("at <= reach")
-        index = stored(index.select("lv", "x", "v", "comp", "n", "apart", (F.col("at") <= F.col("own")).alias("near")), "difference-index")
+        index = index.select("lv", "x", "v", "comp", "n", "h", "g", "apart", (F.col("at") <= F.col("own")).alias("near"), (F.col("nd") - F.col("at") + 1).alias("left"))
+        index = stored(index, "difference-index")
         a, b = index.where("apart").alias("x"), index.alias("y")
         kinds = ~F.col("y.apart") | (F.col("x.near") & F.col("y.near") & (F.col("x.v") < F.col("y.v")))
         same = (F.col("x.lv") == F.col("y.lv")) & (F.col("x.x") == F.col("y.x")) & (F.col("x.comp") != F.col("y.comp"))
-        return a.join(b, same & kinds & self.alike_sizes("x.n", "y.n")).select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct()
+        # at the first difference that two sets share, those still to come have to suffice for what this pair needs
+        enough = F.col("x.g") + F.col("y.g") - F.col("x.h") * (100 + p) <= F.least("x.left", "y.left") * (100 + p)
+        return a.join(b, same & kinds & enough & self.alike_sizes("x.n", "y.n")).select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct()
 
     def links(self) -> DataFrame:
         """The verified links (a, b) that connect every component."""
