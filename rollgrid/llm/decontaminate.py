@@ -73,7 +73,8 @@ def occurrences(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", tex
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", lists: int = LISTS) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and spans, an array of (start, length).
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, an
+    array of (start, length), and the row keys k1 and k2.
 
     A document word inside any occurrence of a window is hit. Null and empty texts have no words; an item without
     words has no window; an item without id marks words but is not listed. Items that repeat are listed once; equal
@@ -109,12 +110,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
         F.transform("hits", lambda x: F.struct(x["start"], x["length"])).alias("spans"),
+        "k1",
+        "k2",
     )
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate(docs, read(spark, sf_dir, "benchmark")).drop("spans")
+    return decontaminate(docs, read(spark, sf_dir, "benchmark")).drop("spans", "k1", "k2")
 
 
 def decontaminate_sql(docs: str) -> str:

@@ -32,6 +32,8 @@ SHINGLE = 3
 PERCENT = 85
 SKETCH = 64
 SHARED = 33
+#: The same for a similarity of 0.8.
+SHARED_80 = 30
 #: From how many classes on a sketch value moves to the end of the order.
 FREQUENT = 8
 #: Members from which on a list is searched by differences from its leader.
