@@ -7,7 +7,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rollgrid.operators import batch, guards
 from rollgrid.sources import schemas
@@ -16,7 +15,7 @@ from rollgrid.sources import schemas
 OUTPUTS = ("merged", "stats", "filtered")
 
 
-def rollouts(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = schemas.ROLLOUT) -> DataFrame:
+def rollouts(spark: SparkSession, path: str | Sequence[str], schema: str = schemas.ROLLOUT) -> DataFrame:
     """One JSON object per line; unknown keys are passed over and a broken line fails the query."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 

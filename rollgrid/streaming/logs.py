@@ -7,14 +7,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rollgrid.sources import schemas
 
 
-def rollout_stream(spark: SparkSession, path: str, schema: T.StructType = schemas.ROLLOUT, files_per_trigger: int | None = None) -> DataFrame:
+def rollout_stream(spark: SparkSession, path: str, schema: str = schemas.ROLLOUT, files_per_trigger: int | None = None) -> DataFrame:
     """New JSON lines of a folder as they come."""
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
