@@ -167,6 +167,8 @@ def train(texts: list[str], targets: list[str], epochs: int = 10, batch: int = 2
 
 def pooled(net: Network, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Language and score of each text. Null, and texts without a letter, are unknown with score 0."""
+    if not net.languages:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
     sums = np.zeros((len(texts), len(net.languages)))
     counts = np.zeros(len(texts))
     rows: list[np.ndarray] = []
@@ -201,12 +203,11 @@ def pooled(net: Network, texts: list[str | None]) -> tuple[list[str], np.ndarray
     run()
     names = [UNKNOWN] * len(texts)
     scores = np.zeros(len(texts))
-    if net.languages:
-        known = np.flatnonzero(counts > 0)
-        best = sums[known].argmax(axis=1)
-        scores[known] = np.clip(sums[known, best] / counts[known], 0, 1)
-        for i, n in zip(known, best):
-            names[i] = net.languages[n]
+    known = np.flatnonzero(counts > 0)
+    best = sums[known].argmax(axis=1)
+    scores[known] = np.clip(sums[known, best] / counts[known], 0, 1)
+    for i, n in zip(known, best):
+        names[i] = net.languages[n]
     return names, scores
 
 
