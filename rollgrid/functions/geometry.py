@@ -137,3 +137,98 @@ def denormalised(poses: Column, mean: list[list[float]], std: list[list[float]])
     """array<array<double>> times std plus mean, element by element."""
     m, s = (F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in t]) for t in (mean, std))
     return F.zip_with(poses, F.arrays_zip(m, s), lambda p, ms: F.zip_with(p, F.arrays_zip(ms["0"], ms["1"]), lambda v, c: v * c["1"] + c["0"]))
+
+
+def future(frames: Column, history: int, steps: int, column: str = "pose") -> Column:
+    """Poses of the frames after the current one (the last of the history), seen from it."""
+    now = F.element_at(frames, history)[column]
+    return to_relative(F.transform(F.slice(frames, history + 1, steps), lambda f: f[column]), now)
+
+
+def history(frames: Column, length: int, column: str = "pose") -> Column:
+    """Poses of the history frames, seen from its last."""
+    return to_relative(F.transform(F.slice(frames, 1, length), lambda f: f[column]), F.element_at(frames, length)[column])
+
+
+def sampled_indices(iteration: int, horizon: float, samples: int, interval: float, past: bool = False) -> list[int]:
+    """Frame numbers of evenly spaced samples up to a horizon after (or before, in order of time) an iteration."""
+    step = int(round(horizon / interval / samples))
+    if step < 1:
+        raise ValueError("more samples than frames")
+    offsets = [step * i for i in range(1, samples + 1)]
+    return [iteration - o for o in reversed(offsets)] if past else [iteration + o for o in offsets]
+
+
+def completed(poses: Column, steps: int, interval: float) -> Column:
+    """Exactly ``steps`` poses: cut, or carried on with the last velocity and acceleration (and turning alike)."""
+    n = F.size(poses)
+
+    def at(k: int) -> Column:
+        return F.try_element_at(poses, F.lit(-k))
+
+    zero = F.lit(0.0)
+    velocity = {c: F.when(n >= 2, (at(1)[c] - at(2)[c]) / interval).otherwise(zero) for c in ("x", "y")}
+    before = {c: (at(2)[c] - at(3)[c]) / interval for c in ("x", "y")}
+    accel = {c: F.when(n >= 3, (velocity[c] - before[c]) / interval).otherwise(zero) for c in ("x", "y")}
+    omega = F.when(n >= 2, wrapped(at(1)["heading"] - at(2)["heading"]) / interval).otherwise(zero)
+    omega_before = wrapped(at(2)["heading"] - at(3)["heading"]) / interval
+    alpha = F.when(n >= 3, (omega - omega_before) / interval).otherwise(zero)
+
+    def extended(i: Column) -> Column:
+        t = i * interval
+        x, y = (at(1)[c] + velocity[c] * t + 0.5 * accel[c] * t * t for c in ("x", "y"))
+        return pose(x, y, wrapped(at(1)["heading"] + omega * t + 0.5 * alpha * t * t))
+
+    more = F.when(n < steps, F.transform(F.sequence(F.lit(1), F.lit(steps) - n), extended)).otherwise(F.slice(poses, 1, 0))
+    return F.slice(F.concat(poses, more), 1, steps)
+
+
+def at_distance(points: Column, distance: Column) -> Column:
+    """The point (x, y) of a path at a distance from its start, clipped to the path; NaN counts as 0."""
+    lengths = path_progress(points)
+    want = F.when(F.isnan(distance), F.lit(0.0)).otherwise(distance)
+    want = F.greatest(F.lit(0.0), F.least(want, F.element_at(lengths, -1)))
+    i = F.greatest(F.size(F.filter(lengths, lambda d: d < want)), F.lit(1))
+    a, b = F.get(points, i - 1), F.try_element_at(points, F.least(i + 1, F.size(points)))
+    start = F.get(lengths, i - 1)
+    share = F.coalesce(F.try_divide(want - start, F.get(lengths, F.least(i, F.size(lengths) - 1)) - start), F.lit(0.0))
+    return F.struct((a["x"] + (b["x"] - a["x"]) * share).alias("x"), (a["y"] + (b["y"] - a["y"]) * share).alias("y"))
+
+
+def projected(points: Column, x: Column, y: Column) -> Column:
+    """Distance from the start of a path to its point nearest to (x, y)."""
+    lengths = path_progress(points)
+    n = F.size(points)
+
+    def segment(i: Column) -> Column:
+        a, b = F.get(points, i - 1), F.get(points, i)
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((x - a["x"]) * dx + (y - a["y"]) * dy, dx * dx + dy * dy), F.lit(0.0))))
+        px, py = a["x"] + share * dx - x, a["y"] + share * dy - y
+        return F.struct((px * px + py * py).alias("d"), (F.get(lengths, i - 1) + share * (F.get(lengths, i) - F.get(lengths, i - 1))).alias("s"))
+
+    return F.when(n > 1, F.array_min(F.transform(F.sequence(F.lit(1), n - 1), segment))["s"]).otherwise(F.lit(0.0))
+
+
+def between_distances(points: Column, start: Column, stop: Column) -> Column:
+    """The part of a path between two distances, with interpolated ends."""
+    lengths = path_progress(points)
+    inner = F.filter(F.transform(F.arrays_zip(points.alias("p"), lengths.alias("d")), lambda z: F.struct(z["d"].alias("d"), z["p"]["x"].alias("x"), z["p"]["y"].alias("y"))), lambda z: (z["d"] > start) & (z["d"] < stop))
+    return F.concat(F.array(at_distance(points, start)), F.transform(inner, lambda z: F.struct(z["x"].alias("x"), z["y"].alias("y"))), F.array(at_distance(points, stop)))
+
+
+def tracks(names: Column, boxes: Column, velocities: Column, ids: Column) -> Column:
+    """Parallel annotation arrays as one array of tracks: id, type, agent or static, pose and velocity."""
+    moving = F.array(*[F.lit(t) for t in ("vehicle", "pedestrian", "bicycle")])
+    z = F.arrays_zip(names.alias("n"), boxes.alias("b"), velocities.alias("v"), ids.alias("i"))
+    return F.transform(
+        z,
+        lambda t: F.struct(
+            t["i"].alias("id"), t["n"].alias("type"), F.array_contains(moving, t["n"]).alias("agent"), t["b"][0].alias("x"), t["b"][1].alias("y"), t["b"][6].alias("heading"), t["b"][3].alias("length"), t["b"][4].alias("width"), t["v"][0].alias("vx"), t["v"][1].alias("vy"),
+        ),
+    )
+
+
+def to_pixel(x: Column, y: Column, per_metre: float, width: int, height: int) -> tuple[Column, Column]:
+    """Grid place of a point, fractions cut towards zero."""
+    return (x * per_metre + width / 2).cast("int"), (y * per_metre + height / 2).cast("int")

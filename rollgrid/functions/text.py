@@ -161,3 +161,18 @@ def content_parts(prompt: Column, marks=("<image>", "<video>")) -> Column:
 def mime_type(path: Column) -> Column:
     ext = F.lower(F.substring_index(path, ".", -1))
     return F.when(ext.isin("jpg", "jpeg"), F.lit("image/jpeg")).when(ext.isin("png", "gif", "webp", "bmp"), F.concat(F.lit("image/"), ext)).otherwise(F.lit("application/octet-stream"))
+
+
+def prompt_row(conversations: Column, images: Column, answer_ids: Column) -> Column:
+    """A chat row as a training row: images, problem (last human turn), answer (last model turn, its token and ids)."""
+    problem, answer = last_turn(conversations, "human"), last_turn(conversations, "gpt")
+    return F.struct(images.alias("images"), problem.alias("problem"), answer.alias("answer_text"), answer_ids.alias("gt"))
+
+
+def openai_messages(conversations: Column, images: Column) -> Column:
+    """ShareGPT turns as messages (role, content, images): all images go with the first user turn that marks one."""
+    role = lambda t: F.when(t["from"] == "human", F.lit("user")).when(t["from"] == "gpt", F.lit("assistant")).otherwise(t["from"])
+    marked = F.transform(conversations, lambda t: (t["from"] == "human") & F.contains(t["value"], F.lit("<image>")))
+    first = F.array_position(marked, F.lit(True))
+    none = F.array().cast("array<string>")
+    return F.transform(conversations, lambda t, i: F.struct(role(t).alias("role"), t["value"].alias("content"), F.when(i + 1 == first, images).otherwise(none).alias("images")))

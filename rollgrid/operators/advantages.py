@@ -60,10 +60,11 @@ def centred(df: DataFrame, key: str = "uid", reward: str = "reward") -> DataFram
 
 @estimator("rloo")
 def leave_one_out(df: DataFrame, key: str = "uid", reward: str = "reward") -> DataFrame:
-    """r minus the mean of the others; alone, r minus nothing."""
+    """r minus the mean of the others. A group of one has no others and fails the query."""
     w = W.partitionBy(key)
-    others = F.try_divide(F.sum(reward).over(w) - F.col(reward), F.count(F.lit(1)).over(w) - 1)
-    return df.withColumn("advantages", F.col(reward) - F.coalesce(others, F.lit(0.0)))
+    n = F.count(F.lit(1)).over(w)
+    others = F.when(n > 1, F.try_divide(F.sum(reward).over(w) - F.col(reward), n - 1)).otherwise(F.raise_error(F.lit("leave-one-out needs groups of more than one")))
+    return df.withColumn("advantages", F.col(reward) - others)
 
 
 @estimator("grpo_passk")
@@ -161,21 +162,48 @@ def controller(kind: str, coefficient: float, target: float = 0.1, horizon: floa
     raise ValueError(f"unknown controller: {kind}")
 
 
-def policy_loss(df: DataFrame, old: str, new: str, advantages: str, mask: str, low: float = 0.2, high: float = 0.3, dual: float | None = 3.0, mode: str = "token") -> DataFrame:
-    """Clipped objective with dual clipping: loss, shares of tokens clipped on either side, and mean divergence."""
+def policy_loss(
+    df: DataFrame, old: str, new: str, advantages: str, mask: str, low: float = 0.2, high: float = 0.3, dual: float | None = 3.0, mode: str = "token",
+    kind: str = "default", tau_positive: float = 1.0, tau_negative: float = 1.05,
+) -> DataFrame:
+    """Forward value of a policy objective: loss, shares of tokens clipped on either side, mean divergence, entropy.
+
+    Kinds: default (clipped, dual-clipped where ``dual`` is set), gspo and gspo_token (one ratio for the sequence, the
+    mean of its log ratios), cispo (clipped ratio as a weight of the log probability), sapo (sigmoid gates, a
+    temperature for either sign). ``mode`` averages over all tokens, or over rows of their own means.
+    """
+    if kind not in ("default", "gspo", "gspo_token", "cispo", "sapo"):
+        raise NotImplementedError(f"unknown loss: {kind}")
+    if mode not in ("token", "seq"):
+        raise NotImplementedError(f"unknown averaging: {mode}")
+    each = df.withColumn("_row", F.monotonically_increasing_id())
+    logs = A.masked_mean(F.zip_with(new, old, lambda n, o: n - o), F.col(mask))
     z = F.explode(F.arrays_zip(*[F.col(c).alias(n) for c, n in ((old, "o"), (new, "n"), (advantages, "a"), (mask, "m"))]))
-    flat = df.withColumn("_row", F.monotonically_increasing_id()).select("_row", z.alias("z")).select("_row", "z.*")
-    d = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("n") - F.col("o")))
-    ratio = F.exp(d)
-    plain, bounded = -F.col("a") * ratio, -F.col("a") * F.greatest(F.lit(1 - low), F.least(F.lit(1 + high), ratio))
-    worst = F.greatest(plain, bounded)
-    loss = F.when(F.col("a") < 0, F.least(worst, -F.col("a") * dual)).otherwise(worst) if dual else worst
-    flat = flat.where("m > 0").select("_row", loss.alias("loss"), (bounded > plain).cast("double").alias("higher"), ((worst > -F.col("a") * (dual or math.inf)) & (F.col("a") < 0)).cast("double").alias("lower"), (-d).alias("kl"))
+    flat = each.select("_row", logs.alias("_seq"), z.alias("z")).select("_row", "_seq", "z.*").where("m > 0")
+    d = F.col("n") - F.col("o")
+    log_ratio = F.col("_seq") if kind.startswith("gspo") else d
+    ratio = F.exp(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), log_ratio)))
+    clipped = F.exp(F.greatest(F.lit(math.log(1 - low)), F.least(F.lit(math.log(1 + high)), log_ratio)))
+    a = F.col("a")
+    none = F.lit(0.0)
+    if kind == "cispo":
+        loss, higher, lower = -a * F.col("n") * clipped, none, none
+    elif kind == "sapo":
+        gate = lambda tau: 4.0 / tau / (1 + F.exp(-tau * (ratio - 1)))
+        loss, higher, lower = -a * F.when(a >= 0, gate(tau_positive)).otherwise(gate(tau_negative)), none, none
+    else:
+        plain, bounded = -a * ratio, -a * clipped
+        worst = F.greatest(plain, bounded)
+        higher = (bounded > plain).cast("double")
+        loss, lower = worst, none
+        if dual:
+            loss = F.when(a < 0, F.least(worst, -a * dual)).otherwise(worst)
+            lower = ((worst > -a * dual) & (a < 0)).cast("double")
+    flat = flat.select("_row", loss.alias("loss"), higher.alias("higher"), lower.alias("lower"), (-d).alias("kl"), (-F.col("n")).alias("entropy"))
+    names = ("loss", "higher", "lower", "kl", "entropy")
     if mode == "seq":
-        flat = flat.groupBy("_row").agg(*[F.avg(c).alias(c) for c in ("loss", "higher", "lower", "kl")])
-    elif mode != "token":
-        raise NotImplementedError(f"unknown averaging: {mode}")
-    return flat.agg(F.avg("loss").alias("loss"), F.avg("higher").alias("clipped_high"), F.avg("lower").alias("clipped_low"), F.avg("kl").alias("kl"))
+        flat = flat.groupBy("_row").agg(*[F.avg(c).alias(c) for c in names])
+    return flat.agg(F.avg("loss").alias("loss"), F.avg("higher").alias("clipped_high"), F.avg("lower").alias("clipped_low"), F.avg("kl").alias("kl"), F.avg("entropy").alias("entropy"))
 
 
 def value_loss(df: DataFrame, predicted: str, returns: str, values: str, mask: str, clip: float = 0.5) -> DataFrame:
@@ -185,3 +213,16 @@ def value_loss(df: DataFrame, predicted: str, returns: str, values: str, mask: s
     bounded = F.greatest(F.col("v") - clip, F.least(F.col("v") + clip, F.col("p")))
     a, b = F.pow(F.col("p") - F.col("r"), F.lit(2)), F.pow(bounded - F.col("r"), F.lit(2))
     return flat.agg((0.5 * F.avg(F.greatest(a, b))).alias("loss"), F.avg((a < b).cast("double")).alias("clipped"))
+
+
+def full_divergence(log_p: Column, log_q: Column) -> Column:
+    """Divergence of two whole distributions given by their log probabilities (arrays)."""
+    return F.aggregate(F.zip_with(log_p, log_q, lambda p, q: F.exp(p) * (p - q)), F.lit(0.0), lambda s, x: s + x)
+
+
+def followed_controller(divergences: DataFrame, order: str, value: str, steps: str, start: float, target: float, horizon: float) -> DataFrame:
+    """The coefficient of an adaptive controller after each step: a running product, which is a window of logarithms."""
+    error = F.greatest(F.lit(-0.2), F.least(F.lit(0.2), F.col(value) / target - 1))
+    factor = F.log(1 + error * F.col(steps) / horizon)
+    w = W.partitionBy(F.lit(0)).orderBy(order).rowsBetween(W.unboundedPreceding, 0)  # one row for each training step
+    return divergences.withColumn("coefficient", start * F.exp(F.sum(factor).over(w)))

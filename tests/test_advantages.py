@@ -36,7 +36,9 @@ def test_centred(spark):
 
 def test_leave_one_out_and_pass_at_k(spark):
     df = rewards(spark, {"a": [1, 2, 6], "b": [4]})
-    assert values(V.advantage(df, "rloo")) == pytest.approx([-3, -1.5, 4.5, 4])
+    assert values(V.advantage(df.where("uid = 'a'"), "rloo")) == pytest.approx([-3, -1.5, 4.5])
+    with pytest.raises(Exception, match="more than one"):
+        V.advantage(df, "rloo").collect()
     got = values(V.advantage(df, "grpo_passk"))
     assert got[:2] == [0, 0] and got[2] == pytest.approx(4 / (math.sqrt(7) + 1e-6)) and got[3] == 0
 
@@ -73,6 +75,18 @@ def test_losses(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0], [1.0, -1.0], [1, 1])], "old array<double>, new array<double>, adv array<double>, mask array<int>")
     r = V.policy_loss(df, "old", "new", "adv", "mask").first()
     assert r.loss == pytest.approx((-1.3 + 1) / 2) and r.clipped_high == 0.5
+    sequence = V.policy_loss(df, "old", "new", "adv", "mask", kind="gspo").first()
+    assert sequence.loss == pytest.approx((-1.3 + math.exp(0.5)) / 2) and sequence.kl == pytest.approx(-0.5)
+    assert V.policy_loss(df, "old", "new", "adv", "mask", kind="cispo").first().loss == pytest.approx(-1.3 / 2)
+    gate = lambda tau, r: 4 / tau / (1 + math.exp(-tau * (r - 1)))
+    assert V.policy_loss(df, "old", "new", "adv", "mask", kind="sapo").first().loss == pytest.approx((-gate(1.0, math.e) + gate(1.05, 1)) / 2)
+    with pytest.raises(NotImplementedError):
+        V.policy_loss(df, "old", "new", "adv", "mask", kind="other")
+    followed = spark.createDataFrame([(1, 5.0, 10), (2, 0.0, 10)], "step int, kl double, n int")
+    c = V.controller("adaptive", 0.1, 1.0, 100)
+    want = [c.updated(5.0, 10).coefficient, c.updated(5.0, 10).updated(0.0, 10).coefficient]
+    got = V.followed_controller(followed, "step", "kl", "n", 0.1, 1.0, 100).orderBy("step").collect()
+    assert [r.coefficient for r in got] == pytest.approx(want)
     df = spark.createDataFrame([([2.0], [0.0], [0.0], [1])], "p array<double>, r array<double>, v array<double>, m array<int>")
     assert V.value_loss(df, "p", "r", "v", "m").first().loss == pytest.approx(2.0)
 
