@@ -8,8 +8,7 @@ make a run; runs of at least ``RUN_WORDS`` words are removed, with their offsets
 
 The grouping goes in two steps. Half the digest is counted first, and only units whose half is met twice travel with
 their place; counts and first places are aggregated map-side, so a passage in a third of all documents is one row for
-each task. Its occurrences are joined with their first place by a broadcast if the repeated digests are few, else by
-a shuffle that adaptive execution splits.
+each task. Its occurrences are joined with their first place by a shuffle that adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -98,7 +97,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, run_words: int = RUN_WOR
     firsts = again.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     firsts = firsts.where((F.col("first.k1") != F.col("last.k1")) | (F.col("first.k2") != F.col("last.k2"))).select("h1", "h2", "first")
     firsts = stored(firsts, "unit-firsts")
-    met = again.join(broadcast_if_small(firsts), ["h1", "h2"]).where((F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2")))
+    met = again.join(firsts, ["h1", "h2"]).where((F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2")))
     met = met.select("doc_id", "k1", "k2", "no", "start", "stop", "words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")).dropDuplicates(["k1", "k2", "no"])
     doc = W.partitionBy("k1", "k2").orderBy("no")
     runs = met.withColumn("run", F.col("no") - F.row_number().over(doc))
