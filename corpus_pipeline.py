@@ -19,10 +19,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents or more hold go; n_chars follows the new text. A document without any line left goes."""
+    """Lines that ten documents or more hold go; n_chars follows the new text. The documents themselves all stay."""
     columns = docs.columns
     out = line_dedup.dedup_lines(docs)
-    out = out.where((F.col("n_dropped") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns)
 
 
