@@ -103,7 +103,8 @@ class Linker:
         others = self.base.where("n > 0").select("v", F.struct("k1", "k2").alias("own")).join(broadcast_if_small(repeated), "v").where(F.col("own") != F.col("k")).select("own").distinct()
         # equal rows share their keys too, so classes are made distinct once more
         reps = self.base.where("n > 0").join(broadcast_if_small(stored(others, "copies")), F.struct("k1", "k2") == F.col("own"), "left_anti")
-        self.reps = reps.select("v", "k1", "k2", "n", "sketch").dropDuplicates(["v"]) if not repeated.isEmpty() else reps.select("v", "k1", "k2", "n", "sketch")
+        reps = reps.select("v", "k1", "k2", "n", "sketch")
+        self.reps = stored(reps.dropDuplicates(["v"]) if not repeated.isEmpty() else reps, "reps")
 
     def need(self, n: Column) -> Column:
         """How many sketch values a class shares with any partner at least."""
