@@ -113,6 +113,21 @@ def test_repeated_passages(spark):
     assert got[21].text == texts[21][:start] + texts[21][stop:] and "  " not in got[21].text
 
 
+def test_passages_inside_sentences_and_short_repeats(spark):
+    """A passage counts by its whole length, whatever units its edges fall into; a short repeated line does not."""
+    rng = random.Random(6)
+    words = lambda n: [rng.choice("red green blue grey teal pink plum lime".split()) + str(rng.randrange(9999)) for _ in range(n)]
+    sentences = lambda n: " ".join(" ".join(words(10)) + "." for _ in range(n))
+    inner = " ".join(words(8)) + ". " + sentences(4) + " " + " ".join(words(9))  # 57 words, open at both ends
+    short = " ".join(words(20)) + "."
+    rows = [(1, sentences(3) + " start here " + inner + " and on " + sentences(2)), (2, "Other words " + inner + " go " + sentences(3)), (3, sentences(2) + "\n" + short + "\n" + sentences(2)), (4, sentences(3) + "\n" + short)]
+    got = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.first_doc_id, r.passage_words) for r in got] == [(2, 1, 57)]
+    assert dict(rows)[2][got[0].start : got[0].stop] in inner
+    both = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), run_words=20).collect()
+    assert {r.doc_id for r in both} == {2, 4}
+
+
 def test_repeated_passage_edge_cases(spark):
     docs = E.documents(spark, clashing=True)
     out = S.dedup_passages(docs)
