@@ -259,3 +259,34 @@ def simulated(df: DataFrame, key: str, proposal: str, start: str, commands: str,
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     return df.select(key, proposal, start, commands).mapInPandas(run, f"{key} {kinds[key]}, {proposal} {kinds[proposal]}, states array<array<double>>")
+
+
+def steering_rate(error: np.ndarray, speeds: np.ndarray, curvatures: np.ndarray, dt: float, wheelbase: float = 3.089, q: Sequence[float] = (1.0, 10.0, 0.0), r: float = 1.0) -> float:
+    """The constant steering rate over a horizon that least leaves of lateral, heading and steering error.
+
+    ``error`` is the state now; ``speeds`` and ``curvatures`` are those of the reference at each step. The error moves
+    as A x + B u + g at each step, so after the horizon it is affine in the rate, and the quadratic cost has one least.
+    """
+    whole_a, whole_b, whole_g = np.eye(3), np.zeros(3), np.zeros(3)
+    for v, k in zip(speeds, curvatures):
+        a = np.array([[1, v * dt, 0], [0, 1, v * dt / wheelbase], [0, 0, 1]])
+        whole_a, whole_b, whole_g = a @ whole_a, a @ whole_b + [0, 0, dt], a @ whole_g + [0, -v * k * dt, 0]
+    weight = np.diag(q)
+    return float(-(whole_b @ weight @ (whole_a @ error + whole_g)) / (whole_b @ weight @ whole_b + r))
+
+
+def rail_traffic(lanes: Sequence[str], progress: np.ndarray, velocity: np.ndarray, ego: Sequence[tuple[str, float, float]], target: float, dt: float, length: float = 5.0, **options) -> np.ndarray:
+    """Agents on lane rails, one after the other at each step: each follows the nearest object ahead in its lane, the
+    vehicle (lane, progress, speed at each step) or another agent where that now is. Shape (steps, agents, 2)."""
+    s, v = progress.astype(float).copy(), velocity.astype(float).copy()
+    out = np.empty((len(ego), len(s), 2))
+    for t, (ego_lane, ego_s, ego_v) in enumerate(ego):
+        for i, lane in enumerate(lanes):
+            ahead = [(s[j], v[j]) for j in range(len(s)) if j != i and lanes[j] == lane and s[j] > s[i]]
+            if ego_lane == lane and ego_s > s[i]:
+                ahead.append((ego_s, ego_v))
+            lead_s, lead_v = min(ahead, default=(s[i] + 1e9, target))
+            a = float(following_acceleration(v[i], lead_s - s[i] - length, lead_v, target, **options))
+            s[i], v[i] = s[i] + v[i] * dt, max(0.0, v[i] + a * dt)
+        out[t, :, 0], out[t, :, 1] = s, v
+    return out

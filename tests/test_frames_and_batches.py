@@ -265,3 +265,20 @@ def test_reward_plugins(spark):
     for threads in (1, 3):
         got = registry.scored_by_group(df, scorer, "token", "token string, score double", lambda r: {"token": r["token"], "score": 0.0}, threads)
         assert sorted((r.token, r.score) for r in got.collect()) == [("a", 1.0), ("a", 2.0), ("b", 0.0)]
+
+
+def test_steering_and_rails():
+    v, k = np.full(10, 5.0), np.zeros(10)
+    left = kernels.steering_rate(np.array([1.0, 0.0, 0.0]), v, k, 0.1)
+    assert left < 0 and kernels.steering_rate(np.zeros(3), v, k, 0.1) == 0 and kernels.steering_rate(np.zeros(3), v, k + 0.1, 0.1) > 0
+
+    def cost(u, x=np.array([1.0, 0.2, 0.0])):
+        total = x.copy()
+        for _ in range(10):
+            total = np.array([total[0] + 0.5 * total[1], total[1] + 0.5 / 3.089 * total[2], total[2] + 0.1 * u])
+        return total[0] ** 2 + 10 * total[1] ** 2 + u * u
+
+    best = kernels.steering_rate(np.array([1.0, 0.2, 0.0]), v, k, 0.1)
+    assert cost(best) <= min(cost(best + 0.01), cost(best - 0.01))
+    out = kernels.rail_traffic(["a", "a", "b"], np.array([0.0, 20.0, 0.0]), np.full(3, 8.0), [("a", 60.0, 0.0)] * 80, 8.0, 0.1)
+    assert out[-1, 2, 0] > 60 > out[-1, 1, 0] > out[-1, 0, 0] and (out[:, :, 1] >= 0).all()
