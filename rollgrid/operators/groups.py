@@ -137,7 +137,8 @@ def ranged(df: DataFrame, value: str, parts: int = 64) -> DataFrame:
 
     The borders are literals, so that every use of _part agrees, whatever the plan.
     """
-    borders = sorted(set(df.approxQuantile(value, [i / parts for i in range(1, parts)], 0.002)))
+    borders = df.agg(F.percentile_approx(F.col(value).cast("double"), [i / parts for i in range(1, parts)], 2000)).first()[0]
+    borders = sorted({x for x in borders or [] if x == x})
     part = F.lit(0)
     if borders:
         part = F.size(F.filter(F.array(*[F.lit(float(x)) for x in borders]), lambda x: x < F.col(value)))
