@@ -30,7 +30,8 @@ def steps(spark: SparkSession, path: str, n: int, required: Sequence[str] = ("sa
 
 def manifest(spark: SparkSession, path: str, ordered: bool = True) -> DataFrame:
     """(pos, token) of a text manifest: blank lines and a byte order mark dropped; duplicates fail."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "token"))
+    numbered = F.transform(F.split("value", "\r?\n"), lambda x, i: F.struct(i.alias("line"), x.alias("token")))
+    lines = spark.read.option("wholetext", True).text(path).select(F.explode(numbered).alias("z")).select("z.line", "z.token")
     tokens = lines.select("line", F.trim(F.regexp_replace("token", "^﻿", "")).alias("token")).where("token <> ''")
     guards.unique(tokens, "token", "tokens in the manifest")
     return batch.indexed(tokens, ["line"]).select("pos", "token") if ordered else tokens.select("token")
