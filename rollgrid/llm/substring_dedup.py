@@ -18,14 +18,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rollgrid.llm.common import LOWER, UPPER, broadcast_if_small, read, row_keys, stored
+from rollgrid.llm.common import LOWER, UPPER, ascii_lower, broadcast_if_small, read, row_keys, stored
 
 LEAST = 5
-RUN_WORDS = 30
+RUN_WORDS = 50
+SEED_WORDS = 5
+#: Characters beside a run in which its neighbouring words are sought.
+CONTEXT = 2000
 #: Digests of eight bytes that are broadcast at most.
 HALVES = 1_500_000
 SENTENCE = re.compile(r"[.!?]+(?=\s)|\n")
@@ -82,23 +85,41 @@ def unit_table(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text
     return source.mapInArrow(cut, UNITS.format(kind=kind))
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The spans to remove: doc_id, start, stop (code points), n_words, first_doc_id, first_start, k1, k2.
+def contexts(docs: DataFrame, points: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """For points (k1, k2, at): hashes of the ``words`` words before (nearest first) and after the place in the text."""
+    k1, k2 = row_keys(F.col(id_col), F.col(text_col))
+    met = docs.select(k1, k2, F.col(text_col).alias("text")).join(broadcast_if_small(points), ["k1", "k2"])
+    hashed = lambda t: F.transform(F.filter(F.split(ascii_lower(t), r"\s+", -1), lambda w: w != ""), lambda w: F.xxhash64(w))
+    before = F.substring(F.col("text"), F.greatest(F.col("at") - CONTEXT, F.lit(0)) + 1, F.least(F.col("at"), F.lit(CONTEXT)))
+    after = F.substring(F.col("text"), F.col("at") + 1, F.lit(CONTEXT))
+    out = met.select("k1", "k2", "at", F.slice(F.reverse(hashed(before)), 1, words).alias("before"), F.slice(hashed(after), 1, words).alias("after"))
+    return stored(out.dropDuplicates(["k1", "k2", "at"]), "unit-contexts")
+
+
+def agreement(a: str, b: str) -> Column:
+    """How many items two arrays share from their starts on."""
+    n = F.least(F.size(a), F.size(b))
+    differs = F.array_position(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x == y), F.lit(False))
+    return F.when(differs > 0, differs - 1).otherwise(n)
+
 
-    Null and empty texts have no units. Equal rows count as one document, so they do not repeat each other; what
-    stands twice inside one document alone stays. A null id ranks first. An empty table gives none; other columns
-    take no part.
+def repeated_spans(docs: DataFrame, least: int = LEAST, run_words: int = RUN_WORDS, seed_words: int = SEED_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The spans to remove: doc_id, start, stop (code points), n_words, passage_words, first_doc_id, first_start, k1, k2.
+
+    n_words are those of the span, passage_words those of the repeated passage around it. Null and empty texts have no
+    units. Equal rows count as one document, so they do not repeat each other; what stands twice inside one document
+    alone stays. A null id ranks first. An empty table gives none; other columns take no part.
     """
     table = stored(unit_table(docs, least, id_col, text_col), "units")
     halves = table.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
     halves = stored(halves, "unit-halves")
     again = table.join(broadcast_if_small(halves, HALVES), "h1", "left_semi")
-    place = F.struct("doc_id", "k1", "k2", "start")
+    place = F.struct("doc_id", "k1", "k2", "start", "stop")
     firsts = again.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     firsts = firsts.where((F.col("first.k1") != F.col("last.k1")) | (F.col("first.k2") != F.col("last.k2"))).select("h1", "h2", "first")
     firsts = stored(firsts, "unit-firsts")
     met = again.join(firsts, ["h1", "h2"]).where((F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2")))
-    met = met.select("doc_id", "k1", "k2", "no", "start", "stop", "words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")).dropDuplicates(["k1", "k2", "no"])
+    met = met.select("doc_id", "k1", "k2", "no", "start", "stop", "words", "first").dropDuplicates(["k1", "k2", "no"])
     doc = W.partitionBy("k1", "k2").orderBy("no")
     runs = met.withColumn("run", F.col("no") - F.row_number().over(doc))
     spans = runs.groupBy("k1", "k2", "run").agg(
@@ -106,15 +127,29 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, run_words: int = RUN_WOR
         F.min("start").alias("start"),
         F.max("stop").alias("stop"),
         F.sum("words").cast("long").alias("n_words"),
-        F.min(F.struct("start", "first_doc_id", "first_start")).alias("head"),
+        F.min_by("first", "start").alias("head"),
+        F.max_by("first", "start").alias("tail"),
     )
-    spans = spans.where(F.col("n_words") >= run_words)
-    return spans.select("doc_id", "start", "stop", "n_words", "head.first_doc_id", "head.first_start", "k1", "k2")
+    spans = stored(spans.where(F.col("n_words") >= min(seed_words, run_words)), "unit-runs")
+    short = spans.where(F.col("n_words") < run_words)
+    points = short.select("k1", "k2", F.col("start").alias("at")).union(short.select("k1", "k2", "stop")).union(short.select("head.k1", "head.k2", "head.start")).union(short.select("tail.k1", "tail.k2", "tail.stop"))
+    around = contexts(docs, stored(points.distinct(), "unit-points"), max(run_words - seed_words, 1), id_col, text_col)
+
+    def beside(df: DataFrame, keys: tuple[str, str, str], side: str, name: str) -> DataFrame:
+        at = around.select(*[F.col(c).alias(f"_{c}") for c in ("k1", "k2", "at")], F.col(side).alias(name))
+        return df.join(at, (F.col(keys[0]) == F.col("_k1")) & (F.col(keys[1]) == F.col("_k2")) & (F.col(keys[2]) == F.col("_at"))).drop("_k1", "_k2", "_at")
+
+    for keys, side, name in ((("k1", "k2", "start"), "before", "a"), (("head.k1", "head.k2", "head.start"), "before", "b"), (("k1", "k2", "stop"), "after", "c"), (("tail.k1", "tail.k2", "tail.stop"), "after", "d")):
+        short = beside(short, keys, side, name)
+    short = short.withColumn("passage_words", F.col("n_words") + agreement("a", "b") + agreement("c", "d")).drop("a", "b", "c", "d")
+    whole = spans.where(F.col("n_words") >= run_words).withColumn("passage_words", F.col("n_words"))
+    out = whole.unionByName(short.where(F.col("passage_words") >= run_words))
+    return out.select("doc_id", "start", "stop", "n_words", "passage_words", F.col("head.doc_id").alias("first_doc_id"), F.col("head.start").alias("first_start"), "k1", "k2")
 
 
-def dedup_passages(docs: DataFrame, least: int = LEAST, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_passages(docs: DataFrame, least: int = LEAST, run_words: int = RUN_WORDS, seed_words: int = SEED_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the repeated spans, and a column removed_spans: array of (start, stop) in the original text."""
-    spans = repeated_spans(docs, least, run_words, id_col, text_col)
+    spans = repeated_spans(docs, least, run_words, seed_words, id_col, text_col)
     k1, k2 = row_keys(F.col(id_col), F.col(text_col))
     each = spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     columns = [c for c in docs.columns if c != "removed_spans"]
