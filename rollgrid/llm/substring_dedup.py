@@ -26,14 +26,14 @@ from rollgrid.llm.common import LOWER, UPPER, ascii_lower, broadcast_if_small, r
 
 LEAST = 5
 RUN_WORDS = 50
-SEED_WORDS = 5
+SEED_WORDS = 8
 #: Characters beside a run in which its neighbouring words are sought.
-CONTEXT = 2000
+CONTEXT = 1000
 #: Digests of eight bytes that are broadcast at most.
 HALVES = 1_500_000
 SENTENCE = re.compile(r"[.!?]+(?=\s)|\n")
 FOLD = str.maketrans(UPPER, LOWER)
-UNITS = "k1 long, k2 long, doc_id {kind}, no int, start int, stop int, words int, h1 long, h2 long"
+UNITS = "k1 long, k2 long, doc_id {kind}, no int, start int, stop int, words int, ahead int, behind int, h1 long, h2 long"
 
 
 def units(text: str, least: int = LEAST) -> Iterator[tuple[int, int, str, int]]:
@@ -50,13 +50,14 @@ def units(text: str, least: int = LEAST) -> Iterator[tuple[int, int, str, int]]:
 
 
 def unit_table(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each unit of each document: keys of the row, place, size and digest, but not the text."""
+    """One row for each unit of each document: keys of the row, place, words in it and in the units on either side, and
+    digest, but not the text."""
     k1, k2 = row_keys(F.col(id_col), F.col(text_col))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k1", "k2", "doc_id", "no", "start", "stop", "words", "h1", "h2"]
-        types = [pa.int64(), pa.int64(), None, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        names = ["k1", "k2", "doc_id", "no", "start", "stop", "words", "ahead", "behind", "h1", "h2"]
+        types = [pa.int64(), pa.int64(), None, *[pa.int32()] * 6, pa.int64(), pa.int64()]
         for batch in batches:
             types[2] = batch.schema.field(2).type
             rows: list[list] = [[] for _ in names]
@@ -72,10 +73,12 @@ def unit_table(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text
                 if not text:
                     continue
                 a, b, c = (batch.column(n)[i].as_py() for n in range(3))
-                for no, (start, stop, normal, words) in enumerate(units(text, least)):
+                found = list(units(text, least))
+                sizes = [0, *[x[3] for x in found], 0]
+                for no, (start, stop, normal, words) in enumerate(found):
                     digest = xxhash.xxh3_128_intdigest(normal)
                     high, low = digest >> 64, digest & (1 << 64) - 1
-                    for r, value in zip(rows, (a, b, c, no, start, stop, words, high - (1 << 63), low - (1 << 63))):
+                    for r, value in zip(rows, (a, b, c, no, start, stop, words, sizes[no], sizes[no + 2], high - (1 << 63), low - (1 << 63))):
                         r.append(value)
                     if len(rows[0]) >= 50_000:
                         yield flush()
@@ -119,7 +122,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, run_words: int = RUN_WOR
     firsts = firsts.where((F.col("first.k1") != F.col("last.k1")) | (F.col("first.k2") != F.col("last.k2"))).select("h1", "h2", "first")
     firsts = stored(firsts, "unit-firsts")
     met = again.join(firsts, ["h1", "h2"]).where((F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2")))
-    met = met.select("doc_id", "k1", "k2", "no", "start", "stop", "words", "first").dropDuplicates(["k1", "k2", "no"])
+    met = met.select("doc_id", "k1", "k2", "no", "start", "stop", "words", "ahead", "behind", "first").dropDuplicates(["k1", "k2", "no"])
     doc = W.partitionBy("k1", "k2").orderBy("no")
     runs = met.withColumn("run", F.col("no") - F.row_number().over(doc))
     spans = runs.groupBy("k1", "k2", "run").agg(
@@ -129,8 +132,11 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, run_words: int = RUN_WOR
         F.sum("words").cast("long").alias("n_words"),
         F.min_by("first", "start").alias("head"),
         F.max_by("first", "start").alias("tail"),
+        (F.min_by("ahead", "start") + F.max_by("behind", "start")).alias("edges"),
     )
-    spans = stored(spans.where(F.col("n_words") >= min(seed_words, run_words)), "unit-runs")
+    # a passage ends inside the units beside its run, so a short run between short units cannot be part of a long one
+    spans = spans.where((F.col("n_words") >= min(seed_words, run_words)) & (F.col("n_words") + F.col("edges") >= run_words)).drop("edges")
+    spans = stored(spans, "unit-runs")
     short = spans.where(F.col("n_words") < run_words)
     points = short.select("k1", "k2", F.col("start").alias("at")).union(short.select("k1", "k2", "stop")).union(short.select("head.k1", "head.k2", "head.start")).union(short.select("tail.k1", "tail.k2", "tail.stop"))
     around = contexts(docs, stored(points.distinct(), "unit-points"), max(run_words - seed_words, 1), id_col, text_col)

@@ -90,7 +90,8 @@ def test_op10_by_brute_force(spark, db):
             if end > at:
                 start, stop, words = found[at][0], found[end - 1][1], sum(x[3] for x in found[at:end])
                 total = words
-                if S.SEED_WORDS <= words < S.RUN_WORDS:
+                edges = (found[at - 1][3] if at else 0) + (found[end][3] if end < len(found) else 0)
+                if S.SEED_WORDS <= words < S.RUN_WORDS <= words + edges:
                     f, s, _ = marks[at]
                     g, _, e = marks[end - 1]
                     total += agree(fold(texts[i][max(0, start - S.CONTEXT) : start])[::-1], fold(texts[f][max(0, s - S.CONTEXT) : s])[::-1])
