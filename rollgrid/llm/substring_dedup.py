@@ -9,6 +9,11 @@ make a run; runs of at least ``RUN_WORDS`` words are removed, with their offsets
 The grouping goes in two steps. Half the digest is counted first, and only units whose half is met twice travel with
 their place; counts and first places are aggregated map-side, so a passage in a third of all documents is one row for
 each task. Its occurrences are joined with their first place by a shuffle that adaptive execution splits.
+
+A short run is measured word for word around its first place. Where that does not make a long passage, any earlier
+document may hold one: windows of ``RUN_WORDS`` words around the run's units are then grouped like units, so every
+occurrence takes part without pairs. Units that agree with none in half the missing words on one side are left out
+before, as such a window cannot hold them.
 """
 
 from __future__ import annotations
@@ -33,7 +38,8 @@ CONTEXT = 1000
 HALVES = 1_500_000
 SENTENCE = re.compile(r"[.!?]+(?=\s)|\n")
 FOLD = str.maketrans(UPPER, LOWER)
-UNITS = "k1 long, k2 long, doc_id {kind}, no int, start int, stop int, words int, ahead int, behind int, h1 long, h2 long"
+UNITS = "k1 long, k2 long, doc_id {kind}, no int, start int, stop int, words int, ahead int, behind int, word int, before long, after long, h1 long, h2 long"
+WINDOWS = "w1 long, w2 long, off int, doc_id {kind}, k1 long, k2 long, no int, start int, stop int"
 
 
 def units(text: str, least: int = LEAST) -> Iterator[tuple[int, int, str, int]]:
@@ -49,15 +55,16 @@ def units(text: str, least: int = LEAST) -> Iterator[tuple[int, int, str, int]]:
         start = end
 
 
-def unit_table(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each unit of each document: keys of the row, place, words in it and in the units on either side, and
-    digest, but not the text."""
+def unit_table(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
+    """One row for each unit of each document: keys of the row, place, words in it and in the units on either side,
+    number of its first word, hashes of it with half the words that it lacks of ``run_words`` before and after it (null
+    where the text has not so many), and digest, but not the text."""
     k1, k2 = row_keys(F.col(id_col), F.col(text_col))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k1", "k2", "doc_id", "no", "start", "stop", "words", "ahead", "behind", "h1", "h2"]
-        types = [pa.int64(), pa.int64(), None, *[pa.int32()] * 6, pa.int64(), pa.int64()]
+        names = ["k1", "k2", "doc_id", "no", "start", "stop", "words", "ahead", "behind", "word", "before", "after", "h1", "h2"]
+        types = [pa.int64(), pa.int64(), None, *[pa.int32()] * 7, *[pa.int64()] * 4]
         for batch in batches:
             types[2] = batch.schema.field(2).type
             rows: list[list] = [[] for _ in names]
@@ -75,11 +82,16 @@ def unit_table(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text
                 a, b, c = (batch.column(n)[i].as_py() for n in range(3))
                 found = list(units(text, least))
                 sizes = [0, *[x[3] for x in found], 0]
+                folded, at = text.translate(FOLD).split(), 0
                 for no, (start, stop, normal, words) in enumerate(found):
                     digest = xxhash.xxh3_128_intdigest(normal)
                     high, low = digest >> 64, digest & (1 << 64) - 1
-                    for r, value in zip(rows, (a, b, c, no, start, stop, words, sizes[no], sizes[no + 2], high - (1 << 63), low - (1 << 63))):
+                    half, end = (run_words - words + 1) // 2, at + words
+                    before = xxhash.xxh3_64_intdigest(" ".join(folded[at - half : end])) - (1 << 63) if 0 < half <= at else None
+                    after = xxhash.xxh3_64_intdigest(" ".join(folded[at : end + half]), 1) - (1 << 63) if 0 < half <= len(folded) - end else None
+                    for r, value in zip(rows, (a, b, c, no, start, stop, words, sizes[no], sizes[no + 2], at, before, after, high - (1 << 63), low - (1 << 63))):
                         r.append(value)
+                    at = end
                     if len(rows[0]) >= 50_000:
                         yield flush()
             yield flush()
@@ -106,6 +118,80 @@ def agreement(a: str, b: str) -> Column:
     return F.when(differs > 0, differs - 1).otherwise(n)
 
 
+def measured(docs: DataFrame, short: DataFrame, run_words: int, seed_words: int, id_col: str, text_col: str) -> DataFrame:
+    """``short`` with passage_words: those of each run and of the words beside it that agree with those at its places
+    head and tail."""
+    points = short.select("k1", "k2", F.col("start").alias("at")).union(short.select("k1", "k2", "stop")).union(short.select("head.k1", "head.k2", "head.start")).union(short.select("tail.k1", "tail.k2", "tail.stop"))
+    around = contexts(docs, stored(points.distinct(), "unit-points"), max(run_words - seed_words, 1), id_col, text_col)
+
+    def beside(df: DataFrame, keys: tuple[str, str, str], side: str, name: str) -> DataFrame:
+        at = around.select(*[F.col(c).alias(f"_{c}") for c in ("k1", "k2", "at")], F.col(side).alias(name))
+        return df.join(at, (F.col(keys[0]) == F.col("_k1")) & (F.col(keys[1]) == F.col("_k2")) & (F.col(keys[2]) == F.col("_at"))).drop("_k1", "_k2", "_at")
+
+    for keys, side, name in ((("k1", "k2", "start"), "before", "a"), (("head.k1", "head.k2", "head.start"), "before", "b"), (("k1", "k2", "stop"), "after", "c"), (("tail.k1", "tail.k2", "tail.stop"), "after", "d")):
+        short = beside(short, keys, side, name)
+    return short.withColumn("passage_words", F.col("n_words") + agreement("a", "b") + agreement("c", "d")).drop("a", "b", "c", "d")
+
+
+def windows(docs: DataFrame, points: DataFrame, run_words: int, id_col: str, text_col: str) -> DataFrame:
+    """For units (k1, k2, no, start, stop, word, words): digest of each window of ``run_words`` words that holds the unit,
+    and how many of its words stand before the unit."""
+    k1, k2 = row_keys(F.col(id_col), F.col(text_col))
+    each = points.groupBy("k1", "k2").agg(F.collect_list(F.struct("no", "start", "stop", "word", "words")).alias("points"))
+    met = docs.select(F.col(id_col).alias("doc_id"), k1, k2, F.col(text_col).alias("text")).join(each, ["k1", "k2"])
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["w1", "w2", "off", "doc_id", "k1", "k2", "no", "start", "stop"]
+        types = [pa.int64(), pa.int64(), pa.int32(), None, pa.int64(), pa.int64(), *[pa.int32()] * 3]
+        for batch in batches:
+            types[3] = batch.schema.field(0).type
+            rows: list[list] = [[] for _ in names]
+
+            def flush() -> pa.RecordBatch:
+                out = pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], names)
+                for r in rows:
+                    r.clear()
+                return out
+
+            for i in range(batch.num_rows):
+                doc, a, b, text, found = (batch.column(n)[i].as_py() for n in range(5))
+                folded = text.translate(FOLD).split()
+                digests: dict[int, int] = {}
+                for x in found:
+                    for at in range(max(x["word"] + x["words"] - run_words, 0), min(x["word"], len(folded) - run_words) + 1):
+                        if at not in digests:
+                            digests[at] = xxhash.xxh3_128_intdigest(" ".join(folded[at : at + run_words]))
+                        high, low = digests[at] >> 64, digests[at] & (1 << 64) - 1
+                        for r, value in zip(rows, (high - (1 << 63), low - (1 << 63), x["word"] - at, doc, a, b, x["no"], x["start"], x["stop"])):
+                            r.append(value)
+                    if len(rows[0]) >= 50_000:
+                        yield flush()
+            yield flush()
+
+    return met.select("doc_id", "k1", "k2", "text", "points").mapInArrow(cut, WINDOWS.format(kind=kind))
+
+
+def other_places(docs: DataFrame, again: DataFrame, runs: DataFrame, run_words: int, id_col: str, text_col: str) -> DataFrame:
+    """Units of ``runs`` (k1, k2, low, high: first and last unit) that lie in a passage of ``run_words`` words of any
+    earlier document, as (doc_id, k1, k2, no, start, stop, words, first): the unit's place in the first such document."""
+    sought = again.join(runs.select("k1", "k2", "low", "high"), ["k1", "k2"]).where(F.col("no").between(F.col("low"), F.col("high")))
+    sought = stored(sought.select("k1", "k2", "no", "words", "h1", "h2").dropDuplicates(["k1", "k2", "no"]), "unit-sought")
+    sides = again.join(broadcast_if_small(sought.select("h1", "h2").distinct(), HALVES), ["h1", "h2"], "left_semi")
+    sides = sides.select("k1", "k2", "no", "start", "stop", "word", "words", F.explode(F.array("before", "after")).alias("side")).where("side is not null")
+    sides = stored(sides, "unit-sides")
+    row = F.struct("k1", "k2")
+    shared = sides.groupBy("side").agg(F.min(row).alias("one"), F.max(row).alias("other")).where("one != other").select("side")
+    points = sides.join(broadcast_if_small(stored(shared, "unit-shared"), HALVES), "side", "left_semi").drop("side").dropDuplicates(["k1", "k2", "no"])
+    found = stored(windows(docs, points, run_words, id_col, text_col), "unit-windows")
+    place = F.struct("doc_id", "k1", "k2", "start", "stop")
+    firsts = found.groupBy("w1", "w2", "off").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    firsts = firsts.where((F.col("first.k1") != F.col("last.k1")) | (F.col("first.k2") != F.col("last.k2"))).select("w1", "w2", "off", "first")
+    met = found.join(firsts, ["w1", "w2", "off"]).where((F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2")))
+    met = met.groupBy("k1", "k2", "no").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("stop").alias("stop"), F.min("first").alias("first"))
+    return stored(met.join(sought.select("k1", "k2", "no", "words"), ["k1", "k2", "no"]), "unit-others")
+
+
 def repeated_spans(docs: DataFrame, least: int = LEAST, run_words: int = RUN_WORDS, seed_words: int = SEED_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The spans to remove: doc_id, start, stop (code points), n_words, passage_words, first_doc_id, first_start, k1, k2.
 
@@ -113,7 +199,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, run_words: int = RUN_WOR
     units. Equal rows count as one document, so they do not repeat each other; what stands twice inside one document
     alone stays. A null id ranks first. An empty table gives none; other columns take no part.
     """
-    table = stored(unit_table(docs, least, id_col, text_col), "units")
+    table = stored(unit_table(docs, least, id_col, text_col, run_words), "units")
     halves = table.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
     halves = stored(halves, "unit-halves")
     again = table.join(broadcast_if_small(halves, HALVES), "h1", "left_semi")
@@ -129,6 +215,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, run_words: int = RUN_WOR
         F.first("doc_id").alias("doc_id"),
         F.min("start").alias("start"),
         F.max("stop").alias("stop"),
+        F.min("no").alias("low"),
+        F.max("no").alias("high"),
         F.sum("words").cast("long").alias("n_words"),
         F.min_by("first", "start").alias("head"),
         F.max_by("first", "start").alias("tail"),
@@ -137,19 +225,23 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, run_words: int = RUN_WOR
     # a passage ends inside the units beside its run, so a short run between short units cannot be part of a long one
     spans = spans.where((F.col("n_words") >= min(seed_words, run_words)) & (F.col("n_words") + F.col("edges") >= run_words)).drop("edges")
     spans = stored(spans, "unit-runs")
-    short = spans.where(F.col("n_words") < run_words)
-    points = short.select("k1", "k2", F.col("start").alias("at")).union(short.select("k1", "k2", "stop")).union(short.select("head.k1", "head.k2", "head.start")).union(short.select("tail.k1", "tail.k2", "tail.stop"))
-    around = contexts(docs, stored(points.distinct(), "unit-points"), max(run_words - seed_words, 1), id_col, text_col)
-
-    def beside(df: DataFrame, keys: tuple[str, str, str], side: str, name: str) -> DataFrame:
-        at = around.select(*[F.col(c).alias(f"_{c}") for c in ("k1", "k2", "at")], F.col(side).alias(name))
-        return df.join(at, (F.col(keys[0]) == F.col("_k1")) & (F.col(keys[1]) == F.col("_k2")) & (F.col(keys[2]) == F.col("_at"))).drop("_k1", "_k2", "_at")
-
-    for keys, side, name in ((("k1", "k2", "start"), "before", "a"), (("head.k1", "head.k2", "head.start"), "before", "b"), (("k1", "k2", "stop"), "after", "c"), (("tail.k1", "tail.k2", "tail.stop"), "after", "d")):
-        short = beside(short, keys, side, name)
-    short = short.withColumn("passage_words", F.col("n_words") + agreement("a", "b") + agreement("c", "d")).drop("a", "b", "c", "d")
     whole = spans.where(F.col("n_words") >= run_words).withColumn("passage_words", F.col("n_words"))
-    out = whole.unionByName(short.where(F.col("passage_words") >= run_words))
+    short = stored(measured(docs, spans.where(F.col("n_words") < run_words), run_words, seed_words, id_col, text_col), "unit-short")
+    # the first place of a run's units need not be that of the passage
+    others = other_places(docs, again, short.where(F.col("passage_words") < run_words), run_words, id_col, text_col)
+    same = W.partitionBy("k1", "k2", "e1", "e2").orderBy("no")
+    others = others.withColumns({"e1": F.col("first.k1"), "e2": F.col("first.k2")}).withColumn("run", F.col("no") - F.row_number().over(same))
+    others = others.groupBy("k1", "k2", "e1", "e2", "run").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.min("start").alias("start"),
+        F.max("stop").alias("stop"),
+        F.sum("words").cast("long").alias("n_words"),
+        F.min_by("first", "start").alias("head"),
+        F.max_by("first", "start").alias("tail"),
+    )
+    others = measured(docs, stored(others, "unit-other-runs"), run_words, seed_words, id_col, text_col).withColumn("passage_words", F.greatest("passage_words", F.lit(run_words)))
+    columns = ["k1", "k2", "doc_id", "start", "stop", "n_words", "passage_words", "head"]
+    out = whole.select(*columns).unionByName(short.where(F.col("passage_words") >= run_words).select(*columns)).unionByName(others.select(*columns))
     return out.select("doc_id", "start", "stop", "n_words", "passage_words", F.col("head.doc_id").alias("first_doc_id"), F.col("head.start").alias("first_start"), "k1", "k2")
 
 

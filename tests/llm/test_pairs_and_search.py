@@ -128,6 +128,33 @@ def test_passages_inside_sentences_and_short_repeats(spark):
     assert {r.doc_id for r in both} == {2, 4}
 
 
+def test_passages_by_brute_force_over_all_earlier_documents(spark):
+    """The first place of a frequent sentence is not the place that a later passage around it repeats."""
+    rng = random.Random(11)
+    words = lambda n: [rng.choice("red green blue grey teal pink plum lime".split()) + str(rng.randrange(9999)) for _ in range(n)]
+    sentence = lambda n: " ".join(words(n)) + "."
+    common = [sentence(9), sentence(12)]
+    passages = [" ".join(words(n)) + ". " + common[k % 2] + " " + " ".join(words(m)) for k, (n, m) in enumerate([(21, 21), (30, 10), (9, 33), (25, 25), (15, 15), (20, 17)])]
+    rows = [(1, sentence(11) + " " + common[0] + " " + sentence(9)), (2, sentence(14) + "\n" + common[1] + "\n" + sentence(9))]
+    for i in range(3, 30):
+        rows.append((i, " ".join([sentence(12), rng.choice(["so", "and", "Then"]), rng.choice(passages), rng.choice(["or", "in", "at"]), sentence(8), rng.choice(common)])))
+    seen, want = set(), set()
+    for i, text in rows:
+        found, w, at = list(S.units(text)), text.translate(FOLD).split(), 0
+        for start, stop, _, n in found:
+            if S.SEED_WORDS <= n and any(" ".join(w[q : q + S.RUN_WORDS]) in seen for q in range(max(at + n - S.RUN_WORDS, 0), min(at, len(w) - S.RUN_WORDS) + 1)):
+                want.add((i, start, stop))
+            at += n
+        seen |= {" ".join(w[q : q + S.RUN_WORDS]) for q in range(len(w) - S.RUN_WORDS + 1)}
+    got = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    within = {(r.doc_id, start, stop) for r in got for start, stop, *_ in S.units(dict(rows)[r.doc_id]) if r.start <= start and stop <= r.stop}
+    assert within == want and len(want) > 10
+    texts = {i: " ".join(t.translate(FOLD).split()) for i, t in rows}
+    for r in got:
+        shared = " ".join(dict(rows)[r.doc_id][r.start : r.stop].translate(FOLD).split())
+        assert r.first_doc_id < r.doc_id and shared in texts[r.first_doc_id] and r.passage_words >= S.RUN_WORDS
+
+
 def test_repeated_passage_edge_cases(spark):
     docs = E.documents(spark, clashing=True)
     out = S.dedup_passages(docs)
