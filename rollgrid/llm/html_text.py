@@ -2,9 +2,10 @@
 
 1. One page of each host (the lowest hash of its id) is the pivot. Every other page's DOM tree is aligned with the
    pivot's by simple tree matching: the largest set of node pairs that keeps labels, parents and order.
-2. Over all pages of the host, each pivot node counts how often it was matched, how often with the same text, and how
-   much varying text stood below it. Counts are added up inside tasks before they are shuffled, so one host may have
-   a third of all pages.
+2. Over all different pages of the host but the pivot, each pivot node counts how often it was matched, how often with
+   the same text, and how much varying text stood below it. Pages of equal text (that of the marked article, where
+   there is one) count once, and those that read like the pivot say nothing of what is constant. Counts are added up
+   inside tasks before they are shuffled, so one host may have a third of all pages.
 3. Nodes whose text is the same on nearly all pages are template. Varying slots are content; where a page marks its
    article, the slots inside it, else those below the pivot node that holds nearly all varying text.
 4. Each page is aligned again and its content blocks are put out in page order. Elements that hold no article text by
@@ -18,9 +19,10 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,6 +167,13 @@ class Tree:
                 stack.append((name, node))
         close(0)
 
+    @cached_property
+    def digest(self) -> int:
+        """Hash of the text that is not ruled out, inside marks where there are any."""
+        use = self.marked if any(self.marked) else [not out for out in self.out]
+        words = " ".join(text for node, text in self.events if text is not None and use[node]).split()
+        return xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63)
+
     def _structure(self) -> tuple:
         """The tree without texts; trees of equal structure align alike. Long runs of equal leaves take little room."""
         return tuple(self.labels), tuple(self.parents)
@@ -335,29 +344,21 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         return F.broadcast(df) if chars <= PIVOT_CHARS else df
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, int], list[int]] = {}
-
-        def flush() -> pa.RecordBatch:
-            keys, values = list(counts), list(counts.values())
-            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32())] + [pa.array([v[i] for v in values], pa.int64()) for i in range(3)]
-            counts.clear()
-            return pa.RecordBatch.from_arrays(columns, ["host", "node", "met", "same", "loose"])
-
         for batch in batches:
+            hosts, digests, nodes = [], [], []
             for i in range(batch.num_rows):
-                name = batch.column(0)[i].as_py()
-                for node, same, loose in observed(Tree(batch.column(1)[i].as_py()), pivot_tree(batch.column(2)[i].as_py())):
-                    c = counts.setdefault((name, node), [0, 0, 0])
-                    c[0] += 1
-                    c[1] += same
-                    c[2] += loose
-            if len(counts) > 50_000:
-                yield flush()
-        yield flush()
+                page, pivot = Tree(batch.column(1)[i].as_py()), pivot_tree(batch.column(2)[i].as_py())
+                if page.digest != pivot.digest:
+                    hosts.append(batch.column(0)[i].as_py())
+                    digests.append(page.digest)
+                    nodes.append([{"node": n, "same": same, "loose": loose} for n, same, loose in observed(page, pivot)])
+            kind = pa.list_(pa.struct([("node", pa.int32()), ("same", pa.int32()), ("loose", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(nodes, kind)], ["host", "digest", "nodes"])
 
     paired = rows.where("host is not null and html <> ''").select("host", "html").join(hinted(pivots), "host")
-    seen = paired.mapInArrow(learn, "host string, node int, met long, same long, loose long").groupBy("host", "node").agg(F.sum("met").alias("met"), F.sum("same").alias("same"), F.sum("loose").alias("loose"))
-    template = F.collect_list(F.when((F.col("met") >= SUPPORT) & (F.col("same") >= SAME * F.col("met")), F.col("node"))).alias("template")
+    different = paired.mapInArrow(learn, "host string, digest long, nodes array<struct<node:int,same:int,loose:long>>").groupBy("host", "digest").agg(F.min("nodes").alias("nodes"))
+    seen = different.select("host", F.inline("nodes")).groupBy("host", "node").agg(F.count(F.lit(1)).alias("met"), F.sum("same").alias("same"), F.sum("loose").alias("loose"))
+    template = F.collect_list(F.when((F.col("met") + 1 >= SUPPORT) & (F.col("same") + 1 >= SAME * (F.col("met") + 1)), F.col("node"))).alias("template")
     masses = F.collect_list(F.when(F.col("loose") > 0, F.struct("node", "loose"))).alias("masses")
     wrappers = stored(pivots.join(seen.groupBy("host").agg(template, masses), "host", "left"), "wrappers")
 

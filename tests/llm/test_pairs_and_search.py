@@ -278,6 +278,21 @@ def test_wrappers_of_a_host(spark):
     assert H.extract_text(pages).count() == len(rows) and H.extract_text(pages.limit(0)).count() == 0
 
 
+def texts_of(spark, rows):
+    return {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    article = "<article><h1>A title</h1><p>first words</p><p>second words</p></article>"
+    plain = PAGE % ("link", "<p>first words</p><p>second words</p>", "r", "f")
+    rows = [(i, "https://rows.example/x", PAGE % ("link", article, "r", "f")) for i in range(10)]
+    rows += [(20 + i, f"https://urls.example/{i}", PAGE % (f"link {i}", article, i, i)) for i in range(10)] + [(30, "https://urls.example/z", PAGE % ("z", "<article><p>other</p></article>", "z", "z"))]
+    rows += [(40 + i, f"https://plain.example/{i}", plain) for i in range(10)]
+    got = texts_of(spark, rows)
+    assert all(got[i] == "A title\nfirst words\nsecond words" for i in [*range(10), *range(20, 30)]) and got[30] == "other"
+    assert all(got[i].endswith("first words\nsecond words") for i in range(40, 50))
+
+
 def test_pipeline_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
