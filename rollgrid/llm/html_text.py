@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import cached_property, lru_cache
 
 import pyarrow as pa
@@ -34,7 +34,6 @@ SAME, SUPPORT = 0.75, 8
 CONTAINED = 0.8
 #: Total characters of pivot pages that are broadcast.
 PIVOT_CHARS = 48_000_000
-DEPTH = 150
 CELLS = 200_000
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
@@ -48,6 +47,10 @@ BLOCK = frozenset(
 )
 #: Elements that a start tag of the key closes, if open inside the nearest of the second set.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Elements in which a block does not close a paragraph that is open around them.
+KEEPS = ("article", "main", "section", "div", "td", "th", "li", "body", "table", "button", "blockquote")
+#: Elements whose inside stray end tags of other than blocks do not leave.
+BARRIERS = ("article", "main", "td", "th")
 #: Elements that never hold article text.
 OUT = frozenset("aside button canvas datalist dialog footer form head iframe input label math menu nav noembed noframes noscript object script select style svg template textarea title".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -96,15 +99,21 @@ class Tree:
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("#", 0)]
+        #: Places in the stack of the open elements of each name.
+        opened: dict[str, list[int]] = {}
         events, at, end = self.events, 0, len(source)
 
+        def last(names: Iterable[str]) -> int:
+            return max((opened[n][-1] for n in names if opened.get(n)), default=0)
+
         def text(until: int) -> None:
             if until > at:
                 events.append((stack[-1][1], html.unescape(source[at:until])))
 
         def close(index: int) -> None:
-            while len(stack) > index:
+            while len(stack) > max(index, 1):
                 name, node = stack.pop()
+                opened[name].pop()
                 if name in BLOCK:
                     events.append((node, None))
 
@@ -120,41 +129,27 @@ class Tree:
                 continue
             name = name.lower()
             if match[1]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        close(i)
-                        break
-                    if stack[i][0] in MARKED or stack[i][0] in ("td", "th"):
-                        if name not in BLOCK:  # a stray end tag inside does not close what stands around
-                            break
+                place = last((name,))
+                if place and (name in BLOCK or place >= last(BARRIERS)):  # a stray end tag inside does not close what stands around
+                    close(place)
                 if name in ("br", "p"):
                     events.append((stack[-1][1], None))
                 continue
             if name in BLOCK:  # a block closes an open paragraph
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        close(i)
-                        break
-                    if stack[i][0] in ("article", "main", "section", "div", "td", "th", "li", "body", "table", "button", "blockquote"):
-                        break
+                place = last(("p",))
+                if place > last(KEEPS):
+                    close(place)
             if name in CLOSES:
                 shut, scope = CLOSES[name]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in scope:
-                        break
-                    if stack[i][0] in shut:
-                        close(i)
-                        break
+                place = last(shut)
+                if place > last(scope):
+                    close(place)
             if name in ("br", "hr", "wbr"):
                 if name != "wbr":
                     events.append((stack[-1][1], None))
                 continue
             if name in VOID:
                 continue
-            if len(stack) > DEPTH:
-                if name in BLOCK:
-                    events.append((stack[-1][1], None))
-                continue
             node = self._open(name, match[3], stack[-1][1])
             if name in RAW:
                 stop = RAW[name].search(source, at)
@@ -164,8 +159,9 @@ class Tree:
             if name in BLOCK:
                 events.append((node, None))
             if not match[3].endswith("/") or name in BLOCK:
+                opened.setdefault(name, []).append(len(stack))
                 stack.append((name, node))
-        close(0)
+        close(1)
 
     @cached_property
     def digest(self) -> int:
@@ -182,71 +178,93 @@ class Tree:
 @lru_cache(maxsize=4096)
 def aligned(page: tuple, pivot: tuple) -> tuple[int, ...]:
     """For each node of the page its partner in the pivot, or -1: simple tree matching with its traceback."""
-    labels = page[0], pivot[0]
     kids: list[list[list[int]]] = []
     forms: list[list[int]] = []
     known: dict[tuple, int] = {}
-    sizes: list[list[int]] = []
+    # of each form, that is, subtree: its label, the forms of its children, and its nodes
+    label: list[str] = []
+    parts: list[tuple[int, ...]] = []
+    sizes: list[int] = []
     for names, parents in (page, pivot):
         below: list[list[int]] = [[] for _ in names]
         for node in range(1, len(names)):
             below[parents[node]].append(node)
-        form, size = [0] * len(names), [1] * len(names)
+        form = [0] * len(names)
         for node in range(len(names) - 1, -1, -1):  # children have higher numbers than their parents
-            form[node] = known.setdefault((names[node], *[form[c] for c in below[node]]), len(known))
-            size[node] += sum(size[c] for c in below[node])
+            children = tuple(form[c] for c in below[node])
+            number = form[node] = known.setdefault((names[node], children), len(known))
+            if number == len(label):
+                label.append(names[node])
+                parts.append(children)
+                sizes.append(1 + sum(sizes[c] for c in children))
         kids.append(below)
         forms.append(form)
-        sizes.append(size)
-    partner = [-1] * len(labels[0])
+    partner = [-1] * len(page[0])
     scores: dict[tuple[int, int], int] = {}
 
-    def cut(a: list[int], b: list[int]) -> tuple[int, int]:
-        """Lengths of the beginning and the end that are equal in form; to match these is never worse."""
+    def cut(a: Sequence[int], b: Sequence[int]) -> tuple[int, int]:
+        """Lengths of the beginning and the end that are equal; to match these forms is never worse."""
         n, head, tail = min(len(a), len(b)), 0, 0
-        while head < n and forms[0][a[head]] == forms[1][b[head]]:
+        while head < n and a[head] == b[head]:
             head += 1
-        while tail < n - head and forms[0][a[-1 - tail]] == forms[1][b[-1 - tail]]:
+        while tail < n - head and a[-1 - tail] == b[-1 - tail]:
             tail += 1
         return head, tail
 
-    def table(a: list[int], b: list[int]) -> list[list[int]]:
+    def score(f: int, g: int) -> int:
+        """Size of the largest matching of two subtrees; of those that differ under one label, settle() comes first."""
+        return sizes[f] if f == g else scores[f, g] if label[f] == label[g] else 0
+
+    def table(a: Sequence[int], b: Sequence[int]) -> list[list[int]]:
         rows = [[0] * (len(b) + 1)]
-        for x in a:
+        for f in a:
             last, row = rows[-1], [0]
-            for j, y in enumerate(b):
-                row.append(max(last[j + 1], row[j], last[j] + score(x, y)))
+            for j, g in enumerate(b):
+                row.append(max(last[j + 1], row[j], last[j] + score(f, g)))
             rows.append(row)
         return rows
 
-    def score(x: int, y: int) -> int:
-        """Size of the largest matching of the subtrees at x and y."""
-        if labels[0][x] != labels[1][y]:
-            return 0
-        if forms[0][x] == forms[1][y]:
-            return sizes[0][x]
-        key = (x, y)
-        if key not in scores:
-            a, b = kids[0][x], kids[1][y]
+    def settle(f: int, g: int) -> None:
+        """Scores of all pairs on which that of f and g rests, the deepest first; trees may be deeper than calls."""
+        work = [(f, g, 0)]
+        while work:
+            f, g, done = work.pop()
+            if (f, g) in scores:
+                continue
+            a, b = parts[f], parts[g]
             head, tail = cut(a, b)
-            total = 1 + sum(sizes[0][c] for c in a[:head]) + sum(sizes[0][c] for c in a[len(a) - tail :])
+            total = 1 + sum(sizes[c] for c in a[:head]) + sum(sizes[c] for c in a[len(a) - tail :])
             a, b = a[head : len(a) - tail], b[head : len(b) - tail]
             if a and b and len(a) * len(b) <= CELLS:
-                total += table(a, b)[-1][-1]
-            scores[key] = total
-        return scores[key]
+                following = dict.fromkeys(b)
+                each = list(dict.fromkeys(a))
+                while done < len(each):
+                    c = each[done]
+                    missing = [(c, d, 0) for d in following if c != d and label[c] == label[d] and (c, d) not in scores]
+                    done += 1
+                    if missing:
+                        work.append((f, g, done))
+                        work += missing
+                        break
+                else:
+                    scores[f, g] = total + table(a, b)[-1][-1]
+            else:
+                scores[f, g] = total
 
+    if forms[0][0] != forms[1][0]:
+        settle(forms[0][0], forms[1][0])
     work = [(0, 0)]
     while work:
         x, y = work.pop()
         partner[x] = y
         a, b = kids[0][x], kids[1][y]
-        head, tail = cut(a, b)
+        c, d = parts[forms[0][x]], parts[forms[1][y]]
+        head, tail = cut(c, d)
         work += zip(a[:head], b[:head])
         work += zip(a[len(a) - tail :], b[len(b) - tail :])
         a, b = a[head : len(a) - tail], b[head : len(b) - tail]
         if a and b and len(a) * len(b) <= CELLS:
-            rows = table(a, b)
+            rows = table(c[head : len(c) - tail], d[head : len(d) - tail])
             i, j = len(a), len(b)
             while i and j:
                 if rows[i][j] == rows[i - 1][j]:

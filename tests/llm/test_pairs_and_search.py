@@ -229,6 +229,17 @@ def test_blocks_and_entities():
     assert read_html("<article><p>" + "w " * 200_000) == " ".join(["w"] * 200_000)
 
 
+@pytest.mark.parametrize("tag", ["b", "div"])
+def test_deep_pages_read_like_shallow_ones(tag):
+    deep = f"<{tag}>" * 3000
+    for end in ("", f"</{tag}>" * 3000):
+        page = deep + "<p>out</p><nav>menu</nav><article><p>one <i>x</i></p><script>if (a) b</script><div>two</div><div hidden>h</div><p>three</article><style>p{}</style>" + end
+        assert read_html(page) == "one x\ntwo\nthree"
+    tree, pivot = H.Tree(deep + "<p>a<p>b"), H.Tree(deep + "<i>c</i><p>d")
+    assert sum(x >= 0 for x in H.aligned(tree.structure, pivot.structure)) == 3002
+    assert read_html(f"<{tag}>" * 100_000 + "<ul>" * 20_000 + "<p>end") == "end"
+
+
 def test_tree_matching_is_the_largest(spark):
     def tree(*children):
         labels, parents = ["#"], [-1]
