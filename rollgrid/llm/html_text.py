@@ -6,7 +6,8 @@
    the same text, and how much varying text stood below it. Pages of equal text (that of the marked article, where
    there is one) count once, and those that read like the pivot say nothing of what is constant. Counts are added up
    inside tasks before they are shuffled, so one host may have a third of all pages.
-3. Nodes whose text is the same on nearly all pages are template. Varying slots are content; where a page marks its
+3. Nodes whose text is the same on nearly all pages are template; on hosts of few pages, only pages that differ in most
+   of their text show that, as two versions of one article agree in the rest. Varying slots are content; where a page marks its
    article, the slots inside it, else those below the pivot node that holds nearly all varying text.
 4. Each page is aligned again and its content blocks are put out in page order. Elements that hold no article text by
    their meaning (menus, adverts, forms, scripts, comments ...) are left out whatever varies in them.
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 
 from rollgrid.llm.common import read, stored
 
-#: A text is template if it stands on this share of the pages on which its node was found, and on so many of them.
-SAME, SUPPORT = 0.75, 8
+#: A text is template if it stands on this share of the pages on which its node was found, and if these are so many, or
+#: if it stands on half the host's other pages, ``FEW`` at least, that differ from the pivot in most of their text.
+SAME, SUPPORT, FEW = 0.75, 8, 2
 #: Share of the varying text that the content container of a page without marked article holds.
 CONTAINED = 0.8
 #: Total characters of pivot pages that are broadcast.
@@ -163,11 +165,15 @@ class Tree:
                 stack.append((name, node))
         close(1)
 
+    @cached_property
+    def used(self) -> list[bool]:
+        """The nodes that are not ruled out, inside marks where there are any."""
+        return self.marked if any(self.marked) else [not out for out in self.out]
+
     @cached_property
     def digest(self) -> int:
-        """Hash of the text that is not ruled out, inside marks where there are any."""
-        use = self.marked if any(self.marked) else [not out for out in self.out]
-        words = " ".join(text for node, text in self.events if text is not None and use[node]).split()
+        """Hash of the text of the used nodes."""
+        words = " ".join(text for node, text in self.events if text is not None and self.used[node]).split()
         return xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63)
 
     def _structure(self) -> tuple:
@@ -298,6 +304,13 @@ def observed(page: Tree, pivot: Tree) -> Iterator[tuple[int, int, int]]:
             yield mate, int(bool(page.texts[node]) and pivot.texts[mate] == page.texts[node]), loose.pop(mate, 0)
 
 
+def differs(page: Tree, pivot: Tree) -> bool:
+    """Whether less than half of the page's text stands in the pivot's nodes as well."""
+    lengths = [len(text) if use else 0 for text, use in zip(page.texts, page.used)]
+    same = sum(n for n, text, mate in zip(lengths, page.texts, aligned(page.structure, pivot.structure)) if n and mate >= 0 and pivot.texts[mate] == text)
+    return 2 * same < sum(lengths)
+
+
 def container(pivot: Tree, masses: dict[int, int]) -> int:
     """The deepest pivot node below which CONTAINED of the varying text stands."""
     below = [0] * len(pivot.labels)
@@ -369,16 +382,20 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 if page.digest != pivot.digest:
                     hosts.append(batch.column(0)[i].as_py())
                     digests.append(page.digest)
-                    nodes.append([{"node": n, "same": same, "loose": loose} for n, same, loose in observed(page, pivot)])
-            kind = pa.list_(pa.struct([("node", pa.int32()), ("same", pa.int32()), ("loose", pa.int64())]))
+                    far = int(differs(page, pivot))
+                    # node -1 counts the pages
+                    nodes.append([{"node": n, "same": same, "far": same * far, "loose": loose} for n, same, loose in [(-1, 0, 0), *observed(page, pivot)]])
+            kind = pa.list_(pa.struct([("node", pa.int32()), ("same", pa.int32()), ("far", pa.int32()), ("loose", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(nodes, kind)], ["host", "digest", "nodes"])
 
     paired = rows.where("host is not null and html <> ''").select("host", "html").join(hinted(pivots), "host")
-    different = paired.mapInArrow(learn, "host string, digest long, nodes array<struct<node:int,same:int,loose:long>>").groupBy("host", "digest").agg(F.min("nodes").alias("nodes"))
-    seen = different.select("host", F.inline("nodes")).groupBy("host", "node").agg(F.count(F.lit(1)).alias("met"), F.sum("same").alias("same"), F.sum("loose").alias("loose"))
-    template = F.collect_list(F.when((F.col("met") + 1 >= SUPPORT) & (F.col("same") + 1 >= SAME * (F.col("met") + 1)), F.col("node"))).alias("template")
-    masses = F.collect_list(F.when(F.col("loose") > 0, F.struct("node", "loose"))).alias("masses")
-    wrappers = stored(pivots.join(seen.groupBy("host").agg(template, masses), "host", "left"), "wrappers")
+    different = paired.mapInArrow(learn, "host string, digest long, nodes array<struct<node:int,same:int,far:int,loose:long>>").groupBy("host", "digest").agg(F.min("nodes").alias("nodes"))
+    seen = different.select("host", F.inline("nodes")).groupBy("host", "node").agg(F.count(F.lit(1)).alias("met"), F.sum("same").alias("same"), F.sum("far").alias("far"), F.sum("loose").alias("loose"))
+    counted = seen.groupBy("host").agg(F.max(F.when(F.col("node") == -1, F.col("met"))).alias("pages"), F.collect_list(F.when(F.col("node") >= 0, F.struct("node", "met", "same", "far", "loose"))).alias("nodes"))
+    constant = lambda x: (x["same"] + 1 >= SAME * (x["met"] + 1)) & ((x["met"] + 1 >= SUPPORT) | (x["far"] >= F.greatest(F.lit(FEW), F.ceil(F.col("pages") / 2))))  # noqa: E731  (with the pivot)
+    template = F.transform(F.filter("nodes", constant), lambda x: x["node"]).alias("template")
+    masses = F.transform(F.filter("nodes", lambda x: x["loose"] > 0), lambda x: F.struct(x["node"].alias("node"), x["loose"].alias("loose"))).alias("masses")
+    wrappers = stored(pivots.join(counted.select("host", template, masses), "host", "left"), "wrappers")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -304,6 +304,17 @@ def test_copies_of_a_page_are_no_template(spark):
     assert all(got[i].endswith("first words\nsecond words") for i in range(40, 50))
 
 
+def test_template_of_small_hosts(spark):
+    """A header is kept on hosts of one and two different pages, and known from three on; versions of an article agree."""
+    story = lambda i: f"<p>text {i} is here and goes on</p><p>and more {i} to be read</p>"
+    for number in (1, 2, 3, 7):
+        rows = [(i, f"https://few.example/{i}", PAGE % ("link", story(i), i, i)) for i in range(number)]
+        head = "Site name\n" if number < 3 else ""
+        assert texts_of(spark, rows + rows[:1]) == {i: f"{head}text {i} is here and goes on\nand more {i} to be read" for i in range(number)}
+    versions = [(i, f"https://old.example/{i}", PAGE % ("link", f"<article>{story(0)}<p>edit {i}</p></article>", i, i)) for i in range(4)]
+    assert all("text 0 is here" in t and "and more 0" in t and f"edit {i}" in t for i, t in texts_of(spark, versions).items())
+
+
 def test_pipeline_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
