@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterable, Iterator, Sequence
 from functools import cached_property, lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,7 @@ SAME, SUPPORT, FEW = 0.75, 8, 2
 CONTAINED = 0.8
 #: Total characters of pivot pages that are broadcast.
 PIVOT_CHARS = 48_000_000
+#: Cells of the largest table that is kept whole; longer lists of children are halved until theirs are smaller.
 CELLS = 200_000
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
@@ -230,6 +232,38 @@ def aligned(page: tuple, pivot: tuple) -> tuple[int, ...]:
             rows.append(row)
         return rows
 
+    def last_row(a: Sequence[int], b: Sequence[int]) -> np.ndarray:
+        """The last row of table(), without the others."""
+        kinds = list(dict.fromkeys(b))
+        place = {g: n for n, g in enumerate(kinds)}
+        at = np.array([place[g] for g in b])
+        gains: dict[int, np.ndarray] = {}
+        row = np.zeros(len(b) + 1, np.int64)
+        for f in a:
+            if f not in gains:
+                gains[f] = np.array([score(f, g) for g in kinds], np.int64)
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + gains[f][at]))
+        return row
+
+    def matched(a: Sequence[int], b: Sequence[int]) -> Iterator[tuple[int, int]]:
+        """Places in a and b of the pairs of a largest matching."""
+        if len(a) > 1 and len(a) * len(b) > CELLS:
+            middle = len(a) // 2
+            split = int(np.argmax(last_row(a[:middle], b) + last_row(a[:middle - 1 : -1], b[::-1])[::-1]))
+            yield from matched(a[:middle], b[:split])
+            yield from ((i + middle, j + split) for i, j in matched(a[middle:], b[split:]))
+            return
+        rows = table(a, b)
+        i, j = len(a), len(b)
+        while i and j:
+            if rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            elif rows[i][j] == rows[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                yield i, j
+
     def settle(f: int, g: int) -> None:
         """Scores of all pairs on which that of f and g rests, the deepest first; trees may be deeper than calls."""
         work = [(f, g, 0)]
@@ -241,7 +275,7 @@ def aligned(page: tuple, pivot: tuple) -> tuple[int, ...]:
             head, tail = cut(a, b)
             total = 1 + sum(sizes[c] for c in a[:head]) + sum(sizes[c] for c in a[len(a) - tail :])
             a, b = a[head : len(a) - tail], b[head : len(b) - tail]
-            if a and b and len(a) * len(b) <= CELLS:
+            if a and b:
                 following = dict.fromkeys(b)
                 each = list(dict.fromkeys(a))
                 while done < len(each):
@@ -253,7 +287,7 @@ def aligned(page: tuple, pivot: tuple) -> tuple[int, ...]:
                         work += missing
                         break
                 else:
-                    scores[f, g] = total + table(a, b)[-1][-1]
+                    scores[f, g] = total + (table(a, b)[-1][-1] if len(a) * len(b) <= CELLS else int(last_row(a, b)[-1]))
             else:
                 scores[f, g] = total
 
@@ -269,17 +303,8 @@ def aligned(page: tuple, pivot: tuple) -> tuple[int, ...]:
         work += zip(a[:head], b[:head])
         work += zip(a[len(a) - tail :], b[len(b) - tail :])
         a, b = a[head : len(a) - tail], b[head : len(b) - tail]
-        if a and b and len(a) * len(b) <= CELLS:
-            rows = table(c[head : len(c) - tail], d[head : len(d) - tail])
-            i, j = len(a), len(b)
-            while i and j:
-                if rows[i][j] == rows[i - 1][j]:
-                    i -= 1
-                elif rows[i][j] == rows[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    work.append((a[i], b[j]))
+        if a and b:
+            work += ((a[i], b[j]) for i, j in matched(c[head : len(c) - tail], d[head : len(d) - tail]))
     return tuple(partner)
 
 

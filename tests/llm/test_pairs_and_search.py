@@ -279,6 +279,27 @@ def test_tree_matching_is_the_largest(spark):
         assert all(partner[a[1][x]] == b[1][y] for x, y in pairs if x)
 
 
+def test_long_lists_of_children_are_aligned(monkeypatch):
+    rng = random.Random(3)
+    page = lambda n, kinds: H.Tree("<body>" + "".join(f"<div><{rng.choice(kinds)}>x</div>" for _ in range(n))).structure
+    for n, m, cells in ((450, 450, H.CELLS), (2000, 101, H.CELLS), (40, 30, 20), (7, 90, 1), (90, 7, 1)):
+        a, b = page(n, ["i", "b", "u", "s"]), page(m, ["b", "i", "u", "em"])
+        monkeypatch.setattr(H, "CELLS", cells)
+        H.aligned.cache_clear()
+        pairs = [(x, y) for x, y in enumerate(H.aligned(a, b)) if y >= 0]
+        monkeypatch.undo()
+        kinds = [[t[0][i + 1] for i, label in enumerate(t[0]) if label == "div"] for t in (a, b)]
+        row = [0] * (m + 1)
+        for x in kinds[0]:
+            new = [0]
+            for j, y in enumerate(kinds[1]):
+                new.append(max(row[j + 1], new[j], row[j] + 1 + (x == y)))
+            row = new
+        assert len(pairs) == row[-1] + 2  # the root and the body
+        assert all(a[0][x] == b[0][y] for x, y in pairs) and all(p < q for (_, p), (_, q) in zip(pairs, pairs[1:]))
+    H.aligned.cache_clear()
+
+
 def test_wrappers_of_a_host(spark):
     rows = [(i, f"https://one.example/{i}", PAGE % (f"link {i}", f"<div id=c><p>text {i} is here</p><p>and more {i}</p></div>", i, i)) for i in range(30)]
     rows += [(100, "https://two.example/x", "<article>only <i>one</i></article>"), (101, None, "<p>no host"), (102, "odd", None), (103, "https://two.example/y", ""), (103, "https://two.example/y", "")]
