@@ -27,18 +27,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rollgrid.llm.common import LOWER, UPPER, ascii_lower, broadcast_if_small, read, row_keys, stored
+from rollgrid.llm.common import LOWER, UPPER, broadcast_if_small, read, row_keys, small, stored
 
 LEAST = 5
 RUN_WORDS = 50
 SEED_WORDS = 8
-#: Characters beside a run in which its neighbouring words are sought.
+#: Characters beside a place that are read for its neighbouring words; more where they hold too few.
 CONTEXT = 1000
 #: Digests of eight bytes that are broadcast at most.
 HALVES = 1_500_000
 SENTENCE = re.compile(r"[.!?]+(?=\s)|\n")
 FOLD = str.maketrans(UPPER, LOWER)
-UNITS = "k1 long, k2 long, doc_id {kind}, no int, start int, stop int, words int, ahead int, behind int, word int, before long, after long, h1 long, h2 long"
+UNITS = "k1 long, k2 long, doc_id {kind}, no int, start int, stop int, words int, word int, before long, after long, h1 long, h2 long"
 WINDOWS = "w1 long, w2 long, off int, doc_id {kind}, k1 long, k2 long, no int, start int, stop int"
 
 
@@ -56,15 +56,15 @@ def units(text: str, least: int = LEAST) -> Iterator[tuple[int, int, str, int]]:
 
 
 def unit_table(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
-    """One row for each unit of each document: keys of the row, place, words in it and in the units on either side,
-    number of its first word, hashes of it with half the words that it lacks of ``run_words`` before and after it (null
+    """One row for each unit of each document: keys of the row, place, words in it, number
+    of its first word, hashes of it with half the words that it lacks of ``run_words`` before and after it (null
     where the text has not so many), and digest, but not the text."""
     k1, k2 = row_keys(F.col(id_col), F.col(text_col))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k1", "k2", "doc_id", "no", "start", "stop", "words", "ahead", "behind", "word", "before", "after", "h1", "h2"]
-        types = [pa.int64(), pa.int64(), None, *[pa.int32()] * 7, *[pa.int64()] * 4]
+        names = ["k1", "k2", "doc_id", "no", "start", "stop", "words", "word", "before", "after", "h1", "h2"]
+        types = [pa.int64(), pa.int64(), None, *[pa.int32()] * 5, *[pa.int64()] * 4]
         for batch in batches:
             types[2] = batch.schema.field(2).type
             rows: list[list] = [[] for _ in names]
@@ -80,16 +80,14 @@ def unit_table(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text
                 if not text:
                     continue
                 a, b, c = (batch.column(n)[i].as_py() for n in range(3))
-                found = list(units(text, least))
-                sizes = [0, *[x[3] for x in found], 0]
                 folded, at = text.translate(FOLD).split(), 0
-                for no, (start, stop, normal, words) in enumerate(found):
+                for no, (start, stop, normal, words) in enumerate(units(text, least)):
                     digest = xxhash.xxh3_128_intdigest(normal)
                     high, low = digest >> 64, digest & (1 << 64) - 1
                     half, end = (run_words - words + 1) // 2, at + words
                     before = xxhash.xxh3_64_intdigest(" ".join(folded[at - half : end])) - (1 << 63) if 0 < half <= at else None
                     after = xxhash.xxh3_64_intdigest(" ".join(folded[at : end + half]), 1) - (1 << 63) if 0 < half <= len(folded) - end else None
-                    for r, value in zip(rows, (a, b, c, no, start, stop, words, sizes[no], sizes[no + 2], at, before, after, high - (1 << 63), low - (1 << 63))):
+                    for r, value in zip(rows, (a, b, c, no, start, stop, words, at, before, after, high - (1 << 63), low - (1 << 63))):
                         r.append(value)
                     at = end
                     if len(rows[0]) >= 50_000:
@@ -100,14 +98,43 @@ def unit_table(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text
     return source.mapInArrow(cut, UNITS.format(kind=kind))
 
 
+def words_before(text: str, at: int, n: int) -> list[str]:
+    """The ``n`` words before a place, nearest first."""
+    size = CONTEXT
+    while True:
+        found = text[max(at - size, 0) : at].split()
+        if at <= size or len(found) > n:  # the first one may be cut
+            return found[: -n - 1 : -1]
+        size *= 2
+
+
+def words_after(text: str, at: int, n: int) -> list[str]:
+    """The ``n`` words after a place."""
+    size = CONTEXT
+    while True:
+        found = text[at : at + size].split()
+        if at + size >= len(text) or len(found) > n:
+            return found[:n]
+        size *= 2
+
+
 def contexts(docs: DataFrame, points: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """For points (k1, k2, at): hashes of the ``words`` words before (nearest first) and after the place in the text."""
     k1, k2 = row_keys(F.col(id_col), F.col(text_col))
-    met = docs.select(k1, k2, F.col(text_col).alias("text")).join(broadcast_if_small(points), ["k1", "k2"])
-    hashed = lambda t: F.transform(F.filter(F.split(ascii_lower(t), r"\s+", -1), lambda w: w != ""), lambda w: F.xxhash64(w))
-    before = F.substring(F.col("text"), F.greatest(F.col("at") - CONTEXT, F.lit(0)) + 1, F.least(F.col("at"), F.lit(CONTEXT)))
-    after = F.substring(F.col("text"), F.col("at") + 1, F.lit(CONTEXT))
-    out = met.select("k1", "k2", "at", F.slice(F.reverse(hashed(before)), 1, words).alias("before"), F.slice(hashed(after), 1, words).alias("after"))
+    each = points.groupBy("k1", "k2").agg(F.collect_set("at").alias("places"))
+    met = docs.select(k1, k2, F.col(text_col).alias("text")).join(F.broadcast(each) if small(points) else each, ["k1", "k2"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["k1", "k2", "at", "before", "after"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        hashed = lambda found: [xxhash.xxh3_64_intdigest(w.translate(FOLD)) - (1 << 63) for w in found]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b, text, places = (batch.column(n)[i].as_py() for n in range(4))
+                rows = [(a, b, at, hashed(words_before(text, at, words)), hashed(words_after(text, at, words))) for at in places]
+                yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(zip(*rows), types)], names)
+
+    out = met.select("k1", "k2", "text", "places").mapInArrow(cut, "k1 long, k2 long, at int, before array<long>, after array<long>")
     return stored(out.dropDuplicates(["k1", "k2", "at"]), "unit-contexts")
 
 
@@ -138,7 +165,7 @@ def windows(docs: DataFrame, points: DataFrame, run_words: int, id_col: str, tex
     and how many of its words stand before the unit."""
     k1, k2 = row_keys(F.col(id_col), F.col(text_col))
     each = points.groupBy("k1", "k2").agg(F.collect_list(F.struct("no", "start", "stop", "word", "words")).alias("points"))
-    met = docs.select(F.col(id_col).alias("doc_id"), k1, k2, F.col(text_col).alias("text")).join(each, ["k1", "k2"])
+    met = docs.select(F.col(id_col).alias("doc_id"), k1, k2, F.col(text_col).alias("text")).join(F.broadcast(each) if small(points) else each, ["k1", "k2"])
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,6 +210,7 @@ def other_places(docs: DataFrame, again: DataFrame, runs: DataFrame, run_words:
     row = F.struct("k1", "k2")
     shared = sides.groupBy("side").agg(F.min(row).alias("one"), F.max(row).alias("other")).where("one != other").select("side")
     points = sides.join(broadcast_if_small(stored(shared, "unit-shared"), HALVES), "side", "left_semi").drop("side").dropDuplicates(["k1", "k2", "no"])
+    points = stored(points, "unit-places")
     found = stored(windows(docs, points, run_words, id_col, text_col), "unit-windows")
     place = F.struct("doc_id", "k1", "k2", "start", "stop")
     firsts = found.groupBy("w1", "w2", "off").agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -208,7 +236,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, run_words: int = RUN_WOR
     firsts = firsts.where((F.col("first.k1") != F.col("last.k1")) | (F.col("first.k2") != F.col("last.k2"))).select("h1", "h2", "first")
     firsts = stored(firsts, "unit-firsts")
     met = again.join(firsts, ["h1", "h2"]).where((F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2")))
-    met = met.select("doc_id", "k1", "k2", "no", "start", "stop", "words", "ahead", "behind", "first").dropDuplicates(["k1", "k2", "no"])
+    met = met.select("doc_id", "k1", "k2", "no", "start", "stop", "words", "first").dropDuplicates(["k1", "k2", "no"])
     doc = W.partitionBy("k1", "k2").orderBy("no")
     runs = met.withColumn("run", F.col("no") - F.row_number().over(doc))
     spans = runs.groupBy("k1", "k2", "run").agg(
@@ -220,11 +248,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, run_words: int = RUN_WOR
         F.sum("words").cast("long").alias("n_words"),
         F.min_by("first", "start").alias("head"),
         F.max_by("first", "start").alias("tail"),
-        (F.min_by("ahead", "start") + F.max_by("behind", "start")).alias("edges"),
     )
-    # a passage ends inside the units beside its run, so a short run between short units cannot be part of a long one
-    spans = spans.where((F.col("n_words") >= min(seed_words, run_words)) & (F.col("n_words") + F.col("edges") >= run_words)).drop("edges")
-    spans = stored(spans, "unit-runs")
+    spans = stored(spans.where(F.col("n_words") >= min(seed_words, run_words)), "unit-runs")
     whole = spans.where(F.col("n_words") >= run_words).withColumn("passage_words", F.col("n_words"))
     short = stored(measured(docs, spans.where(F.col("n_words") < run_words), run_words, seed_words, id_col, text_col), "unit-short")
     # the first place of a run's units need not be that of the passage

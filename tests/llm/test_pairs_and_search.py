@@ -155,6 +155,22 @@ def test_passages_by_brute_force_over_all_earlier_documents(spark):
         assert r.first_doc_id < r.doc_id and shared in texts[r.first_doc_id] and r.passage_words >= S.RUN_WORDS
 
 
+def test_passages_in_wrapped_copies_and_of_long_words(spark):
+    rng = random.Random(12)
+    words = lambda n, size: ["".join(rng.choice("abcdefgh") for _ in range(size)) for _ in range(n)]
+    a, b, c = words(25, 6), words(9, 6), words(25, 6)
+    lines = [a[:10], a[10:20], a[20:], b, c[:10], c[10:20], c[20:]]
+    b[-1] += "."
+    plain = " ".join([*a[:-1], a[-1] + ".", *b, *c]) + " end here."
+    lines[2] = [*a[20:-1], a[-1] + "."]
+    wide = " ".join(words(45, 45)) + ". " + " ".join(words(9, 6)) + "."
+    rows = [(1, plain), (2, "\n".join(" ".join(x) for x in lines)), (3, "Some " + wide), (4, "Other " + wide)]
+    got = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.first_doc_id, r.n_words, r.passage_words) for r in got) == [(2, 1, 9, 59), (4, 3, 9, 51)]
+    for text in ("x " * 3000, "y" * 5000 + " " + "z" * 5000 + " a"):
+        assert S.words_before(text, len(text), 42) == text.split()[::-1][:42] and S.words_after(text, 0, 42) == text.split()[:42]
+
+
 def test_repeated_passage_edge_cases(spark):
     docs = E.documents(spark, clashing=True)
     out = S.dedup_passages(docs)
