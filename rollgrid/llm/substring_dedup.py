@@ -203,15 +203,19 @@ def other_places(docs: DataFrame, again: DataFrame, runs: DataFrame, run_words:
     """Units of ``runs`` (k1, k2, low, high: first and last unit) that lie in a passage of ``run_words`` words of any
     earlier document, as (doc_id, k1, k2, no, start, stop, words, first): the unit's place in the first such document."""
     sought = again.join(runs.select("k1", "k2", "low", "high"), ["k1", "k2"]).where(F.col("no").between(F.col("low"), F.col("high")))
-    sought = stored(sought.select("k1", "k2", "no", "words", "h1", "h2").dropDuplicates(["k1", "k2", "no"]), "unit-sought")
-    sides = again.join(broadcast_if_small(sought.select("h1", "h2").distinct(), HALVES), ["h1", "h2"], "left_semi")
-    sides = sides.select("k1", "k2", "no", "start", "stop", "word", "words", F.explode(F.array("before", "after")).alias("side")).where("side is not null")
-    sides = stored(sides, "unit-sides")
+    sought = stored(sought.select("k1", "k2", "no", "words", "before", "after").dropDuplicates(["k1", "k2", "no"]), "unit-sought")
+    side = F.explode(F.array("before", "after")).alias("side")
+    wanted = stored(sought.select(side).where("side is not null").distinct(), "unit-wanted")
+    sides = again.select("k1", "k2", "no", "start", "stop", "word", "words", side)
+    sides = stored(sides.join(broadcast_if_small(wanted, HALVES), "side", "left_semi"), "unit-sides")
     row = F.struct("k1", "k2")
     shared = sides.groupBy("side").agg(F.min(row).alias("one"), F.max(row).alias("other")).where("one != other").select("side")
     points = sides.join(broadcast_if_small(stored(shared, "unit-shared"), HALVES), "side", "left_semi").drop("side").dropDuplicates(["k1", "k2", "no"])
     points = stored(points, "unit-places")
     found = stored(windows(docs, points, run_words, id_col, text_col), "unit-windows")
+    # few windows repeat, so only those travel with their places
+    again = found.groupBy("w1", "w2", "off").agg(F.min(row).alias("one"), F.max(row).alias("other")).where("one != other").select("w1", "w2", "off")
+    found = stored(found.join(broadcast_if_small(stored(again, "windows-again")), ["w1", "w2", "off"], "left_semi"), "windows-met")
     place = F.struct("doc_id", "k1", "k2", "start", "stop")
     firsts = found.groupBy("w1", "w2", "off").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     firsts = firsts.where((F.col("first.k1") != F.col("last.k1")) | (F.col("first.k2") != F.col("last.k2"))).select("w1", "w2", "off", "first")
