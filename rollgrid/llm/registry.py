@@ -21,4 +21,5 @@ ORACLE_SQL = {
     "op6_top_k": top_k.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
+    "op10_substring_dedup": substring_dedup.OP10_SQL,
 }

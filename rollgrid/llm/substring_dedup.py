@@ -1,282 +1,290 @@
 """Removal of repeated passages by hashing normalised units.
 
-A text is cut into units at line ends and, inside lines, after sentences of at least ``LEAST`` words (shorter ones
-join the next), so that a passage pasted into the middle of a line falls into the same units but for its edges. Units
-are normalised (A-Z lower-cased, white space as one space), digested to 128 bits, and grouped globally: the occurrence
-of the lowest rank (document id, then row, then offset) is kept. Neighbouring units that repeat an earlier document
-make a run; runs of at least ``RUN_WORDS`` words are removed, with their offsets in the original text retained.
-
-The grouping goes in two steps. Half the digest is counted first, and only units whose half is met twice travel with
-their place; counts and first places are aggregated map-side, so a passage in a third of all documents is one row for
-each task. Its occurrences are joined with their first place by a shuffle that adaptive execution splits.
-
-A short run is measured word for word around its first place. Where that does not make a long passage, any earlier
-document may hold one: windows of ``RUN_WORDS`` words around the run's units are then grouped like units, so every
-occurrence takes part without pairs. Units that agree with none in half the missing words on one side are left out
-before, as such a window cannot hold them.
+A passage counts as repeated if ``RUN_WORDS`` words of it, in a row, stand in an earlier document too. Words are runs
+of other than ASCII white space, with A-Z lower-cased. Texts are cut after sentences; a unit is the paragraph of half
+as many words (``RUN_WORDS`` / 2) that begins or ends at a cut. Whether a word ends a unit shows from the few words up
+to it (see ``Words.cuts``), so equal passages are cut alike wherever they were pasted and however their lines are
+wrapped, and any ``RUN_WORDS`` words hold a cut, and so a unit, that is the same in every document.
+
+1. Units are digested and grouped globally; those of two documents or more keep their places. The occurrence of the
+   lowest rank (document id, then row, then place) is the first.
+2. Units that repeat the same first document at the same distance and overlap are joined; what reaches ``RUN_WORDS``
+   words is a repeated passage of that document.
+3. Shorter ones may be part of a longer passage of any other earlier document, and longer ones may go on for some words
+   beyond their first and last unit: the windows of ``RUN_WORDS`` words around all occurrences of such units are
+   grouped in the same way, so every occurrence takes part, without pairs. This finds all repeated passages in full.
+
+All digests of a run of texts come from two polynomial prefix sums over its words' hashes. Groups are aggregated
+map-side, so a passage in a third of all documents is one row for each task, and its occurrences are joined with their
+first place by a shuffle that adaptive execution splits. Removed spans keep their offsets in the original text.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rollgrid.llm.common import LOWER, UPPER, broadcast_if_small, read, row_keys, small, stored
+from rollgrid.llm.common import broadcast_if_small, read, row_keys, stored
 
-LEAST = 5
 RUN_WORDS = 50
-SEED_WORDS = 8
-#: Characters beside a place that are read for its neighbouring words; more where they hold too few.
-CONTEXT = 1000
+LEAST = 5
+#: One in so many words cuts what no line or sentence end does.
+LONG_CUTS = 8
 #: Digests of eight bytes that are broadcast at most.
-HALVES = 1_500_000
-SENTENCE = re.compile(r"[.!?]+(?=\s)|\n")
-FOLD = str.maketrans(UPPER, LOWER)
-UNITS = "k1 long, k2 long, doc_id {kind}, no int, start int, stop int, words int, word int, before long, after long, h1 long, h2 long"
-WINDOWS = "w1 long, w2 long, off int, doc_id {kind}, k1 long, k2 long, no int, start int, stop int"
-
-
-def units(text: str, least: int = LEAST) -> Iterator[tuple[int, int, str, int]]:
-    """(start, stop, normal form, words) of the units of a text, in order; units without words are left out."""
-    start = 0
-    for end in [*(m.end() for m in SENTENCE.finditer(text)), len(text)]:
-        line_ends = end == len(text) or text[end - 1] == "\n"
-        words = text[start:end].split()
-        if not line_ends and len(words) < least:
-            continue
-        if words:
-            yield start, end, " ".join(words).translate(FOLD), len(words)
-        start = end
-
-
-def unit_table(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
-    """One row for each unit of each document: keys of the row, place, words in it, number
-    of its first word, hashes of it with half the words that it lacks of ``run_words`` before and after it (null
-    where the text has not so many), and digest, but not the text."""
-    k1, k2 = row_keys(F.col(id_col), F.col(text_col))
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k1", "k2", "doc_id", "no", "start", "stop", "words", "word", "before", "after", "h1", "h2"]
-        types = [pa.int64(), pa.int64(), None, *[pa.int32()] * 5, *[pa.int64()] * 4]
-        for batch in batches:
-            types[2] = batch.schema.field(2).type
-            rows: list[list] = [[] for _ in names]
-
-            def flush() -> pa.RecordBatch:
-                out = pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], names)
-                for r in rows:
-                    r.clear()
-                return out
-
-            for i in range(batch.num_rows):
-                text = batch.column(3)[i].as_py()
-                if not text:
-                    continue
-                a, b, c = (batch.column(n)[i].as_py() for n in range(3))
-                folded, at = text.translate(FOLD).split(), 0
-                for no, (start, stop, normal, words) in enumerate(units(text, least)):
-                    digest = xxhash.xxh3_128_intdigest(normal)
-                    high, low = digest >> 64, digest & (1 << 64) - 1
-                    half, end = (run_words - words + 1) // 2, at + words
-                    before = xxhash.xxh3_64_intdigest(" ".join(folded[at - half : end])) - (1 << 63) if 0 < half <= at else None
-                    after = xxhash.xxh3_64_intdigest(" ".join(folded[at : end + half]), 1) - (1 << 63) if 0 < half <= len(folded) - end else None
-                    for r, value in zip(rows, (a, b, c, no, start, stop, words, at, before, after, high - (1 << 63), low - (1 << 63))):
-                        r.append(value)
-                    at = end
-                    if len(rows[0]) >= 50_000:
-                        yield flush()
-            yield flush()
-
-    source = docs.select(k1, k2, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(cut, UNITS.format(kind=kind))
+DIGESTS = 1_500_000
+#: Bytes of text that are digested at once; a longer text is taken alone.
+RUN = 1 << 21
+#: Bytes whose powers are held at once.
+CHUNK = 1 << 20
+
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+FOLD = np.arange(256, dtype=np.uint64) + np.uint64(1)
+FOLD[65:91] += np.uint64(32)
+FOLD[BLANK] = 0
+ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
+#: Odd bases of the polynomials over bytes and over words.
+BYTES, WORDS = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+UNITS = "doc_id {kind}, k1 long, k2 long, at int, start int, stop int, h1 long, h2 long"
+
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd base and of its inverse, modulo 2**64."""
+    if base not in _powers or len(_powers[base][0]) < n:
+        size = max(n, 1 << 12)
+        both = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            row = np.full(size, b, np.uint64)
+            row[0] = 1
+            both.append(np.cumprod(row, dtype=np.uint64))
+        if size > CHUNK + 1:
+            return both[0], both[1]
+        _powers[base] = both[0], both[1]
+    return _powers[base]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+class Words:
+    """The words of some texts: their places, hashes, and the digests of any of their sequences."""
+
+    def __init__(self, texts: list[bytes]):
+        self.data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        self.begins = np.cumsum(sizes) - sizes
+        blank = BLANK[self.data]
+        edge = blank[1:] != blank[:-1]
+        first = np.flatnonzero(edge & blank[:-1]) + 1
+        if len(blank) and not blank[0]:
+            first = np.concatenate([[0], first])
+        self.starts, self.stops = first, np.flatnonzero(edge & blank[1:]) + 1
+        #: Number of the first word of each text, and of all words.
+        self.bounds = np.append(np.searchsorted(self.starts, self.begins), len(first))
+        self.hashes = self._hashes()
+        self.sums = []
+        for base in WORDS:
+            power, inverse = powers(base, len(first) + 1)
+            total = np.zeros(len(first) + 1, np.uint64)
+            np.cumsum(self.hashes * power[: len(first)], out=total[1:])
+            self.sums.append((total, inverse))
+        self.characters = np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80, dtype=np.int64)])
+
+    def _hashes(self) -> np.ndarray:
+        out = np.empty(len(self.starts), np.uint64)
+        at = 0
+        while at < len(self.starts):
+            low = self.starts[at]
+            end = max(at + 1, int(np.searchsorted(self.stops, low + CHUNK, side="right")))
+            high = self.stops[end - 1]
+            power, inverse = powers(BYTES, int(high - low))
+            local = self.starts[at:end] - low
+            out[at:end] = np.add.reduceat(FOLD[self.data[low:high]] * power[: high - low], local) * inverse[local]
+            at = end
+        return mixed(out)
+
+    def digests(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit digests of the ``size`` words from each word of ``at`` on."""
+        return tuple(mixed((total[at + size] - total[at]) * inverse[at]).view(np.int64) for total, inverse in self.sums)
+
+    def places(self, text: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """First code point of each word of ``at``, and the end of the ``size``-th word from there, in their texts."""
+        zero = self.characters[self.begins[text]]
+        return self.characters[self.starts[at]] - zero, self.characters[self.stops[at + size - 1]] - zero
+
+    def cuts(self, least: int, back: int) -> np.ndarray:
+        """Numbers of the words that follow a cut.
+
+        A sentence of ``least`` words or more is cut off. Where none ended in the last ``back`` words, one in
+        LONG_CUTS words is cut by its hash, and where no such word stood in as many words either, every word is.
+        """
+        n = len(self.starts)
+        if not n:
+            return np.zeros(0, np.int64)
+        each = np.arange(n)
+        ends = np.flatnonzero(ENDS[self.data[self.stops - 1]])
+        kept = np.zeros(n, bool)
+        kept[ends[np.diff(ends, prepend=-1) >= least]] = True
+        drawn = (self.hashes >> np.uint64(20)) % np.uint64(LONG_CUTS) == 0
+        last = np.maximum.accumulate(np.where(kept, each, -n))
+        inner = drawn & (each - np.concatenate([[-n], last[:-1]]) > back)
+        begin = np.repeat(self.bounds[:-1], np.diff(self.bounds))
+        bare = each - np.maximum(np.maximum.accumulate(np.where(kept | drawn, each, -n)), begin - 1) >= back
+        return np.flatnonzero(kept | inner | bare) + 1
+
+
+def runs_of(texts: list[bytes], size: int = RUN) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` bytes."""
+    low, held = 0, 0
+    for i, text in enumerate(texts):
+        if held and held + len(text) > size:
+            yield low, i
+            low, held = i, 0
+        held += len(text)
+    if low < len(texts):
+        yield low, len(texts)
+
+
+def units(words: Words, run_words: int = RUN_WORDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(text, first word) of every unit: paragraphs of half the words that begin or end at a cut.
+
+    Of ``run_words`` words from a on, the ends of sentences are known from word a + least - 1 on, and the words cut by
+    hash from a + least - 1 + back on. As ``back`` words more still fit in before the last word, one of them is cut for
+    certain, and one side of the cut has room for a unit.
+    """
+    size, back = -(-run_words // 2), max((run_words - least) // 2, 1)
+    at = words.cuts(least, back)
+    text = np.searchsorted(words.bounds, at - 1, side="right") - 1
+    text, at = np.concatenate([text, text]), np.concatenate([at, at - size])
+    fit = (at >= words.bounds[text]) & (at + size <= words.bounds[text + 1]) & (np.diff(words.bounds)[text] >= run_words)
+    both = np.unique(np.stack([at[fit], text[fit]], axis=1), axis=0)  # a word has one text
+    return both[:, 1], both[:, 0]
 
 
-def words_before(text: str, at: int, n: int) -> list[str]:
-    """The ``n`` words before a place, nearest first."""
-    size = CONTEXT
-    while True:
-        found = text[max(at - size, 0) : at].split()
-        if at <= size or len(found) > n:  # the first one may be cut
-            return found[: -n - 1 : -1]
-        size *= 2
+def batches_of(words: Words, text: np.ndarray, at: np.ndarray, size: int, ids: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+    """A row for each sequence of ``size`` words: the columns ``ids`` of its text, place, code points, digests."""
+    start, stop = words.places(text, at, size)
+    h1, h2 = words.digests(at, size)
+    place = at - words.bounds[text]
+    owners = pa.array(text)
+    arrays = [*(c.take(owners) for c in ids), *(pa.array(x.astype(np.int32)) for x in (place, start, stop)), pa.array(h1), pa.array(h2)]
+    return pa.RecordBatch.from_arrays(arrays, names)
 
 
-def words_after(text: str, at: int, n: int) -> list[str]:
-    """The ``n`` words after a place."""
-    size = CONTEXT
-    while True:
-        found = text[at : at + size].split()
-        if at + size >= len(text) or len(found) > n:
-            return found[:n]
-        size *= 2
+def encoded(column: pa.Array) -> list[bytes]:
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def contexts(docs: DataFrame, points: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """For points (k1, k2, at): hashes of the ``words`` words before (nearest first) and after the place in the text."""
+def unit_table(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
+    """One row for each unit of each document: doc_id, row keys, first word, code points, digests; not its text."""
     k1, k2 = row_keys(F.col(id_col), F.col(text_col))
-    each = points.groupBy("k1", "k2").agg(F.collect_set("at").alias("places"))
-    met = docs.select(k1, k2, F.col(text_col).alias("text")).join(F.broadcast(each) if small(points) else each, ["k1", "k2"])
+    kind = docs.schema[id_col].dataType.simpleString()
+    size = -(-run_words // 2)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k1", "k2", "at", "before", "after"]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        hashed = lambda found: [xxhash.xxh3_64_intdigest(w.translate(FOLD)) - (1 << 63) for w in found]
+        names = ["doc_id", "k1", "k2", "at", "start", "stop", "h1", "h2"]
         for batch in batches:
-            for i in range(batch.num_rows):
-                a, b, text, places = (batch.column(n)[i].as_py() for n in range(4))
-                rows = [(a, b, at, hashed(words_before(text, at, words)), hashed(words_after(text, at, words))) for at in places]
-                yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(zip(*rows), types)], names)
-
-    out = met.select("k1", "k2", "text", "places").mapInArrow(cut, "k1 long, k2 long, at int, before array<long>, after array<long>")
-    return stored(out.dropDuplicates(["k1", "k2", "at"]), "unit-contexts")
-
-
-def agreement(a: str, b: str) -> Column:
-    """How many items two arrays share from their starts on."""
-    n = F.least(F.size(a), F.size(b))
-    differs = F.array_position(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x == y), F.lit(False))
-    return F.when(differs > 0, differs - 1).otherwise(n)
-
-
-def measured(docs: DataFrame, short: DataFrame, run_words: int, seed_words: int, id_col: str, text_col: str) -> DataFrame:
-    """``short`` with passage_words: those of each run and of the words beside it that agree with those at its places
-    head and tail."""
-    points = short.select("k1", "k2", F.col("start").alias("at")).union(short.select("k1", "k2", "stop")).union(short.select("head.k1", "head.k2", "head.start")).union(short.select("tail.k1", "tail.k2", "tail.stop"))
-    around = contexts(docs, stored(points.distinct(), "unit-points"), max(run_words - seed_words, 1), id_col, text_col)
-
-    def beside(df: DataFrame, keys: tuple[str, str, str], side: str, name: str) -> DataFrame:
-        at = around.select(*[F.col(c).alias(f"_{c}") for c in ("k1", "k2", "at")], F.col(side).alias(name))
-        return df.join(at, (F.col(keys[0]) == F.col("_k1")) & (F.col(keys[1]) == F.col("_k2")) & (F.col(keys[2]) == F.col("_at"))).drop("_k1", "_k2", "_at")
+            texts = encoded(batch.column(3))
+            for low, high in runs_of(texts):
+                words = Words(texts[low:high])
+                yield batches_of(words, *units(words, run_words, least), size, [batch.column(n).slice(low, high - low) for n in range(3)], names)
 
-    for keys, side, name in ((("k1", "k2", "start"), "before", "a"), (("head.k1", "head.k2", "head.start"), "before", "b"), (("k1", "k2", "stop"), "after", "c"), (("tail.k1", "tail.k2", "tail.stop"), "after", "d")):
-        short = beside(short, keys, side, name)
-    return short.withColumn("passage_words", F.col("n_words") + agreement("a", "b") + agreement("c", "d")).drop("a", "b", "c", "d")
+    source = docs.select(F.col(id_col).alias("doc_id"), k1, k2, F.col(text_col).alias("text")).where(F.length("text") >= 2 * run_words - 1)
+    return source.mapInArrow(cut, UNITS.format(kind=kind))
 
 
-def windows(docs: DataFrame, points: DataFrame, run_words: int, id_col: str, text_col: str) -> DataFrame:
-    """For units (k1, k2, no, start, stop, word, words): digest of each window of ``run_words`` words that holds the unit,
-    and how many of its words stand before the unit."""
+def windows(docs: DataFrame, places: DataFrame, run_words: int, id_col: str, text_col: str) -> DataFrame:
+    """One row for each window of ``run_words`` words that holds one of the units ``places`` (k1, k2, at)."""
     k1, k2 = row_keys(F.col(id_col), F.col(text_col))
-    each = points.groupBy("k1", "k2").agg(F.collect_list(F.struct("no", "start", "stop", "word", "words")).alias("points"))
-    met = docs.select(F.col(id_col).alias("doc_id"), k1, k2, F.col(text_col).alias("text")).join(F.broadcast(each) if small(points) else each, ["k1", "k2"])
+    each = stored(places.groupBy("k1", "k2").agg(F.collect_set("at").alias("places")), "unit-places")
+    source = docs.select(F.col(id_col).alias("doc_id"), k1, k2, F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
+    size = -(-run_words // 2)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["w1", "w2", "off", "doc_id", "k1", "k2", "no", "start", "stop"]
-        types = [pa.int64(), pa.int64(), pa.int32(), None, pa.int64(), pa.int64(), *[pa.int32()] * 3]
+        names = ["doc_id", "k1", "k2", "at", "start", "stop", "h1", "h2"]
         for batch in batches:
-            types[3] = batch.schema.field(0).type
-            rows: list[list] = [[] for _ in names]
-
-            def flush() -> pa.RecordBatch:
-                out = pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], names)
-                for r in rows:
-                    r.clear()
-                return out
-
-            for i in range(batch.num_rows):
-                doc, a, b, text, found = (batch.column(n)[i].as_py() for n in range(5))
-                folded = text.translate(FOLD).split()
-                digests: dict[int, int] = {}
-                for x in found:
-                    for at in range(max(x["word"] + x["words"] - run_words, 0), min(x["word"], len(folded) - run_words) + 1):
-                        if at not in digests:
-                            digests[at] = xxhash.xxh3_128_intdigest(" ".join(folded[at : at + run_words]))
-                        high, low = digests[at] >> 64, digests[at] & (1 << 64) - 1
-                        for r, value in zip(rows, (high - (1 << 63), low - (1 << 63), x["word"] - at, doc, a, b, x["no"], x["start"], x["stop"])):
-                            r.append(value)
-                    if len(rows[0]) >= 50_000:
-                        yield flush()
-            yield flush()
-
-    return met.select("doc_id", "k1", "k2", "text", "points").mapInArrow(cut, WINDOWS.format(kind=kind))
-
-
-def other_places(docs: DataFrame, again: DataFrame, runs: DataFrame, run_words: int, id_col: str, text_col: str) -> DataFrame:
-    """Units of ``runs`` (k1, k2, low, high: first and last unit) that lie in a passage of ``run_words`` words of any
-    earlier document, as (doc_id, k1, k2, no, start, stop, words, first): the unit's place in the first such document."""
-    sought = again.join(runs.select("k1", "k2", "low", "high"), ["k1", "k2"]).where(F.col("no").between(F.col("low"), F.col("high")))
-    sought = stored(sought.select("k1", "k2", "no", "words", "before", "after").dropDuplicates(["k1", "k2", "no"]), "unit-sought")
-    side = F.explode(F.array("before", "after")).alias("side")
-    wanted = stored(sought.select(side).where("side is not null").distinct(), "unit-wanted")
-    sides = again.select("k1", "k2", "no", "start", "stop", "word", "words", side)
-    sides = stored(sides.join(broadcast_if_small(wanted, HALVES), "side", "left_semi"), "unit-sides")
-    row = F.struct("k1", "k2")
-    shared = sides.groupBy("side").agg(F.min(row).alias("one"), F.max(row).alias("other")).where("one != other").select("side")
-    points = sides.join(broadcast_if_small(stored(shared, "unit-shared"), HALVES), "side", "left_semi").drop("side").dropDuplicates(["k1", "k2", "no"])
-    points = stored(points, "unit-places")
-    found = stored(windows(docs, points, run_words, id_col, text_col), "unit-windows")
-    # few windows repeat, so only those travel with their places
-    again = found.groupBy("w1", "w2", "off").agg(F.min(row).alias("one"), F.max(row).alias("other")).where("one != other").select("w1", "w2", "off")
-    found = stored(found.join(broadcast_if_small(stored(again, "windows-again")), ["w1", "w2", "off"], "left_semi"), "windows-met")
-    place = F.struct("doc_id", "k1", "k2", "start", "stop")
-    firsts = found.groupBy("w1", "w2", "off").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    firsts = firsts.where((F.col("first.k1") != F.col("last.k1")) | (F.col("first.k2") != F.col("last.k2"))).select("w1", "w2", "off", "first")
-    met = found.join(firsts, ["w1", "w2", "off"]).where((F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2")))
-    met = met.groupBy("k1", "k2", "no").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("stop").alias("stop"), F.min("first").alias("first"))
-    return stored(met.join(sought.select("k1", "k2", "no", "words"), ["k1", "k2", "no"]), "unit-others")
-
-
-def repeated_spans(docs: DataFrame, least: int = LEAST, run_words: int = RUN_WORDS, seed_words: int = SEED_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The spans to remove: doc_id, start, stop (code points), n_words, passage_words, first_doc_id, first_start, k1, k2.
-
-    n_words are those of the span, passage_words those of the repeated passage around it. Null and empty texts have no
-    units. Equal rows count as one document, so they do not repeat each other; what stands twice inside one document
-    alone stays. A null id ranks first. An empty table gives none; other columns take no part.
+            texts = encoded(batch.column(3))
+            found = batch.column(4)
+            for low, high in runs_of(texts):
+                words = Words(texts[low:high])
+                counts = np.array([len(found[i]) for i in range(low, high)])
+                text = np.repeat(np.arange(high - low), counts)
+                at = found.slice(low, high - low).flatten().to_numpy(zero_copy_only=False) + words.bounds[text]
+                back = np.arange(run_words - size + 1)
+                at, text = (at[:, None] - back).ravel(), np.repeat(text, len(back))
+                fit = (at >= words.bounds[text]) & (at + run_words <= words.bounds[text + 1])
+                both = np.unique(np.stack([at[fit], text[fit]], axis=1), axis=0)
+                yield batches_of(words, both[:, 1], both[:, 0], run_words, [batch.column(n).slice(low, high - low) for n in range(3)], names)
+
+    joined = source.join(broadcast_if_small(each, 20_000), ["k1", "k2"])
+    return joined.select("doc_id", "k1", "k2", "text", "places").mapInArrow(cut, UNITS.format(kind=kind))
+
+
+def repeats(table: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose digest stands in two documents, with its first place (not for rows of that document
+    itself): a column first, null for the first document's own rows."""
+    shared = table.groupBy("h1").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("h1")
+    again = stored(table.join(broadcast_if_small(stored(shared, "digests-shared"), DIGESTS), "h1", "left_semi"), "digests-again")
+    place = F.struct("doc_id", "k1", "k2", "at")
+    firsts = again.groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    own = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))
+    met = again.join(broadcast_if_small(stored(firsts, "digests-first")), ["h1", "h2"])
+    return stored(met.withColumn("first", F.when(~own, F.col("first"))), "digests-met")
+
+
+def islands(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (at, end, ...) with a number ``island`` for those of equal keys that overlap or touch."""
+    order = W.partitionBy(*keys).orderBy("at", "end")
+    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    return rows.withColumn("new", (reach.isNull() | (F.col("at") > reach)).cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("new")
+
+
+def repeated_spans(docs: DataFrame, least: int = LEAST, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The spans to remove: doc_id, start, stop (code points), n_words, first_doc_id, k1, k2.
+
+    A span is made of all overlapping or touching windows of ``run_words`` words that earlier documents hold as well;
+    first_doc_id is the earliest of these. Null, empty and short texts have no units. Equal rows count as one document, so they do not repeat each other; what stands
+    twice inside one document alone stays. A null id ranks first. An empty table gives none; other columns take no part.
     """
-    table = stored(unit_table(docs, least, id_col, text_col, run_words), "units")
-    halves = table.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
-    halves = stored(halves, "unit-halves")
-    again = table.join(broadcast_if_small(halves, HALVES), "h1", "left_semi")
-    place = F.struct("doc_id", "k1", "k2", "start", "stop")
-    firsts = again.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    firsts = firsts.where((F.col("first.k1") != F.col("last.k1")) | (F.col("first.k2") != F.col("last.k2"))).select("h1", "h2", "first")
-    firsts = stored(firsts, "unit-firsts")
-    met = again.join(firsts, ["h1", "h2"]).where((F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2")))
-    met = met.select("doc_id", "k1", "k2", "no", "start", "stop", "words", "first").dropDuplicates(["k1", "k2", "no"])
-    doc = W.partitionBy("k1", "k2").orderBy("no")
-    runs = met.withColumn("run", F.col("no") - F.row_number().over(doc))
-    spans = runs.groupBy("k1", "k2", "run").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.min("start").alias("start"),
-        F.max("stop").alias("stop"),
-        F.min("no").alias("low"),
-        F.max("no").alias("high"),
-        F.sum("words").cast("long").alias("n_words"),
-        F.min_by("first", "start").alias("head"),
-        F.max_by("first", "start").alias("tail"),
-    )
-    spans = stored(spans.where(F.col("n_words") >= min(seed_words, run_words)), "unit-runs")
-    whole = spans.where(F.col("n_words") >= run_words).withColumn("passage_words", F.col("n_words"))
-    short = stored(measured(docs, spans.where(F.col("n_words") < run_words), run_words, seed_words, id_col, text_col), "unit-short")
-    # the first place of a run's units need not be that of the passage
-    others = other_places(docs, again, short.where(F.col("passage_words") < run_words), run_words, id_col, text_col)
-    same = W.partitionBy("k1", "k2", "e1", "e2").orderBy("no")
-    others = others.withColumns({"e1": F.col("first.k1"), "e2": F.col("first.k2")}).withColumn("run", F.col("no") - F.row_number().over(same))
-    others = others.groupBy("k1", "k2", "e1", "e2", "run").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.min("start").alias("start"),
-        F.max("stop").alias("stop"),
-        F.sum("words").cast("long").alias("n_words"),
-        F.min_by("first", "start").alias("head"),
-        F.max_by("first", "start").alias("tail"),
-    )
-    others = measured(docs, stored(others, "unit-other-runs"), run_words, seed_words, id_col, text_col).withColumn("passage_words", F.greatest("passage_words", F.lit(run_words)))
-    columns = ["k1", "k2", "doc_id", "start", "stop", "n_words", "passage_words", "head"]
-    out = whole.select(*columns).unionByName(short.where(F.col("passage_words") >= run_words).select(*columns)).unionByName(others.select(*columns))
-    return out.select("doc_id", "start", "stop", "n_words", "passage_words", F.col("head.doc_id").alias("first_doc_id"), F.col("head.start").alias("first_start"), "k1", "k2")
-
-
-def dedup_passages(docs: DataFrame, least: int = LEAST, run_words: int = RUN_WORDS, seed_words: int = SEED_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    size = -(-run_words // 2)
+    found = repeats(stored(unit_table(docs, least, id_col, text_col, run_words), "units"))
+    met = found.where("first is not null").select("doc_id", "k1", "k2", "at", (F.col("at") + size).alias("end"), "start", "stop", "first", "h1").dropDuplicates(["k1", "k2", "at"])
+    met = met.withColumns({"e1": F.col("first.k1"), "e2": F.col("first.k2"), "shift": F.col("at") - F.col("first.at")})
+    keys = ["k1", "k2", "e1", "e2", "shift"]
+    columns = [F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.max("end").alias("end"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first_doc_id").alias("first_doc_id")]
+    met = met.withColumn("first_doc_id", F.col("first.doc_id"))
+    edges = [F.min_by("h1", "at").alias("head"), F.max_by("h1", "at").alias("tail")]
+    joined = islands(met, keys).groupBy(*keys, "island").agg(*columns, *edges, F.collect_set("h1").alias("digests"))
+    joined = stored(joined.withColumn("digests", F.when(F.col("end") - F.col("at") < run_words, F.col("digests"))), "unit-islands")
+    whole = joined.where("digests is null")
+    # of parts that lie in no whole passage, and of the ends of these, all places are looked at again
+    known = whole.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "end")).alias("known"))
+    part = joined.where("digests is not null").join(known, ["k1", "k2"], "left")
+    inside = F.exists("known", lambda x: (x["at"] <= F.col("at")) & (F.col("end") <= x["end"]))
+    part = part.where(~F.coalesce(inside, F.lit(False)))
+    open_ = part.select(F.explode("digests").alias("h1")).unionByName(whole.select(F.explode(F.array("head", "tail")).alias("h1"))).distinct()
+    places = found.select("k1", "k2", "at", "h1").join(broadcast_if_small(stored(open_, "digests-open"), DIGESTS), "h1", "left_semi").select("k1", "k2", "at")
+    others = repeats(stored(windows(docs, places, run_words, id_col, text_col), "unit-windows")).where("first is not null")
+    others = others.select("k1", "k2", "doc_id", "at", (F.col("at") + run_words).alias("end"), "start", "stop", F.col("first.doc_id").alias("first_doc_id"))
+
+    both = islands(whole.select(*others.columns).unionByName(others), ["k1", "k2"]).groupBy("k1", "k2", "island").agg(*columns)
+    return both.select("doc_id", "start", "stop", (F.col("end") - F.col("at")).alias("n_words"), "first_doc_id", "k1", "k2")
+
+
+def dedup_passages(docs: DataFrame, least: int = LEAST, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the repeated spans, and a column removed_spans: array of (start, stop) in the original text."""
-    spans = repeated_spans(docs, least, run_words, seed_words, id_col, text_col)
+    spans = repeated_spans(docs, least, run_words, id_col, text_col)
     k1, k2 = row_keys(F.col(id_col), F.col(text_col))
     each = spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     columns = [c for c in docs.columns if c != "removed_spans"]
@@ -284,13 +292,38 @@ def dedup_passages(docs: DataFrame, least: int = LEAST, run_words: int = RUN_WOR
     text, cuts = F.col("row")[text_col], F.col("spans")
     n = F.size(cuts)
     # what stands between the end of one span and the start of the next
-    pieces = F.transform(
-        F.sequence(F.lit(0), n),
-        lambda i: F.substring(text, F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["stop"]) + 1, F.when(i == n, F.length(text)).otherwise(F.get(cuts, i)["start"]) - F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["stop"])),
-    )
+    begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["stop"])
+    end = lambda i: F.when(i == n, F.length(text)).otherwise(F.get(cuts, i)["start"])
+    pieces = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(text, begin(i) + 1, end(i) - begin(i)))
     new = F.when(cuts.isNull(), text).otherwise(F.array_join(pieces, ""))
-    return rows.select(*[(new if c == text_col else F.col("row")[c]).alias(c) for c in columns], F.coalesce(cuts, F.array().cast("array<struct<start:int,stop:int>>")).alias("removed_spans"))
+    removed = F.coalesce(cuts, F.array().cast("array<struct<start:int,stop:int>>")).alias("removed_spans")
+    return rows.select(*[(new if c == text_col else F.col("row")[c]).alias(c) for c in columns], removed)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("k1", "k2")
+
+
+def repeated_spans_sql(docs: str, run_words: int = RUN_WORDS) -> str:
+    """DuckDB SQL over all windows of all texts, for small tables with distinct ids."""
+    return rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w,
+         string_split_regex(text, '[^\x20\x09-\x0D]+') AS blanks FROM {docs} WHERE text IS NOT NULL),
+places AS (
+  SELECT doc_id, i, sum(length(b) + length(word)) OVER (PARTITION BY doc_id ORDER BY i) AS stop, length(word) AS n
+  FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, unnest(blanks[:len(w)]) AS b FROM d)),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + {run_words - 1}], ' ') AS p
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - {run_words - 2})) AS i FROM d WHERE len(w) >= {run_words})),
+firsts AS (SELECT p, min(doc_id) AS first_doc_id FROM win GROUP BY p HAVING min(doc_id) <> max(doc_id)),
+again AS (SELECT doc_id, i, first_doc_id FROM win JOIN firsts USING (p) WHERE doc_id <> first_doc_id),
+marked AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {run_words} THEN 0 ELSE 1 END AS new FROM again),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM marked),
+spans AS (SELECT doc_id, min(i) AS low, max(i) + {run_words - 1} AS high, min(first_doc_id) AS first_doc_id FROM numbered GROUP BY doc_id, island)
+SELECT s.doc_id, (a.stop - a.n)::INT AS start, b.stop::INT AS stop, (high - low + 1)::INT AS n_words, first_doc_id
+FROM spans s JOIN places a ON a.doc_id = s.doc_id AND a.i = low JOIN places b ON b.doc_id = s.doc_id AND b.i = high
+"""
+
+
+OP10_SQL = repeated_spans_sql("documents")

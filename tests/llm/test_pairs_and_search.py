@@ -103,72 +103,87 @@ def test_repeated_passages(spark):
     planted = [(20, sentence() + "\n" + passage + "\n" + sentence()), (21, sentence() + " " + passage.upper().replace(" ", "  ") + " " + sentence()), (22, passage), (23, passage)]
     docs = spark.createDataFrame(clean + planted + [(30, None), (31, ""), (32, "Short. Short.\nShort."), (33, "Short. Short.\nShort.")], "doc_id long, text string")
     spans = S.repeated_spans(docs).collect()
-    assert {r.doc_id for r in spans} == {21, 22, 23} and all(r.first_doc_id == 20 and r.n_words >= 54 for r in spans)
+    assert {r.doc_id for r in spans} == {21, 22, 23} and all(r.first_doc_id == 20 and r.n_words == 63 for r in spans)
     got = {r.doc_id: r for r in S.dedup_passages(docs).collect()}
     texts = dict(clean + planted)
     for i, text in clean:
         assert got[i].text == text
     assert got[20].text == texts[20] and got[22].text == "" and got[30].text is None
     start, stop = got[21].removed_spans[0]
-    assert got[21].text == texts[21][:start] + texts[21][stop:] and "  " not in got[21].text
-
-
-def test_passages_inside_sentences_and_short_repeats(spark):
-    """A passage counts by its whole length, whatever units its edges fall into; a short repeated line does not."""
-    rng = random.Random(6)
-    words = lambda n: [rng.choice("red green blue grey teal pink plum lime".split()) + str(rng.randrange(9999)) for _ in range(n)]
-    sentences = lambda n: " ".join(" ".join(words(10)) + "." for _ in range(n))
-    inner = " ".join(words(8)) + ". " + sentences(4) + " " + " ".join(words(9))  # 57 words, open at both ends
-    short = " ".join(words(20)) + "."
-    rows = [(1, sentences(3) + " start here " + inner + " and on " + sentences(2)), (2, "Other words " + inner + " go " + sentences(3)), (3, sentences(2) + "\n" + short + "\n" + sentences(2)), (4, sentences(3) + "\n" + short)]
-    got = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert [(r.doc_id, r.first_doc_id, r.passage_words) for r in got] == [(2, 1, 57)]
-    assert dict(rows)[2][got[0].start : got[0].stop] in inner
-    both = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), run_words=20).collect()
-    assert {r.doc_id for r in both} == {2, 4}
-
-
-def test_passages_by_brute_force_over_all_earlier_documents(spark):
-    """The first place of a frequent sentence is not the place that a later passage around it repeats."""
+    assert got[21].text == texts[21][:start] + texts[21][stop:] and len(got[21].text.split()) == 18
+
+
+def plain_spans(rows, n=50):
+    """Unions of all windows of n words that an earlier document holds too, by Python's own strings."""
+    first, out = {}, []
+    for i, text in sorted({(i, t) for i, t in rows if t}, key=lambda r: (r[0] is not None, r)):
+        marks = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        words = [text[a:b].translate(FOLD) for a, b in marks]
+        spans = []
+        for at in range(len(words) - n + 1):
+            f = first.setdefault(tuple(words[at : at + n]), (i, text))
+            if f != (i, text):
+                if spans and at <= spans[-1][1]:
+                    spans[-1][1] = at + n
+                    spans[-1][2].append(f[0])
+                else:
+                    spans.append([at, at + n, [f[0]]])
+        out += [(i, marks[a][0], marks[b - 1][1], b - a, min((f is not None, f) for f in fs)[1]) for a, b, fs in spans]
+    return sorted(out, key=repr)
+
+
+def found_spans(spark, rows, **options):
+    got = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), **options)
+    return E.by_id(got, "doc_id", "start", "stop", "n_words", "first_doc_id")
+
+
+def test_passages_by_brute_force(spark, monkeypatch):
+    """Passages pasted anywhere, cut out anywhere, wrapped, of one word, of long and wide words, and common sentences."""
     rng = random.Random(11)
-    words = lambda n: [rng.choice("red green blue grey teal pink plum lime".split()) + str(rng.randrange(9999)) for _ in range(n)]
-    sentence = lambda n: " ".join(words(n)) + "."
-    common = [sentence(9), sentence(12)]
-    passages = [" ".join(words(n)) + ". " + common[k % 2] + " " + " ".join(words(m)) for k, (n, m) in enumerate([(21, 21), (30, 10), (9, 33), (25, 25), (15, 15), (20, 17)])]
-    rows = [(1, sentence(11) + " " + common[0] + " " + sentence(9)), (2, sentence(14) + "\n" + common[1] + "\n" + sentence(9))]
-    for i in range(3, 30):
-        rows.append((i, " ".join([sentence(12), rng.choice(["so", "and", "Then"]), rng.choice(passages), rng.choice(["or", "in", "at"]), sentence(8), rng.choice(common)])))
-    seen, want = set(), set()
-    for i, text in rows:
-        found, w, at = list(S.units(text)), text.translate(FOLD).split(), 0
-        for start, stop, _, n in found:
-            if S.SEED_WORDS <= n and any(" ".join(w[q : q + S.RUN_WORDS]) in seen for q in range(max(at + n - S.RUN_WORDS, 0), min(at, len(w) - S.RUN_WORDS) + 1)):
-                want.add((i, start, stop))
-            at += n
-        seen |= {" ".join(w[q : q + S.RUN_WORDS]) for q in range(len(w) - S.RUN_WORDS + 1)}
-    got = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    within = {(r.doc_id, start, stop) for r in got for start, stop, *_ in S.units(dict(rows)[r.doc_id]) if r.start <= start and stop <= r.stop}
-    assert within == want and len(want) > 10
-    texts = {i: " ".join(t.translate(FOLD).split()) for i, t in rows}
-    for r in got:
-        shared = " ".join(dict(rows)[r.doc_id][r.start : r.stop].translate(FOLD).split())
-        assert r.first_doc_id < r.doc_id and shared in texts[r.first_doc_id] and r.passage_words >= S.RUN_WORDS
-
-
-def test_passages_in_wrapped_copies_and_of_long_words(spark):
-    rng = random.Random(12)
-    words = lambda n, size: ["".join(rng.choice("abcdefgh") for _ in range(size)) for _ in range(n)]
-    a, b, c = words(25, 6), words(9, 6), words(25, 6)
-    lines = [a[:10], a[10:20], a[20:], b, c[:10], c[10:20], c[20:]]
-    b[-1] += "."
-    plain = " ".join([*a[:-1], a[-1] + ".", *b, *c]) + " end here."
-    lines[2] = [*a[20:-1], a[-1] + "."]
-    wide = " ".join(words(45, 45)) + ". " + " ".join(words(9, 6)) + "."
-    rows = [(1, plain), (2, "\n".join(" ".join(x) for x in lines)), (3, "Some " + wide), (4, "Other " + wide)]
-    got = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id, r.first_doc_id, r.n_words, r.passage_words) for r in got) == [(2, 1, 9, 59), (4, 3, 9, 51)]
-    for text in ("x " * 3000, "y" * 5000 + " " + "z" * 5000 + " a"):
-        assert S.words_before(text, len(text), 42) == text.split()[::-1][:42] and S.words_after(text, 0, 42) == text.split()[:42]
+    words = lambda n, size=5: ["".join(rng.choice("abcdéfgh") for _ in range(rng.randrange(1, size))) + str(rng.randrange(99)) for _ in range(n)]
+    end = lambda: rng.choice([".", ".", "!", "?\n", "\n", ",", ".\n\n"])
+    prose = lambda n: " ".join(" ".join(words(rng.randrange(1, 18))) + end() for _ in range(n))
+    common = [prose(1) for _ in range(6)]
+    rows = [(i, " ".join(prose(3) + " " + rng.choice(common) for _ in range(8))) for i in range(40)]
+    plain = [t for _, t in rows]
+    for i in range(40, 160):
+        source = rng.choice(plain).split(" ")
+        size = rng.choice([30, 49, 50, 51, 60, 120])
+        at = rng.randrange(max(1, len(source) - size))
+        piece = source[at : at + size]
+        kind = rng.randrange(5)
+        piece = ["\n".join(piece)] if kind == 0 else [x.upper() for x in piece] if kind == 1 else ["  \t".join(piece)] if kind == 2 else piece
+        rows.append((i, " ".join([*prose(2).split(" ")[: rng.randrange(30)], *piece, *prose(2).split(" ")[rng.randrange(9) :], rng.choice(common)])))
+    rows += [(200, "and " * 70), (201, "x " + "and " * 50), (202, "AND\u00a0and " * 60), (203, " ".join(words(120))), (205, " ".join(words(45, 60)) + ". " + " ".join(words(9)) + ".")]
+    rows += [(204, "so " + rows[-2][1].replace(" ", "\v") + " go"), (206, "Other " + rows[-1][1]), (207, rows[0][1]), (207, rows[0][1]), (None, rows[1][1]), (208, None), (209, "\n \n")]
+    want = plain_spans(rows)
+    assert len(want) > 60 and found_spans(spark, rows) == want
+    monkeypatch.setattr(S, "RUN", 1000)
+    monkeypatch.setattr(S, "CHUNK", 64)
+    assert found_spans(spark, rows, run_words=21) == plain_spans(rows, 21)
+
+
+def test_a_run_of_sentences_of_several_documents_is_no_passage(spark):
+    rng = random.Random(5)
+    sentence = lambda: " ".join(rng.choice("red green blue grey teal pink plum lime".split()) + str(rng.randrange(9999)) for _ in range(9)) + "."
+    rows = [(i, " ".join(sentence() for _ in range(9))) for i in range(7)]
+    rows.append((9, " ".join(t.split(". ")[4] + "." for _, t in rows)))
+    assert found_spans(spark, rows) == []
+
+
+def test_digests_of_words():
+    texts = ["", " a  B\n", "x" * 5000 + " é.\u00a0 ", "\n\n", "b a", "a b"]
+    words = S.Words([t.encode() for t in texts])
+    plain = [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts]
+    assert np.diff(words.bounds).tolist() == [len(p) for p in plain]
+    flat = [w.translate(FOLD) for p in plain for w in p]
+    assert len(set(flat)) == len(set(words.hashes.tolist())) and all((a == b) == (x == y) for a, x in zip(flat, words.hashes) for b, y in zip(flat, words.hashes))
+    pairs = words.digests(np.arange(len(flat) - 1), 2)
+    for h in pairs:
+        assert all((flat[i : i + 2] == flat[j : j + 2]) == (h[i] == h[j]) for i in range(len(h)) for j in range(len(h)))
+    text = np.searchsorted(words.bounds, np.arange(len(flat)), side="right") - 1
+    start, stop = words.places(text, np.arange(len(flat)), 1)
+    assert [texts[t][a:b].translate(FOLD) for t, a, b in zip(text, start, stop)] == flat
 
 
 def test_repeated_passage_edge_cases(spark):
@@ -176,12 +191,11 @@ def test_repeated_passage_edge_cases(spark):
     out = S.dedup_passages(docs)
     assert out.count() == len(E.ROWS) and set(docs.columns) | {"removed_spans"} == set(out.columns)
     assert S.repeated_spans(E.empty(spark)).count() == 0
-    text = "One sentence that is long enough to be a unit. " * 5
-    same = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
-    assert S.repeated_spans(same).count() == 0  # equal rows are one document
-    for t in ("a b c d e. f", "x\n\ny. z\n", "no end", "? ! .\n. a b c d e f. g"):
-        cut = list(S.units(t))
-        assert all(a < b for a, b, *_ in cut) and all(x[1] <= y[0] for x, y in zip(cut, cut[1:]))
+    text = "One sentence that is long enough to be a unit. " * 12
+    assert found_spans(spark, [(1, text), (1, text)]) == []  # equal rows are one document
+    both = [(1, text), (2, text), (2, text)]  # as documents repeat each other, their equal rows all lose the passage
+    cut = S.dedup_passages(spark.createDataFrame(both, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text.strip()) for r in cut) == [(1, text.strip()), (2, ""), (2, "")]
 
 
 def plain_top_k(rows, k, every):

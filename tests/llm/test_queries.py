@@ -1,6 +1,5 @@
 """The registered queries over the test tables, against SQL where there is any, else against brute force."""
 
-import hashlib
 import html
 import math
 import os
@@ -11,7 +10,6 @@ import duckdb
 import pytest
 
 from rollgrid.llm import registry
-from rollgrid.llm import substring_dedup as S
 from rollgrid.llm import token_counts as T
 
 SF = "/root/testdata/sf0.001"
@@ -62,47 +60,6 @@ def test_op8_reads_whole_articles(spark, db):
     assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
 
 
-def test_op10_by_brute_force(spark, db):
-    docs = sorted(set(db.sql("SELECT doc_id, text FROM documents").fetchall()))
-    first, cut = {}, {}
-    for i, text in docs:
-        cut[i] = list(S.units(text or ""))
-        for start, stop, normal, _ in cut[i]:
-            key = hashlib.sha256(normal.encode()).digest()
-            first.setdefault(key, (i, start, stop))
-    texts = dict(docs)
-    fold = lambda t: t.translate(S.FOLD).split()
-
-    def agree(a, b):
-        n = 0
-        while n < min(len(a), len(b), S.RUN_WORDS - S.SEED_WORDS) and a[n] == b[n]:
-            n += 1
-        return n
-
-    want = set()
-    for i, found in cut.items():
-        marks = [first[hashlib.sha256(x[2].encode()).digest()] for x in found]
-        again, at = [m[0] != i for m in marks], 0
-        while at < len(found):
-            end = at
-            while end < len(found) and again[end]:
-                end += 1
-            if end > at:
-                start, stop, words = found[at][0], found[end - 1][1], sum(x[3] for x in found[at:end])
-                total = words
-                edges = (found[at - 1][3] if at else 0) + (found[end][3] if end < len(found) else 0)
-                if S.SEED_WORDS <= words < S.RUN_WORDS <= words + edges:
-                    f, s, _ = marks[at]
-                    g, _, e = marks[end - 1]
-                    total += agree(fold(texts[i][max(0, start - S.CONTEXT) : start])[::-1], fold(texts[f][max(0, s - S.CONTEXT) : s])[::-1])
-                    total += agree(fold(texts[i][stop : stop + S.CONTEXT]), fold(texts[g][e : e + S.CONTEXT]))
-                if words >= S.SEED_WORDS and total >= S.RUN_WORDS:
-                    want.add((i, start, stop, words, total, marks[at][0], marks[at][1]))
-            at = end + 1
-    got = registry.QUERIES["op10_substring_dedup"](spark, SF).collect()
-    assert {(r.doc_id, r.start, r.stop, r.n_words, r.passage_words, r.first_doc_id, r.first_start) for r in got} == want and want
-
-
 def test_learned_queries_return_every_document(spark, db):
     ids = sorted(r[0] for r in db.sql("SELECT doc_id FROM documents").fetchall())
     quality = registry.QUERIES["op5_quality"](spark, SF).collect()
