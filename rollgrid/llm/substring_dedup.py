@@ -1,10 +1,11 @@
 """Removal of repeated passages by hashing normalised units.
 
 A passage counts as repeated if ``RUN_WORDS`` words of it, in a row, stand in an earlier document too. Words are runs
-of other than ASCII white space, with A-Z lower-cased. Texts are cut after sentences; a unit is the paragraph of half
-as many words (``RUN_WORDS`` / 2) that begins or ends at a cut. Whether a word ends a unit shows from the few words up
-to it (see ``Words.cuts``), so equal passages are cut alike wherever they were pasted and however their lines are
-wrapped, and any ``RUN_WORDS`` words hold a cut, and so a unit, that is the same in every document.
+of other than ASCII white space, with A-Z lower-cased. A unit is the paragraph of half as many words (``RUN_WORDS`` / 2)
+that follows a cut. Texts are cut after sentences: of all words in every stretch of half of ``RUN_WORDS`` words, the
+last one of least rank ends a paragraph, where words that end a sentence rank before others, and else their hash
+decides. So equal passages are cut alike wherever they were pasted and however their lines are wrapped, and any
+``RUN_WORDS`` words hold a unit that is the same in every document.
 
 1. Units are digested and grouped globally; those of two documents or more keep their places. The occurrence of the
    lowest rank (document id, then row, then place) is the first.
@@ -14,6 +15,9 @@ wrapped, and any ``RUN_WORDS`` words hold a cut, and so a unit, that is the same
    beyond their first and last unit: the windows of ``RUN_WORDS`` words around all occurrences of such units are
    grouped in the same way, so every occurrence takes part, without pairs. This finds all repeated passages in full.
 
+A unit or window that stands in one document again and again, overlapping or touching itself (one word all along), is
+one row with its whole range.
+
 All digests of a run of texts come from two polynomial prefix sums over its words' hashes. Groups are aggregated
 map-side, so a passage in a third of all documents is one row for each task, and its occurrences are joined with their
 first place by a shuffle that adaptive execution splits. Removed spans keep their offsets in the original text.
@@ -25,16 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rollgrid.llm.common import broadcast_if_small, read, row_keys, stored
+from rollgrid.llm.common import broadcast_if_small, read, row_keys, small, stored
 
 RUN_WORDS = 50
-LEAST = 5
-#: One in so many words cuts what no line or sentence end does.
-LONG_CUTS = 8
 #: Digests of eight bytes that are broadcast at most.
 DIGESTS = 1_500_000
 #: Bytes of text that are digested at once; a longer text is taken alone.
@@ -49,7 +51,8 @@ FOLD[BLANK] = 0
 ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 #: Odd bases of the polynomials over bytes and over words.
 BYTES, WORDS = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-UNITS = "doc_id {kind}, k1 long, k2 long, at int, start int, stop int, h1 long, h2 long"
+UNITS = "doc_id {kind}, k1 long, k2 long, at int, last int, start int, stop int, h1 long, h2 long"
+NAMES = ["doc_id", "k1", "k2", "at", "last", "start", "stop", "h1", "h2"]
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -117,30 +120,17 @@ class Words:
         """Two 64-bit digests of the ``size`` words from each word of ``at`` on."""
         return tuple(mixed((total[at + size] - total[at]) * inverse[at]).view(np.int64) for total, inverse in self.sums)
 
-    def places(self, text: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """First code point of each word of ``at``, and the end of the ``size``-th word from there, in their texts."""
-        zero = self.characters[self.begins[text]]
-        return self.characters[self.starts[at]] - zero, self.characters[self.stops[at + size - 1]] - zero
-
-    def cuts(self, least: int, back: int) -> np.ndarray:
-        """Numbers of the words that follow a cut.
-
-        A sentence of ``least`` words or more is cut off. Where none ended in the last ``back`` words, one in
-        LONG_CUTS words is cut by its hash, and where no such word stood in as many words either, every word is.
-        """
+    def cuts(self, stretch: int) -> np.ndarray:
+        """Numbers of the words that follow a cut: of every ``stretch`` words, the last one of least rank is cut off."""
         n = len(self.starts)
-        if not n:
+        if n < stretch:
             return np.zeros(0, np.int64)
-        each = np.arange(n)
-        ends = np.flatnonzero(ENDS[self.data[self.stops - 1]])
-        kept = np.zeros(n, bool)
-        kept[ends[np.diff(ends, prepend=-1) >= least]] = True
-        drawn = (self.hashes >> np.uint64(20)) % np.uint64(LONG_CUTS) == 0
-        last = np.maximum.accumulate(np.where(kept, each, -n))
-        inner = drawn & (each - np.concatenate([[-n], last[:-1]]) > back)
-        begin = np.repeat(self.bounds[:-1], np.diff(self.bounds))
-        bare = each - np.maximum(np.maximum.accumulate(np.where(kept | drawn, each, -n)), begin - 1) >= back
-        return np.flatnonzero(kept | inner | bare) + 1
+        rank = self.hashes >> np.uint64(1)
+        rank[~ENDS[self.data[self.stops - 1]]] |= np.uint64(1 << 63)
+        least = np.lib.stride_tricks.sliding_window_view(rank[::-1], stretch).argmin(axis=1)
+        cut = np.zeros(n, bool)
+        cut[n - 1 - np.arange(len(least)) - least] = True
+        return np.flatnonzero(cut) + 1
 
 
 def runs_of(texts: list[bytes], size: int = RUN) -> Iterator[tuple[int, int]]:
@@ -155,87 +145,115 @@ def runs_of(texts: list[bytes], size: int = RUN) -> Iterator[tuple[int, int]]:
         yield low, len(texts)
 
 
-def units(words: Words, run_words: int = RUN_WORDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(text, first word) of every unit: paragraphs of half the words that begin or end at a cut.
+def units(words: Words, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(text, first word) of every unit: the paragraphs of half the words that follow a cut.
 
-    Of ``run_words`` words from a on, the ends of sentences are known from word a + least - 1 on, and the words cut by
-    hash from a + least - 1 + back on. As ``back`` words more still fit in before the last word, one of them is cut for
-    certain, and one side of the cut has room for a unit.
+    The first run_words - size words of any ``run_words`` words are cut somewhere, and a unit fits in behind. The
+    paragraphs at both ends of a text are units too, so that copies agree from end to end.
     """
-    size, back = -(-run_words // 2), max((run_words - least) // 2, 1)
-    at = words.cuts(least, back)
-    text = np.searchsorted(words.bounds, at - 1, side="right") - 1
-    text, at = np.concatenate([text, text]), np.concatenate([at, at - size])
-    fit = (at >= words.bounds[text]) & (at + size <= words.bounds[text + 1]) & (np.diff(words.bounds)[text] >= run_words)
+    size = -(-run_words // 2)
+    cut = words.cuts(run_words - size)
+    whole = np.flatnonzero(np.diff(words.bounds) >= run_words)
+    text = np.concatenate([np.searchsorted(words.bounds, cut - 1, side="right") - 1, whole, whole])
+    at = np.concatenate([cut, words.bounds[whole], words.bounds[whole + 1] - size])
+    fit = (at + size <= words.bounds[text + 1]) & (np.diff(words.bounds)[text] >= run_words)
     both = np.unique(np.stack([at[fit], text[fit]], axis=1), axis=0)  # a word has one text
     return both[:, 1], both[:, 0]
 
 
-def batches_of(words: Words, text: np.ndarray, at: np.ndarray, size: int, ids: list[pa.Array], names: list[str]) -> pa.RecordBatch:
-    """A row for each sequence of ``size`` words: the columns ``ids`` of its text, place, code points, digests."""
-    start, stop = words.places(text, at, size)
+def ranges(words: Words, text: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """(text, first, last, digests) of sequences of ``size`` words: those that are equal and overlap or touch in one."""
     h1, h2 = words.digests(at, size)
-    place = at - words.bounds[text]
-    owners = pa.array(text)
-    arrays = [*(c.take(owners) for c in ids), *(pa.array(x.astype(np.int32)) for x in (place, start, stop)), pa.array(h1), pa.array(h2)]
-    return pa.RecordBatch.from_arrays(arrays, names)
+    order = np.lexsort((at, h2, h1, text))
+    text, at, h1, h2 = text[order], at[order], h1[order], h2[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (text[1:] != text[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (at[1:] > at[:-1] + size)
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(at)) - 1
+    order = np.argsort(at[begin], kind="stable")
+    begin, end = begin[order], end[order[: len(begin)]]
+    return text[begin], at[begin], at[end], h1[begin], h2[begin]
+
+
+def table_of(words: Words, text: np.ndarray, at: np.ndarray, size: int, ids: list[pa.Array]) -> pa.RecordBatch:
+    """A row for each range of sequences of ``size`` words: the columns ``ids`` of its text, its places, code points
+    and digests."""
+    text, first, last, h1, h2 = ranges(words, text, at, size)
+    zero, owners = words.characters[words.begins[text]], pa.array(text)
+    start, stop = words.characters[words.starts[first]] - zero, words.characters[words.stops[last + size - 1]] - zero
+    numbers = [first - words.bounds[text], last - words.bounds[text], start, stop]
+    return pa.RecordBatch.from_arrays([*(c.take(owners) for c in ids), *(pa.array(x.astype(np.int32)) for x in numbers), pa.array(h1), pa.array(h2)], NAMES)
 
 
 def encoded(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def unit_table(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
+def unit_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
     """One row for each unit of each document: doc_id, row keys, first word, code points, digests; not its text."""
     k1, k2 = row_keys(F.col(id_col), F.col(text_col))
     kind = docs.schema[id_col].dataType.simpleString()
     size = -(-run_words // 2)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "k1", "k2", "at", "start", "stop", "h1", "h2"]
         for batch in batches:
             texts = encoded(batch.column(3))
             for low, high in runs_of(texts):
                 words = Words(texts[low:high])
-                yield batches_of(words, *units(words, run_words, least), size, [batch.column(n).slice(low, high - low) for n in range(3)], names)
+                yield table_of(words, *units(words, run_words), size, [batch.column(n).slice(low, high - low) for n in range(3)])
 
     source = docs.select(F.col(id_col).alias("doc_id"), k1, k2, F.col(text_col).alias("text")).where(F.length("text") >= 2 * run_words - 1)
     return source.mapInArrow(cut, UNITS.format(kind=kind))
 
 
-def windows(docs: DataFrame, places: DataFrame, run_words: int, id_col: str, text_col: str) -> DataFrame:
-    """One row for each window of ``run_words`` words that holds one of the units ``places`` (k1, k2, at)."""
+def marked(words: Words, ranges: pa.ListArray, before: int, after: int) -> np.ndarray:
+    """The words from ``before`` words before the first field of each range of each text on to ``after`` its last."""
+    text = np.repeat(np.arange(len(ranges)), pc.list_value_length(ranges).to_numpy(zero_copy_only=False))
+    flat = ranges.flatten()
+    first, last = (flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in range(2))
+    first = np.maximum(first - before, 0) + words.bounds[text]
+    last = np.minimum(last + after + words.bounds[text], words.bounds[text + 1] - 1)
+    change = np.zeros(len(words.starts) + 1, np.int32)
+    some = first <= last
+    np.add.at(change, first[some], 1)
+    np.add.at(change, last[some] + 1, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def windows(docs: DataFrame, places: DataFrame, known: DataFrame, run_words: int, id_col: str, text_col: str) -> DataFrame:
+    """A row for each window of ``run_words`` words that holds one of the units ``places`` (k1, k2, at, last).
+
+    Windows inside the passages ``known`` (k1, k2, known) are left out: an earlier document holds them, so this one is
+    never their first.
+    """
     k1, k2 = row_keys(F.col(id_col), F.col(text_col))
-    each = stored(places.groupBy("k1", "k2").agg(F.collect_set("at").alias("places")), "unit-places")
+    each = places.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "last")).alias("places")).join(known, ["k1", "k2"], "left")
+    each = stored(each.withColumn("known", F.coalesce("known", F.array().cast("array<struct<at:int,end:int>>"))), "unit-places")
     source = docs.select(F.col(id_col).alias("doc_id"), k1, k2, F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     size = -(-run_words // 2)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "k1", "k2", "at", "start", "stop", "h1", "h2"]
         for batch in batches:
             texts = encoded(batch.column(3))
-            found = batch.column(4)
             for low, high in runs_of(texts):
                 words = Words(texts[low:high])
-                counts = np.array([len(found[i]) for i in range(low, high)])
-                text = np.repeat(np.arange(high - low), counts)
-                at = found.slice(low, high - low).flatten().to_numpy(zero_copy_only=False) + words.bounds[text]
-                back = np.arange(run_words - size + 1)
-                at, text = (at[:, None] - back).ravel(), np.repeat(text, len(back))
-                fit = (at >= words.bounds[text]) & (at + run_words <= words.bounds[text + 1])
-                both = np.unique(np.stack([at[fit], text[fit]], axis=1), axis=0)
-                yield batches_of(words, both[:, 1], both[:, 0], run_words, [batch.column(n).slice(low, high - low) for n in range(3)], names)
+                ids, sought, found = batch.columns[:3], batch.column(4).slice(low, high - low), batch.column(5).slice(low, high - low)
+                at = np.flatnonzero(marked(words, sought, run_words - size, 0) & ~marked(words, found, 0, -run_words))
+                text = np.searchsorted(words.bounds, at, side="right") - 1
+                fit = at + run_words <= words.bounds[text + 1]
+                yield table_of(words, text[fit], at[fit], run_words, [c.slice(low, high - low) for c in ids])
 
     joined = source.join(broadcast_if_small(each, 20_000), ["k1", "k2"])
-    return joined.select("doc_id", "k1", "k2", "text", "places").mapInArrow(cut, UNITS.format(kind=kind))
+    return joined.select("doc_id", "k1", "k2", "text", "places", "known").mapInArrow(cut, UNITS.format(kind=kind))
 
 
 def repeats(table: DataFrame) -> DataFrame:
-    """The rows of ``table`` whose digest stands in two documents, with its first place (not for rows of that document
-    itself): a column first, null for the first document's own rows."""
+    """The rows of ``table`` whose digest stands in two documents, with its first place: a column first, null for the
+    first document's own rows."""
     shared = table.groupBy("h1").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("h1")
-    again = stored(table.join(broadcast_if_small(stored(shared, "digests-shared"), DIGESTS), "h1", "left_semi"), "digests-again")
+    shared = stored(shared, "digests-shared")
+    again = table.join(F.broadcast(shared), "h1", "left_semi") if small(shared, DIGESTS) else stored(table.join(shared, "h1", "left_semi"), "digests-again")
     place = F.struct("doc_id", "k1", "k2", "at")
     firsts = again.groupBy("h1", "h2").agg(F.min(place).alias("first"))
     own = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))
@@ -250,7 +268,7 @@ def islands(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("new", (reach.isNull() | (F.col("at") > reach)).cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("new")
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The spans to remove: doc_id, start, stop (code points), n_words, first_doc_id, k1, k2.
 
     A span is made of all overlapping or touching windows of ``run_words`` words that earlier documents hold as well;
@@ -258,33 +276,32 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, run_words: int = RUN_WOR
     twice inside one document alone stays. A null id ranks first. An empty table gives none; other columns take no part.
     """
     size = -(-run_words // 2)
-    found = repeats(stored(unit_table(docs, least, id_col, text_col, run_words), "units"))
-    met = found.where("first is not null").select("doc_id", "k1", "k2", "at", (F.col("at") + size).alias("end"), "start", "stop", "first", "h1").dropDuplicates(["k1", "k2", "at"])
-    met = met.withColumns({"e1": F.col("first.k1"), "e2": F.col("first.k2"), "shift": F.col("at") - F.col("first.at")})
+    found = repeats(stored(unit_table(docs, id_col, text_col, run_words), "units"))
+    met = found.where("first is not null").withColumns({"end": F.col("last") + size, "e1": F.col("first.k1"), "e2": F.col("first.k2"), "shift": F.col("at") - F.col("first.at"), "first_doc_id": F.col("first.doc_id")})
     keys = ["k1", "k2", "e1", "e2", "shift"]
     columns = [F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.max("end").alias("end"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first_doc_id").alias("first_doc_id")]
-    met = met.withColumn("first_doc_id", F.col("first.doc_id"))
     edges = [F.min_by("h1", "at").alias("head"), F.max_by("h1", "at").alias("tail")]
-    joined = islands(met, keys).groupBy(*keys, "island").agg(*columns, *edges, F.collect_set("h1").alias("digests"))
-    joined = stored(joined.withColumn("digests", F.when(F.col("end") - F.col("at") < run_words, F.col("digests"))), "unit-islands")
-    whole = joined.where("digests is null")
+    # what stands in a document again and again has no one distance from its first place
+    single = islands(met.where("at = last"), keys).groupBy(*keys, "island").agg(*columns, *edges, F.collect_set("h1").alias("digests"))
+    single = stored(single.withColumn("digests", F.when(F.col("end") - F.col("at") < run_words, F.col("digests"))), "unit-islands")
+    whole = single.where("digests is null")
     # of parts that lie in no whole passage, and of the ends of these, all places are looked at again
     known = whole.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "end")).alias("known"))
-    part = joined.where("digests is not null").join(known, ["k1", "k2"], "left")
+    part = single.where("digests is not null").join(known, ["k1", "k2"], "left")
     inside = F.exists("known", lambda x: (x["at"] <= F.col("at")) & (F.col("end") <= x["end"]))
-    part = part.where(~F.coalesce(inside, F.lit(False)))
-    open_ = part.select(F.explode("digests").alias("h1")).unionByName(whole.select(F.explode(F.array("head", "tail")).alias("h1"))).distinct()
-    places = found.select("k1", "k2", "at", "h1").join(broadcast_if_small(stored(open_, "digests-open"), DIGESTS), "h1", "left_semi").select("k1", "k2", "at")
-    others = repeats(stored(windows(docs, places, run_words, id_col, text_col), "unit-windows")).where("first is not null")
-    others = others.select("k1", "k2", "doc_id", "at", (F.col("at") + run_words).alias("end"), "start", "stop", F.col("first.doc_id").alias("first_doc_id"))
+    part = part.where(~F.coalesce(inside, F.lit(False))).select(F.explode("digests").alias("h1"))
+    open_ = part.unionByName(whole.select(F.explode(F.array("head", "tail")).alias("h1"))).unionByName(met.where("at < last").select("h1")).distinct()
+    places = found.select("k1", "k2", "at", "last", "h1").join(broadcast_if_small(stored(open_, "digests-open"), DIGESTS), "h1", "left_semi")
+    others = repeats(stored(windows(docs, places, known, run_words, id_col, text_col), "unit-windows")).where("first is not null")
+    others = others.select("k1", "k2", "doc_id", "at", (F.col("last") + run_words).alias("end"), "start", "stop", F.col("first.doc_id").alias("first_doc_id"))
 
     both = islands(whole.select(*others.columns).unionByName(others), ["k1", "k2"]).groupBy("k1", "k2", "island").agg(*columns)
     return both.select("doc_id", "start", "stop", (F.col("end") - F.col("at")).alias("n_words"), "first_doc_id", "k1", "k2")
 
 
-def dedup_passages(docs: DataFrame, least: int = LEAST, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_passages(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the repeated spans, and a column removed_spans: array of (start, stop) in the original text."""
-    spans = repeated_spans(docs, least, run_words, id_col, text_col)
+    spans = repeated_spans(docs, run_words, id_col, text_col)
     k1, k2 = row_keys(F.col(id_col), F.col(text_col))
     each = spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     columns = [c for c in docs.columns if c != "removed_spans"]

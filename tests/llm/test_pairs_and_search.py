@@ -182,8 +182,9 @@ def test_digests_of_words():
     for h in pairs:
         assert all((flat[i : i + 2] == flat[j : j + 2]) == (h[i] == h[j]) for i in range(len(h)) for j in range(len(h)))
     text = np.searchsorted(words.bounds, np.arange(len(flat)), side="right") - 1
-    start, stop = words.places(text, np.arange(len(flat)), 1)
-    assert [texts[t][a:b].translate(FOLD) for t, a, b in zip(text, start, stop)] == flat
+    zero = words.characters[words.begins[text]]
+    places = zip(text, words.characters[words.starts] - zero, words.characters[words.stops] - zero)
+    assert [texts[t][a:b].translate(FOLD) for t, a, b in places] == flat
 
 
 def test_repeated_passage_edge_cases(spark):
