@@ -244,7 +244,7 @@ def windows(docs: DataFrame, places: DataFrame, known: DataFrame, run_words: int
                 fit = at + run_words <= words.bounds[text + 1]
                 yield table_of(words, text[fit], at[fit], run_words, [c.slice(low, high - low) for c in ids])
 
-    joined = source.join(broadcast_if_small(each, 20_000), ["k1", "k2"])
+    joined = source.join(each.hint("merge"), ["k1", "k2"])
     return joined.select("doc_id", "k1", "k2", "text", "places", "known").mapInArrow(cut, UNITS.format(kind=kind))
 
 
@@ -257,7 +257,7 @@ def repeats(table: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "k1", "k2", "at")
     firsts = again.groupBy("h1", "h2").agg(F.min(place).alias("first"))
     own = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))
-    met = again.join(broadcast_if_small(stored(firsts, "digests-first")), ["h1", "h2"])
+    met = again.join(stored(firsts, "digests-first").hint("merge"), ["h1", "h2"])
     return stored(met.withColumn("first", F.when(~own, F.col("first"))), "digests-met")
 
 
