@@ -216,11 +216,11 @@ def test_top_k_by_brute_force(spark, monkeypatch):
     rows = [(i, (rng.standard_normal(8) * rng.choice([0.01, 1, 30])).tolist()) for i in range(400)]
     rows += [(400 + i, rows[3][1]) for i in range(9)]  # ties
     rows += [(500, [0.0] * 8), (510, None), (520, []), (530, [1.0, None] + [0.0] * 6), (540, [float("nan")] * 8), (550, [float("inf")] + [0.0] * 7), (None, [1.0] * 8), (600, [1.0, 2.0]), (601, [3.0, 4.0]), (610, [1e6] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({n: F.lit(7) for n in ("dim", "norm", "q", "floor", "rank", "part", "kind")})
     want = plain_top_k(rows, 5, 10)
-    for block, part, seeds in ((64, 16, 32), (1024, 512, 4096)):
-        monkeypatch.setattr(K, "BLOCK", block)
-        monkeypatch.setattr(K, "SLICE", part)
+    for queries, stream, seeds in ((8, 50, 32), (8192, 250_000, 4096)):  # on the driver: blocks, streams and seeds
+        monkeypatch.setattr(K, "QUERIES", queries)
+        monkeypatch.setattr(K, "STREAM", stream)
         monkeypatch.setattr(K, "SEEDS", seeds)
         got = K.top_k(df, F.pmod("vec_id", F.lit(10)) == 0)
         assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == want
@@ -228,6 +228,26 @@ def test_top_k_by_brute_force(spark, monkeypatch):
     assert K.top_k(df.where("vec_id = 1"), F.lit(True)).count() == 0
 
 
+def test_top_k_of_many_equal_vectors(spark):
+    """Ties go to the smaller ids, whatever the partitions; no row outgrows ROW_BYTES."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [0.5] * 16 if i % 3 else rng.standard_normal(16).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(300)
+    got = K.top_k(df, F.pmod("vec_id", F.lit(100)) == 0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == plain_top_k(rows, 5, 100)
+    table = df.select("vec_id", K.quantised(F.col("embedding")).alias("q"), F.lit(1.0).alias("norm"), F.lit(16).alias("dim"), F.lit(0.0).alias("floor"), F.lit(1).alias("part"))
+    sizes = [len(r.vectors) for r in K.packed(table.coalesce(2), ["part"]).collect()]
+    assert max(sizes) <= K.ROW_BYTES and sum(sizes) == 3000 * 16 * 4
+
+
+def test_blocks_of_queries():
+    assert K.block_plan([]) == []
+    plan = K.block_plan([(8, 5, 9000), (8, 4, 10), (8, 3, 20000), (8, -9, 1), (4, 7, 3)])
+    assert plan == [(8, 5, 0, 2), (8, 4, 2, 3), (8, 3, 2, 3), (8, -9, 5, 1), (4, 7, 6, 1)]
+    many = K.block_plan([(8, n, 10**9) for n in range(40)])
+    assert sum(parts for *_, parts in many) <= 1.1 * K.BLOCKS
+
+
 def test_top_k_prunes():
     rng = np.random.default_rng(0)
     v = np.rint(rng.standard_normal((5000, 16)) * rng.exponential(40, (5000, 1))).astype(np.int64)
