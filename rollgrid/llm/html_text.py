@@ -1,8 +1,10 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-1. One page of each host (the lowest hash of its id) is the pivot. Every other page's DOM tree is aligned with the
-   pivot's by simple tree matching: the largest set of node pairs that keeps labels, parents and order.
-2. Over all different pages of the host but the pivot, each pivot node counts how often it was matched, how often with
+1. Pages of a host whose tags are the same up to the first paragraph share a layout. One page (the lowest hash) of each
+   of its ``PIVOTS`` commonest layouts is a pivot. Every other page's DOM tree is aligned with the pivot of its own
+   layout, or else the one that it matches best, by simple tree matching: the largest set of node pairs that keeps
+   labels, parents and order.
+2. Over all different pages of the pivot but itself, each pivot node counts how often it was matched, how often with
    the same text, and how much varying text stood below it. Pages of equal text (that of the marked article, where
    there is one) count once, and those that read like the pivot say nothing of what is constant. Counts are added up
    inside tasks before they are shuffled, so one host may have a third of all pages.
@@ -10,9 +12,11 @@
    of their text show that, as two versions of one article agree in the rest. Varying slots are content; where a page marks its
    article, the slots inside it, else those below the pivot node that holds nearly all varying text.
 4. Each page is aligned again and its content blocks are put out in page order. Elements that hold no article text by
-   their meaning (menus, adverts, forms, scripts, comments ...) are left out whatever varies in them.
+   their meaning (menus, adverts, forms, scripts, comments ...) are left out whatever varies in them. A class or an id
+   tells the meaning only if all its words do, and never of an element that holds a marked article or most of the text.
 
-Alignments depend on the two trees' structure only, and are kept by structure in each Python worker.
+Alignments depend on the two trees' structure only, and are kept by its digest in each Python worker, up to a bounded
+number of nodes.
 """
 
 from __future__ import annotations
@@ -20,15 +24,16 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterable, Iterator, Sequence
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rollgrid.llm.common import read, stored
+from rollgrid.llm.common import broadcast_if_small, read, stored
 
 #: A text is template if it stands on this share of the pages on which its node was found, and if these are so many, or
 #: if it stands on half the host's other pages, ``FEW`` at least, that differ from the pivot in most of their text.
@@ -37,6 +42,10 @@ SAME, SUPPORT, FEW = 0.75, 8, 2
 CONTAINED = 0.8
 #: Total characters of pivot pages that are broadcast.
 PIVOT_CHARS = 48_000_000
+#: Layouts of a host that get a pivot of their own.
+PIVOTS = 3
+#: Nodes of alignments, and characters of pivot pages, that a Python worker keeps.
+KEPT_NODES, KEPT_CHARS = 4_000_000, 16_000_000
 #: Cells of the largest table that is kept whole; longer lists of children are halved until theirs are smaller.
 CELLS = 200_000
 
@@ -63,6 +72,8 @@ OUT_NAMES = frozenset(
     "ad ads adslot advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus dialog footer gdpr login menu modal nav navbar navigation newsletter notice notices notification pagination pager paywall popup promo promoted promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored submenu subnav subscribe sidenav toolbar topnav widget".split()
 )
 HEAD_NAMES = frozenset("header masthead topbar".split())
+#: Words that say nothing of what an element holds.
+PLAIN_NAMES = frozenset("area bar bottom box btn button center container desktop fixed form group icon inner item items left level link links list main mobile outer page panel post posts primary right row secondary section site slot sticky top unit wrap wrapper".split())
 MARKED = frozenset(("article", "main"))
 
 
@@ -71,6 +82,8 @@ class Tree:
 
     def __init__(self, source: str):
         self.labels, self.parents, self.out, self.marked = ["#"], [-1], [False], [False]
+        #: Whether the node's own tag is a mark, and whether its class or id rules it out.
+        self.marks, self.named = [False], [False]
         self.children: list[list[int]] = [[]]
         #: (node, text) in page order; text None is the edge of a block.
         self.events: list[tuple[int, str | None]] = []
@@ -80,18 +93,26 @@ class Tree:
             if text is not None:
                 texts[node].append(text)
         self.texts = [" ".join(" ".join(t).split()) if t else "" for t in texts]
+        if any(self.named):
+            self._judge()
         self.structure = self._structure()
 
     def _open(self, name: str, attributes: str, parent: int) -> int:
         found = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attributes)} if attributes.strip(" /\n\t\r") else {}
         kind = found.get("class", "").lower()
-        names = set(WORDS.findall(kind)) | set(WORDS.findall(found.get("id", "").lower()))
         inside = self.marked[parent]
         marked = name in MARKED or found.get("role") in ("main", "article")
         out = self.out[parent] or name in OUT or "hidden" in found or found.get("role") in ROLES or "display:none" in found.get("style", "").replace(" ", "").lower()
-        if not out and name not in ("html", "body") and names:
-            out = bool(names & OUT_NAMES) or (not inside and not marked and bool(names & HEAD_NAMES))
         out = out or (name == "header" and not inside)
+        named = False
+        if not out and name not in ("html", "body"):
+            for token in (*kind.split(), *found.get("id", "").lower().split()):
+                words = [w for w in WORDS.findall(token) if not w.isdigit()]
+                telling = OUT_NAMES if inside or marked else OUT_NAMES | HEAD_NAMES
+                if any(w in telling for w in words) and all(w in telling or w in PLAIN_NAMES for w in words):
+                    named = True
+        self.marks.append(marked and not out)
+        self.named.append(named)
         self.labels.append(f"{name}.{kind}" if kind else name)
         self.parents.append(parent)
         self.out.append(out)
@@ -167,6 +188,28 @@ class Tree:
                 stack.append((name, node))
         close(1)
 
+    def _judge(self) -> None:
+        """Rule out what classes and ids name, but for elements that hold a marked article or most of the text."""
+        n = len(self.labels)
+        mass, holds = [0 if self.out[i] else len(t) for i, t in enumerate(self.texts)], [False] * n
+        for node in range(n - 1, 0, -1):
+            mass[self.parents[node]] += mass[node]
+            holds[self.parents[node]] |= holds[node] or (self.marks[node] and not self.named[node])
+        for node in range(1, n):
+            if self.out[self.parents[node]] or (self.named[node] and not holds[node] and 2 * mass[node] <= mass[0]):
+                self.out[node], self.marked[node] = True, False
+
+    @cached_property
+    def skeleton(self) -> tuple[str, ...]:
+        """The tags up to the first paragraph."""
+        tags = [label.partition(".")[0] for label in self.labels]
+        return tuple(tags[: tags.index("p")] if "p" in tags else tags)
+
+    @cached_property
+    def key(self) -> int:
+        """Digest of the structure."""
+        return xxhash.xxh3_128_intdigest("\0".join(self.labels) + "\1" + ",".join(map(str, self.parents)))
+
     @cached_property
     def used(self) -> list[bool]:
         """The nodes that are not ruled out, inside marks where there are any."""
@@ -183,7 +226,32 @@ class Tree:
         return tuple(self.labels), tuple(self.parents)
 
 
-@lru_cache(maxsize=4096)
+class Kept(dict):
+    """A store that is emptied when the weights of what it holds come to more than a bound."""
+
+    def __init__(self, bound: int):
+        self.bound, self.held = bound, 0
+
+    def keep(self, key, value, weight: int):
+        if self.held + weight > self.bound:
+            self.clear()
+            self.held = 0
+        self.held += weight
+        self[key] = value
+        return value
+
+
+alignments, pivots_read = Kept(KEPT_NODES), Kept(KEPT_CHARS)
+
+
+def partners(page: Tree, pivot: Tree) -> tuple[int, ...]:
+    """The alignment of two trees, from the store if it holds them."""
+    key = page.key, pivot.key
+    if key not in alignments:
+        return alignments.keep(key, aligned(page.structure, pivot.structure), len(page.labels) + 100)
+    return alignments[key]
+
+
 def aligned(page: tuple, pivot: tuple) -> tuple[int, ...]:
     """For each node of the page its partner in the pivot, or -1: simple tree matching with its traceback."""
     kids: list[list[list[int]]] = []
@@ -308,14 +376,24 @@ def aligned(page: tuple, pivot: tuple) -> tuple[int, ...]:
     return tuple(partner)
 
 
-@lru_cache(maxsize=512)
 def pivot_tree(source: str) -> Tree:
-    return Tree(source)
+    if source not in pivots_read:
+        return pivots_read.keep(source, Tree(source), len(source) + 100)
+    return pivots_read[source]
+
+
+def best_pivot(page: Tree, pivots: list[Tree]) -> int:
+    """The pivot of the page's layout, or else the one with the largest share of nodes in the matching."""
+    for n, pivot in enumerate(pivots):
+        if page.skeleton == pivot.skeleton:
+            return n
+    share = lambda pivot: sum(x >= 0 for x in partners(page, pivot)) / (len(page.labels) + len(pivot.labels))
+    return max(range(len(pivots)), key=lambda n: (share(pivots[n]), -n)) if len(pivots) > 1 else 0
 
 
 def observed(page: Tree, pivot: Tree) -> Iterator[tuple[int, int, int]]:
     """(pivot node, whether its text is the same, characters of varying text) for each matched node of the page."""
-    partner = aligned(page.structure, pivot.structure)
+    partner = partners(page, pivot)
     owner = list(partner)
     for node in range(1, len(owner)):
         if owner[node] < 0:
@@ -332,7 +410,7 @@ def observed(page: Tree, pivot: Tree) -> Iterator[tuple[int, int, int]]:
 def differs(page: Tree, pivot: Tree) -> bool:
     """Whether less than half of the page's text stands in the pivot's nodes as well."""
     lengths = [len(text) if use else 0 for text, use in zip(page.texts, page.used)]
-    same = sum(n for n, text, mate in zip(lengths, page.texts, aligned(page.structure, pivot.structure)) if n and mate >= 0 and pivot.texts[mate] == text)
+    same = sum(n for n, text, mate in zip(lengths, page.texts, partners(page, pivot)) if n and mate >= 0 and pivot.texts[mate] == text)
     return 2 * same < sum(lengths)
 
 
@@ -358,7 +436,7 @@ def extract(page: Tree, pivot: Tree | None = None, template: frozenset[int] = fr
     if any(page.marked):
         use = [a and b for a, b in zip(use, page.marked)]
     elif pivot is not None and within:
-        partner = aligned(page.structure, pivot.structure)
+        partner = partners(page, pivot)
         inside = [mate == within for mate in partner]
         for node in range(1, len(inside)):
             inside[node] = inside[node] or inside[page.parents[node]]
@@ -392,55 +470,65 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     host = F.lower(F.regexp_extract(F.col(url_col), r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.when(host != "", host).alias("host"))
-    pivots = rows.where("host is not null and html <> ''").groupBy("host").agg(F.min(F.struct(F.xxhash64("page_id", "html").alias("rank"), F.col("html"))).alias("p")).select("host", F.col("p.html").alias("pivot"))
+    known = rows.where("host is not null and html <> ''").withColumn("rank", F.xxhash64("page_id", "html"))
+    layout = F.xxhash64(F.regexp_extract_all(F.substring_index("html", "<p", 1), F.lit("<([a-zA-Z][^\\s/>]*)"), F.lit(1)))
+    layouts = known.groupBy("host", layout.alias("layout")).agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("rank"))
+    commonest = W.partitionBy("host").orderBy(F.col("n").desc(), "layout")
+    chosen = layouts.withColumn("which", F.row_number().over(commonest)).where(F.col("which") <= PIVOTS).select("host", "rank", "which")
+    pivots = known.join(broadcast_if_small(stored(chosen, "pivot-ranks")), ["host", "rank"]).groupBy("host", "which").agg(F.min("html").alias("pivot"))
     pivots = stored(pivots, "pivots")
     chars = pivots.agg(F.coalesce(F.sum(F.length("pivot")), F.lit(0))).first()[0]
+    by_host = pivots.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("which", "pivot"))), lambda x: x["pivot"]).alias("pivots"))
 
     def hinted(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if chars <= PIVOT_CHARS else df
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, digests, nodes = [], [], []
+            hosts, which, digests, nodes = [], [], [], []
             for i in range(batch.num_rows):
-                page, pivot = Tree(batch.column(1)[i].as_py()), pivot_tree(batch.column(2)[i].as_py())
-                if page.digest != pivot.digest:
+                page, trees = Tree(batch.column(1)[i].as_py()), [pivot_tree(x) for x in batch.column(2)[i].as_py()]
+                n = best_pivot(page, trees)
+                if page.digest != trees[n].digest:
                     hosts.append(batch.column(0)[i].as_py())
+                    which.append(n + 1)
                     digests.append(page.digest)
-                    far = int(differs(page, pivot))
+                    far = int(differs(page, trees[n]))
                     # node -1 counts the pages
-                    nodes.append([{"node": n, "same": same, "far": same * far, "loose": loose} for n, same, loose in [(-1, 0, 0), *observed(page, pivot)]])
+                    nodes.append([{"node": x, "same": same, "far": same * far, "loose": loose} for x, same, loose in [(-1, 0, 0), *observed(page, trees[n])]])
             kind = pa.list_(pa.struct([("node", pa.int32()), ("same", pa.int32()), ("far", pa.int32()), ("loose", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(nodes, kind)], ["host", "digest", "nodes"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(which, pa.int32()), pa.array(digests, pa.int64()), pa.array(nodes, kind)], ["host", "which", "digest", "nodes"])
 
-    paired = rows.where("host is not null and html <> ''").select("host", "html").join(hinted(pivots), "host")
-    different = paired.mapInArrow(learn, "host string, digest long, nodes array<struct<node:int,same:int,far:int,loose:long>>").groupBy("host", "digest").agg(F.min("nodes").alias("nodes"))
-    seen = different.select("host", F.inline("nodes")).groupBy("host", "node").agg(F.count(F.lit(1)).alias("met"), F.sum("same").alias("same"), F.sum("far").alias("far"), F.sum("loose").alias("loose"))
-    counted = seen.groupBy("host").agg(F.max(F.when(F.col("node") == -1, F.col("met"))).alias("pages"), F.collect_list(F.when(F.col("node") >= 0, F.struct("node", "met", "same", "far", "loose"))).alias("nodes"))
+    paired = known.select("host", "html").join(hinted(by_host), "host")
+    different = paired.mapInArrow(learn, "host string, which int, digest long, nodes array<struct<node:int,same:int,far:int,loose:long>>").groupBy("host", "which", "digest").agg(F.min("nodes").alias("nodes"))
+    seen = different.select("host", "which", F.inline("nodes")).groupBy("host", "which", "node").agg(F.count(F.lit(1)).alias("met"), F.sum("same").alias("same"), F.sum("far").alias("far"), F.sum("loose").alias("loose"))
+    counted = seen.groupBy("host", "which").agg(F.max(F.when(F.col("node") == -1, F.col("met"))).alias("pages"), F.collect_list(F.when(F.col("node") >= 0, F.struct("node", "met", "same", "far", "loose"))).alias("nodes"))
     constant = lambda x: (x["same"] + 1 >= SAME * (x["met"] + 1)) & ((x["met"] + 1 >= SUPPORT) | (x["far"] >= F.greatest(F.lit(FEW), F.ceil(F.col("pages") / 2))))  # noqa: E731  (with the pivot)
     template = F.transform(F.filter("nodes", constant), lambda x: x["node"]).alias("template")
     masses = F.transform(F.filter("nodes", lambda x: x["loose"] > 0), lambda x: F.struct(x["node"].alias("node"), x["loose"].alias("loose"))).alias("masses")
-    wrappers = stored(pivots.join(counted.select("host", template, masses), "host", "left"), "wrappers")
+    wrappers = pivots.join(counted.select("host", "which", template, masses), ["host", "which"], "left").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("which", "pivot", "template", "masses"))).alias("wrappers"))
+    wrappers = stored(wrappers, "wrappers")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for i in range(batch.num_rows):
-                source, name, pivot_source, constant, masses = (batch.column(c)[i].as_py() for c in (2, 3, 4, 5, 6))
+                source, wrappers = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
                 if not source:
                     texts.append("")
                     continue
-                if pivot_source is None:
-                    texts.append(extract(Tree(source)))
-                    continue
-                pivot = pivot_tree(pivot_source)
                 page = Tree(source)
-                within = 0 if any(page.marked) else container(pivot, {m["node"]: m["loose"] for m in masses or []})
-                texts.append(extract(page, pivot, frozenset(constant or []), within))
+                if not wrappers:
+                    texts.append(extract(page))
+                    continue
+                trees = [pivot_tree(w["pivot"]) for w in wrappers]
+                n = best_pivot(page, trees)
+                within = 0 if any(page.marked) else container(trees[n], {m["node"]: m["loose"] for m in wrappers[n]["masses"] or []})
+                texts.append(extract(page, trees[n], frozenset(wrappers[n]["template"] or []), within))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.join(hinted(wrappers), "host", "left").select("page_id", "url", "html", "host", "pivot", "template", "masses").mapInArrow(cut, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+    return rows.join(hinted(wrappers), "host", "left").select("page_id", "url", "html", "wrappers").mapInArrow(cut, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

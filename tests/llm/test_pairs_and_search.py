@@ -291,6 +291,32 @@ def test_deep_pages_read_like_shallow_ones(tag):
     assert read_html(f"<{tag}>" * 100_000 + "<ul>" * 20_000 + "<p>end") == "end"
 
 
+def test_names_are_weak_evidence():
+    """Classes and ids rule out what all their words name, and never the main mass or what holds a marked article."""
+    assert read_html('<div class="site-content has-sidebar"><p>all the text</p></div><p>x</p>') == "all the text\nx"
+    assert read_html('<div class="sidebar"><article><p>inside</p></article></div><p>out</p>') == "inside"
+    assert read_html('<article class="related-article post"><p>kept</p></article>') == "kept"
+    assert read_html('<article><p class="notice-of-award">won a prize</p><p class="sidebar-box">no</p><p>and more of it</p></article>') == "won a prize\nand more of it"
+    assert read_html('<div class="page-notice">most of the text is here</div><p>less</p>') == "most of the text is here\nless"
+    assert read_html('<div class="cookie-notice">c</div><ul id="nav-2"><li>m</ul><div class="share-links">s</div><p>the text itself</p>') == "the text itself"
+    assert read_html('<article class="comment"><p>reader</p></article><article><p>a text that is longer</p></article>') == "a text that is longer"
+
+
+def test_layouts_of_a_host(spark):
+    """Pages of two layouts without marks: each learns from its own, headers go, all texts stay."""
+    one = lambda i: f"<body><div>Site name</div><div><i>Read on</i></div><section><p>story {i} goes on</p><p>and ends {i}</p></section><div>All rights kept</div>"
+    two = lambda i: f"<body><table><tr><td>Old name</td><td><p>tale {i} starts here</p><p>it is done {i}</p></td><td>Old foot</td></tr></table>"
+    rows = [(i, f"https://mixed.example/{i}", one(i) if i % 2 else two(i)) for i in range(40)] + [(99, "https://mixed.example/99", "<body><h1>Odd one</h1>")]
+    got = texts_of(spark, rows)
+    assert all(got[i] == (f"story {i} goes on\nand ends {i}" if i % 2 else f"tale {i} starts here\nit is done {i}") for i in range(40)) and got[99] == "Odd one"
+
+
+def test_alignments_are_kept_up_to_a_bound():
+    store = H.Kept(10)
+    for n in range(100):
+        assert store.keep(n, n, 3) == n and store.held <= 10 and len(store) <= 3
+
+
 def test_tree_matching_is_the_largest(spark):
     def tree(*children):
         labels, parents = ["#"], [-1]
@@ -336,7 +362,6 @@ def test_long_lists_of_children_are_aligned(monkeypatch):
     for n, m, cells in ((450, 450, H.CELLS), (2000, 101, H.CELLS), (40, 30, 20), (7, 90, 1), (90, 7, 1)):
         a, b = page(n, ["i", "b", "u", "s"]), page(m, ["b", "i", "u", "em"])
         monkeypatch.setattr(H, "CELLS", cells)
-        H.aligned.cache_clear()
         pairs = [(x, y) for x, y in enumerate(H.aligned(a, b)) if y >= 0]
         monkeypatch.undo()
         kinds = [[t[0][i + 1] for i, label in enumerate(t[0]) if label == "div"] for t in (a, b)]
@@ -348,7 +373,6 @@ def test_long_lists_of_children_are_aligned(monkeypatch):
             row = new
         assert len(pairs) == row[-1] + 2  # the root and the body
         assert all(a[0][x] == b[0][y] for x, y in pairs) and all(p < q for (_, p), (_, q) in zip(pairs, pairs[1:]))
-    H.aligned.cache_clear()
 
 
 def test_wrappers_of_a_host(spark):
