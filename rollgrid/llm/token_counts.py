@@ -12,9 +12,9 @@ of tokens they emit (net: a byte that merges tokens emits a negative number).
 
 Texts are joined by line feeds and cut into chunks of equal length, whatever the lengths of documents. The map of a
 chunk takes the state before it to the state after it and the counts inside it. From its first word start on, this
-map is constant, so all chunks run in lockstep from there; a scan over the chunks composes the maps (a constant map
-absorbs everything before it) and yields the state each chunk begins in, from which its head is run. Only chunks
-without any word start have to wait for their predecessor.
+map is constant, so all chunks run in lockstep from there. The maps of heads, and of chunks without any word start, are
+tabulated for the states that can be live at their beginning: the image of the map before them, or a guess, closed under
+the maps. A parallel prefix scan composes these tables by doubling and yields the state in which each chunk begins.
 """
 
 from __future__ import annotations
@@ -47,6 +47,10 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0                
 
 BLANK = re.compile(f"[{WHITE}]")
 
+#: The normaliser and the pre-tokenizer that this module knows, as vocabulary files write them.
+NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
 
 def byte_symbols() -> list[str]:
     """The printable character by which byte-level vocabularies write each byte."""
@@ -56,11 +60,30 @@ def byte_symbols() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+def refuse_unknown(spec: dict) -> None:
+    """Raise an error for a vocabulary whose texts are not prepared in the way this module knows."""
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split, last, model = steps[0], steps[-1], spec["model"]
+    known = (
+        (spec.get("normalizer") or {}).get("normalizers") == NORMALISERS
+        and len(steps) == 2
+        and (split.get("type"), split.get("pattern"), split.get("behavior"), split.get("invert")) == ("Split", {"Regex": WORDS}, "Removed", True)
+        and (last.get("type"), last.get("add_prefix_space"), last.get("use_regex")) == ("ByteLevel", False, False)
+        and model.get("type") == "BPE"
+        and model.get("end_of_word_suffix")
+        and not any(model.get(name) for name in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        and not any(t.get(name) for t in spec["added_tokens"] for name in ("normalized", "single_word", "lstrip", "rstrip"))
+    )
+    if not known:
+        raise ValueError("the normaliser, pre-tokenizer or model of this vocabulary is not supported")
+
+
 class Merges:
     """The merge rules of a vocabulary, over symbols 0-255 (byte inside a word) and 256-511 (last byte of a word)."""
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
+        refuse_unknown(spec)
         model = spec["model"]
         end = model["end_of_word_suffix"]
         names = byte_symbols()
@@ -295,7 +318,7 @@ class Counter:
         self.transducer = Transducer(self.merges, max_states)
         self.classes = Classes()
         self.chunk = chunk
-        self.special = re.compile("|".join(map(re.escape, self.merges.special))) if self.merges.special else None
+        self.special = re.compile("|".join(map(re.escape, self.merges.special)) or "(?!)")
 
     def normal(self, text: str) -> str:
         """The normaliser of the vocabulary, but for white space, which ends words in any form: NFC and lower case."""
@@ -316,7 +339,7 @@ class Counter:
             if not text:
                 continue
             parts = [text]
-            if self.special is not None and "<|" in text:
+            if any(special in text for special in self.merges.special):
                 parts = self.special.split(text)
                 out[i] += len(parts) - 1
             for part in parts:
@@ -380,33 +403,46 @@ class Counter:
         return emitted.T.ravel()[:n]
 
     def _heads(self, grid: np.ndarray, emitted: np.ndarray, first: np.ndarray, ends: np.ndarray) -> None:
-        """Compose the chunks' maps: run each head from the state its predecessor ends in, until no state changes.
+        """Add what the chunks emit before their first boundary, by a prefix scan over the maps of these heads.
 
-        A chunk with a boundary ends in a state that is known already. One without is run from a first guess, and
-        again only if its predecessor turns out to end in another state; states forget what is far back, so this
-        settles in a round or two, and it is exact in any case.
+        A row of the tables is a pair of a chunk and a state at its beginning, with the state at the end of its head
+        and the tokens emitted. A head that is a whole chunk leads to a pair of the next chunk; pairs are added until
+        all that are led to are there.
         """
-        machine, rows = self.transducer, len(first)
-        start = np.zeros(rows, np.int64)
-        start[1:] = ends[:-1]
-        after = start.copy()
-        todo = np.arange(1, rows)
-        while todo.size:
-            todo = todo[np.argsort(-first[todo], kind="stable")]
-            lengths = first[todo]
-            state = start[todo]
+        machine, (size, rows) = self.transducer, grid.shape
+        passing = first == size
+        keys, after, total = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        new = (np.arange(1, rows) << 32) | ends[:-1]  # the state before is a guess where that chunk passes
+        while new.size:
+            chunk, state = new >> 32, new & 0xFFFFFFFF
+            order = np.argsort(-first[chunk], kind="stable")
+            new, chunk, state = new[order], chunk[order], state[order]
+            lengths, count = first[chunk], np.zeros(len(new), np.int64)
             for j in range(int(lengths[0])):
                 live = int(np.searchsorted(-lengths, -j, side="left"))
-                which = todo[:live]
-                state[:live], emitted[j, which] = machine.step(state[:live], grid[j, which])
-            after[todo] = state
-            whole = todo[lengths == len(grid)]
-            ends[whole] = after[whole]
-            todo = np.flatnonzero(start[1:] != ends[:-1]) + 1
-            start[1:] = ends[:-1]
-        closed = np.flatnonzero(first < len(grid))
-        closed = closed[closed > 0]
-        emitted[first[closed], closed] += machine.due[after[closed]]
+                state[:live], tokens = machine.step(state[:live], grid[j, chunk[:live]])
+                count[:live] += tokens
+            keys, after, total = np.concatenate([keys, new]), np.concatenate([after, state]), np.concatenate([total, count])
+            order = np.argsort(keys)
+            keys, after, total = keys[order], after[order], total[order]
+            led = passing[chunk] & (chunk + 1 < rows)
+            new = np.setdiff1d(((chunk[led] + 1) << 32) | state[led], keys)
+        # compose: the pair of each chunk is as many leads away from the last chunk after a known state
+        place = np.arange(1, rows)
+        steps = place - np.maximum.accumulate(np.where(passing[:-1], 0, place))
+        begin = place - steps
+        pair = np.searchsorted(keys, (begin << 32) | ends[begin - 1])
+        owner = keys >> 32
+        lead = np.arange(len(keys))
+        through = passing[owner] & (owner + 1 < rows)
+        lead[through] = np.searchsorted(keys, ((owner[through] + 1) << 32) | after[through])
+        while steps.any():
+            odd = (steps & 1).astype(bool)
+            pair[odd] = lead[pair[odd]]
+            lead, steps = lead[lead], steps >> 1
+        emitted[0, 1:] += total[pair].astype(emitted.dtype)
+        closed = np.flatnonzero(~passing[1:])
+        emitted[first[closed + 1], closed + 1] += machine.due[after[pair[closed]]]
 
 
 _counters: dict[str, Counter] = {}

@@ -46,6 +46,30 @@ def test_tokens_are_those_of_the_library(counter, library):
         assert counter.count(texts).tolist() == want
 
 
+def test_one_word_of_five_megabytes(counter, library):
+    """Chunks without a word start: their maps are composed, and agree with the library on words it can take."""
+    rng = random.Random(8)
+    unit = "".join(rng.choice("aeinrstlo") for _ in range(977))
+    counter.chunk = 256
+    for text in (unit * 41, "a" * 40_000, "ab" * 20_000):
+        assert counter.count([text]).tolist() == library([text])
+    for text in (unit * 5400, "ha" * 2_600_000):  # the same chunks in runs of another size
+        whole = counter.count([text])
+        counter.chunk = 1000
+        assert counter.count([text]).tolist() == whole.tolist()
+        counter.chunk = 256
+
+
+def test_unknown_vocabularies_are_refused():
+    import json
+
+    spec = json.load(open(T.vocabulary_path(T.VOCABULARY), encoding="utf-8"))
+    T.refuse_unknown(spec)
+    for change in ({"normalizer": None}, {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"type": "Unigram"}}):
+        with pytest.raises(ValueError):
+            T.refuse_unknown(spec | change)
+
+
 def test_tokens_survive_flushes_and_slices(counter, library, monkeypatch):
     texts = ODD + ["word after word, " * 400]
     want = library(texts)
