@@ -2,7 +2,8 @@
 
 Two recurrent layers of gated units read each segment of a text forwards and backwards; a softmax over both states
 labels every byte, and the probabilities of all bytes that belong to letters are pooled into those of the document.
-The network is trained here, in numpy, by backpropagation through time, on a bounded sample of labelled rows.
+The network is trained here, in numpy, by backpropagation through time, on a bounded sample of labelled rows: every
+stretch of every sampled text may be drawn, each as likely as any other of its language.
 
 Texts are read whole, as segments of ``SEGMENT`` bytes, each from a zero state; segments of many documents go through
 the network in lockstep. The input projections of the 256 bytes are tabulated, so a step is one lookup, one small
@@ -23,14 +24,14 @@ from rollgrid.llm.common import broadcast_if_small, read, row_keys
 
 #: Labelled rows that are used for training: so many of each language at most, and so many in all.
 SAMPLE_EACH, SAMPLE_ALL = 400, 12_000
-#: Characters of a sampled row that training may see.
-SAMPLE_CHARS = 1500
+#: Steps of training in each pass; a step draws a batch of stretches from all the sampled texts.
+STEPS = 24
 SEGMENT, HIDDEN, EMBEDDING = 128, 8, 8
 LOCKSTEP = 4096
 UNKNOWN = "und"
 #: Below this pooled probability a filter on languages rejects a document.
 LEAST_SCORE = 0.3
-LETTER = re.compile(r"[^\W\d_]")
+LATIN = re.compile("[A-Za-z]")
 
 #: Bytes that count in pooling: ASCII letters, and all bytes of other characters.
 POOLED = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
@@ -126,7 +127,7 @@ def segments(text: bytes, size: int = SEGMENT) -> np.ndarray:
     return np.frombuffer(text.ljust(rows * size, b" "), np.uint8).reshape(rows, size)
 
 
-def train(texts: list[str], targets: list[str], epochs: int = 10, batch: int = 256, rate: float = 0.02, length: int = 64, seed: int = 7, hidden: int = HIDDEN) -> Network:
+def train(texts: list[str], targets: list[str], epochs: int = 10, batch: int = 256, rate: float = 0.02, length: int = 64, seed: int = 7, hidden: int = HIDDEN, steps: int = STEPS) -> Network:
     """Fit a network on texts and their languages. Each language weighs alike; the result depends on the input only."""
     languages = sorted(set(targets))
     net = Network(languages, hidden=hidden, seed=seed)
@@ -137,19 +138,17 @@ def train(texts: list[str], targets: list[str], epochs: int = 10, batch: int = 2
     for text, target in sorted(zip(texts, targets), key=lambda x: (x[1], x[0])):
         data = text.encode("utf-8", "replace")
         if data:
-            cut = segments(data, length)[:16]
-            pieces.append(cut)
-            marks += [languages.index(target)] * len(cut)
-    data, marks = np.concatenate(pieces), np.array(marks)
-    each = max(1, min(int(np.bincount(marks, minlength=len(languages)).max()), 2400))
+            pieces.append(segments(data, length))
+            marks.append(np.full(len(pieces[-1]), languages.index(target)))
+    data, marks = np.concatenate(pieces), np.concatenate(marks)
     order_of = [np.flatnonzero(marks == n) for n in range(len(languages))]
+    each = -(-batch * steps // len(languages))
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
     for epoch in range(epochs):
         chosen = np.concatenate([rng.choice(x, each, replace=len(x) < each) for x in order_of if len(x)])
         rng.shuffle(chosen)
-        chosen = chosen[: 24 * batch]
         for at in range(0, len(chosen), batch):
             rows = chosen[at : at + batch]
             block = np.ascontiguousarray(data[rows].T)
@@ -165,6 +164,11 @@ def train(texts: list[str], targets: list[str], epochs: int = 10, batch: int = 2
     return net
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is a letter to Unicode; numbers such as ² and Ⅷ are none."""
+    return bool(LATIN.search(text)) or any(map(str.isalpha, text))
+
+
 def pooled(net: Network, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Language and score of each text. Null, and texts without a letter, are unknown with score 0."""
     if not net.languages:
@@ -190,7 +194,7 @@ def pooled(net: Network, texts: list[str | None]) -> tuple[list[str], np.ndarray
         rows, owners, held = [], [], 0
 
     for i, text in enumerate(texts):
-        if not text or not LETTER.search(text):
+        if not text or not has_letter(text):
             continue
         data = text.encode("utf-8", "replace")
         for at in range(0, len(data), SEGMENT * LOCKSTEP):
@@ -215,17 +219,18 @@ def remainder(id_col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))
 
 
-def sample(rows: DataFrame, each: int = SAMPLE_EACH, most: int = SAMPLE_ALL, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """A bounded sample of (text, label): rows of the lowest hashes of each label, so many that ``each`` are expected."""
-    counts = rows.where("label is not null and text is not null and text <> ''").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+def sample(rows: DataFrame, each: int = SAMPLE_EACH, most: int = SAMPLE_ALL) -> list[tuple[str, str]]:
+    """A bounded sample of (text, label), whole texts: the rows of the lowest hashes, about ``each`` of every label and
+    at most ``most`` in all. It depends on the rows alone."""
+    rows = rows.where("label is not null and text is not null and text <> ''")
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     labels = counts.count()
     if not labels:
         return []
-    share = F.lit(float(min(each, most // labels or 1))) / F.col("n")
-    chance = (F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 40) - 1))) / F.lit(float(1 << 40))
-    chosen = rows.where("text <> ''").join(broadcast_if_small(counts), "label").where(chance < share)
-    start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - chars, F.lit(1))).cast("int") + 1
-    got = chosen.select(F.substring("text", start, F.lit(chars)).alias("text"), "label").limit(2 * most).collect()
+    share = F.lit(float(max(1, min(each, most // labels)))) / F.col("n")
+    chance = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
+    chosen = rows.join(broadcast_if_small(counts), "label").withColumn("chance", chance / share).where("chance < 1")
+    got = chosen.select("text", "label", "chance").orderBy("chance", "label", "text").limit(most).collect()
     return sorted((r["text"], r["label"]) for r in got)
 
 
