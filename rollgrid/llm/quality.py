@@ -22,8 +22,8 @@ from rollgrid.llm.common import read
 from rollgrid.llm.language_id import remainder, sigmoid
 
 PASSAGE = 48
-#: Labelled documents used for training, and the characters of each that are.
-SAMPLE, SAMPLE_CHARS = 6000, 20_000
+#: Labelled documents used for training, with their whole texts.
+SAMPLE = 6000
 ENCODED, ATTENTION, PAIRS = 24, 12, 32
 THRESHOLD = 0.3
 #: Bytes that are encoded at once.
@@ -208,14 +208,15 @@ def train(texts: list[str], labels: list[int], epochs: int = 25, batch: int = 12
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, teaching: Column, sample: int = SAMPLE) -> Model:
-    """A model trained on the driver on at most about ``sample`` labelled rows, those of the lowest hashes."""
+    """A model trained on the driver on about ``sample`` labelled rows, those of the lowest hashes, whole texts."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(teaching)
     count = known.count()
     chance = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
-    known = known.where(chance < F.lit(min(1.0, sample / max(count, 1)))).groupBy("doc_id").agg(F.min("label").alias("label")).limit(2 * sample)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id")
-    start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
-    got = rows.select("doc_id", F.substring(F.coalesce("text", F.lit("")), F.coalesce(start, F.lit(1)), F.lit(SAMPLE_CHARS)).alias("text"), "label").limit(2 * sample).collect()
+    # the lowest hashes of a number that is expected to suffice, so that few rows are sorted
+    known = known.withColumn("chance", chance).where(F.col("chance") < F.lit(min(1.0, sample / max(count, 1))))
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("chance").alias("chance")).orderBy("chance", "doc_id").limit(sample)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    got = rows.select("doc_id", "text", "label", "chance").orderBy("chance", "doc_id", "text").limit(sample).collect()
     got = sorted((r["doc_id"], r["text"], r["label"]) for r in got)
     return train([t for _, t, _ in got], [y for _, _, y in got])
 

@@ -117,6 +117,50 @@ def test_languages_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_texts_without_letters_are_unknown(spark):
+    net = L.train(["one text", "und ein"], ["en", "de"], epochs=1)
+    names, scores = L.pooled(net, ["½ ² Ⅷ ① 12 __ !?", "", None, "1 ª", "日本", "x"])
+    assert names[:3] == ["und"] * 3 and scores[:3].tolist() == [0, 0, 0] and "und" not in names[3:]
+
+
+def plain_language(net, text):
+    """The network over one text, byte by byte and with scalars' formulas."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    data, h, p = text.encode(), net.hidden, {k: v.astype(np.float64) for k, v in net.p.items()}
+    total, n = np.zeros(len(net.languages)), 0
+    for at in range(0, len(data), L.SEGMENT):
+        part = data[at : at + L.SEGMENT].ljust(L.SEGMENT, b" ")
+        sides = {}
+        for side in "fb":
+            state, out = np.zeros(h), {}
+            for t in range(len(part)) if side == "f" else reversed(range(len(part))):
+                x, y = p["e"][part[t]] @ p[f"w{side}"] + p[f"b{side}"], state @ p[f"u{side}"]
+                z, r = sig(x[:h] + y[:h]), sig(x[h : 2 * h] + y[h : 2 * h])
+                state = out[t] = (1 - z) * np.tanh(x[2 * h :] + r * y[2 * h :]) + z * state
+            sides[side] = out
+        for t, byte in enumerate(part):
+            if byte >= 128 or chr(byte).isalpha():
+                scores = np.exp(np.concatenate([sides["f"][t], sides["b"][t]]) @ p["o"] + p["c"])
+                total, n = total + scores / scores.sum(), n + 1
+    return net.languages[int(total.argmax())], float(total.max() / n)
+
+
+def test_language_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    net = L.fitted(docs, L.remainder("doc_id", 3) != 1, "doc_id", "text", "lang", 10)
+    got = {r.doc_id: r for r in L.identify(docs).collect()}
+    some = [r for r in docs.collect() if r.text and L.has_letter(r.text)][:40]
+    for r in some:
+        lang, score = plain_language(net, r.text[:3000]) if len(r.text) <= 3000 else (got[r.doc_id].lang_pred, got[r.doc_id].score)
+        assert got[r.doc_id].lang_pred == lang and got[r.doc_id].score == pytest.approx(score, abs=1e-4)
+
+
+def test_samples_depend_on_the_rows_alone(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "text", "lang label")
+    one, two = L.sample(rows.repartition(3), 20, 60), L.sample(rows.repartition(7), 20, 60)
+    assert one == two and 30 < len(one) <= 60 and max(len(t) for t, _ in L.sample(rows)) > 20_000
+
+
 def test_language_edge_cases(spark):
     docs = E.documents(spark, clashing=True)
     got = L.identify(docs, epochs=1).collect()
@@ -139,6 +183,23 @@ def test_quality_of_held_out_documents(spark):
     assert all(r.predicted == int(r.score >= Q.THRESHOLD) for r in rows)
 
 
+def test_quality_by_brute_force(spark):
+    """Scores of whole texts, each encoded and weighed alone by the plain formulas."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = Q.fitted(docs, labels, "doc_id", "text", "quality", L.remainder("doc_id", 5) != 0)
+    got = {r.doc_id: r.score for r in Q.score_quality(docs, labels).collect()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    for r in docs.collect()[:60]:
+        words = (r.text or "").encode()
+        x, owner = Q.passages([r.text])
+        assert len(x) == max(1, -(-len(words.split()) // Q.PASSAGE)) and not owner.any()
+        h = np.tanh((x - model.center) / model.scale @ p["w"] + p["b"])
+        e = [np.exp((np.tanh(v @ p["v"]) * sig(v @ p["u"])) @ p["a"][:, 0]) for v in h]
+        z = sum(w * v for w, v in zip(e, h)) / sum(e)
+        assert got[r.doc_id] == pytest.approx(float(sig(z @ p["s"][:, 0] + p["c"][0])), abs=1e-4)
+
+
 def test_quality_edge_cases(spark):
     docs = E.documents(spark, clashing=True)
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (9, 1, 0), (None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
