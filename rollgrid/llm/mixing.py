@@ -5,25 +5,31 @@ order within the source (by size, then by hash) the expected copies are prefix-s
 source's name is added, and a document is emitted once for each integer that its interval crosses. As documents of
 like size stand together, the words taken miss the target by little more than one large document.
 
-The prefix sum never gathers a source in one task. Documents are dealt into ordered buckets (size class, hash class)
-within their source; buckets are summed map-side, a window over a source sees its buckets only (a bounded number,
-whatever the data), and a second window runs inside each bucket. All sums are integers in units of 2**-24 copies, so
-that reruns agree whatever the order of execution.
+The prefix sum never gathers a source in one task. Documents are dealt into ordered buckets within their source: size
+class, hash class, and as many leading bits of their hash as keep the buckets near ``BUCKET`` documents, by their counted
+sizes. Buckets are summed map-side; one window adds up the size classes of a source, one the buckets of a class, and one
+runs inside each bucket. All sums are integers in units of 2**-24 copies, so reruns agree whatever the order of execution.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rollgrid.llm.common import broadcast_if_small, read, stored
+from rollgrid.llm.common import read, small, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 MOST_COPIES = 2
 UNIT = 1 << 24
 HASH_CLASSES = 64
+#: Documents in a bucket, about; and sources, which one task orders.
+BUCKET, SOURCES = 100_000, 100_000
+#: Bits of the place of a document inside its hash class.
+PLACE_BITS = 48
 
 
 def word_count(text: Column) -> Column:
@@ -66,46 +72,60 @@ def targets(sources: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERC
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per document: doc_id, size, source_size, target, copies, taken (words, repeats counted).
+def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "", carry: bool = False) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, copies, taken (words, repeats counted); with ``carry`` also row,
+    a struct of all its columns.
 
-    A null text has size 0, and a null source is a source of its own, last in order. Empty documents get copies like
-    any other and take no words. Rows that share an id and text are equal and share their copies' order by the hash
-    of both; an empty table gives an empty table; other columns take no part.
+    ``seed`` draws other offsets; one seed always gives the same mix. A null text has size 0, and a null source is a
+    source of its own, last in order. Empty documents get copies like any other and take no words. Rows that share an
+    id stand next to each other in order and each get copies of their own; an empty table gives an empty table; other
+    columns take no part. More than ``SOURCES`` sources are refused.
     """
-    identity = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), identity.alias("ident"))
-    sized = stored(
-        sized.select("doc_id", "source", "size", F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null")).alias("name"), size_class(F.col("size")).alias("size_class"), F.pmod(hex_number(F.col("ident"), 1, 4), F.lit(HASH_CLASSES)).alias("hash_class"), hex_number(F.col("ident"), 5, 12).alias("place")),
-        "mix-sizes",
-    )
-    buckets = sized.groupBy("name", "source", "size_class", "hash_class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bucket_size"))
-    buckets = stored(buckets, "mix-buckets")
-    plan = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share_percent, most)
-    offset = F.pmod(hex_number(F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null")), 1, 8), F.lit(UNIT))
-    ratio = F.when(F.col("source_size") > 0, F.floor(F.col("target") * F.lit(UNIT) / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     name = F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null"))
+    kept = [F.struct(*docs.columns).alias("row")] if carry else []
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("ident"), *kept)
+    hash_class = F.pmod(hex_number(F.col("ident"), 1, 4), F.lit(HASH_CLASSES))
+    sized = sized.select("doc_id", "source", "size", name.alias("name"), size_class(F.col("size")).alias("size_class"), hash_class.alias("hash_class"), hex_number(F.col("ident"), 5, 12).alias("place"), *(["row"] if carry else []))
+    sized = stored(sized, "mix-sizes")
+
+    def bucketed(bits: int) -> tuple[DataFrame, DataFrame]:
+        part = sized.withColumn("part", F.shiftright("place", PLACE_BITS - bits) if bits else F.lit(0).cast("long"))
+        counts = part.groupBy("name", "source", "size_class", "hash_class", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bucket_size"))
+        return part, stored(counts, "mix-buckets")
+
+    parts, buckets = bucketed(0)
+    largest = buckets.agg(F.max("n")).first()[0] or 0
+    if largest > BUCKET:
+        parts, buckets = bucketed(min(PLACE_BITS, math.ceil(math.log2(largest / BUCKET))))
+    sources = stored(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), "mix-sources")
+    if not small(sources, SOURCES):
+        raise ValueError(f"more than {SOURCES} sources")
+    plan = targets(sources, weights, share_percent, most)
+    offset = F.pmod(hex_number(F.concat(F.lit(seed), name), 1, 8), F.lit(UNIT))
+    ratio = F.when(F.col("source_size") > 0, F.floor(F.col("target") * F.lit(UNIT) / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = stored(plan.select(name.alias("name"), "source_size", "target", ratio.alias("expected"), offset.alias("offset")), "mix-plan")
 
+    # what stands before each size class of a source, and before each bucket of a class
+    before = W.partitionBy("name").orderBy(F.col("size_class").desc()).rowsBetween(W.unboundedPreceding, -1)
+    classes = buckets.groupBy("name", "size_class").agg(F.sum("n").alias("n")).select("name", "size_class", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("above"))
+    order = W.partitionBy("name", "size_class").orderBy("hash_class", "part").rowsBetween(W.unboundedPreceding, -1)
+    ahead = F.col("above") + F.coalesce(F.sum("n").over(order), F.lit(0))
     # the last join and the last window share their keys, and so one exchange of the documents' sizes
-    keys = ["name", "size_class", "hash_class"]
-    order = W.partitionBy("name").orderBy(F.col("size_class").desc(), "hash_class").rowsBetween(W.unboundedPreceding, -1)
-    starts = buckets.join(broadcast_if_small(plan), "name").select(
-        *keys, "source_size", "target", "expected", (F.col("offset") + F.coalesce(F.sum(F.col("n") * F.col("expected")).over(order), F.lit(0))).alias("start")
-    )
+    keys = ["name", "size_class", "hash_class", "part"]
+    starts = buckets.join(classes, ["name", "size_class"]).withColumn("ahead", ahead).join(F.broadcast(plan), "name")
+    starts = starts.select(*keys, "source_size", "target", "expected", (F.col("offset") + F.col("ahead") * F.col("expected")).alias("start"))
     bucket = W.partitionBy(*keys).orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    joined = sized.join(stored(starts, "mix-starts"), keys)
+    joined = parts.join(stored(starts, "mix-starts"), keys)
     end = F.col("start") + F.sum("expected").over(bucket)
-    edges = joined.select("doc_id", "size", "source_size", "target", F.shiftright(end, 24).alias("end"), F.shiftright(end - F.col("expected"), 24).alias("begin"))
+    edges = joined.select("doc_id", "size", "source_size", "target", F.shiftright(end, 24).alias("end"), F.shiftright(end - F.col("expected"), 24).alias("begin"), *(["row"] if carry else []))
     copies = F.col("end") - F.col("begin")
-    return edges.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return edges.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["row"] if carry else []))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as it is emitted."""
-    plan = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies").distinct()
-    id_col = options.get("id_col", "doc_id")
-    return docs.join(plan, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The mix itself: every row as often as it is emitted, with all its columns. Edge cases are those of ``mix``."""
+    out = mix(docs, **options, carry=True).where("copies > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
