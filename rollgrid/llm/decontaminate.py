@@ -5,6 +5,7 @@
 3. A second pass stores postings (word hash, document, position) of those words only: the index.
 4. The list of a window's rarest word, moved by its offset, gives start positions; each further list is intersected
    at its own offset. What survives is compared word for word with the document, in a third pass.
+5. ``near`` intersects more lists of a window with some slop, for passages that were edited.
 
 Window tables are broadcast if their counted size allows. Postings of a frequent word stay spread over the
 documents that hold it: joins on a word are map-side, and intersections are keyed by document and position.
@@ -40,8 +41,9 @@ def phrase_keys(phrase: Column) -> list[Column]:
     return [F.xxhash64(phrase).alias("p1"), F.xxhash64(F.lit("phrase"), phrase).alias("p2")]
 
 
-def occurrences(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lists: int = LISTS) -> DataFrame:
-    """Candidate places (k1, k2, p1, p2, start, length) where the ``lists`` rarest words of a window stand as they do in it."""
+def index(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, lists: int) -> tuple[DataFrame, DataFrame]:
+    """(lists, postings): the ``lists`` rarest words of each window that can occur (p1, p2, length, off, term, rank), and
+    the postings of those words (term, k1, k2, pos)."""
     spread = windows.select("p1", "p2", "words").distinct()
     terms = spread.select("p1", "p2", F.size("words").alias("length"), F.posexplode("words").alias("off", "word")).select("p1", "p2", "length", "off", F.xxhash64("word").alias("term"))
     terms = stored(terms, "bench-terms")
@@ -50,7 +52,7 @@ def occurrences(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", tex
     counts = docs.select(F.explode(hashes).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").count()
     counts = stored(counts, "bench-counts")
     rarest = W.partitionBy("p1", "p2").orderBy("count", "off")
-    # a word that no document holds rules its window out, so the join with the counts may drop it: then fewer lists than the window has words show that
+    # a window with a word that no document holds cannot occur
     ranked = terms.join(broadcast_if_small(counts), "term", "left").withColumn("count", F.coalesce("count", F.lit(0))).withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= lists)
     ranked = stored(ranked, "bench-lists")
     possible = ranked.join(ranked.where("count = 0").select("p1", "p2").distinct(), ["p1", "p2"], "left_anti")
@@ -58,20 +60,47 @@ def occurrences(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", tex
     chosen = broadcast_if_small(possible.select("term").distinct())
     k1, k2 = row_keys(F.col(id_col), F.col(text_col))
     postings = docs.select(k1, k2, F.posexplode(hashes).alias("pos", "term")).join(chosen, "term", "left_semi")
-    postings = stored(postings.select("term", "k1", "k2", "pos"), "postings")
+    return possible, stored(postings.select("term", "k1", "k2", "pos"), "postings")
 
+
+def occurrences(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lists: int = LISTS, slop: int = 0) -> DataFrame:
+    """Candidate places (k1, k2, p1, p2, start, length) where the ``lists`` rarest words of a window stand as they do in
+    it, all but the rarest up to ``slop`` words beside."""
+    possible, postings = index(docs, windows, id_col, text_col, lists)
     first = possible.where("rank = 1").select("term", "p1", "p2", "off", "length")
     found = postings.join(broadcast_if_small(first), "term").select("k1", "k2", "p1", "p2", (F.col("pos") - F.col("off")).alias("start"), "length").where("start >= 0")
     for rank in range(2, lists + 1):
         following = possible.where(F.col("rank") == rank).select("p1", "p2", "off", "term")
-        # a one-word window has no further list and stays as it is
+        # a window of fewer words has no further list and stays as it is
         short = found.join(broadcast_if_small(following.select("p1", "p2")), ["p1", "p2"], "left_anti")
-        moved = found.join(broadcast_if_small(following), ["p1", "p2"]).withColumn("pos", F.col("start") + F.col("off")).drop("off")
-        both = moved.join(postings, ["k1", "k2", "term", "pos"], "left_semi").drop("term", "pos")
+        moved = found.join(broadcast_if_small(following), ["p1", "p2"])
+        if slop:  # an equi-join on each place that the word may take
+            moved = moved.withColumn("pos", F.explode(F.sequence(F.col("start") + F.col("off") - slop, F.col("start") + F.col("off") + slop))).drop("off")
+            both = moved.join(postings.distinct(), ["k1", "k2", "term", "pos"], "left_semi").drop("term", "pos").distinct()
+        else:
+            moved = moved.withColumn("pos", F.col("start") + F.col("off")).drop("off")
+            both = moved.join(postings, ["k1", "k2", "term", "pos"], "left_semi").drop("term", "pos")
         found = stored(both.unionByName(short), "bench-found")
     return found
 
 
+def near(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 3, terms: int = 4, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """Proximity matches (doc_id, item, start, length, k1, k2): the ``terms`` rarest words of a window all stand within
+    ``slop`` words of the places that the rarest one of them gives them; start is where the window would begin.
+
+    This finds edited passages too, and everything that exact windows find. A window of fewer words needs all of them.
+    Null and empty texts match nothing, equal rows match alike, and an item without id is left out. Empty tables give
+    none; other columns take no part.
+    """
+    windows = stored(windows_of(benchmark, window, item_col, "text"), "bench-windows")
+    found = occurrences(docs, windows, id_col, text_col, terms, slop)
+    items = windows.where("item is not null").select("p1", "p2", "item").distinct()
+    named = stored(found.join(broadcast_if_small(items), ["p1", "p2"]).select("k1", "k2", "item", "start", "length").distinct(), "bench-near")
+    k1, k2 = row_keys(F.col(id_col), F.col(text_col))
+    ids = docs.select(F.col(id_col).alias("doc_id"), k1, k2).distinct()
+    return ids.join(named, ["k1", "k2"]).select("doc_id", "item", "start", "length", "k1", "k2")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", lists: int = LISTS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, an
     array of (start, length), and the row keys k1 and k2.

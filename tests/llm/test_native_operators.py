@@ -1,6 +1,7 @@
 """Line dedup, mixing and decontamination against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -99,6 +100,32 @@ def test_mixing_meets_its_targets(spark):
     assert emitted.count() == sum(r.copies for r in got) and emitted.columns == docs.columns
 
 
+def test_mixing_in_small_buckets_and_by_seed(spark, monkeypatch):
+    """Finer buckets change nothing; every row is emitted as often as planned, and another seed draws other copies."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
+    docs = docs.unionByName(docs.where("doc_id % 3 = 0")).unionByName(docs.where("doc_id % 4 = 0").withColumn("text", F.lit("other words")))
+    one = E.by_id(M.mix(docs), "doc_id", "size", "source_size", "target", "copies", "taken")
+    monkeypatch.setattr(M, "BUCKET", 2)
+    assert E.by_id(M.mix(docs), "doc_id", "size", "source_size", "target", "copies", "taken") == one
+    emitted = M.mixed_documents(docs)
+    assert emitted.columns == docs.columns and emitted.count() == sum(r[4] for r in one)
+    planned, found = {}, {}
+    for doc, size, _, _, copies, _ in one:
+        planned[doc, size] = planned.get((doc, size), 0) + copies
+    for r in emitted.collect():
+        key = r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        found[key] = found.get(key, 0) + 1
+    assert found == {k: n for k, n in planned.items() if n}
+    other = M.mix(docs, seed="again")
+    assert E.by_id(other, "doc_id", "copies") != E.by_id(M.mix(docs), "doc_id", "copies")
+    # a source misses its target by little more than one large document
+    taken = other.groupBy("target", "source_size").agg(F.sum("taken").alias("taken"), F.max("size").alias("size")).collect()
+    assert all(abs(r.taken - r.target) <= 1.5 * r["size"] for r in taken)
+    monkeypatch.setattr(M, "SOURCES", 1)
+    with pytest.raises(ValueError):
+        M.mix(docs)
+
+
 def test_mixing_edge_cases(spark):
     docs = E.documents(spark, clashing=True)
     got = M.mix(docs)
@@ -132,8 +159,6 @@ def plain_decontamination(docs, items, n=10):
 
 
 def test_decontamination_by_brute_force(spark):
-    import random
-
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(12)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 2, 4, 10, 13])))) for i in range(14)] + [(50, None), (51, items_text := "Unique-term alpha, beta; GAMMA delta epsilon zeta eta theta iota kappa."), (None, "w1 w2 w3")]
@@ -154,3 +179,46 @@ def test_decontamination_edge_cases(spark):
     assert got.where(F.size("spans") > 0).count() == got.where("contaminated").count()
     assert D.decontaminate(E.empty(spark), bench).count() == 0
     assert D.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_proximity_by_brute_force(spark):
+    """The rarest words of a window within the slop of where they stand in it, against plain Python."""
+    rng = random.Random(3)
+    common, rare = [f"c{i}" for i in range(6)], [f"r{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(common if rng.random() < 0.5 else rare) for _ in range(rng.choice([1, 3, 10, 14])))) for i in range(12)] + [(50, None), (51, "r1 r1 r1 r2")]
+    rows = []
+    for i in range(60):
+        words = rng.choice(items[:12])[1].split()
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(words) + 1)
+            words[at : at + rng.randrange(2)] = rng.choice([[], ["c1"], ["r7", "c2"]])
+        rows.append((i, " ".join([rng.choice(common) for _ in range(rng.randrange(5))] + words + ["end"])))
+    rows += [(80, None), (81, ""), (5, rows[5][1])]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    texts = {i: t.split() for i, t in rows if t}
+    counts = {}
+    for _, t in {(i, t) for i, t in rows if t}:
+        for w in t.split():
+            counts[w] = counts.get(w, 0) + 1
+    # equal rows are counted once more for each
+    for w in rows[5][1].split():
+        counts[w] += 1
+    for slop, terms in ((0, 2), (2, 3)):
+        want = set()
+        for item, t in items:
+            words = (t or "").split()
+            for at in range(max(len(words) - 9, 1) if words else 0):
+                w = words[at : at + 10]
+                ranked = sorted(range(len(w)), key=lambda o: (counts.get(w[o], 0), o))[:terms]
+                if any(counts.get(x, 0) == 0 for x in (w[o] for o in ranked)):
+                    continue
+                for doc, d in texts.items():
+                    for pos, x in enumerate(d):
+                        start = pos - ranked[0]
+                        if x == w[ranked[0]] and start >= 0 and all(any(0 <= start + o + s < len(d) and d[start + o + s] == w[o] for s in range(-slop, slop + 1)) for o in ranked[1:]):
+                            want.add((doc, str(item), start))
+        got = D.near(docs, bench, slop=slop, terms=terms)
+        assert {(r.doc_id, r.item, r.start) for r in got.collect()} == want and len(want) > 20
+    exact = {(r.doc_id, s.start) for r in D.decontaminate(docs, bench).collect() for s in r.spans}
+    assert exact <= {(d, s) for d, _, s in want}
+    assert D.near(E.empty(spark), bench).count() == 0 and D.near(docs, bench.limit(0)).count() == 0
