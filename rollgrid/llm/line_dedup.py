@@ -5,6 +5,10 @@ runs have already settled (enough documents) are merge-anti-joined away, and the
 level 0. When a level has ``fanout`` runs they are compacted into one run of the next level, and keys that reach the
 threshold there become settled. At the end all runs meet in one last compaction, which gives the settled keys.
 
+Runs are tables bucketed by the hash and sorted inside the buckets, all into the same number of buckets, so a run meets a batch,
+and runs meet in a compaction, bucket by bucket without being shuffled again. The number of batches follows the number
+of documents.
+
 Everything is DataFrame code. Lines are exploded only as 128-bit hashes with their position, a line held by a third
 of all documents is summed map-side before each shuffle, and the settled keys are broadcast only if their counted
 number is small; otherwise the join shuffles and adaptive execution splits the hot keys.
@@ -12,14 +16,17 @@ number is small; otherwise the join shuffles and adaptive execution splits the h
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollgrid.llm.common import BLANKS, ascii_lower, broadcast_if_small, read, row_keys, stored
+from rollgrid.llm.common import BLANKS, ascii_lower, broadcast_if_small, read, row_keys, shared_dir, stored
 
 MIN_DOCS = 10
-BATCHES = 4
 FANOUT = 2
+#: Documents in a batch, about, and the least and the most batches.
+BATCH_DOCS, BATCHES, MOST_BATCHES = 50_000_000, 4, 256
 KEY = ["h1", "h2"]
 
 
@@ -36,17 +43,28 @@ def line_key(line: Column) -> Column:
 class LineRuns:
     """Levelled sorted runs of (line hash, number of documents)."""
 
-    def __init__(self, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
-        self.min_docs, self.fanout = min_docs, fanout
+    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
+        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
         self.settled: list[DataFrame] = []
+        self.names: list[str] = []
 
     def add(self, batch: DataFrame) -> None:
         """Add a batch of (h1, h2, doc): anti-join what is settled, then store the rest as a sorted run."""
         counts = batch.select(*KEY, "doc").distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"))
-        for run in self.settled:
-            counts = counts.join(run, KEY, "left_anti")
-        self._push(0, stored(counts.sortWithinPartitions(*KEY), "line-run"))
+        counts = counts.repartition(self.buckets, *KEY)
+        for run in self.settled:  # an anti join would be pushed below the counts and shuffle every line
+            counts = counts.join(run.withColumn("gone", F.lit(True)).hint("merge"), KEY, "left").where("gone is null").select(*KEY, "n_docs")
+        self._push(0, self._run(counts))
+
+    def _run(self, rows: DataFrame) -> DataFrame:
+        """A run on disk. ``rows`` are partitioned by the key into the buckets, so each bucket is one file."""
+        name = f"line_run_{uuid.uuid4().hex}"
+        writer = rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet")
+        writer.option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
 
     def _push(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
@@ -58,17 +76,13 @@ class LineRuns:
             self._push(level + 1, merged)
 
     def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        """Compact runs into one sorted run without the keys that are settled now, which go to a run of their own."""
-        union = runs[0]
-        for run in runs[1:]:
-            union = union.unionByName(run)
-        summed = union.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"))
-        merged = stored(summed.sortWithinPartitions(*KEY), "line-run")
+        """Compact runs into one run without the keys that are settled now, which are read from it as another."""
+        merged = self._run(compacted(runs))
         self.settled.append(merged.where(F.col("n_docs") >= self.min_docs).select(*KEY))
         return merged.where(F.col("n_docs") < self.min_docs)
 
     def frequent(self) -> DataFrame:
-        """The keys that at least ``min_docs`` documents hold."""
+        """The keys that at least ``min_docs`` documents hold, stored; the runs are forgotten."""
         rest = [run for level in self.levels for run in level]
         if rest:
             self.levels = []
@@ -76,11 +90,22 @@ class LineRuns:
         out = self.settled[0]
         for run in self.settled[1:]:
             out = out.unionByName(run)
+        out = stored(out, "line-frequent")
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         return out
 
 
+def compacted(runs: list[DataFrame]) -> DataFrame:
+    """The runs as one. Runs that are bucketed alike are added up bucket by bucket, without an exchange."""
+    union = runs[0].select(*KEY, "n_docs")
+    for run in runs[1:]:
+        union = union.unionByName(run.select(*KEY, "n_docs"))
+    return union.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"))
+
+
 def dedup_lines(
-    docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, min_docs: int = MIN_DOCS, batches: int | None = None, fanout: int = FANOUT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Drop every line whose key at least ``min_docs`` documents hold.
 
@@ -89,6 +114,8 @@ def dedup_lines(
     that share an id count as one document, and each keeps its own lines; a null id is a document of its own kind. An
     empty table gives an empty table. The text of a null row stays null.
     """
+    if batches is None:
+        batches = max(BATCHES, min(MOST_BATCHES, docs.select(F.lit(1)).count() // BATCH_DOCS))
     text = F.col(text_col)
     k1, k2 = row_keys(F.col(id_col), text)
     key = F.transform(lines_of(text), line_key)
@@ -100,10 +127,10 @@ def dedup_lines(
     )
     slim = slim.where("h is not null").select("k1", "k2", "doc", "pos", "h.h1", "h.h2", F.pmod("doc", F.lit(batches)).cast("int").alias("batch"))
     slim = stored(slim, "line-hashes", "batch")
-    runs = LineRuns(min_docs, fanout)
+    runs = LineRuns(docs.sparkSession, min_docs, fanout)
     for batch in range(batches):
         runs.add(slim.where(F.col("batch") == batch).select("doc", *KEY))
-    frequent = stored(runs.frequent(), "line-frequent")
+    frequent = runs.frequent()
     hits = slim.join(broadcast_if_small(frequent), KEY).groupBy("k1", "k2").agg(F.collect_set("pos").alias("_hits"))
 
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]

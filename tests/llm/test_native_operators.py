@@ -79,6 +79,22 @@ def plain_targets(sizes):
         capped |= over
 
 
+def test_runs_meet_bucket_by_bucket(spark):
+    """A compaction shuffles nothing, a batch is shuffled once for its own counts, and no table is left behind."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    runs = N.LineRuns(spark, 3)
+    rows = spark.range(60).selectExpr("id % 7 h1", "id % 5 h2", "id doc")
+    one, two = (runs._run(rows.groupBy(*N.KEY).agg(F.count("*").alias("n_docs")).repartition(runs.buckets, *N.KEY)) for _ in range(2))
+    merged = N.compacted([one, two.where("n_docs < 9"), one])
+    assert "Exchange" not in plan(merged) and merged.agg(F.sum("n_docs")).first()[0] == 180
+    assert "Bucketed: true" in plan(merged)
+    runs.settled.append(one.where("n_docs > 1").select(*N.KEY))
+    runs.add(rows.unionByName(spark.range(2).selectExpr("9 h1", "id h2", "id doc")))
+    assert sorted(tuple(r) for r in runs.levels[0][0].collect()) == sorted([(i % 7, i % 5, 1) for i in range(25, 35)] + [(9, 0, 1), (9, 1, 1)])
+    runs.frequent()
+    assert spark.sql("SHOW TABLES").where("tableName like 'line_run%'").count() == 0
+
+
 def test_mixing_meets_its_targets(spark):
     rows = [(i, "w " * (1 + (i * 37) % 300), f"s{i % 5}" if i % 3 else "hot") for i in range(900)] + [(1000 + i, "few words here", None) for i in range(20)] + [(2000, "", "s1"), (2001, None, "s2")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
