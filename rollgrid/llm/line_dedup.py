@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollgrid.llm.common import BLANKS, ascii_lower, broadcast_if_small, read, row_keys, shared_dir, stored
+from rollgrid.llm.common import BLANKS, _stored, ascii_lower, broadcast_if_small, read, row_keys, shared_dir, stored
 
 MIN_DOCS = 10
 FANOUT = 2
@@ -62,8 +62,10 @@ class LineRuns:
         """A run on disk. ``rows`` are partitioned by the key into the buckets, so each bucket is one file."""
         name = f"line_run_{uuid.uuid4().hex}"
         writer = rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet")
-        writer.option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
+        path = f"{shared_dir(self.spark)}/{name}"
+        writer.option("path", path).saveAsTable(name)
         self.names.append(name)
+        _stored.append(path)
         return self.spark.table(name)
 
     def _push(self, level: int, run: DataFrame) -> None:
@@ -77,7 +79,9 @@ class LineRuns:
 
     def _merge(self, runs: list[DataFrame]) -> DataFrame:
         """Compact runs into one run without the keys that are settled now, which are read from it as another."""
-        merged = self._run(compacted(runs))
+        merged = runs[0]
+        for run in runs[1:]:
+            merged = self._run(compacted(merged, run))
         self.settled.append(merged.where(F.col("n_docs") >= self.min_docs).select(*KEY))
         return merged.where(F.col("n_docs") < self.min_docs)
 
@@ -86,7 +90,7 @@ class LineRuns:
         rest = [run for level in self.levels for run in level]
         if rest:
             self.levels = []
-            self._merge(rest)
+            self._merge(rest)  # the shortest runs, of the lowest level, first
         out = self.settled[0]
         for run in self.settled[1:]:
             out = out.unionByName(run)
@@ -96,12 +100,14 @@ class LineRuns:
         return out
 
 
-def compacted(runs: list[DataFrame]) -> DataFrame:
-    """The runs as one. Runs that are bucketed alike are added up bucket by bucket, without an exchange."""
-    union = runs[0].select(*KEY, "n_docs")
-    for run in runs[1:]:
-        union = union.unionByName(run.select(*KEY, "n_docs"))
-    return union.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"))
+def compacted(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Two runs as one: a full outer join of runs that are bucketed alike goes bucket by bucket, without an exchange.
+
+    (A grouping of their union would promise the same, but Spark 4.1 then reads the tables without their buckets.)
+    """
+    other = two.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("n_docs").alias("more"))
+    met = one.hint("merge").join(other, (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2")), "full_outer")
+    return met.select(F.coalesce("h1", "o1").alias("h1"), F.coalesce("h2", "o2").alias("h2"), (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"))
 
 
 def dedup_lines(
