@@ -22,6 +22,8 @@ Components come from hooking and pointer jumping on stored tables; nothing is ga
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,12 +36,26 @@ SKETCH = 64
 SHARED = 33
 #: The same for a similarity of 0.8.
 SHARED_80 = 30
+#: Chance of missing a link by the sketch bound, where it is derived for another similarity.
+CHANCE = 1e-10
 #: From how many classes on a sketch value moves to the end of the order.
 FREQUENT = 8
 #: Members from which on a list is searched by differences from its leader.
 LONG = 16
 
 
+def shared_values(percent: int, sketch: int = SKETCH) -> int:
+    """How many of the ``sketch`` least values of their union two sets of a similarity share at least, but for CHANCE."""
+    if sketch == SKETCH and percent in (85, 80):
+        return {85: SHARED, 80: SHARED_80}[percent]
+    j, below = percent / 100, 0.0
+    for t in range(sketch + 1):
+        below += math.comb(sketch, t) * j**t * (1 - j) ** (sketch - t)
+        if below > CHANCE:
+            return max(t, 1)
+    return sketch
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
 
@@ -216,14 +232,16 @@ class Linker:
         return links.unionByName(second)
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, sketch: int = SKETCH, shared: int = SHARED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, sketch: int = SKETCH, shared: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept (doc_id = component_id), and the row keys k1 and k2.
 
     Null and empty texts and texts of white space have no shingles and stay alone. Equal rows stay together: they get
     one component and one decision. A row without id joins its component but is not kept in the place of one that has
     an id; where all lack it, component_id is null. An empty table gives an empty table; other columns take no part.
     """
-    linker = Linker(docs, id_col, text_col, shingle, percent, sketch, shared)
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
+    linker = Linker(docs, id_col, text_col, shingle, percent, sketch, shared or shared_values(percent, sketch))
     comps = components(linker.links())
     named = linker.classes.select("v", "v2", "doc").join(broadcast_if_small(comps), "v", "left").withColumn("root", F.coalesce("root", "v"))
     named = stored(named, "named")
