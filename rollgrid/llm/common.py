@@ -18,25 +18,40 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A private one is made only where the session names none."""
+    """The folder that driver and executors share. A private one is made only in local mode, where they are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = getattr(shared_dir, "own", None)
         if named is None:
             named = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="rollgrid-")
     return named.rstrip("/")
 
 
+_stored: list[str] = []
+
+
 def stored(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage durably."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
+    _stored.append(path)
     back = spark.read.schema(df.schema).parquet(path)
     return back.select(*df.columns)
 
 
+def discard(spark: SparkSession) -> int:
+    """Delete all tables that ``stored`` has written, once the results that read them have been written too."""
+    gone = 0
+    while _stored:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than one row beyond that."""
     return df.limit(rows + 1).count() <= rows

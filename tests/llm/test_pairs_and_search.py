@@ -88,6 +88,26 @@ def test_near_duplicate_edge_cases(spark):
     assert N.near_duplicates(E.empty(spark)).count() == 0
 
 
+def test_shared_values_follow_the_similarity(spark):
+    assert N.shared_values(85) == N.SHARED and N.shared_values(80) == N.SHARED_80
+    assert [N.shared_values(p) for p in (1, 50, 70, 90, 99, 100)] == sorted(N.shared_values(p) for p in (1, 50, 70, 90, 99, 100)) and N.shared_values(100) == 64
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.choice(words) for _ in range(120)]
+    rows = [(i, edited(rng, base, i % 20, words)) for i in range(60)]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=50)
+    assert E.by_id(got, "doc_id", "n_shingles", "component_id") == plain_components(rows, 3, 50)
+    with pytest.raises(ValueError):
+        N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=0)
+
+
+def test_tables_can_be_discarded(spark):
+    from rollgrid.llm import common
+
+    back = common.stored(spark.range(5), "some")
+    assert back.count() == 5 and common.discard(spark) >= 1 and common.discard(spark) == 0
+
+
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7)], "a long, b long")
     got = {r.v: r.root for r in N.components(links).collect()}
@@ -434,10 +454,21 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_pipeline_takes_odd_rows(spark):
-    docs = E.documents(spark)
+    """Every stage over nulls, empty and long texts, ties, repeated rows, clashing names, and empty tables."""
+    sf = "/root/testdata/sf0.001"
+    for docs in (E.documents(spark), E.documents(spark, clashing=True)):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.columns == columns and {r.doc_id for r in out.collect()} <= {r[0] for r in E.ROWS}
+        assert corpus_pipeline.language_stage(spark, docs, sf).where("text is null").count() == 0
+        assert corpus_pipeline.line_stage(spark, docs, sf).count() == len(E.ROWS)
+        near = corpus_pipeline.near_stage(spark, docs, sf).collect()
+        assert sorted((r.doc_id for r in near), key=repr) == sorted((r[0] for r in E.ROWS), key=repr)  # equal rows stay together
+        assert corpus_pipeline.benchmark_stage(spark, docs, sf).count() == len(E.ROWS)
+        mixed = corpus_pipeline.mixing_stage(spark, docs, sf)
+        assert mixed.count() == len(E.ROWS) and mixed.where("taken > 2 * size").count() == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, E.empty(spark), sf).count() == 0
     for _, stage in corpus_pipeline.STAGES[:2]:
-        docs = stage(spark, docs, "/root/testdata/sf0.001")
-        assert docs.columns == E.documents(spark).columns
-    assert docs.where("text is null").count() == 0
-    for _, stage in corpus_pipeline.STAGES[:4]:
-        assert stage(spark, E.empty(spark), "/root/testdata/sf0.001").count() == 0
+        docs = stage(spark, docs, sf)
