@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,7 +46,7 @@ def reward_column(f: Callable, kind: str, *columns: str, **options) -> Column:
 
 def scored_by_group(df: DataFrame, f: Callable[[list[dict]], list[dict]], key: str, schema: str, zero: Callable[[dict], dict], threads: int = 1) -> DataFrame:
     """Rows scored together with those of their key. A group whose scorer fails or gives the wrong number of results
-    gets zero rows. The batches of a task may be scored by several threads, which suits remote scorers."""
+    gets zero rows. The groups of a task may be scored by several threads, which suits remote scorers."""
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.to_dict("records")
@@ -60,9 +61,27 @@ def scored_by_group(df: DataFrame, f: Callable[[list[dict]], list[dict]], key: s
     if threads == 1:
         return df.groupBy(key).applyInPandas(one, schema)
 
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Whole groups of sorted rows; the last group of a batch may go on in the next."""
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            found = [g for _, g in batch.groupby(key, sort=False, dropna=False)]
+            for n, group in enumerate(found):
+                if held and (n or not _same(held[-1][key].iloc[0], group[key].iloc[0])):
+                    yield pd.concat(held, ignore_index=True)
+                    held = []
+                held.append(group)
+        if held:
+            yield pd.concat(held, ignore_index=True)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = groups(batches)
         with ThreadPoolExecutor(threads) as pool:
-            for batch in batches:
-                yield from pool.map(one, [g for _, g in batch.groupby(key, sort=False)])
+            while some := list(islice(found, 4 * threads)):
+                yield from pool.map(one, some)
 
     return df.repartition(key).sortWithinPartitions(key).mapInPandas(run, schema)
+
+
+def _same(a, b) -> bool:
+    return a == b or (pd.isna(a) and pd.isna(b))

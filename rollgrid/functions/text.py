@@ -85,6 +85,18 @@ REMOVED = [
 ]
 
 
+#: Patterns that unwrap marked-up answers, in order. Fixed values.
+UNWRAPPED = [
+    (r"(.*?)(\$)(.*?)(\$)(.*)", "\\$$3\\$"),
+    (r"(\\text\{)(.*?)(\})", "$2"),
+    (r"(\\textbf\{)(.*?)(\})", "$2"),
+    (r"(\\overline\{)(.*?)(\})", "$2"),
+    (r"(\\boxed\{)(.*)(\})", "$2"),
+    (r"(frac)([^{])(.)", "frac{$2}{$3}"),
+    (r"(sqrt)([^{])", "sqrt{$2}"),
+]
+
+
 def normalised_answer(answer: Column) -> Column:
     """A final answer in the form in which answers are compared."""
     out = F.substring_index(answer, "=", -1)
@@ -92,12 +104,11 @@ def normalised_answer(answer: Column) -> Column:
         out = F.replace(out, F.lit(old), F.lit(new))
     for old in REMOVED:
         out = F.replace(out, F.lit(old), F.lit(""))
-    for pattern, to in [(r"(.*?)(\$)(.*?)(\$)(.*)", "\\$$3\\$"), (r"(\\text\{)(.*?)(\})", "$2"), (r"(\\textbf\{)(.*?)(\})", "$2"), (r"(\\overline\{)(.*?)(\})", "$2"), (r"(\\boxed\{)(.*)(\})", "$2")]:
+    for pattern, to in UNWRAPPED:
         out = F.regexp_replace(out, pattern, to)
-    out = F.regexp_replace(out, r"(frac)([^{])(.)", "frac{$2}{$3}")
-    out = F.regexp_replace(out, r"(sqrt)([^{])", "sqrt{$2}")
     out = F.replace(out, F.lit("$"), F.lit(""))
-    return F.trim(F.when(F.replace(out, F.lit(","), F.lit("")).rlike(r"^\d+$"), F.replace(out, F.lit(","), F.lit(""))).otherwise(out))
+    plain = F.when(F.replace(out, F.lit(","), F.lit("")).rlike(r"^\d+$"), F.replace(out, F.lit(","), F.lit(""))).otherwise(out)
+    return F.regexp_replace(plain, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def answer_reward(response: Column, truth: Column, tail: int = 300) -> Column:

@@ -9,16 +9,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rollgrid.operators.storage import stored
+
 
 def reached(edges: DataFrame, starts: DataFrame, depth: int, backward: bool = False) -> DataFrame:
-    """(start, node, depth): the least number of edges from each start, up to a depth; one join for each level."""
+    """(start, node, depth): the least number of edges from each start, up to a depth.
+
+    One join for each level, which is written and read again, so that no plan holds more than one level; the search ends
+    where a level finds nothing new.
+    """
     src, dst = ("dst", "src") if backward else ("src", "dst")
-    steps = edges.select(F.col(src).alias("node"), F.col(dst).alias("_next")).distinct()
-    seen = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"))
-    front = seen
+    steps = stored(edges.select(F.col(src).alias("node"), F.col(dst).alias("_next")).distinct(), "graph-steps")
+    seen = front = stored(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct(), "graph-level")
     for level in range(1, depth + 1):
         following = front.join(steps, "node").select("start", F.col("_next").alias("node")).distinct()
         front = following.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(level))
+        front = stored(front, "graph-level")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 

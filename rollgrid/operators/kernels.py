@@ -24,28 +24,34 @@ YAW_RATE_BOUND = (-0.95, 0.95)
 FRAME_CHANGES = (0.7, 0.5, 0.1, 0.1)
 
 
-def smoothing_filter(window: int, order: int, derivative: int = 0, step: float = 1.0, at: int | None = None) -> np.ndarray:
-    """Weights that give a derivative of the least-squares polynomial of a window at one of its places (the middle)."""
-    place = window // 2 if at is None else at
+def smoothing_filter(window: int, order: int, derivative: int = 0, step: float = 1.0, at: float | None = None) -> np.ndarray:
+    """Weights that give a derivative of the least-squares polynomial of a window at a place in it (the middle, which lies
+    between two samples of an even window)."""
+    place = (window - 1) / 2 if at is None else at
     basis = np.vander(np.arange(window) - place, order + 1, increasing=True)
     factorial = float(np.prod(np.arange(1, derivative + 1))) if derivative else 1.0
     return np.linalg.pinv(basis)[derivative] * factorial / step**derivative
 
 
 def smoothed(values: np.ndarray, window: int, order: int, derivative: int = 0, step: float = 1.0) -> np.ndarray:
-    """Polynomial smoothing or derivative along the last axis; both ends use the polynomial of the outermost window."""
+    """Polynomial smoothing or derivative along the last axis; both ends use the polynomial of the outermost window.
+
+    A window is cut to the number of values; it has to be longer than the order. An even window around a value reaches
+    one value further ahead than back, and its polynomial is taken at its middle, half a step ahead.
+    """
     n = values.shape[-1]
     window = min(window, n)
-    order = min(order, window - 1)
-    if derivative > order:
-        return np.zeros_like(values, dtype=float)
+    if order >= window:
+        raise ValueError(f"{n} values are too few for order {order}")
     half = window // 2
     out = np.empty(values.shape, float)
     middle = smoothing_filter(window, order, derivative, step)
     for i in range(n):
-        low = min(max(i - half, 0), n - window)
-        at = i - low
-        weights = middle if at == half else smoothing_filter(window, order, derivative, step, at)
+        if i < half or i >= n - half:
+            low = 0 if i < half else n - window
+            weights = smoothing_filter(window, order, derivative, step, i - low)
+        else:
+            low, weights = i - (window - 1) // 2, middle
         out[..., i] = values[..., low : low + window] @ weights
     return out
 
@@ -59,19 +65,22 @@ def unwrapped(angles: np.ndarray) -> np.ndarray:
 
 
 def accelerations(states: np.ndarray, which: str, rear_to_center: float = 0.0) -> np.ndarray:
-    """Smoothed longitudinal (x), lateral (y) or total acceleration at the centre, rounded to 8 places."""
-    x = states[..., AX] - states[..., YAW_RATE] ** 2 * rear_to_center
-    y = states[..., AY] + states[..., YAW_ACC] * rear_to_center
-    raw = {"x": x, "y": y, "magnitude": np.hypot(x, y)}[which]
+    """Smoothed acceleration, rounded to 8 places: longitudinal (x) or lateral (y) at the centre, or its magnitude at the
+    rear axle."""
+    if which == "magnitude":
+        raw = np.hypot(states[..., AX], states[..., AY])
+    else:
+        raw = states[..., AX] - states[..., YAW_RATE] ** 2 * rear_to_center if which == "x" else states[..., AY] + states[..., YAW_ACC] * rear_to_center
     return np.round(smoothed(raw, 8, 2), 8)
 
 
 def jerks(states: np.ndarray, which: str, step: float, rear_to_center: float = 0.0) -> np.ndarray:
-    return smoothed(accelerations(states, which, rear_to_center), 15, 2, 1, step)
+    return np.round(smoothed(accelerations(states, which, rear_to_center), 15, 2, 1, step), 8)
 
 
-def yaw_derivative(states: np.ndarray, step: float, derivative: int = 1) -> np.ndarray:
-    return smoothed(unwrapped(states[..., HEADING]), 15, max(2, derivative + 1), derivative, step)
+def yaw_derivative(states: np.ndarray, step: float, derivative: int = 1, order: int = 2) -> np.ndarray:
+    """Yaw rate or acceleration over windows of five headings, rounded to 8 places."""
+    return np.round(smoothed(unwrapped(states[..., HEADING]), 5, order, derivative, step), 8)
 
 
 def _inside(values: np.ndarray, bounds: tuple[float, float]) -> np.ndarray:
@@ -85,7 +94,7 @@ def comfort(states: np.ndarray, step: float, rear_to_center: float = 0.0) -> np.
         _inside(accelerations(states, "y", rear_to_center), LAT_ACCELERATION),
         _inside(jerks(states, "magnitude", step, rear_to_center), JERK),
         _inside(jerks(states, "x", step, rear_to_center), LON_JERK),
-        _inside(yaw_derivative(states, step, 2), YAW_ACCELERATION),
+        _inside(yaw_derivative(states, step, 2, order=3), YAW_ACCELERATION),
         _inside(yaw_derivative(states, step, 1), YAW_RATE_BOUND),
     ]
     return np.stack(checks, axis=-1)
@@ -230,13 +239,22 @@ def by_scene(df: DataFrame, key: str, f: Callable[[pd.DataFrame], pd.DataFrame],
     return df.groupBy(key).applyInPandas(f, schema)
 
 
+def _alike(lengths: pd.Series) -> list[list[int]]:
+    """Positions of the rows of each length."""
+    return [np.flatnonzero(lengths.to_numpy() == n).tolist() for n in sorted(lengths.unique())]
+
+
 def comfort_by_proposal(df: DataFrame, key: str, proposal: str, states: str, step: float) -> DataFrame:
     """For rows with states (array of 11 numbers per step): all comfortable, and the six flags."""
 
     def run(frames):
         for frame in frames:
-            flags = [comfort(np.asarray([list(map(list, s))], float), step)[0] for s in frame[states]]
-            yield pd.DataFrame({key: frame[key], proposal: frame[proposal], "comfortable": [bool(f.all()) for f in flags], "flags": [f.tolist() for f in flags]})
+            flags = [None] * len(frame)
+            for rows in _alike(frame[states].map(len)):  # trajectories of one length go through the kernel together
+                block = np.stack([np.stack(s) for s in frame[states].iloc[rows]]).astype(float)
+                for row, flag in zip(rows, comfort(block, step)):
+                    flags[row] = flag.tolist()
+            yield pd.DataFrame({key: frame[key], proposal: frame[proposal], "comfortable": [all(f) for f in flags], "flags": flags})
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     return df.select(key, proposal, states).mapInPandas(run, f"{key} {kinds[key]}, {proposal} {kinds[proposal]}, comfortable boolean, flags array<boolean>")
@@ -248,13 +266,16 @@ def simulated(df: DataFrame, key: str, proposal: str, start: str, commands: str,
 
     def run(frames):
         for frame in frames:
-            outs = []
-            for s, c in zip(frame[start], frame[commands]):
-                state, path = np.asarray([s], float), [list(map(float, s))]
-                for a, r in c:
-                    state = model.step(state, np.array([a]), np.array([r]), dt)
-                    path.append(state[0].tolist())
-                outs.append(path)
+            outs = [None] * len(frame)
+            for rows in _alike(frame[commands].map(len)):
+                state = np.stack(frame[start].iloc[rows]).astype(float)
+                orders = [np.stack(c) if len(c) else np.empty((0, 2)) for c in frame[commands].iloc[rows]]
+                path = [state]
+                for i in range(len(orders[0])):
+                    state = model.step(state, np.array([o[i][0] for o in orders], float), np.array([o[i][1] for o in orders], float), dt)
+                    path.append(state)
+                for row, out in zip(rows, np.stack(path, axis=1)):
+                    outs[row] = out.tolist()
             yield pd.DataFrame({key: frame[key], proposal: frame[proposal], "states": outs})
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from rollgrid.functions import geometry as G
 from rollgrid.operators import kernels
@@ -109,17 +110,21 @@ def with_traffic_score(rows: DataFrame, agents: DataFrame, columns: Sequence[str
 
 
 def successes(df: DataFrame, f, key: str, schema: str) -> DataFrame:
-    """f(row) for each row; rows on which it fails are left out."""
+    """f(row) for each row, with valid = true; a row on which it fails keeps its key, NULL results and valid = false.
+
+    ``schema`` names the key and the results of ``f``.
+    """
+    kind = StructType.fromDDL(schema)
 
     def run(frames):
         for frame in frames:
             rows = []
             for r in frame.to_dict("records"):
                 try:
-                    rows.append({key: r[key], **f(r)})
+                    rows.append({key: r[key], **f(r), "valid": True})
                 except Exception:  # a failing scene must not stop the others
-                    continue
+                    rows.append({key: r[key], "valid": False})
             if rows:
-                yield pd.DataFrame(rows)
+                yield pd.DataFrame(rows, columns=[*kind.names, "valid"])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInPandas(run, StructType([*kind.fields, StructField("valid", BooleanType(), False)]))

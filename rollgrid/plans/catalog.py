@@ -50,7 +50,7 @@ def user_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics, filter and ranking in one plan: the learnable groups of the smallest tables."""
+    """Statistics and filter in one plan: the learnable groups."""
     return scene_filter(spark, sf_dir)
 
 

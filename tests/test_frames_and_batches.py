@@ -208,10 +208,51 @@ def test_graph_searches(spark):
 def test_smoothing_reproduces_polynomials():
     t = np.arange(40) * 0.1
     y = 3 - 2 * t + 0.5 * t * t
-    assert kernels.smoothed(y, 15, 2) == pytest.approx(y) and kernels.smoothed(y, 15, 2, 1, 0.1) == pytest.approx(-2 + t) and kernels.smoothed(y, 8, 2) == pytest.approx(y)
+    assert kernels.smoothed(y, 15, 2) == pytest.approx(y) and kernels.smoothed(y, 15, 2, 1, 0.1) == pytest.approx(-2 + t) and kernels.smoothed(y, 9, 2) == pytest.approx(y)
+    between = t[4:-4] + 0.05  # the middle of an even window
+    assert kernels.smoothed(y, 8, 2)[4:-4] == pytest.approx(3 - 2 * between + 0.5 * between**2)
     assert kernels.unwrapped(np.array([3.0, -3.0, -2.9])) == pytest.approx([3.0, 2 * np.pi - 3, 2 * np.pi - 2.9])
 
 
+def plain_filter(y, window, order, derivative, step):
+    """The polynomial of each window by numpy's own fit; an even window is one longer ahead, read at its middle."""
+    n, half, out = len(y), window // 2, []
+    for i in range(n):
+        low = 0 if i < half else n - window if i >= n - half else i - (window - 1) // 2
+        at = i if i < half or i >= n - half else low + (window - 1) / 2
+        fit = np.poly1d(np.polyfit(np.arange(low, low + window) - at, y[low : low + window], order))
+        out.append(np.polyder(fit, derivative)(0) / step**derivative if derivative else fit(0))
+    return np.array(out)
+
+
+def test_windows_of_comfort():
+    rng = np.random.default_rng(3)
+    s = rng.standard_normal((2, 41, 11))
+    a, shift = s[1], 1.4
+    near = lambda x: pytest.approx(x, abs=1e-7)
+    assert kernels.accelerations(s, "magnitude", shift)[1] == near(plain_filter(np.hypot(a[:, 5], a[:, 6]), 8, 2, 0, 0.1))
+    x = plain_filter(a[:, 5] - shift * a[:, 9] ** 2, 8, 2, 0, 0.1)
+    assert kernels.accelerations(s, "x", shift)[1] == near(x)
+    assert kernels.jerks(s, "x", 0.1, shift)[1] == pytest.approx(plain_filter(np.round(x, 8), 15, 2, 1, 0.1), abs=1e-6)
+    heading = np.unwrap(a[:, 2])
+    assert kernels.yaw_derivative(s, 0.1)[1] == pytest.approx(plain_filter(heading, 5, 2, 1, 0.1), abs=1e-6)
+    assert kernels.yaw_derivative(s, 0.1, 2)[1] == pytest.approx(plain_filter(heading, 5, 2, 2, 0.1), abs=1e-5)
+    assert kernels.yaw_derivative(s, 0.1, 2, order=3)[1] == pytest.approx(plain_filter(heading, 5, 3, 2, 0.1), abs=1e-5)
+    # by hand: a step from 0 to 8 at place 10 enters the window of place 6 (3 to 10) with weight -126 / 1344
+    step = np.where(np.arange(20) < 10, 0.0, 8.0)
+    got = kernels.smoothed(step, 8, 2)
+    assert got[5] == pytest.approx(0) and got[6] == pytest.approx(-0.75) and got[9] == pytest.approx(4)
+    with pytest.raises(ValueError):
+        kernels.smoothed(np.zeros(2), 8, 2)
+
+
+def test_far_searches_keep_short_plans(spark):
+    ring = spark.createDataFrame([(f"n{i}", f"n{(i + 1) % 40}") for i in range(40)], "src string, dst string")
+    got = graph.reached(ring, spark.createDataFrame([("n0",)], "node string"), 30)
+    assert {(r.node, r.depth) for r in got.collect()} == {(f"n{i}", i) for i in range(31)}
+    assert len(got._jdf.queryExecution().optimizedPlan().toString().splitlines()) < 80
+
+
 def test_comfort_and_bicycle(spark):
     still = np.zeros((1, 40, 11))
     assert kernels.comfort(still, 0.1).all() and kernels.frame_to_frame_comfort(still, still, 0.1).all()
@@ -265,6 +306,17 @@ def test_reward_plugins(spark):
     for threads in (1, 3):
         got = registry.scored_by_group(df, scorer, "token", "token string, score double", lambda r: {"token": r["token"], "score": 0.0}, threads)
         assert sorted((r.token, r.score) for r in got.collect()) == [("a", 1.0), ("a", 2.0), ("b", 0.0)]
+    # groups that cross the batches are scored whole
+    count = lambda rows: [{"token": r["token"], "score": float(len(rows))} for r in rows]
+    many = spark.range(60).select(F.concat(F.lit("t"), (F.col("id") / 3).cast("int")).alias("token"), F.lit(1.0).alias("x"))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        for threads in (1, 3):
+            got = registry.scored_by_group(many, count, "token", "token string, score double", lambda r: {"token": r["token"], "score": 0.0}, threads)
+            assert [r.score for r in got.collect()] == [3.0] * 60
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
 
 
 def test_steering_and_rails():

@@ -80,6 +80,8 @@ def test_messages(spark):
     assert row.problem == "<image> again" and row.answer_text == "ok"
 
 
-def test_failing_scenes_are_left_out(spark):
+def test_failing_scenes_are_marked(spark):
     df = spark.createDataFrame([("a", 1), ("b", 0)], "token string, x int")
-    assert [(r.token, r.y) for r in simulation.successes(df, lambda r: {"y": 1.0 / r["x"]}, "token", "token string, y double").collect()] == [("a", 1.0)]
+    got = simulation.successes(df, lambda r: {"y": 1.0 / r["x"]}, "token", "token string, y double")
+    assert got.columns == ["token", "y", "valid"]
+    assert sorted((r.token, r.y, r.valid) for r in got.collect()) == [("a", 1.0, True), ("b", None, False)]
