@@ -10,25 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rollgrid.operators.groups import ranged
+from rollgrid.operators.groups import numbered
 
 POS = "pos"
 
 
 def indexed(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Add a dense ``pos`` in the given total order of columns.
-
-    Where the first column is a number, rows are numbered inside ranges of its values and offset by the ranges' counts;
-    else in one window, which suits manifests and other small tables.
-    """
-    if dict(df.dtypes)[order[0]] not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
-        return df.withColumn(POS, (F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)) - 1).cast("long"))
-    cut = ranged(df, order[0])
-    sums = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = F.broadcast(sums.select("_part", before.alias("_before")))  # at most 64 rows
-    at = F.col("_before") + F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    return cut.join(offsets, "_part").withColumn(POS, at.cast("long")).drop("_part", "_before")
+    """Add a dense ``pos`` in the given total order of columns."""
+    return numbered(df, order, POS).select("*", F.col(POS).cast("long").alias("_pos")).drop(POS).withColumnRenamed("_pos", POS)
 
 
 def selected(df: DataFrame, columns: Sequence[str]) -> DataFrame:

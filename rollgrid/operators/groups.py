@@ -6,6 +6,7 @@ Groups are a few rows each by nature, so windows over a group are bounded.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rollgrid.operators.storage import stored
+
 from rollgrid.functions import scores as S
 
 
@@ -91,12 +94,12 @@ def rollout_report(df: DataFrame, key: str = "token", value: str = "pdms_scaled"
         F.avg(F.col("best") - F.col("mean")).alias("headroom"),
     )
     per_row = [F.count(F.lit(1)).alias("rollouts"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")]
-    per_row += [F.percentile(F.col(value), F.lit(q / 100)).alias(f"p{q}") for q in (50, 90, 95, 99)]
     if "parsed_ok" in df.columns:
         per_row.append(F.sum((~F.coalesce(F.col("parsed_ok"), F.lit(True))).cast("long")).alias("parse_failures"))
     if clip_length is not None:
         per_row.append(F.sum((F.col("response_length") >= clip_length).cast("long")).alias("clipped"))
-    return df.agg(*per_row).crossJoin(F.broadcast(first))  # one row by one row
+    shares = percentiles(df, value, {f"p{q}": q / 100 for q in (50, 90, 95, 99)})
+    return df.agg(*per_row).crossJoin(F.broadcast(shares)).crossJoin(F.broadcast(first))  # one row each
 
 
 def group_filter(df: DataFrame, key: str = "uid", value: str = "score", mode: str = "zero_variance", low: float = 0.0, high: float = 1.0) -> DataFrame:
@@ -132,33 +135,51 @@ def with_average_row(df: DataFrame, key: str = "token", name: str = "average_all
     return df.unionByName(df.agg(*means).withColumn(key, F.lit(name)), allowMissingColumns=True)
 
 
-def ranged(df: DataFrame, value: str, parts: int = 64) -> DataFrame:
-    """The frame with _part, the number of a range of values: fixed borders from an approximate quantile sketch.
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """The frame with the 0-based number of each row in the order of some columns.
 
-    The borders are literals, so that every use of _part agrees, whatever the plan.
+    Rows are dealt into ranges of all the order columns, as many as the session has shuffle partitions, so no task sees
+    more than a range and ties of the first column are split by the others. Numbers count from the sums of the ranges
+    before; the ranges are stored, so they cannot shift.
     """
-    borders = df.agg(F.percentile_approx(F.col(value).cast("double"), [i / parts for i in range(1, parts)], 2000)).first()[0]
-    borders = sorted({x for x in borders or [] if x == x})
-    part = F.lit(0)
-    if borders:
-        part = F.size(F.filter(F.array(*[F.lit(float(x)) for x in borders]), lambda x: x < F.col(value)))
-    return df.withColumn("_part", F.coalesce(part, F.lit(0)))
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = stored(placed.withColumn("_part", F.spark_partition_id()).withColumn("_inside", inside), "numbered")
+    sums = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sums.select("_part", before.alias("_before")))  # one row for each range
+    return placed.join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_inside", "_before")
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """0-based ranks, ties sharing their average, from counts of distinct values.
 
-    Counts run inside ranges of values and over the sums of the ranges, so no task sees all rows.
+    Counts are dealt into ranges of values; they are summed inside the ranges and over the sums of the ranges, so no
+    task sees all rows, nor all values.
     """
-    counts = ranged(df, value).where(F.col(value).isNotNull()).groupBy("_part", value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = stored(counts.repartitionByRange(value).withColumn("_part", F.spark_partition_id()), "value-counts")
     sums = counts.groupBy("_part").agg(F.sum("_n").alias("_sum"))
     before = F.coalesce(F.sum("_sum").over(W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row for each range
-    offsets = sums.select("_part", before.alias("_before"))
+    offsets = F.broadcast(sums.select("_part", before.alias("_before")))
     inside = F.sum("_n").over(W.partitionBy("_part").orderBy(value))
-    ranks = counts.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + inside - (F.col("_n") + 1) / 2)  # at most 64 rows
+    ranks = counts.join(offsets, "_part").withColumn(name, F.col("_before") + inside - (F.col("_n") + 1) / 2)
     return df.join(ranks.select(value, name), value)
 
 
+def percentiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row: the exact percentiles of a column by name, linear between neighbours; NULL values take no part."""
+    placed = numbered(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_value")), ["_value"], "_at")
+    n = placed.count()
+    out = []
+    for name, share in shares.items():
+        place = share * (n - 1)
+        low = math.floor(place)
+        at = lambda k: F.max(F.when(F.col("_at") == max(k, 0), F.col("_value")))
+        out.append((at(low) + (at(min(low + 1, n - 1)) - at(low)) * (place - low)).alias(name))
+    return placed.agg(*out)
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation with average ranks; 0 where either side does not vary."""
     ranked = average_ranks(average_ranks(df.select(a, b), a, "_ra"), b, "_rb")
@@ -168,12 +189,8 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def quantile_bins(df: DataFrame, by: str, key: str, bins: int = 5) -> DataFrame:
     """floor(index * bins / n) of each row in the order of (by, key)."""
-    cut = ranged(df, by)
-    sums = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_sum"))
-    whole = W.partitionBy(F.lit(0))  # one row for each range
-    offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(whole.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_sum").over(whole).alias("_all"))
-    at = F.col("_before") + F.row_number().over(W.partitionBy("_part").orderBy(by, key)) - 1
-    return cut.join(F.broadcast(offsets), "_part").withColumn("bin", F.floor(at * bins / F.col("_all")).cast("int")).drop("_part", "_before", "_all")
+    placed = numbered(df, [by, key], "_at")
+    return placed.withColumn("bin", F.floor(F.col("_at") * bins / F.lit(max(df.count(), 1))).cast("int")).drop("_at")
 
 
 def quantile_report(df: DataFrame, key: str, by: str, value: str, bins: int = 5) -> DataFrame:
