@@ -205,6 +205,26 @@ def one_step_acceleration(velocity: np.ndarray, reference: np.ndarray, horizon:
     return -(q * horizon * (velocity - reference)) / (q * horizon * horizon + r)
 
 
+def lateral_state(states: np.ndarray, reference: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Speeds of states, and their lateral, heading and steering error seen from the reference's pose."""
+    dx, dy = states[:, X] - reference[:, X], states[:, Y] - reference[:, Y]
+    heading = reference[:, HEADING]
+    turn = states[:, HEADING] - heading
+    errors = [dy * np.cos(heading) - dx * np.sin(heading), np.arctan2(np.sin(turn), np.cos(turn)), states[:, STEER]]
+    return states[:, VX], np.stack(errors, axis=-1)
+
+
+def looked_ahead(velocities: np.ndarray, curvatures: np.ndarray, at: int, horizon: int) -> tuple[np.ndarray, np.ndarray]:
+    """The reference velocity a horizon ahead, and the curvatures up to it; the last ones stand for what lies beyond."""
+    last = velocities.shape[1] - 1
+    return velocities[:, min(at + horizon, last)], curvatures[:, np.minimum(np.arange(at, at + horizon), last)]
+
+
+def stopping_command(velocity: np.ndarray, reference: np.ndarray, gain: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Acceleration in proportion to the velocity error, and no steering, for vehicles that are about to stand."""
+    return gain * (reference - velocity), np.zeros_like(velocity)
+
+
 def at_fault(ego_speed: float, track_speed: float, track_in_front: bool, track_behind: bool, stopped: float = 5e-2) -> str:
     """Kind of a collision, decided in order: stopped ego, stopped track, rear, front, lateral."""
     if ego_speed <= stopped:

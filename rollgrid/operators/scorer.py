@@ -101,6 +101,23 @@ def no_fault(met: DataFrame, areas: DataFrame, proposals: DataFrame) -> DataFram
     return proposals.select(*PROPOSAL).distinct().join(found, PROPOSAL, "left").select(*PROPOSAL, F.coalesce("score", F.lit(1.0)).alias("score"), "first")
 
 
+def moved_boxes(states: DataFrame, later: list[int], interval: float) -> DataFrame:
+    """Boxes (scene, proposal, step, ring, speed, heading) moved on straight for some numbers of steps: a row for each,
+    with the column later, its step of origin as begin, and the step that it reaches."""
+    each = states.withColumn("later", F.explode(F.array(*[F.lit(int(n)) for n in later])))
+    gone = F.col("speed") * F.col("later") * F.lit(interval)
+    ring = F.transform("ring", lambda p: F.struct((p["x"] + F.cos("heading") * gone).alias("x"), (p["y"] + F.sin("heading") * gone).alias("y")))
+    return each.select(*PROPOSAL, F.col("step").alias("begin"), "later", (F.col("step") + F.col("later")).alias("step"), ring.alias("ring"), "speed", "heading")
+
+
+def with_history(states: DataFrame, past: DataFrame) -> DataFrame:
+    """States (scene, proposal, states: array by step) with the scene's past ones (scene, states), whose last is the first
+    of the simulated, before them. Scenes without a past stay as they are."""
+    joined = states.join(past.select("scene", F.col("states").alias("_past")), "scene", "left")
+    whole = F.when(F.col("_past").isNull(), F.col("states")).otherwise(F.concat("_past", F.slice("states", F.lit(2), F.greatest(F.size("states") - 1, F.lit(0)))))
+    return joined.withColumn("states", whole).drop("_past")
+
+
 def time_to_collision(met: DataFrame, areas: DataFrame, proposals: DataFrame, stopped: float = STOPPED) -> DataFrame:
     """Per proposal 0 where its box, moved on at its speed, meets a track that it would run into, else 1, and that step.
 

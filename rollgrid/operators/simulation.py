@@ -27,6 +27,32 @@ def replayed(tracks: DataFrame, overlapping: DataFrame) -> DataFrame:
     return tracks.join(overlapping.select("scene", "agent").distinct(), ["scene", "agent"], "left_anti")
 
 
+def observed(agents: DataFrame, overlapping: DataFrame, steps: int, interval: float) -> DataFrame:
+    """Agents at each step of straight motion, without those that overlap the vehicle at the start."""
+    return constant_velocity(replayed(agents, overlapping), steps, interval)
+
+
+def leading(objects: DataFrame, proposals: DataFrame, prefix: str = "red_light") -> DataFrame:
+    """The object that each proposal follows: (scene, proposal, token, lead_progress, lead_velocity).
+
+    ``objects`` (scene, proposal, token, progress, distance, speed, heading) lie in the corridor of a proposal;
+    ``proposals`` have ego_progress, ego_heading and path_length. Of the objects ahead the nearest leads, of equal ones the
+    smallest token, at its distance from the vehicle and the speed along it, which is 0 for a red light. Without any, the
+    end of the path leads.
+    """
+    key = ["scene", "proposal"]
+    ahead = objects.join(proposals.select(*key, "ego_progress"), key).where(F.col("progress") > F.col("ego_progress"))
+    nearest = ahead.groupBy(*key).agg(F.min(F.struct("distance", "token", "speed", "heading")).alias("o"))
+    led = proposals.join(nearest, key, "left")
+    along = F.when(F.startswith(F.col("o.token"), F.lit(prefix)), F.lit(0.0)).otherwise(F.col("o.speed") * F.cos(F.col("o.heading") - F.col("ego_heading")))
+    return led.select(
+        *key,
+        F.col("o.token").alias("token"),
+        F.coalesce(F.col("ego_progress") + F.col("o.distance"), F.col("path_length")).alias("lead_progress"),
+        F.coalesce(along, F.lit(0.0)).alias("lead_velocity"),
+    )
+
+
 def mixed_traffic(simulated: DataFrame, recorded: DataFrame, types: Sequence[str], kind: str = "type") -> DataFrame:
     """Simulated agents of the given types and the recorded ones of all others."""
     return simulated.where(F.col(kind).isin(list(types))).unionByName(recorded.where(~F.col(kind).isin(list(types))), allowMissingColumns=True)

@@ -13,7 +13,7 @@ from rollgrid.functions import geometry as G
 from rollgrid.functions import registry
 from rollgrid.functions import scores as S
 from rollgrid.functions import text as T
-from rollgrid.operators import advantages, batch, graph, groups, guards, manifests, metrics, scenes, scorer, spatial
+from rollgrid.operators import advantages, batch, graph, groups, guards, manifests, metrics, scenes, scorer, simulation, spatial
 from rollgrid.operators.storage import folder
 from rollgrid.plans.catalog import query, rounded, table
 from rollgrid.sources import readers, writers
@@ -524,3 +524,37 @@ def proposal_scores(spark, sf_dir):
         (F.col("l_quantity") / 5).alias("progress"), (F.col("l_discount") * 10).alias("ttc"), F.when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0).alias("lane_keeping"), (F.col("l_tax") * 12.5).alias("comfort"),
     )
     return rounded(scorer.score_proposals(rows))
+
+
+@query("""
+WITH o AS (SELECT l_orderkey AS scene, CASE WHEN l_returnflag = 'R' THEN 'red_light_' ELSE 'car_' END || l_partkey AS token, l_quantity AS progress, l_extendedprice / 1000 AS distance, l_tax * 100 AS speed, l_discount AS heading FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY distance, token) AS place FROM o WHERE progress > 20)
+SELECT o_orderkey AS scene, token, round(coalesce(20 + distance, 80.0), 6) AS lead_progress, round(CASE WHEN token IS NULL OR token LIKE 'red_light%' THEN 0.0 ELSE speed * cos(heading - 0.1) END, 6) AS lead_velocity
+FROM orders LEFT JOIN n ON scene = o_orderkey AND place = 1""")
+def leading_objects(spark, sf_dir):
+    """Line items as objects ahead on the path of their order."""
+    token = F.concat(F.when(F.col("l_returnflag") == "R", "red_light_").otherwise("car_"), F.col("l_partkey").cast("string"))
+    objects = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scene"), F.lit(0).alias("proposal"), token.alias("token"), F.col("l_quantity").alias("progress"), (F.col("l_extendedprice") / 1000).alias("distance"), (F.col("l_tax") * 100).alias("speed"), F.col("l_discount").alias("heading"))
+    proposals = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scene"), F.lit(0).alias("proposal"), F.lit(20.0).alias("ego_progress"), F.lit(0.1).alias("ego_heading"), F.lit(80.0).alias("path_length"))
+    return rounded(simulation.leading(objects, proposals).drop("proposal"))
+
+
+@query("""
+SELECT c_nationkey AS scene, c_custkey AS agent, step, round(c_acctbal + 2.5 * step * 0.5, 6) AS x, round(c_custkey - step * 0.5, 6) AS y
+FROM customer, range(0, 5) t(step) WHERE c_custkey % 7 <> 0""")
+def observed_agents(spark, sf_dir):
+    """Customers in straight motion, without those that overlap at the start."""
+    agents = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("scene"), F.col("c_custkey").alias("agent"), F.col("c_acctbal").alias("x"), F.col("c_custkey").cast("double").alias("y"), F.lit(2.5).alias("vx"), F.lit(-1.0).alias("vy"), F.lit(0.0).alias("heading"))
+    out = simulation.observed(agents, agents.where("agent % 7 = 0").select("scene", "agent"), 4, 0.5)
+    return rounded(out.select("scene", "agent", F.col("step").cast("long").alias("step"), "x", "y"))
+
+
+@query("""
+SELECT c_nationkey AS scene, c_custkey AS step, later, round(c_acctbal + 0.5 * cos(0.3) * 3 * later, 4) AS x, round(0.5 * sin(0.3) * 3 * later, 4) AS y FROM customer, (SELECT unnest([0, 3, 6, 9]) AS later)""")
+def moved_boxes(spark, sf_dir):
+    """The first corner of each customer's box, moved on at its speed."""
+    corner = F.struct(F.col("c_acctbal").alias("x"), F.lit(0.0).alias("y"))
+    boxes = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("scene"), F.lit(0).alias("proposal"), F.col("c_custkey").alias("step"), F.array(corner).alias("ring"), F.lit(3.0).alias("speed"), F.lit(0.3).alias("heading"))
+    out = scorer.moved_boxes(boxes, [0, 3, 6, 9], 0.5)
+    first = F.element_at("ring", 1)
+    return rounded(out.select("scene", F.col("begin").alias("step"), "later", first["x"].alias("x"), first["y"].alias("y")), 4)

@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 from pyspark.sql import functions as F
 
-from rollgrid.operators import scorer
+from rollgrid.operators import kernels, scorer
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -50,3 +50,24 @@ def test_progress_along_a_line(spark):
     rows = [("s", 0, [(0.0, 0.0), (10.0, 0.0)], 1.0, 1.0, 7.0, -1.0), ("s", 1, [(0.0, 0.0), (10.0, 0.0)], 7.0, 0.0, 2.0, 0.0)]
     got = scorer.progress(spark.createDataFrame(rows, f"scene string, proposal int, line {RING}, x0 double, y0 double, x1 double, y1 double")).collect()
     assert [(r.proposal, r.progress) for r in got] == [(0, 6.0), (1, 0.0)]
+
+
+def test_past_states_come_first(spark):
+    states = spark.createDataFrame([("s", 0, [[3.0], [4.0]]), ("s", 1, [[3.0]]), ("t", 0, [[1.0]])], "scene string, proposal int, states array<array<double>>")
+    past = spark.createDataFrame([("s", [[1.0], [2.0], [3.0]])], "scene string, states array<array<double>>")
+    got = {(r.scene, r.proposal): [x[0] for x in r.states] for r in scorer.with_history(states, past).collect()}
+    assert got == {("s", 0): [1, 2, 3, 4], ("s", 1): [1, 2, 3], ("t", 0): [1]}
+
+
+def test_tracker_state_and_reference():
+    states, reference = np.zeros((2, 11)), np.zeros((2, 11))
+    states[:, kernels.X], states[:, kernels.VX], states[:, kernels.STEER] = [1.0, 2.0], [5.0, 6.0], 0.1
+    states[:, kernels.HEADING], reference[:, kernels.HEADING] = [0.0, 3.0], [np.pi / 2, -3.0]
+    speeds, errors = kernels.lateral_state(states, reference)
+    assert speeds.tolist() == [5.0, 6.0]
+    assert np.allclose(errors, [[-1.0, -np.pi / 2, 0.1], [2 * np.sin(3.0), 6 - 2 * np.pi, 0.1]])
+    v, k = np.arange(10.0)[None], np.arange(10.0)[None] / 10
+    assert kernels.looked_ahead(v, k, 2, 3)[0].tolist() == [5.0] and np.allclose(kernels.looked_ahead(v, k, 2, 3)[1], [[0.2, 0.3, 0.4]])
+    assert kernels.looked_ahead(v, k, 8, 4)[0].tolist() == [9.0] and np.allclose(kernels.looked_ahead(v, k, 8, 4)[1], [[0.8, 0.9, 0.9, 0.9]])
+    accel, steer = kernels.stopping_command(np.array([1.0]), np.array([0.0]), gain=0.5)
+    assert accel.tolist() == [-0.5] and steer.tolist() == [0.0]
