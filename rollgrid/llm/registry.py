@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from rollgrid.llm import decontaminate, html_text, language_id, line_dedup, mixing, near_dedup, quality, substring_dedup, token_counts, top_k
+from rollgrid.llm import clustering, decontaminate, html_text, language_id, line_dedup, mixing, near_dedup, quality, substring_dedup, token_counts, top_k
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_clusters": clustering.op11_clusters,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op7_mixing": mixing.OP7_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
+    "op11_clusters": clustering.OP11_SQL,
 }
