@@ -2,7 +2,7 @@
 
 Texts become token ids and an end token; those longer than a sequence are cut, the remainder first. What is packed is
 the histogram of piece lengths, which has ``capacity`` entries whatever the corpus: patterns of one to three lengths that
-fill a sequence to within ``WASTE`` tokens are enumerated, their repeat counts are fitted to the histogram by
+fill a sequence to a ``WASTE``-th are enumerated, their repeat counts are fitted to the histogram by
 non-negative least squares (projected gradient with momentum over the sparse columns), rounded as far as the histogram
 holds them, and what is left is packed by best fit, longest first, again by length and count: sequences of like
 contents stay together with the number of times they are repeated.
@@ -14,8 +14,10 @@ ranked within their length by counted buckets, so that no task sees a whole leng
 
 from __future__ import annotations
 
+import itertools
+import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +31,13 @@ from rollgrid.llm.token_counts import vocabulary_path
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 2048
 END = 0
-#: Tokens that a fitted pattern may leave empty.
-WASTE = 8
+#: A fitted pattern may leave one token of so many empty.
+WASTE = 256
 #: Rounds of the fit, and the weight that the shortest lengths have in it: short pieces are wanted for the gaps later.
 ROUNDS, LIGHTEST = 200, 0.1
-#: Shares of the fitted counts of which the one that needs the fewest sequences is used.
-SHARES = (1.0, 0.9, 0.75, 0.5)
+#: Fractions from which on fitted counts are rounded up: of these the one that gives the fewest sequences is used, of equal
+#: ones the one that leaves the least to best fit.
+UP_FROM = (0.5, 0.25, 0.1)
 #: Pieces in a bucket, about.
 BUCKET = 100_000
 #: Characters of texts that go to the tokenizer at once.
@@ -55,16 +58,18 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
-def token_ids(path: str, texts: list[str], end: int) -> Iterator[np.ndarray]:
-    """The ids of each text, little-endian unsigned 32-bit, with the end token."""
-    library, low = tokenizer(path), 0
-    while low < len(texts):
-        high, size = low + 1, len(texts[low])
-        while high < len(texts) and size + len(texts[high]) <= CHARACTERS:
-            size, high = size + len(texts[high]), high + 1
-        for found in library.encode_batch(texts[low:high], add_special_tokens=False):
-            yield np.array([*found.ids, end], "<u4")
-        low = high
+def token_ids(path: str, texts: Iterable[str], end: int) -> Iterator[np.ndarray]:
+    """The ids of each text, little-endian unsigned 32-bit, with the end token; few texts are held at a time."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks in parallel
+    library, held, size = tokenizer(path), [], 0
+    for text in itertools.chain(texts, [None]):
+        if held and (text is None or size + len(text) > CHARACTERS):
+            for found in library.encode_batch(held, add_special_tokens=False):
+                yield np.array([*found.ids, end], "<u4")
+            held, size = [], 0
+        if text is not None:
+            held.append(text)
+            size += len(text)
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -80,7 +85,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
         path = vocabulary_path(vocabulary)
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
-            for row, ids in enumerate(token_ids(path, batch.column(1).to_pylist(), end)):
+            for row, ids in enumerate(token_ids(path, (x.as_py() for x in batch.column(1)), end)):
                 for piece, (start, length) in enumerate(cuts(len(ids), capacity)):
                     own = ids[start : start + length]
                     for column, value in zip(rows, (row, piece, start, length, zlib.crc32(own.tobytes()), own.astype(np.int32) if with_ids else None)):
@@ -95,9 +100,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
     return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def patterns(histogram: np.ndarray, capacity: int = CAPACITY, waste: int = WASTE) -> np.ndarray:
-    """Rows of three lengths, longest first and 0 for none, that the histogram has and that fill all but ``waste`` tokens:
+def patterns(histogram: np.ndarray, capacity: int = CAPACITY, waste: int | None = None) -> np.ndarray:
+    """Rows of three lengths, longest first and 0 for none, that the histogram has and that fill all but ``waste`` tokens
+    (by default one of ``WASTE``):
     single lengths, and for each pair the longest third that fits and is no longer than its shorter one."""
+    waste = capacity // WASTE if waste is None else waste
     present = np.flatnonzero(histogram)
     present = present[present > 0]
     if not len(present):
@@ -144,18 +151,20 @@ def fitted(found: np.ndarray, histogram: np.ndarray, rounds: int = ROUNDS) -> np
     return x * scale
 
 
-def rounded(found: np.ndarray, counts: np.ndarray, histogram: np.ndarray, share: float = 1.0) -> tuple[list[tuple[int, list[int]]], np.ndarray]:
-    """Whole repeats (times, lengths) of the fitted counts, largest first and as far as the histogram lasts; the rest of it."""
-    left, out = histogram.copy(), []
-    for p in np.argsort(-counts, kind="stable").tolist():
-        if counts[p] <= 1e-9:
-            break
-        lengths, times = np.unique(found[p][found[p] > 0], return_counts=True)
-        n = int(min(np.ceil(share * counts[p]), (left[lengths] // times).min()))
+def rounded(found: np.ndarray, counts: np.ndarray, histogram: np.ndarray, up_from: float = 0.5) -> tuple[list[tuple[int, list[tuple[int, int]]]], np.ndarray]:
+    """Whole repeats (times, [(length, pieces)]) of the fitted counts, largest first and as far as the histogram lasts; and
+    the rest of it."""
+    left, out = histogram.tolist(), []
+    whole = np.floor(counts + 1 - up_from).astype(np.int64)
+    for p in np.argsort(-counts, kind="stable")[: int((whole > 0).sum())].tolist():
+        lengths = [x for x in found[p].tolist() if x]
+        contents = [(x, lengths.count(x)) for x in dict.fromkeys(lengths)]
+        n = min(int(whole[p]), *(left[x] // m for x, m in contents))
         if n > 0:
-            left[lengths] -= n * times
-            out.append((n, sorted(found[p][found[p] > 0].tolist(), reverse=True)))
-    return out, left
+            for x, m in contents:
+                left[x] -= n * m
+            out.append((n, contents))
+    return out, np.array(left)
 
 
 def best_fit(left: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -191,13 +200,12 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, lis
     """(repeats, [(length, pieces in each)]) of sequences that hold the whole histogram (entry n: pieces of length n)."""
     found = patterns(histogram, capacity)
     counts = fitted(found, histogram)
-    best: list | None = None
-    for share in SHARES:
-        whole, left = rounded(found, counts, histogram, share)
-        groups = [(n, [(int(x), int(m)) for x, m in zip(*np.unique(lengths, return_counts=True))]) for n, lengths in whole] + best_fit(left, capacity)
-        if best is None or sum(n for n, _ in groups) < sum(n for n, _ in best):
-            best = groups
-    return best or []
+    tried = []
+    for up_from in UP_FROM:
+        whole, left = rounded(found, counts, histogram, up_from)
+        rest = best_fit(left, capacity)
+        tried.append((sum(n for n, _ in whole + rest), sum(n for n, _ in rest), up_from, whole + rest))
+    return min(tried)[3]
 
 
 def slots(groups: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.ndarray]:
@@ -249,8 +257,8 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table.value
-        span = int(t["rank"].max(initial=0)) + int(histogram.max()) + 1  # lengths and ranks as one number, in their order
-        keys = t["length"] * span + t["rank"] if span < 2**50 else None
+        span = int(histogram.max()) + 1  # lengths and ranks as one number, in their order
+        keys = t["length"] * span + t["rank"]
         for batch in batches:
             length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
             at = np.searchsorted(keys, length * span + rank, side="right") - 1

@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from rollgrid.llm import clustering, decontaminate, filter_audit, html_text, language_id, line_dedup, mixing, near_dedup, quality, substring_dedup, token_counts, top_k
+from rollgrid.llm import clustering, decontaminate, filter_audit, html_text, language_id, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, token_counts, top_k
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_clusters": clustering.op11_clusters,
+    "op12_packing": packing.op12_packing,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
