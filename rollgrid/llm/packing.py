@@ -15,7 +15,10 @@ ranked within their length by counted buckets, so that no task sees a whole leng
 from __future__ import annotations
 
 import itertools
+import json
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -43,29 +46,83 @@ BUCKET = 100_000
 #: Characters of texts that go to the tokenizer at once.
 CHARACTERS = 1 << 20
 
-_tokenizers: dict[str, object] = {}
+#: Code points that the word splitter below decides; texts with others are left to the library whole.
+KNOWN = [chr(c) for c in range(0x250) if not 0x1C <= c <= 0x1F]
+BLANK = " \t\n\x0b\x0c\r\x85\xa0"
+#: Words that a worker remembers, and characters of the longest of them.
+WORDS, LONGEST = 400_000, 64
+#: Words that the library gets at once.
+TOGETHER = 512
 
 
-def tokenizer(path: str):
-    """The library's tokenizer of a vocabulary file, read once in each Python worker."""
-    if path not in _tokenizers:
+def word_pattern() -> re.Pattern:
+    """The splitter of byte-level vocabularies over ``KNOWN`` characters: contractions, letters, digits, other marks (each
+    with a space before them) and white space, of which the last blank goes with the next word."""
+    kind = lambda first: "".join(re.escape(c) for c in KNOWN if unicodedata.category(c)[0] == first)
+    letter, digit, blank = kind("L"), kind("N"), re.escape(BLANK)
+    return re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{digit}]+| ?[^{blank}{letter}{digit}]+|[{blank}]+(?![^{blank}])|[{blank}]+")
+
+
+class Ids:
+    """Token ids of whole texts as the library gives them, as little-endian unsigned 32-bit bytes.
+
+    Byte-level vocabularies encode each word of their splitter by itself. So texts of known characters are split here,
+    words are encoded by the library once, and remembered. Texts with special strings or other characters, and
+    vocabularies that are prepared in another way, go through the library as they are.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        found = Tokenizer.from_file(path)
-        found.no_truncation()
-        found.no_padding()
-        _tokenizers[path] = found
-    return _tokenizers[path]
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks in parallel
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        made = json.loads(self.library.to_str())
+        split = made["pre_tokenizer"] or {}
+        self.by_word = made["normalizer"] is None and made["model"]["type"] == "BPE" and not made["model"].get("dropout") and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) == ("ByteLevel", False, True)
+        special = [re.escape(x["content"]) for x in made["added_tokens"]]
+        known = "".join(re.escape(c) for c in KNOWN)
+        self.other, self.pattern = re.compile("|".join([f"[^{known}]", *special])), word_pattern()
+        self.words: dict[str, bytes] = {}
+
+    def _remember(self, words: Iterable[str]) -> dict[str, bytes]:
+        """The ids of words; those of short ones are kept for later texts."""
+        if len(self.words) > WORDS:
+            self.words = {}
+        fresh, found = list(words), {}
+        for low in range(0, len(fresh), TOGETHER):
+            some = fresh[low : low + TOGETHER]
+            made = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
+            raw, owner = np.array(made.ids, "<u4").tobytes(), np.array(made.word_ids, np.int64)
+            ends = (4 * np.searchsorted(owner, np.arange(len(some) + 1))).tolist()
+            found.update((word, raw[start:stop]) for word, start, stop in zip(some, ends, ends[1:]))
+        self.words.update((word, ids) for word, ids in found.items() if len(word) <= LONGEST)
+        return found
+
+    def of(self, texts: list[str]) -> Iterator[bytes]:
+        split = [self.pattern.findall(text) if self.by_word and not self.other.search(text) else None for text in texts]
+        fresh = self._remember(set(itertools.chain.from_iterable(x for x in split if x)).difference(self.words))
+        whole = iter(self.library.encode_batch([t for t, x in zip(texts, split) if x is None], add_special_tokens=False))
+        known = self.words
+        for words in split:
+            if words is None:
+                yield np.array(next(whole).ids, "<u4").tobytes()
+            else:
+                yield b"".join([known[w] if w in known else fresh[w] for w in words])
+
+
+_ids: dict[str, Ids] = {}
 
 
-def token_ids(path: str, texts: Iterable[str], end: int) -> Iterator[np.ndarray]:
-    """The ids of each text, little-endian unsigned 32-bit, with the end token; few texts are held at a time."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks in parallel
-    library, held, size = tokenizer(path), [], 0
+def token_ids(path: str, texts: Iterable[str], end: int) -> Iterator[bytes]:
+    """The ids of each text and the end token; few texts are held at a time, the vocabulary is read once in each worker."""
+    if path not in _ids:
+        _ids[path] = Ids(path)
+    last, held, size = np.array([end], "<u4").tobytes(), [], 0
     for text in itertools.chain(texts, [None]):
         if held and (text is None or size + len(text) > CHARACTERS):
-            for found in library.encode_batch(held, add_special_tokens=False):
-                yield np.array([*found.ids, end], "<u4")
+            yield from (found + last for found in _ids[path].of(held))
             held, size = [], 0
         if text is not None:
             held.append(text)
@@ -86,9 +143,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
             for row, ids in enumerate(token_ids(path, (x.as_py() for x in batch.column(1)), end)):
-                for piece, (start, length) in enumerate(cuts(len(ids), capacity)):
-                    own = ids[start : start + length]
-                    for column, value in zip(rows, (row, piece, start, length, zlib.crc32(own.tobytes()), own.astype(np.int32) if with_ids else None)):
+                for piece, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
+                    own = ids[4 * start : 4 * (start + length)]
+                    for column, value in zip(rows, (row, piece, start, length, zlib.crc32(own), np.frombuffer(own, "<u4").astype(np.int32) if with_ids else None)):
                         column.append(value)
             at = pa.array(rows[0], pa.int64())
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]

@@ -11,6 +11,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from rollgrid.llm import clustering as C
 from rollgrid.llm import filter_audit as A
@@ -85,7 +86,7 @@ def test_copies_are_assigned_once(spark):
 
 def check_packing(found, docs, capacity):
     """Every id has its pieces as the library gives them, and sequences are gapless and not too full."""
-    library = P.tokenizer(vocabulary_path(P.VOCABULARY))
+    library = Tokenizer.from_file(vocabulary_path(P.VOCABULARY))
     want = []
     for i, text in docs:
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
@@ -144,11 +145,25 @@ def test_packing_of_odd_rows(spark):
 def test_sequences_hold_the_ids(spark):
     docs = [(1, "one two three"), (2, "a lamp on the river"), (3, None)]
     out = P.sequences(P.packed(spark.createDataFrame(docs, "doc_id long, text string"), 2048, with_ids=True)).collect()
-    library = P.tokenizer(vocabulary_path(P.VOCABULARY))
+    library = Tokenizer.from_file(vocabulary_path(P.VOCABULARY))
     want = {i: [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t in docs}
     assert len(out) == 1 and out[0].ids == [x for i in out[0].doc_ids for x in want[i]] and out[0].n_tokens == len(out[0].ids)
 
 
+def test_ids_are_the_library_s():
+    """Random texts of all kinds of characters, blanks, contractions, special strings and long words."""
+    rng = random.Random(11)
+    marks = ["a", "Z", "é", "ß", "\xaa", "\xb2", "7", "'s", "'ll", "'", " ", "  ", "\n", "\t", "\xa0", "\x85", "\x1c", "-", "$", "_", "\x00", "ɐ", "你", "🎉", "<|endoftext|>", "the ", "don't "]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(40))) for _ in range(3000)] + ["x" * 500 + " " + "y" * 70, "", " ", "\n \n"]
+    texts += ["".join(rng.choice(marks[:-7]) for _ in range(40)) for _ in range(3000)]
+    library = Tokenizer.from_file(vocabulary_path(P.VOCABULARY))
+    want = [[*library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in P.token_ids(vocabulary_path(P.VOCABULARY), texts, 0)] == want
+    other = vocabulary_path("word_bpe_49k.json")
+    library = Tokenizer.from_file(other)
+    assert [np.frombuffer(x, "<u4").tolist() for x in P.token_ids(other, texts, 0)] == [[*library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
 def test_plan_holds_the_histogram():
     """Any histogram is held exactly, near the least number of sequences; a length may be most of it."""
     rng = np.random.default_rng(3)
