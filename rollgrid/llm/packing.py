@@ -49,8 +49,8 @@ CHARACTERS = 1 << 20
 #: Code points that the word splitter below decides; texts with others are left to the library whole.
 KNOWN = [chr(c) for c in range(0x250) if not 0x1C <= c <= 0x1F]
 BLANK = " \t\n\x0b\x0c\r\x85\xa0"
-#: Words that a worker remembers, and characters of the longest of them.
-WORDS, LONGEST = 400_000, 64
+#: Characters of the words that a worker remembers; beyond them it starts anew.
+REMEMBERED = 6_000_000
 #: Words that the library gets at once.
 TOGETHER = 512
 
@@ -85,31 +85,26 @@ class Ids:
         known = "".join(re.escape(c) for c in KNOWN)
         self.other, self.pattern = re.compile("|".join([f"[^{known}]", *special])), word_pattern()
         self.words: dict[str, bytes] = {}
+        self.held = 0  # characters of these words
 
-    def _remember(self, words: Iterable[str]) -> dict[str, bytes]:
-        """The ids of words; those of short ones are kept for later texts."""
-        if len(self.words) > WORDS:
-            self.words = {}
-        fresh, found = list(words), {}
-        for low in range(0, len(fresh), TOGETHER):
-            some = fresh[low : low + TOGETHER]
+    def _learn(self, words: list[str]) -> None:
+        for low in range(0, len(words), TOGETHER):
+            some = words[low : low + TOGETHER]
             made = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
-            raw, owner = np.array(made.ids, "<u4").tobytes(), np.array(made.word_ids, np.int64)
-            ends = (4 * np.searchsorted(owner, np.arange(len(some) + 1))).tolist()
-            found.update((word, raw[start:stop]) for word, start, stop in zip(some, ends, ends[1:]))
-        self.words.update((word, ids) for word, ids in found.items() if len(word) <= LONGEST)
-        return found
+            raw = np.array(made.ids, "<u4").tobytes()
+            ends = (4 * np.searchsorted(made.word_ids, np.arange(len(some) + 1))).tolist()
+            self.words.update(zip(some, [raw[start:stop] for start, stop in zip(ends, ends[1:])]))
+        self.held += sum(map(len, words))
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
+        if self.held > REMEMBERED:
+            self.words, self.held = {}, 0
         split = [self.pattern.findall(text) if self.by_word and not self.other.search(text) else None for text in texts]
-        fresh = self._remember(set(itertools.chain.from_iterable(x for x in split if x)).difference(self.words))
+        self._learn(list(set(itertools.chain.from_iterable(x for x in split if x)).difference(self.words)))
         whole = iter(self.library.encode_batch([t for t, x in zip(texts, split) if x is None], add_special_tokens=False))
-        known = self.words
+        of_word = self.words.__getitem__
         for words in split:
-            if words is None:
-                yield np.array(next(whole).ids, "<u4").tobytes()
-            else:
-                yield b"".join([known[w] if w in known else fresh[w] for w in words])
+            yield np.array(next(whole).ids, "<u4").tobytes() if words is None else b"".join(map(of_word, words))
 
 
 _ids: dict[str, Ids] = {}
