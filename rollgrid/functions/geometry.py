@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rollgrid.functions.arrays import bound
+
 
 def pose(x: Column, y: Column, heading: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), heading.cast("double").alias("heading"))
@@ -183,9 +185,10 @@ def completed(poses: Column, steps: int, interval: float) -> Column:
     return F.slice(F.concat(poses, more), 1, steps)
 
 
-def at_distance(points: Column, distance: Column) -> Column:
+def at_distance(points: Column, distance: Column, lengths: Column | None = None) -> Column:
     """The point (x, y) of a path at a distance from its start, clipped to the path; NaN counts as 0."""
-    lengths = path_progress(points)
+    if lengths is None:
+        return bound(path_progress(points), lambda d: at_distance(points, distance, d))
     want = F.when(F.isnan(distance), F.lit(0.0)).otherwise(distance)
     want = F.greatest(F.lit(0.0), F.least(want, F.element_at(lengths, -1)))
     i = F.greatest(F.size(F.filter(lengths, lambda d: d < want)), F.lit(1))
@@ -197,7 +200,10 @@ def at_distance(points: Column, distance: Column) -> Column:
 
 def projected(points: Column, x: Column, y: Column) -> Column:
     """Distance from the start of a path to its point nearest to (x, y)."""
-    lengths = path_progress(points)
+    return bound(path_progress(points), lambda d: _projected(points, x, y, d))
+
+
+def _projected(points: Column, x: Column, y: Column, lengths: Column) -> Column:
     n = F.size(points)
 
     def segment(i: Column) -> Column:
@@ -212,9 +218,12 @@ def projected(points: Column, x: Column, y: Column) -> Column:
 
 def between_distances(points: Column, start: Column, stop: Column) -> Column:
     """The part of a path between two distances, with interpolated ends."""
-    lengths = path_progress(points)
+    return bound(path_progress(points), lambda d: _between(points, start, stop, d))
+
+
+def _between(points: Column, start: Column, stop: Column, lengths: Column) -> Column:
     inner = F.filter(F.transform(F.arrays_zip(points.alias("p"), lengths.alias("d")), lambda z: F.struct(z["d"].alias("d"), z["p"]["x"].alias("x"), z["p"]["y"].alias("y"))), lambda z: (z["d"] > start) & (z["d"] < stop))
-    return F.concat(F.array(at_distance(points, start)), F.transform(inner, lambda z: F.struct(z["x"].alias("x"), z["y"].alias("y"))), F.array(at_distance(points, stop)))
+    return F.concat(F.array(at_distance(points, start, lengths)), F.transform(inner, lambda z: F.struct(z["x"].alias("x"), z["y"].alias("y"))), F.array(at_distance(points, stop, lengths)))
 
 
 def tracks(names: Column, boxes: Column, velocities: Column, ids: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rollgrid.functions import geometry as G
-from rollgrid.operators import scenes, spatial
+from rollgrid.operators import polygons, scenes, spatial
 
 PROPOSAL = ["scene", "proposal"]
 STATE = [*PROPOSAL, "step"]
@@ -29,12 +29,8 @@ STOPPED, BESIDE = 5e-3, 0.5
 
 
 def meet(a: Column, b: Column) -> Column:
-    """Whether two convex rings of (x, y) share a point: no edge of either separates them."""
-    follow = lambda ring: F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1))
-    normals = lambda ring: F.zip_with(ring, follow(ring), lambda p, q: F.struct((q["y"] - p["y"]).alias("x"), (p["x"] - q["x"]).alias("y")))
-    along = lambda ring, n: F.transform(ring, lambda p: p["x"] * n["x"] + p["y"] * n["y"])
-    apart = lambda n: (F.array_max(along(a, n)) < F.array_min(along(b, n))) | (F.array_max(along(b, n)) < F.array_min(along(a, n)))
-    return ~F.exists(F.concat(normals(a), normals(b)), apart)
+    """Whether two rings of (x, y), concave ones too, share a point."""
+    return polygons.intersects(polygons.edges(F.array(a)), polygons.edges(F.array(b)))
 
 
 def contacts(boxes: DataFrame, objects: DataFrame, cell: float = 10.0) -> DataFrame:

@@ -32,7 +32,7 @@ def observed(agents: DataFrame, overlapping: DataFrame, steps: int, interval: fl
     return constant_velocity(replayed(agents, overlapping), steps, interval)
 
 
-def leading(objects: DataFrame, proposals: DataFrame, prefix: str = "red_light") -> DataFrame:
+def leading(objects: DataFrame, proposals: DataFrame, prefix: str = "red_light", key: Sequence[str] = ("scene", "proposal")) -> DataFrame:
     """The object that each proposal follows: (scene, proposal, token, lead_progress, lead_velocity).
 
     ``objects`` (scene, proposal, token, progress, distance, speed, heading) lie in the corridor of a proposal;
@@ -40,7 +40,7 @@ def leading(objects: DataFrame, proposals: DataFrame, prefix: str = "red_light")
     smallest token, at its distance from the vehicle and the speed along it, which is 0 for a red light. Without any, the
     end of the path leads.
     """
-    key = ["scene", "proposal"]
+    key = list(key)
     ahead = objects.join(proposals.select(*key, "ego_progress"), key).where(F.col("progress") > F.col("ego_progress"))
     nearest = ahead.groupBy(*key).agg(F.min(F.struct("distance", "token", "speed", "heading")).alias("o"))
     led = proposals.join(nearest, key, "left")

@@ -6,6 +6,8 @@ touches) followed by the exact predicate, so nothing is compared with everything
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,13 +40,32 @@ def boxes_overlapping(a: DataFrame, b: DataFrame, cell: float = 10.0) -> DataFra
     return met.where("ax0 <= bx1 and bx0 <= ax1 and ay0 <= by1 and by0 <= ay1").select("aid", "bid").distinct()
 
 
-def nearest(objects: DataFrame, x: float | Column, y: float | Column, limits: dict[str, int], kind: str = "type", order: str = "id") -> DataFrame:
-    """The k nearest objects of each listed type, k by type; ties by the order column."""
+def nearest(objects: DataFrame, x: float | Column, y: float | Column, limits: dict[str, int], kind: str = "type", order: str = "id", by: Sequence[str] = ()) -> DataFrame:
+    """The k nearest objects of each listed type, k by type, in each group of ``by`` (scene, say); ties by the order column.
+
+    ``x`` and ``y`` are one place, or columns that ``objects`` hold, such as the vehicle's. Objects without a distance or of
+    no listed type are left out; limits below 1 give none. Each task keeps the largest k of a group and type before
+    anything moves (a limit on the rank that Spark applies below the exchange), so a group sends k rows for each task.
+    """
     x, y = (F.lit(v) if isinstance(v, (int, float)) else v for v in (x, y))
+    limits = {t: k for t, k in limits.items() if k > 0}
+    if not limits:
+        return objects.withColumn("distance", F.lit(0.0)).limit(0)
     distance = F.sqrt(F.pow(F.col("x") - x, F.lit(2)) + F.pow(F.col("y") - y, F.lit(2)))
+    ranked = objects.where(F.col(kind).isin(list(limits))).withColumn("distance", distance).where(F.col("distance").isNotNull())
+    place = F.row_number().over(W.partitionBy(*by, kind).orderBy("distance", order))
+    near = ranked.withColumn("_n", place).where(F.col("_n") <= max(limits.values()))
     most = F.coalesce(*[F.when(F.col(kind) == t, F.lit(k)) for t, k in limits.items()])
-    ranked = objects.where(F.col(kind).isin(list(limits))).withColumn("distance", distance)
-    return ranked.withColumn("_n", F.row_number().over(W.partitionBy(kind).orderBy("distance", order))).where(F.col("_n") <= most).drop("_n")
+    return near.where(F.col("_n") <= most).drop("_n")
+
+
+def nearest_to_vehicles(objects: DataFrame, vehicles: DataFrame, limits: dict[str, int], static: int = 0, by: Sequence[str] = ("scene",), order: str = "id") -> DataFrame:
+    """``nearest`` around the vehicle (by, x, y) of each scene: dynamic objects by type, and ``static`` objects of all other
+    types together. Objects have type and agent (whether they move); objects of scenes without a vehicle are left out."""
+    around = objects.join(vehicles.select(*by, F.col("x").alias("ego_x"), F.col("y").alias("ego_y")), list(by))
+    kind = F.when(F.col("agent"), F.concat(F.lit("agent "), F.col("type"))).otherwise(F.lit("static"))
+    every = {**{f"agent {t}": k for t, k in limits.items()}, "static": static}
+    return nearest(around.withColumn("_kind", kind), F.col("ego_x"), F.col("ego_y"), every, "_kind", order, by).drop("_kind", "ego_x", "ego_y")
 
 
 def padded_agents(agents: DataFrame, scene: str, k: int, order: str = "distance") -> DataFrame:

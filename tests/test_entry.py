@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from rollgrid.plans import catalog
+from rollgrid.plans import catalog  # the entry has registered all queries
 
 SF = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parent.parent
