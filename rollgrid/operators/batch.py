@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -116,11 +118,41 @@ def folded(df: DataFrame, rows: int) -> DataFrame:
     return df.groupBy(F.floor(F.col(POS) / (n // rows)).cast("long").alias("fold")).agg(F.sort_array(F.collect_list(item)).alias("rows")).withColumnRenamed("fold", POS)
 
 
-def mini_batches(df: DataFrame, size: int, epochs: int = 1, seed: int | None = None) -> DataFrame:
-    """Columns epoch and batch: every epoch deals all rows, in the order of a hash of seed, epoch and pos if seeded."""
+def _grid(n: int) -> tuple[int, int]:
+    """Two factors near the root of ``n`` whose product is ``n`` or little more."""
+    root = max(1, math.isqrt(n))
+    return min(((a, -(-n // a)) for a in range(max(1, root - 64), root + 65)), key=lambda f: (f[0] * f[1], f[0]))
+
+
+def permuted(pos: Column, n: int, *seed: Column) -> Column:
+    """A bijection of the positions 0 to n - 1, another for each seed: four rounds of a Feistel network over a grid of
+    about n cells, walked on where it leaves the positions. A walk is no longer than the cells beyond n, and 64 steps."""
+    a, b = _grid(n)
+
+    def mixed(at: Column) -> Column:
+        left, right = F.floor(at / b).cast("long"), F.pmod(at, F.lit(b))
+        for turn in range(4):
+            if turn % 2:
+                right = F.pmod(right + F.pmod(F.xxhash64(*seed, F.lit(turn), left), F.lit(b)), F.lit(b))
+            else:
+                left = F.pmod(left + F.pmod(F.xxhash64(*seed, F.lit(turn), right), F.lit(a)), F.lit(a))
+        return left * b + right
+
+    first = mixed(pos.cast("long"))
+    beyond = a * b - n
+    return first if not beyond else F.aggregate(F.sequence(F.lit(1), F.lit(min(beyond, 64))), first, lambda at, _: F.when(at >= n, mixed(at)).otherwise(at))
+
+
+def mini_batches(df: DataFrame, size: int, epochs: int = 1, seed: int | None = None, n: int | None = None) -> DataFrame:
+    """Columns epoch and batch: every epoch deals all ``n`` rows (counted if not given), as they stand or, if seeded, by a
+    permutation of their positions of its own. Only arithmetic on pos: nothing is sorted or moved."""
     each = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    order = [F.col(POS)] if seed is None else [F.xxhash64(F.lit(seed), "epoch", POS), F.col(POS)]
-    return each.withColumn("batch", F.floor((F.row_number().over(W.partitionBy("epoch").orderBy(*order)) - 1) / size).cast("int"))
+    if seed is None:
+        place = F.col(POS)
+    else:
+        n = df.count() if n is None else n
+        place = permuted(F.col(POS), max(n, 1), F.lit(seed), F.col("epoch"))
+    return each.withColumn("batch", F.floor(place / size).cast("int"))
 
 
 def largest_differencing(lengths: Sequence[int], parts: int, equal: bool) -> list[list[int]]:
@@ -159,18 +191,40 @@ def greedy_parts(lengths: Sequence[int], parts: int, equal: bool) -> list[list[i
 
 
 def balanced(df: DataFrame, batch: str, length: str, parts: int, equal: bool = True) -> DataFrame:
-    """Column ``part``: rows of each batch dealt into parts of near equal total length."""
+    """Column ``part``: rows of each batch dealt into parts of near equal total length, and of equal size but for one row.
+
+    Rows stand in descending length and are dealt in rounds of one row for each part. Rounds inside one length are even
+    whoever gets what; only those over several lengths, fewer than the lengths of the batch, are set against each other by
+    largest differencing. What a task gathers is the histogram of a batch's lengths, never its rows. No two parts differ by
+    more than the largest length. Null lengths count as 0. With ``equal`` the rows must be a multiple of ``parts``.
+    """
+    rows = df.withColumn("_length", F.coalesce(F.col(length).cast("long"), F.lit(0)))
+    if equal and not rows.groupBy(batch).count().where(F.col("count") % parts != 0).isEmpty():
+        raise ValueError("equal parts need a multiple of their number")
+    histogram = rows.groupBy(batch, "_length").agg(F.count(F.lit(1)).alias("_n"))
+    kind = df.schema[batch].dataType.simpleString()
 
     def deal(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(POS).reset_index(drop=True)
-        part = [0] * len(group)
-        for p, rows in enumerate(largest_differencing([int(x) for x in group[length]], parts, equal)):
-            for i in rows:
-                part[i] = p
-        return group[[batch, POS]].assign(part=part)
-
-    kind = df.schema[batch].dataType.simpleString()
-    return df.join(df.select(batch, POS, length).groupBy(batch).applyInPandas(deal, f"{batch} {kind}, {POS} long, part int"), [batch, POS])
+        group = group.sort_values("_length", ascending=False)
+        lengths, ends = group["_length"].to_numpy(), group["_n"].cumsum().to_numpy()
+        n = int(ends[-1])
+        # the rounds in which one length ends and another follows, and the last, filled up with nothing
+        mixed = sorted({int(e) // parts for e in ends[:-1] if e % parts} | ({n // parts} if n % parts else set()))
+        taken = [int(lengths[min(int(np.searchsorted(ends, r, side="right")), len(ends) - 1)]) if r < n else 0 for m in mixed for r in range(m * parts, (m + 1) * parts)]
+        out: list[tuple[int, int, int]] = []
+        for p, members in enumerate(largest_differencing(taken, parts, True) if mixed else []):
+            out += [(mixed[i // parts], i % parts, p) for i in members]
+        frame = pd.DataFrame(out, columns=["_round", "_slot", "_part"])
+        frame.insert(0, batch, group[batch].iloc[0])
+        return frame
+
+    dealt = histogram.groupBy(batch).applyInPandas(deal, f"{batch} {kind}, _round long, _slot long, _part int")
+    placed = numbered(rows.withColumn("_least", -F.col("_length")), [batch, "_least", POS], "_at")
+    first = placed.groupBy(batch).agg(F.min("_at").alias("_first"))
+    rank = F.col("_at") - F.col("_first")
+    placed = placed.join(first, batch).withColumns({"_round": F.floor(rank / parts).cast("long"), "_slot": F.pmod(rank, F.lit(parts)).cast("long")})
+    out = placed.join(dealt, [batch, "_round", "_slot"], "left").withColumn("part", F.coalesce("_part", F.col("_slot").cast("int")))
+    return out.select(*df.columns, "part")
 
 
 def micro_batches(df: DataFrame, batch: str, length: str, most: int) -> DataFrame:

@@ -224,6 +224,45 @@ def bootstrap_ci(df: DataFrame, key: str, value: str, samples: int = 2000, seed:
     return df.select(key, value).groupBy(key).applyInPandas(resample, f"{key} {kind}, mean double, low double, high double")
 
 
+#: A prime below 2**31: its residues have products that fit in 64 bits. Multipliers of the hash of a row and replicate.
+PRIME, MULTIPLIERS = 2**31 - 1, (48271, 69621, 40692)
+#: Counts that a replicate may give a row at most; the chance of more is below 1e-10.
+MOST_COUNT = 12
+
+
+def poisson_counts(row: Column, replicate: Column, seed: int = 0) -> Column:
+    """How often a replicate takes a row: Poisson of mean 1, by a hash of the whole number ``row`` and the replicate."""
+    a, b, c = MULTIPLIERS
+    mod = lambda x: F.pmod(x, F.lit(PRIME))
+    begin = mod(mod(replicate.cast("long") + F.lit(seed + 1)) * a + 1)
+    mixed = mod(mod(row.cast("long")) * b + begin)
+    mixed = mod(mixed * mixed + begin)
+    mixed = mod(mod(mixed * c) + mod(mixed * mixed))
+    total, bounds = 0.0, []
+    for k in range(MOST_COUNT):
+        total += math.exp(-1) / math.factorial(k)
+        bounds.append(int(total * PRIME))
+    return sum(((mixed >= F.lit(b)).cast("int") for b in bounds), F.lit(0))
+
+
+def poisson_bootstrap(df: DataFrame, key: str, value: str, row: str, samples: int = 1000, seed: int = 0) -> DataFrame:
+    """Per group and replicate the mean of a resample: key, replicate, mean.
+
+    Each replicate takes every row a Poisson number of times, by a hash, in place of drawing from a gathered group: a group
+    needs two sums for each replicate, which tasks add up before anything moves, and reruns agree. ``row`` is a whole number
+    that tells rows apart; null values take no part, and a replicate that takes no row has no mean.
+    """
+    each = df.where(F.col(value).isNotNull() & F.col(row).isNotNull()).select(key, F.col(value).cast("double").alias("_x"), F.col(row).alias("_row"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("replicate"))
+    counts = each.withColumn("_w", poisson_counts(F.col("_row"), F.col("replicate"), seed))
+    return counts.groupBy(key, "replicate").agg(F.try_divide(F.sum(F.col("_w") * F.col("_x")), F.sum("_w")).alias("mean"))
+
+
+def poisson_ci(df: DataFrame, key: str, value: str, row: str, samples: int = 1000, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """Mean of each group and the percentile interval of its resampled means: key, mean, low, high."""
+    ends = poisson_bootstrap(df, key, value, row, samples, seed).groupBy(key).agg(*[F.percentile("mean", F.lit(q)).alias(n) for q, n in (((1 - level) / 2, "low"), ((1 + level) / 2, "high"))])  # ``samples`` means a group
+    return df.groupBy(key).agg(F.avg(value).alias("mean")).join(ends, key)
+
+
 def sampling_caps(grid: DataFrame, target: int, steps: int, trials: int = 20_000, seed: int = 0) -> DataFrame:
     """For rows (ratio, cap): the chance that cap batches of ``target`` groups give too few informative ones, the same
     for a run of ``steps`` steps, and the mean number of batches."""

@@ -582,7 +582,7 @@ def streamed_group_stats(spark, sf_dir):
     """The events read as a stream until all is there; running statistics by user."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumnRenamed("user_id", "token")
-    return rounded(logs.complete(logs.running_group_stats(stream, "token", "value")), 4)
+    return rounded(logs.settled(logs.running_group_stats(stream, "token", "value"), ["token"]), 4)
 
 
 @query("""
@@ -591,5 +591,5 @@ def streamed_windows(spark, sf_dir):
     """Counts of tumbling days of event time."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = logs.complete(logs.windowed_counts(stream, length="1 day", late="400 days"))
+    out = logs.settled(logs.windowed_counts(stream, length="1 day", late="400 days"), ["window", "event_type"])
     return rounded(out.select(F.unix_seconds("window.start").alias("begins"), "event_type", "n", "total"), 4)

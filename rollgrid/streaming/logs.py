@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
+from rollgrid.operators.storage import folder
 from rollgrid.sources import schemas
 
 
@@ -72,11 +75,51 @@ def drained(query: StreamingQuery) -> None:
         query.stop()
 
 
-def complete(aggregated: DataFrame) -> DataFrame:
-    """The result of a streaming aggregation over all input that is there now."""
-    import uuid
+def keyed_sink(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", every: str | None = None) -> StreamingQuery:
+    """Write each micro-batch of a stream once, whatever fails in between; read the rows with ``keyed``.
 
-    name = f"stream_{uuid.uuid4().hex}"
-    query = aggregated.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return aggregated.sparkSession.table(name)
+    A batch goes to the folder of its number, and a ledger entry is made when it stands. A batch that comes again after a
+    restart is passed over if the ledger has it, and else overwrites what its first try left. ``every`` is a trigger
+    interval; with None what is there is written, then the query stops.
+    """
+
+    def put(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        if not _listed(spark, f"{path}/ledger/batch={batch}"):
+            rows.write.mode("overwrite").parquet(f"{path}/data/batch={batch}")
+            spark.range(batch, batch + 1).toDF("batch").write.mode("overwrite").parquet(f"{path}/ledger/batch={batch}")
+
+    writer = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode(mode)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def _listed(spark: SparkSession, folder: str) -> bool:
+    """Whether a write to a folder has ended."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return bool(mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark))
+
+
+def keyed(spark: SparkSession, path: str, schema: str | StructType, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """The last row of each key that ``keyed_sink`` has written: of the latest batch, and inside it the greatest ``order``.
+
+    Batches without a ledger entry do not count. An aggregation that combines map-side.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/ledger")
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return spark.createDataFrame([], schema)
+    written = spark.read.schema("batch long").parquet(f"{path}/ledger").select("batch").distinct()
+    kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    data = spark.read.option("basePath", f"{path}/data").schema(StructType([*kind.fields, StructField("batch", LongType())])).parquet(f"{path}/data")
+    data = data.join(written, "batch", "left_semi")
+    last = F.max_by(F.struct(*kind.names), F.struct("batch", *([order] if order else []))).alias("_row")
+    return data.groupBy(*keys).agg(last).select("_row.*")
+
+
+def settled(aggregated: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The result of a streaming aggregation over all input that is there now, by its keys, through a keyed sink in the
+    folder that driver and executors share: changed groups are upserted, and nothing passes through the driver."""
+    spark = aggregated.sparkSession
+    path = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    keyed_sink(aggregated, f"{path}/rows", f"{path}/checkpoint", "update").awaitTermination()
+    return keyed(spark, f"{path}/rows", aggregated.schema, keys)

@@ -121,7 +121,7 @@ def test_streams_of_rollouts(spark, tmp_path):
     source.mkdir()
     lines(source / "1.jsonl", [{"token": "a", "pdms_scaled": 0.0}, {"token": "a", "pdms_scaled": 1.0}])
     stream = logs.rollout_stream(spark, f"file://{source}")
-    got = logs.complete(logs.running_group_stats(stream)).first()
+    got = logs.settled(logs.running_group_stats(stream), ["token"]).first()
     assert got.group_size == 2 and got.pdms_scaled_std == pytest.approx(0.5**0.5)
     q = logs.append_jsonl(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/ck", every=None)
     q.awaitTermination()
