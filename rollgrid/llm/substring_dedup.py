@@ -327,14 +327,13 @@ def repeated_spans_sql(docs: str, run_words: int = RUN_WORDS) -> str:
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w,
          string_split_regex(text, '[^\x20\x09-\x0D]+') AS blanks FROM {docs} WHERE text IS NOT NULL),
-places AS (
-  SELECT doc_id, i, sum(length(b) + length(word)) OVER (PARTITION BY doc_id ORDER BY i) AS stop, length(word) AS n
-  FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, unnest(blanks[:len(w)]) AS b FROM d)),
-win AS (
-  SELECT doc_id, i, array_to_string(w[i:i + {run_words - 1}], ' ') AS p
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - {run_words - 2})) AS i FROM d WHERE len(w) >= {run_words})),
-firsts AS (SELECT p, min(doc_id) AS first_doc_id FROM win GROUP BY p HAVING min(doc_id) <> max(doc_id)),
-again AS (SELECT doc_id, i, first_doc_id FROM win JOIN firsts USING (p) WHERE doc_id <> first_doc_id),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, unnest(blanks[:len(w)]) AS b FROM d),
+places AS (SELECT doc_id, i, sum(length(b) + length(word)) OVER (PARTITION BY doc_id ORDER BY i) AS stop, length(word) AS n FROM words),
+same AS (
+  SELECT doc_id, i, md5(p) AS p FROM (SELECT doc_id, i, string_agg(word, ' ') OVER ahead AS p, count(*) OVER ahead AS n FROM words
+    WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {run_words - 1} FOLLOWING)) WHERE n = {run_words}),
+firsts AS (SELECT p, min(doc_id) AS first_doc_id FROM same GROUP BY p HAVING min(doc_id) <> max(doc_id)),
+again AS (SELECT doc_id, i, first_doc_id FROM same JOIN firsts USING (p) WHERE doc_id <> first_doc_id),
 marked AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {run_words} THEN 0 ELSE 1 END AS new FROM again),
 numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM marked),
 spans AS (SELECT doc_id, min(i) AS low, max(i) + {run_words - 1} AS high, min(first_doc_id) AS first_doc_id FROM numbered GROUP BY doc_id, island)
