@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,39 +28,43 @@ def reached(edges: DataFrame, starts: DataFrame, depth: int, backward: bool = Fa
     return seen
 
 
-def shortest_paths(edges: DataFrame, queries: DataFrame, graph: str = "graph") -> DataFrame:
-    """For queries (graph, src, dst): the cheapest path and its cost. Edges: (graph, src, dst, cost), one small graph each.
+def shortest_paths(edges: DataFrame, queries: DataFrame, graph: str = "graph", delta: float | None = None) -> DataFrame:
+    """For queries (graph, src, dst): the cheapest path, its cost, and whether the target was found.
 
-    Where the target cannot be reached, the path leads to the reached node that is the most edges away (of these the
-    cheapest), and ``found`` is false.
-    """
+    Edges are (graph, src, dst, cost), graphs of any size; costs are 0 or more, and edges without a cost are left out. Of
+    paths of equal cost that of fewer edges is taken, then the smallest in the order of its nodes. Where the target cannot
+    be reached, the path leads to the reached node that is the most edges away (of these the cheapest, then the smallest).
 
-    def search(edge_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
-        out_edges: dict[str, list[tuple[str, float]]] = {}
-        for s, d, c in zip(edge_rows["src"], edge_rows["dst"], edge_rows["cost"]):
-            out_edges.setdefault(s, []).append((d, float(c)))
-        rows = []
-        for g, s, d in zip(query_rows[graph], query_rows["src"], query_rows["dst"]):
-            best, hops, back, heap = {s: 0.0}, {s: 0}, {}, [(0.0, s)]
-            while heap:
-                cost, node = heapq.heappop(heap)
-                if node == d:
-                    break
-                if cost > best[node]:
-                    continue
-                for to, extra in sorted(out_edges.get(node, [])):
-                    if cost + extra < best.get(to, float("inf")):
-                        best[to], hops[to], back[to] = cost + extra, hops[node] + 1, node
-                        heapq.heappush(heap, (cost + extra, to))
-            end = d if d in best else min(best, key=lambda n: (-hops[n], best[n], n))
-            path = [end]
-            while path[-1] in back:
-                path.append(back[path[-1]])
-            rows.append((g, s, d, path[::-1], best[end], d in best))
-        return pd.DataFrame(rows, columns=[graph, "src", "dst", "path", "cost", "found"])
-
-    kind, node = edges.schema[graph].dataType.simpleString(), edges.schema["src"].dataType.simpleString()
-    return edges.groupBy(graph).cogroup(queries.groupBy(graph)).applyInPandas(search, f"{graph} {kind}, src {node}, dst {node}, path array<{node}>, cost double, found boolean")
+    Delta stepping: every node that a start has reached has a label of cost, edges and path. In each round the open labels
+    within ``delta`` of the cheapest (all, by default) are carried over their edges, the least label of each node is an
+    aggregation, and nodes whose label fell are open again. Labels are written and read again, so no plan holds more than a
+    round, and no task sees a whole graph.
+    """
+    if not edges.where(F.col("cost") < 0).isEmpty():
+        raise ValueError("costs must not be negative")
+    key = [graph, "start", "node"]
+    steps = edges.where(F.col("cost").isNotNull()).groupBy(graph, F.col("src").alias("node"), F.col("dst").alias("_next")).agg(F.min(F.col("cost").cast("double")).alias("_cost"))
+    steps = stored(steps, "graph-steps")
+    node = edges.schema["src"].dataType.simpleString()
+    zero = F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("edges"), F.array(F.col("src").cast(node)).alias("path"))
+    known = left = stored(queries.select(graph, F.col("src").cast(node).alias("start"), F.col("src").cast(node).alias("node"), zero.alias("label")).distinct(), "graph-labels")
+    while not left.isEmpty():
+        bound = None if delta is None else left.agg(F.min("label.cost")).first()[0] + delta
+        active, later = (left, None) if bound is None else (left.where(F.col("label.cost") <= bound), left.where(F.col("label.cost") > bound))
+        following = F.struct((F.col("label.cost") + F.col("_cost")).alias("cost"), (F.col("label.edges") + 1).alias("edges"), F.concat("label.path", F.array("_next")).alias("path"))
+        reached_ = active.join(steps, [graph, "node"]).select(graph, "start", F.col("_next").alias("node"), following.alias("label")).groupBy(*key).agg(F.min("label").alias("label"))
+        better = reached_.join(known.withColumnRenamed("label", "_old"), key, "left").where(F.col("_old").isNull() | (F.col("label") < F.col("_old"))).drop("_old")
+        better = stored(better, "graph-better")
+        known = stored(known.unionByName(better).groupBy(*key).agg(F.min("label").alias("label")), "graph-labels")
+        # a label that has fallen meanwhile is open with its new value only
+        left = better if later is None else stored(later.unionByName(better).groupBy(*key).agg(F.min("label").alias("label")), "graph-open")
+    asked = queries.select(graph, F.col("src").cast(node).alias("src"), F.col("dst").cast(node).alias("dst"))
+    hit = asked.join(known.select(graph, F.col("start").alias("src"), F.col("node").alias("dst"), "label"), [graph, "src", "dst"], "left")
+    furthest = known.groupBy(graph, F.col("start").alias("src")).agg(F.max("label.edges").alias("_most"))
+    ends = known.withColumnRenamed("start", "src").join(furthest, [graph, "src"]).where(F.col("label.edges") == F.col("_most"))
+    ends = ends.groupBy(graph, "src").agg(F.min_by("label", F.struct("label.cost", "node")).alias("_end"))
+    out = hit.join(ends, [graph, "src"]).withColumn("_l", F.coalesce("label", "_end"))
+    return out.select(graph, "src", "dst", F.col("_l.path").alias("path"), F.col("_l.cost").alias("cost"), F.col("label").isNotNull().alias("found"))
 
 
 def without_loops(routes: DataFrame, overlaps: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rollgrid.operators import batch, groups
+from rollgrid.operators import batch, graph, groups
 from rollgrid.plans.catalog import query, rounded, table
 from rollgrid.plans.more_queries import LINES, lines
 
@@ -52,3 +52,16 @@ def resampled_means(spark, sf_dir):
     """Fifty bootstrap means of the values of each event type."""
     out = groups.poisson_bootstrap(table(spark, sf_dir, "events"), "event_type", "value", "event_id", 50)
     return rounded(out.withColumn("replicate", F.col("replicate").cast("long")))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT o_custkey % 25 AS src, (o_custkey * 7 + o_orderkey % 5) % 25 AS dst, min(1 + o_orderkey % 9) AS cost FROM orders GROUP BY 1, 2),
+w(start, node, cost) AS (SELECT n_nationkey, n_nationkey::BIGINT, 0::BIGINT FROM nation UNION SELECT w.start, e.dst, w.cost + e.cost FROM w JOIN e ON e.src = w.node WHERE w.cost + e.cost < 60)
+SELECT start AS src, node::INT AS dst, min(cost)::DOUBLE AS cost FROM w GROUP BY 1, 2""")
+def cheapest_routes(spark, sf_dir):
+    """Costs between all nations over edges that the orders give."""
+    orders = table(spark, sf_dir, "orders")
+    edges = orders.select(F.lit(0).alias("graph"), (F.col("o_custkey") % 25).cast("int").alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey") % 5) % 25).cast("int").alias("dst"), (1 + F.col("o_orderkey") % 9).alias("cost"))
+    nations = table(spark, sf_dir, "nation").select(F.lit(0).alias("graph"), F.col("n_nationkey").alias("src"))
+    asked = nations.join(nations.withColumnRenamed("src", "dst"), "graph")
+    return graph.shortest_paths(edges, asked, delta=4.0).where("found").select("src", "dst", "cost")

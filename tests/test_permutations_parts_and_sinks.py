@@ -1,11 +1,14 @@
 """Permuted batches, balanced parts, Poisson resampling and the keyed sink."""
 
+import heapq
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rollgrid.operators import batch as B
-from rollgrid.operators import groups
+from rollgrid.operators import graph, groups
 from rollgrid.streaming import logs
 
 
@@ -82,3 +85,37 @@ def test_sink_writes_each_batch_once(spark, tmp_path):
     (tmp_path / "out" / "data" / "batch=7").mkdir()
     spark.createDataFrame([("z", 1, 1)], schema).write.mode("overwrite").parquet(f"{path}/data/batch=7")
     assert [r.k for r in logs.keyed(spark, path, schema, ["k"], "at").orderBy("k").collect()] == ["a", "b"]
+
+
+def heap_search(edges, start):
+    """(cost, edges, path) of the best path to every node, by a heap."""
+    best, heap = {}, [(0.0, 0, (start,))]
+    while heap:
+        label = heapq.heappop(heap)
+        node = label[2][-1]
+        if node in best:
+            continue
+        best[node] = label
+        for s, d, c in edges:
+            if s == node and d not in best:
+                heapq.heappush(heap, (label[0] + c, label[1] + 1, (*label[2], d)))
+    return best
+
+
+@pytest.mark.parametrize("delta", [None, 3.0])
+def test_shortest_paths_of_random_graphs(spark, delta):
+    rng = random.Random(4)
+    edges, asked = [], []
+    for g in range(100):
+        n = rng.randrange(2, 9)
+        edges += [(g, rng.randrange(n), rng.randrange(n), float(rng.randrange(0, 6))) for _ in range(rng.randrange(1, 18))]
+        asked += [(g, rng.randrange(n), rng.randrange(n)) for _ in range(2)]
+    got = graph.shortest_paths(spark.createDataFrame([*edges, (0, 0, 1, None)], "graph int, src int, dst int, cost double"), spark.createDataFrame(asked, "graph int, src int, dst int"), delta=delta).collect()
+    want = []
+    for g, s, d in asked:
+        best = heap_search([e[1:] for e in edges if e[0] == g], s)
+        end = best.get(d) or min(best.values(), key=lambda x: (-x[1], x[0], x[2][-1]))
+        want.append((g, s, d, end[2], end[0], d in best))
+    assert sorted((r.graph, r.src, r.dst, tuple(r.path), r.cost, r.found) for r in got) == sorted(want) and {w[5] for w in want} == {True, False}
+    with pytest.raises(ValueError):
+        graph.shortest_paths(spark.createDataFrame([(1, 1, 2, -1.0)], "graph int, src int, dst int, cost double"), spark.createDataFrame(asked, "graph int, src int, dst int"))
