@@ -195,6 +195,12 @@ class Search:
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, sizes)), pa.array(np.concatenate([*self.found_ids, none])), pa.array(np.concatenate([*self.found, none]))], ["query_id", "vec_id", "score"])
 
 
+def longest(table: DataFrame, dim: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the ``n`` longest vectors of a dimension, equal ones in the order of their ids."""
+    rows = table.where(F.col("dim") == dim).orderBy(F.col("norm").desc(), "vec_id").limit(n).select("vec_id", "q").toArrow().combine_chunks()
+    return rows.column("vec_id").to_numpy(), matrix_of(rows.column("q").combine_chunks(), np.arange(rows.num_rows), dim)
+
+
 def block_plan(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(dim, class, first block, blocks) for counted classes (dim, class, queries): neighbouring classes share blocks
     of about QUERIES queries, or as many more as keep the blocks within about BLOCKS, and large classes are split."""
@@ -224,11 +230,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id
     norm = F.sqrt(F.aggregate("q", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     table = stored(table.select("vec_id", "q", "is_query", norm.alias("norm"), F.size("q").alias("dim")), "vectors")
     turn = rotations(table)
-    # the longest vectors of each dimension: a fixed number, sent to the executors for the first thresholds
-    longest = F.row_number().over(W.partitionBy("dim").orderBy(F.col("norm").desc(), "vec_id"))
-    rows = table.select("vec_id", "q", "dim", longest.alias("place")).where(F.col("place") <= SEEDS).orderBy("dim", "place").toArrow().combine_chunks()
-    dims = rows.column("dim").to_numpy()
-    seeds = {dim: (rows.column("vec_id").to_numpy()[dims == dim], matrix_of(rows.column("q").combine_chunks(), np.flatnonzero(dims == dim), dim)) for dim in turn}
+    # the longest vectors of each dimension: a fixed number, of which each task keeps its own best before anything moves
+    seeds = {dim: longest(table, dim, SEEDS) for dim in turn}
     shared = spark.sparkContext.broadcast((turn, seeds))
 
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

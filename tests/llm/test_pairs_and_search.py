@@ -472,3 +472,12 @@ def test_pipeline_takes_odd_rows(spark):
         assert stage(spark, E.empty(spark), sf).count() == 0
     for _, stage in corpus_pipeline.STAGES[:2]:
         docs = stage(spark, docs, sf)
+
+
+def test_first_thresholds_need_no_window(spark):
+    """The longest vectors come from a bounded top-k in each task, not from a sorted dimension."""
+    rows = spark.createDataFrame([(i, [i % 7, -i], float(i % 5), 2) for i in range(50)] + [(99, [1], 9.0, 1)], "vec_id long, q array<long>, norm double, dim int")
+    ids, vectors = K.longest(rows, 2, 12)
+    assert ids.tolist() == [i for _, i in sorted((-(i % 5), i) for i in range(50))[:12]] and vectors.tolist() == [[i % 7, -i] for i in ids]
+    plan = rows.where("dim = 2").orderBy(F.col("norm").desc(), "vec_id").limit(12).select("vec_id", "q")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" in plan and "Window" not in plan
