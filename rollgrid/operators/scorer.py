@@ -45,11 +45,11 @@ def contacts(boxes: DataFrame, objects: DataFrame, cell: float = 10.0) -> DataFr
     return met.where(meet(F.col("ring"), F.col("other"))).drop("_cx", "_cy", "ring", "other").distinct()
 
 
-def ego_areas(points: DataFrame, polygons: DataFrame, cell: float = 10.0) -> DataFrame:
+def ego_areas(points: DataFrame, polygons: DataFrame, cell: float = 10.0, axle: bool = False) -> DataFrame:
     """Per state: several lanes, off the drivable area, against traffic, in an intersection.
 
-    ``points`` are (scene, proposal, step, corner, x, y), corners 0 to 3 and the centre as 4; ``polygons`` are (gid, kind,
-    on_route, ring).
+    ``points`` are (scene, proposal, step, corner, x, y), corners 0 to 3, the centre as 4 and, for ``axle``, the rear axle
+    as 5, which gives a column axle_crossing too; ``polygons`` are (gid, kind, on_route, ring).
     """
     pid = F.struct(*STATE, "corner").alias("pid")
     hits = spatial.points_in_polygons(points.select(pid, "x", "y"), polygons.select("gid", "ring"), cell)
@@ -62,6 +62,7 @@ def ego_areas(points: DataFrame, polygons: DataFrame, cell: float = 10.0) -> Dat
         F.bit_or(F.when(drivable, F.col("corners")).otherwise(F.lit(0))).alias("covered"),
         F.max(lane & F.col("on_route") & F.col("centre")).alias("routed"),
         F.max((F.col("kind") == "INTERSECTION") & F.col("centre")).alias("crossing"),
+        F.max((F.col("kind") == "INTERSECTION") & F.col("axle")).alias("axle_crossing"),
     )
     states = points.select(*STATE).distinct().join(found, STATE, "left")
     known = lambda c, value: F.coalesce(F.col(c), F.lit(value))
@@ -71,14 +72,23 @@ def ego_areas(points: DataFrame, polygons: DataFrame, cell: float = 10.0) -> Dat
         (known("covered", 0) != 15).alias("off_road"),
         (~known("routed", False)).alias("oncoming"),
         known("crossing", False).alias("crossing"),
+        *([known("axle_crossing", False).alias("axle_crossing")] if axle else []),
     )
 
 
 def _by_polygon(hits: DataFrame) -> DataFrame:
     """Corners and centre of each state inside each polygon."""
-    bits = F.element_at(F.array(*[F.lit(1 << i) for i in range(4)], F.lit(0)), F.col("corner").cast("int") + 1)
+    bits = F.element_at(F.array(*[F.lit(1 << i) for i in range(4)], F.lit(0), F.lit(0)), F.col("corner").cast("int") + 1)
     grouped = hits.groupBy(*STATE, "gid", "kind", "on_route")
-    return grouped.agg(F.sum((F.col("corner") < 4).cast("int")).alias("n"), F.bit_or(bits).alias("corners"), F.max(F.col("corner") == 4).alias("centre"))
+    return grouped.agg(F.sum((F.col("corner") < 4).cast("int")).alias("n"), F.bit_or(bits).alias("corners"), F.max(F.col("corner") == 4).alias("centre"), F.max(F.col("corner") == 5).alias("axle"))
+
+
+def _considered(met: DataFrame, collided: DataFrame | None, steps: int | None, prefix: str) -> DataFrame:
+    """Contacts but for red lights, tracks that met the vehicle before the start (scene, track), and steps from ``steps`` on."""
+    out = met.where(~F.startswith(F.col("track").cast("string"), F.lit(prefix)))
+    if collided is not None:
+        out = out.join(collided.select("scene", "track").distinct(), ["scene", "track"], "left_anti")
+    return out if steps is None else out.where(F.col("step") < steps)
 
 
 def _faulty(met: DataFrame, fault: Column, order: Column) -> DataFrame:
@@ -88,10 +98,11 @@ def _faulty(met: DataFrame, fault: Column, order: Column) -> DataFrame:
     return marked.withColumn("_passed", passed).where(F.col("_fault") & (F.col("_passed").isNull() | (F.col("_at") < F.col("_passed"))))
 
 
-def no_fault(met: DataFrame, areas: DataFrame, proposals: DataFrame) -> DataFrame:
+def no_fault(met: DataFrame, areas: DataFrame, proposals: DataFrame, collided: DataFrame | None = None, steps: int | None = None, prefix: str = "red_light") -> DataFrame:
     """Per proposal the least score of its collisions at fault (0 for agents, 0.5 for static objects, else 1), and the
-    first step of one. Contacts have track, kind (see ``kernels.at_fault``) and agent."""
-    each = met.join(areas.select(*STATE, "multiple_lanes", "off_road"), STATE, "left")
+    first step of one. Contacts have track, kind (see ``kernels.at_fault``) and agent. Red lights are no collisions, nor
+    are tracks that met the vehicle before the start (``collided``: scene, track); the states before ``steps`` count."""
+    each = _considered(met, collided, steps, prefix).join(areas.select(*STATE, "multiple_lanes", "off_road"), STATE, "left")
     fault = F.col("kind").isin("active_front", "stopped_track") | ((F.col("kind") == "active_lateral") & (F.col("multiple_lanes") | F.col("off_road")))
     found = _faulty(each, fault, F.col("step")).groupBy(*PROPOSAL).agg(F.min(F.when(F.col("agent"), 0.0).otherwise(0.5)).alias("score"), F.min("step").alias("first"))
     return proposals.select(*PROPOSAL).distinct().join(found, PROPOSAL, "left").select(*PROPOSAL, F.coalesce("score", F.lit(1.0)).alias("score"), "first")
@@ -114,13 +125,15 @@ def with_history(states: DataFrame, past: DataFrame) -> DataFrame:
     return joined.withColumn("states", whole).drop("_past")
 
 
-def time_to_collision(met: DataFrame, areas: DataFrame, proposals: DataFrame, stopped: float = STOPPED) -> DataFrame:
+def time_to_collision(met: DataFrame, areas: DataFrame, proposals: DataFrame, stopped: float = STOPPED, collided: DataFrame | None = None, steps: int | None = None, prefix: str = "red_light") -> DataFrame:
     """Per proposal 0 where its box, moved on at its speed, meets a track that it would run into, else 1, and that step.
 
-    Contacts have step, later (steps ahead), track, speed, ahead and behind. Vehicles that stand are passed over.
+    Contacts have step, later (steps ahead), track, speed, ahead and behind. Vehicles that stand are passed over, and red
+    lights and ``collided`` tracks, as in ``no_fault``. Where ``areas`` say whether the rear axle is in an intersection
+    (axle_crossing), that decides, else its centre.
     """
-    each = met.where(F.col("speed") >= stopped).join(areas, STATE, "left")
-    loose = F.col("multiple_lanes") | F.col("off_road") | F.col("crossing")
+    each = _considered(met, collided, steps, prefix).where(F.col("speed") >= stopped).join(areas, STATE, "left")
+    loose = F.col("multiple_lanes") | F.col("off_road") | F.col("axle_crossing" if "axle_crossing" in areas.columns else "crossing")
     fault = F.col("ahead") | (loose & ~F.col("behind"))
     found = _faulty(each, fault, F.struct("step", "later")).groupBy(*PROPOSAL).agg(F.min("step").alias("first"))
     return proposals.select(*PROPOSAL).distinct().join(found, PROPOSAL, "left").select(*PROPOSAL, F.when(F.col("first").isNull(), 1.0).otherwise(0.0).alias("score"), "first")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollgrid.operators import corridors, polygons, polylines, spatial
+from rollgrid.operators import corridors, polygons, polylines, scorer, spatial
 from rollgrid.plans.catalog import query, rounded, table
 
 
@@ -102,3 +102,21 @@ def nearest_by_scene(spark, sf_dir):
     """Line items as objects of their supplier's scene: the nearest of each type."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("scene"), F.col("l_returnflag").alias("type"), F.col("l_orderkey").alias("id"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
     return rounded(spatial.nearest(rows, 25.0, 30.0, {"A": 3, "R": 5, "N": 2}, by=["scene"]).select("scene", "type", "distance"))
+
+
+@query("""
+WITH c AS (SELECT l_orderkey AS scene, l_suppkey % 3 AS proposal, l_linenumber AS step, CASE WHEN l_partkey % 5 = 0 THEN 'red_light_' ELSE 'track_' END || l_partkey % 4 AS track, l_partkey % 2 = 0 AS agent,
+             l_returnflag = 'R' OR (l_returnflag = 'A' AND l_quantity > 25) AS fault FROM lineitem),
+f AS (SELECT *, min(CASE WHEN NOT fault THEN step END) OVER (PARTITION BY scene, proposal, track) AS passed FROM c WHERE track NOT LIKE 'red_light%' AND NOT (track = 'track_3' AND scene % 2 = 0) AND step < 5),
+h AS (SELECT scene, proposal, min(CASE WHEN agent THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END) AS score, min(step) AS first FROM f WHERE fault AND (passed IS NULL OR step < passed) GROUP BY 1, 2)
+SELECT scene, proposal, coalesce(score, 1.0::DOUBLE) AS score, first FROM (SELECT DISTINCT scene, proposal FROM c) LEFT JOIN h USING (scene, proposal)""")
+def considered_collisions(spark, sf_dir):
+    """Collisions without red lights, without a track that stood in the vehicle's way before the start, over four states."""
+    lines = table(spark, sf_dir, "lineitem")
+    scene, proposal, step = F.col("l_orderkey").alias("scene"), (F.col("l_suppkey") % 3).alias("proposal"), F.col("l_linenumber").alias("step")
+    track = F.concat(F.when(F.col("l_partkey") % 5 == 0, "red_light_").otherwise("track_"), (F.col("l_partkey") % 4).cast("string"))
+    kind = F.when((F.col("l_returnflag") == "R") | ((F.col("l_returnflag") == "A") & (F.col("l_quantity") > 25)), "active_front").otherwise("active_rear")
+    met = lines.select(scene, proposal, step, track.alias("track"), kind.alias("kind"), (F.col("l_partkey") % 2 == 0).alias("agent"))
+    areas = met.select("scene", "proposal", "step").distinct().withColumns({"multiple_lanes": F.lit(False), "off_road": F.lit(False)})
+    before = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("scene"), F.lit("track_3").alias("track"))
+    return scorer.no_fault(met, areas, met, before, 5)

@@ -71,3 +71,28 @@ def test_tracker_state_and_reference():
     assert kernels.looked_ahead(v, k, 8, 4)[0].tolist() == [9.0] and np.allclose(kernels.looked_ahead(v, k, 8, 4)[1], [[0.8, 0.9, 0.9, 0.9]])
     accel, steer = kernels.stopping_command(np.array([1.0]), np.array([0.0]), gain=0.5)
     assert accel.tolist() == [-0.5] and steer.tolist() == [0.0]
+
+
+def test_red_lights_and_earlier_tracks_are_no_collisions(spark):
+    """And states from a step on do not count; the rear axle decides on intersections for the time to collision."""
+    rows = [("s", 0, 1, "red_light_3", "active_front", True), ("s", 1, 1, "old", "active_front", True), ("s", 2, 9, "car", "active_front", True), ("s", 3, 1, "cone", "active_front", False)]
+    met = spark.createDataFrame(rows, "scene string, proposal int, step int, track string, kind string, agent boolean")
+    areas = met.select("scene", "proposal", "step").withColumns({"multiple_lanes": F.lit(False), "off_road": F.lit(False), "crossing": F.lit(True), "axle_crossing": F.lit(False)})
+    before = spark.createDataFrame([("s", "old"), ("z", "car")], "scene string, track string")
+    score = lambda **more: {r.proposal: r.score for r in scorer.no_fault(met, areas, met, **more).collect()}
+    assert score() == {0: 1.0, 1: 0.0, 2: 0.0, 3: 0.5}
+    assert score(collided=before, steps=9) == {0: 1.0, 1: 1.0, 2: 1.0, 3: 0.5}
+    near = met.withColumns({"later": F.lit(0), "speed": F.lit(2.0), "ahead": F.col("proposal") < 3, "behind": F.lit(False)})
+    ttc = lambda areas, **more: {r.proposal: r.score for r in scorer.time_to_collision(near, areas, met, **more).collect()}
+    assert ttc(areas, collided=before) == {0: 1.0, 1: 1.0, 2: 0.0, 3: 1.0}
+    assert ttc(areas.drop("axle_crossing"), steps=9) == {0: 1.0, 1: 0.0, 2: 1.0, 3: 0.0}
+
+
+def test_rear_axle_in_an_intersection(spark):
+    square = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    polygons = spark.createDataFrame([(1, "INTERSECTION", False, square)], f"gid int, kind string, on_route boolean, ring {RING}")
+    corners = [(14.0, 6.0), (8.0, 6.0), (8.0, 4.0), (14.0, 4.0), (11.0, 5.0), (9.0, 5.0)]
+    points = spark.createDataFrame([("s", 0, 0, i, x, y) for i, (x, y) in enumerate(corners)], "scene string, proposal int, step int, corner int, x double, y double")
+    r = scorer.ego_areas(points, polygons, axle=True).first()
+    assert (r.crossing, r.axle_crossing, r.off_road) == (False, True, True)
+    assert scorer.ego_areas(points, polygons).columns == ["scene", "proposal", "step", "multiple_lanes", "off_road", "oncoming", "crossing"]
