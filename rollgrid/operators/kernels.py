@@ -236,19 +236,6 @@ def at_fault(ego_speed: float, track_speed: float, track_in_front: bool, track_b
     return "active_front" if track_in_front else "active_lateral"
 
 
-def no_fault_score(collisions: Sequence[tuple[int, str, str, bool]]) -> float:
-    """Least score of collisions (step, track, kind, static) in order: at fault 0 for agents and 0.5 for static objects.
-    A track that collides without fault is passed over from then on."""
-    score, passed = 1.0, set()
-    for _, track, kind, static in sorted(collisions):
-        if track in passed:
-            continue
-        if kind in ("active_front", "stopped_track"):
-            score = min(score, 0.5 if static else 0.0)
-        passed.add(track)
-    return score
-
-
 def step_score(total: float, low: float = 2.0, high: float = 6.0) -> float:
     """1 up to low, 0.5 up to high, 0 beyond: driving against traffic."""
     return 1.0 if total < low else 0.5 if total < high else 0.0

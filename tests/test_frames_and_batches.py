@@ -278,8 +278,6 @@ def test_profiles_following_and_faults():
     free = kernels.follow(0.0, 5.0, np.full(40, 1e6), np.full(40, 10.0), 10.0, 0.1)
     close = kernels.follow(0.0, 5.0, np.full(40, 8.0), np.zeros(40), 10.0, 0.1)
     assert free[-1, 1] > 5 > close[-1, 1] >= 0
-    assert kernels.no_fault_score([(0, "a", "active_rear", False), (1, "a", "active_front", False)]) == 1.0
-    assert kernels.no_fault_score([(0, "b", "stopped_track", True)]) == 0.5 and kernels.no_fault_score([(0, "c", "active_front", False)]) == 0.0
     assert kernels.at_fault(0.0, 1.0, True, False) == "stopped_ego" and kernels.at_fault(1.0, 1.0, True, False) == "active_front"
     with pytest.raises(ValueError):
         kernels.overlap(np.zeros((40, 11)), np.zeros((40, 11)), 0.55, 0.1)
