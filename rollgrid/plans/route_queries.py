@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollgrid.operators import matching, routes
+from rollgrid.operators import matching, routes, storage
 from rollgrid.plans.catalog import query, rounded, table
+from rollgrid.sources import frames
 
 #: Blocks of the routes' graph: each has two successors.
 BLOCKS = 1009
@@ -98,3 +101,29 @@ SELECT w.agent, k.step, w.lane FROM w JOIN k USING (agent, n)""")
 def walked_lanes(spark, sf_dir):
     """States of orders, matched along the lanes they can drive."""
     return matching.walked(*lanes_and_states(spark, sf_dir)).drop("scene")
+
+
+def event_logs(spark, sf_dir) -> str:
+    """The events as logs of frames, one folder of JSON lines for each kind; their path."""
+    path = f"{storage.folder(spark)}/frame-logs-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("log_name"), F.col("event_id").cast("string").alias("token"), "user_id", F.array("value", F.col("user_id").cast("double")).alias("pose"))
+    rows.write.partitionBy("log_name").json(path)
+    return path
+
+
+@query("SELECT event_type AS log_name, event_id::VARCHAR AS token, value AS x FROM events")
+def logged_frames(spark, sf_dir):
+    """Events as frames of logs, read in byte ranges by the data source."""
+    out = frames.frames(spark, event_logs(spark, sf_dir), "log_name string, token string, pose array<double>")
+    return out.select("log_name", "token", F.element_at("pose", 1).alias("x"))
+
+
+@query("""
+SELECT s.supplier, count(e.event_id)::BIGINT AS frames, round(sum(e.value), 4) AS total
+FROM (SELECT s_suppkey::VARCHAR AS supplier, s_suppkey FROM supplier) AS s LEFT JOIN (SELECT * FROM events WHERE event_type IN ('click', 'purchase')) AS e ON e.user_id = s.s_suppkey GROUP BY 1""")
+def frames_of_logs(spark, sf_dir):
+    """Frames of the logs that the filter names, by supplier: the other logs' files are not opened."""
+    logs = frames.frames(spark, event_logs(spark, sf_dir), "log_name string, user_id long, pose array<double>").where(F.col("log_name").isin("click", "purchase"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("user_id"))
+    each = suppliers.join(logs, "user_id", "left").groupBy(F.col("user_id").cast("string").alias("supplier"))
+    return rounded(each.agg(F.count("log_name").alias("frames"), F.sum(F.element_at("pose", 1)).alias("total")), 4)
