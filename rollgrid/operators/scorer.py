@@ -54,6 +54,11 @@ def ego_areas(points: DataFrame, polygons: DataFrame, cell: float = 10.0, axle:
     pid = F.struct(*STATE, "corner").alias("pid")
     hits = spatial.points_in_polygons(points.select(pid, "x", "y"), polygons.select("gid", "ring"), cell)
     hits = hits.join(polygons.select("gid", "kind", "on_route"), "gid").select("pid.*", "gid", "kind", "on_route")
+    return areas_of(points, hits, axle)
+
+
+def areas_of(points: DataFrame, hits: DataFrame, axle: bool = False) -> DataFrame:
+    """``ego_areas`` of points from the polygons that hold them: (scene, proposal, step, corner, gid, kind, on_route)."""
     each = _by_polygon(hits)
     lane, drivable = F.col("kind").isin(*LANES), F.col("kind").isin(*DRIVABLE)
     found = each.groupBy(*STATE).agg(

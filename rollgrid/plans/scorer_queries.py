@@ -1,0 +1,62 @@
+"""The registered query over the scorer as one call."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rollgrid.operators import kernels, proposals
+from rollgrid.plans.catalog import query, rounded, table
+from rollgrid.plans.region_queries import corner
+
+STEPS = 25
+
+
+def driven(spark, sf_dir) -> DataFrame:
+    """Customers as scenes of two proposals, which drive straight on at different speeds."""
+    each = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("scene"), F.explode(F.array(F.lit(0), F.lit(1))).alias("proposal"))
+    each = each.withColumn("v", F.col("scene") % 8 * (F.col("proposal") + 1) * 1.03).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))))
+    numbers = {kernels.X: F.col("step") * 0.1 * F.col("v"), kernels.Y: F.col("scene") % 13 * 0.61 + 0.17, kernels.VX: F.col("v")}
+    return each.select("scene", "proposal", "step", F.array(*[numbers.get(i, F.lit(0.0)).cast("double") for i in range(11)]).alias("state"))
+
+
+def rectangle(x0, y0, x1, y1):
+    return F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1))
+
+
+@query(f"""
+WITH b AS (SELECT *, x + 1.461::DOUBLE AS cx, x + 1.461::DOUBLE - 2.588::DOUBLE AS x0, x + 1.461::DOUBLE + 2.588::DOUBLE AS x1, y - 1.1485::DOUBLE AS y0, y + 1.1485::DOUBLE AS y1 FROM (
+  SELECT scene, proposal, v, y, t, t * 0.1::DOUBLE * v AS x FROM (SELECT c_custkey AS scene, p AS proposal, c_custkey % 8 * (p + 1) * 1.03::DOUBLE AS v, c_custkey % 13 * 0.61::DOUBLE + 0.17::DOUBLE AS y FROM customer, (SELECT unnest([0, 1]) AS p)), (SELECT unnest(range({STEPS})) AS t))),
+n AS (SELECT *, ((x0 < 9.03)::INT + (x1 < 9.03)::INT) * ((y0 > 0 AND y0 < 4)::INT + (y1 < 4)::INT) AS l1, ((x0 < 9.03)::INT + (x1 < 9.03)::INT) * ((y0 > 4)::INT + (y1 > 4 AND y1 < 8)::INT) AS l2 FROM b),
+a AS (SELECT *, l1 > 0 AND l2 > 0 AND l1 <> 4 AND l2 <> 4 AS several, y0 <= 0 OR y1 >= 8 AS off, NOT (cx < 9.03 AND y < 4) AS oncoming, cx > 9.03 AS crossing, x > 9.03 AS axle FROM n),
+o AS (SELECT o_custkey AS scene, o_orderkey % 2 = 0 AS agent, CASE WHEN o_orderkey % 11 = 0 THEN 'red_light_' ELSE 'car_' END || o_orderkey AS track, o_orderkey % 17 = 0 AS before, o_orderkey % 3 * 3 AS s, t,
+  o_orderkey * 13 % 40 - 5.03::DOUBLE + t * 0.1::DOUBLE * (o_orderkey % 3 * 3) AS ox, o_orderkey % 9 * 1.1::DOUBLE - 0.53::DOUBLE AS oy FROM orders, (SELECT unnest(range({STEPS})) AS t)),
+m AS (SELECT a.*, o.* EXCLUDE (scene, t), later, coalesce((ox - x) / nullif(sqrt(pow(ox - x, 2) + pow(oy - y, 2)), 0), 0) AS c FROM a, (SELECT unnest([0, 3, 6, 9]) AS later), o
+  WHERE a.scene = o.scene AND o.t = a.t + later AND x0 + v * later * 0.1 <= ox + 2 AND x1 + v * later * 0.1 >= ox - 2 AND y0 <= oy + 1 AND y1 >= oy - 1),
+h AS (SELECT *, CASE WHEN v <= 0.05 THEN false WHEN s <= 0.05 THEN true WHEN c < -cos(pi() / 6) THEN false WHEN x1 >= ox - 2 AND x1 <= ox + 2 THEN true ELSE several OR off END AS fault FROM m WHERE later = 0 AND track LIKE 'car%' AND NOT before),
+hf AS (SELECT scene, proposal, min(CASE WHEN agent THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END) AS no_fault FROM (SELECT *, min(CASE WHEN NOT fault THEN t END) OVER (PARTITION BY scene, proposal, track) AS passed FROM h) WHERE fault AND (passed IS NULL OR t < passed) GROUP BY 1, 2),
+k AS (SELECT *, t * 100 + later AS at, c > cos(pi() / 6) OR ((several OR off OR axle) AND NOT c < -cos(pi() / 6)) AS fault FROM m WHERE track LIKE 'car%' AND NOT before AND v >= 0.005 AND t <= {STEPS - 10}),
+kf AS (SELECT DISTINCT scene, proposal, 0.0::DOUBLE AS ttc FROM (SELECT *, min(CASE WHEN NOT fault THEN at END) OVER (PARTITION BY scene, proposal, track) AS passed FROM k) WHERE fault AND (passed IS NULL OR at < passed)),
+r AS (SELECT DISTINCT scene, proposal, 0.0::DOUBLE AS lights FROM m WHERE later = 0 AND track LIKE 'red%'),
+d AS (SELECT scene, proposal, max(g) AS g FROM (SELECT scene, proposal, sum(CASE WHEN t > 0 AND oncoming AND NOT crossing THEN 0.1 * v ELSE 0 END) OVER (PARTITION BY scene, proposal ORDER BY t ROWS 10 PRECEDING) AS g FROM a) GROUP BY 1, 2),
+p AS (SELECT scene, proposal, 1.0::DOUBLE - max(off::INT) AS on_road, CASE WHEN sum((NOT crossing AND abs(y - 2) > 0.5)::INT) >= 20 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS lane_keeping, max(x) AS raw FROM a GROUP BY 1, 2),
+f AS (SELECT scene, proposal, coalesce(no_fault, 1.0::DOUBLE) AS no_fault, on_road, CASE WHEN g < 2 THEN 1.0::DOUBLE WHEN g < 6 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS direction, coalesce(lights, 1.0::DOUBLE) AS lights, coalesce(ttc, 1.0::DOUBLE) AS ttc, lane_keeping, raw
+  FROM p JOIN d USING (scene, proposal) LEFT JOIN hf USING (scene, proposal) LEFT JOIN kf USING (scene, proposal) LEFT JOIN r USING (scene, proposal)),
+w AS (SELECT *, no_fault * on_road * direction * lights AS gate, max(raw * no_fault * on_road * direction * lights) OVER (PARTITION BY scene) AS best FROM f),
+s AS (SELECT *, CASE WHEN best > 5 THEN least(raw / best, 1.0::DOUBLE) ELSE 1.0::DOUBLE END AS progress FROM w)
+SELECT scene, proposal, no_fault, on_road, direction, lights, round(progress, 6) AS progress, ttc, lane_keeping, 1.0::DOUBLE AS comfort, round(gate * (5 * progress + 5 * ttc + 2 * lane_keeping + 2) / 14, 6) AS score FROM s""")
+def scored_proposals(spark, sf_dir):
+    """Two proposals for each customer among its orders, as standing, moving and red objects, on lanes that end in an
+    intersection: all metrics and the score."""
+    states = driven(spark, sf_dir)
+    scenes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("scene"))
+    key = F.col("o_orderkey")
+    tracks = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scene"), key, F.concat(F.when(key % 11 == 0, "red_light_").otherwise("car_"), key.cast("string")).alias("track"), (key % 3 * 3).cast("double").alias("speed"))
+    at = tracks.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))))
+    x, y = key * 13 % 40 - 5.03 + F.col("step") * 0.1 * F.col("speed"), key % 9 * 1.1 - 0.53
+    objects = at.select("scene", "step", "track", rectangle(x - 2, y - 1, x + 2, y + 1).alias("ring"), "speed", (key % 2 == 0).alias("agent"))
+    made = [(1, "LANE", True, -50.0, 0.0, 9.03, 4.0), (2, "LANE", False, -50.0, 4.0, 9.03, 8.0), (3, "ROADBLOCK", False, -50.0, 0.0, 9.03, 8.0), (4, "INTERSECTION", False, 9.03, 0.0, 400.0, 8.0)]
+    each = [F.struct(F.lit(g).alias("gid"), F.lit(k).alias("kind"), F.lit(r).alias("on_route"), F.array(rectangle(*map(F.lit, box))).alias("rings")) for g, k, r, *box in made]
+    regions = scenes.select("scene", F.explode(F.array(*each)).alias("r")).select("scene", "r.*")
+    lines = scenes.select("scene", F.array(corner(F.lit(-50), F.lit(2)), corner(F.lit(400), F.lit(2))).alias("line"))
+    return rounded(proposals.scored(states, objects, regions, lines, tracks.where(key % 17 == 0).select("scene", "track")))
