@@ -24,6 +24,8 @@ VEHICLE = (5.176, 2.297, 1.461)
 STANDS, TOLERANCE = 5e-2, 30.0
 #: Seconds looked ahead for collisions and the steps between looks, of driving against traffic, and beside the line. Fixed values.
 AHEAD, LOOKS, AGAINST, ASIDE = 1.0, 3, 1.0, 2.0
+#: Corners and polygons of one scene up to which a cell of the map is not split.
+LEAST = 4096
 
 
 def _bearing(x: Column, y: Column) -> tuple[Column, Column]:
@@ -48,7 +50,7 @@ def areas(boxes: DataFrame, regions: DataFrame) -> DataFrame:
     axle = F.struct("x", "y")
     every = boxes.select(*STATE, F.posexplode(F.concat("ring", F.array(F.struct(F.col("cx").alias("x"), F.col("cy").alias("y")), axle))).alias("corner", "p"))
     points = every.select(*STATE, "corner", "p.x", "p.y")
-    found = polygons.points_in(points.select("scene", F.struct("proposal", "step", "corner").alias("pid"), "x", "y"), regions.select("scene", "gid", "rings"), ["scene"])
+    found = polygons.points_in(points.select("scene", F.struct("proposal", "step", "corner").alias("pid"), "x", "y"), regions.select("scene", "gid", "rings"), ["scene"], least=LEAST)
     hits = found.join(regions.select("scene", "gid", "kind", "on_route"), ["scene", "gid"]).select("scene", "pid.*", "gid", "kind", "on_route")
     return scorer.areas_of(points, hits, axle=True)
 
