@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -332,3 +333,28 @@ def test_steering_and_rails():
     assert cost(best) <= min(cost(best + 0.01), cost(best - 0.01))
     out = kernels.rail_traffic(["a", "a", "b"], np.array([0.0, 20.0, 0.0]), np.full(3, 8.0), [("a", 60.0, 0.0)] * 80, 8.0, 0.1)
     assert out[-1, 2, 0] > 60 > out[-1, 1, 0] > out[-1, 0, 0] and (out[:, :, 1] >= 0).all()
+
+
+def test_groups_are_scored_without_a_frame_each(spark):
+    """Frames hold many groups; missing keys and keys of several batches are one group each, and rows are plain values."""
+    rows = [(None if i < 5 else i // 3, i, float(i)) for i in range(400)]
+    frames = [pd.DataFrame(rows[k : k + 7], columns=["token", "line", "x"]) for k in range(0, len(rows), 7)]
+    found = list(registry._groups(iter(frames), "token"))
+    assert [len(g) for g in found] == [5, 1] + [3] * 131 + [1] and type(found[3][0]["line"]) is int
+    many = spark.range(3000).select((F.col("id") / 3).cast("long").alias("token"), F.col("id").alias("line"))
+    made = spark.sparkContext.accumulator(0)
+
+    def scorer(rows):
+        return [{"token": r["token"], "line": r["line"], "score": float(len(rows))} for r in rows]
+
+    def counted(batches):
+        for b in batches:
+            made.add(1)
+            yield b
+
+    for threads in (1, 4):
+        got = registry.scored_by_group(many.repartition(1), scorer, "token", "token long, line long, score double", lambda r: {**r, "score": 0.0}, threads)
+        before = made.value
+        rows = got.mapInArrow(counted, got.schema).collect()
+        assert sorted((r.token, r.line, r.score) for r in rows) == [(i // 3, i, 3.0) for i in range(3000)]
+        assert made.value - before < 50  # a frame for each group made 1000
