@@ -29,12 +29,16 @@ def steps(spark: SparkSession, path: str, n: int, required: Sequence[str] = ("sa
 
 
 def manifest(spark: SparkSession, path: str, ordered: bool = True) -> DataFrame:
-    """(pos, token) of a text manifest: blank lines and a byte order mark dropped; duplicates fail."""
-    numbered = F.transform(F.split("value", "\r?\n"), lambda x, i: F.struct(i.alias("line"), x.alias("token")))
-    lines = spark.read.option("wholetext", True).text(path).select(F.explode(numbered).alias("z")).select("z.line", "z.token")
-    tokens = lines.select("line", F.trim(F.regexp_replace("token", "^﻿", "")).alias("token")).where("token <> ''")
+    """(pos, token) of a text manifest: blank lines and a byte order mark dropped; duplicates fail.
+
+    The lines of a folder follow each other in the order of its files' names. They are read in byte ranges: a range is read
+    by one task from its start, so the task's row numbers give the order inside it.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    bare = F.regexp_replace("value", "^\ufeff|\r$", "")
+    tokens = lines.select("file", "start", "line", F.trim(bare).alias("token")).where("token <> ''")
     guards.unique(tokens, "token", "tokens in the manifest")
-    return batch.indexed(tokens, ["line"]).select("pos", "token") if ordered else tokens.select("token")
+    return batch.indexed(tokens, ["file", "start", "line"]).select("pos", "token") if ordered else tokens.select("token")
 
 
 def token_set(spark: SparkSession, path: str) -> DataFrame:

@@ -146,3 +146,19 @@ def test_fan_out_writes_to_all(spark):
     logs_of = lambda name: lambda df, epoch: seen.append((name, epoch, df.count()))
     writers.fan_out(logs_of("a"), logs_of("b"))(spark.range(3), 7)
     assert seen == [("a", 7, 3), ("b", 7, 3)]
+
+
+def test_manifest_of_several_files_and_ranges(spark, tmp_path):
+    """Lines of a folder follow the names of its files, also where a file is read in several ranges."""
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    names = [f"t{(i * 7919) % 100_003:06d}" for i in range(9000)]
+    for k in range(3):
+        (folder / f"part-0000{k}.txt").write_text("".join(f"{n}\r\n" for n in names[3000 * k : 3000 * (k + 1)]), newline="")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        got = readers.manifest(spark, f"file://{folder}").orderBy("pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert [(r.pos, r.token) for r in got] == list(enumerate(names))
