@@ -155,8 +155,10 @@ def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """0-based ranks, ties sharing their average, from counts of distinct values.
 
     Counts are dealt into ranges of values; they are summed inside the ranges and over the sums of the ranges, so no
-    task sees all rows, nor all values.
+    task sees all rows, nor all values. The rows are stored first: computed twice, sums of doubles may differ in their last
+    bits, and values would not meet their own counts.
     """
+    df = stored(df, "ranked")
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
     counts = stored(counts.repartitionByRange(value).withColumn("_part", F.spark_partition_id()), "value-counts")
     sums = counts.groupBy("_part").agg(F.sum("_n").alias("_sum"))

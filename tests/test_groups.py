@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +169,11 @@ def test_summary_with_sets_and_subset_report(spark):
     got = {r.token: r for r in out.collect()}
     assert got["b"].in_chosen and not got["a"].in_chosen and got["a"].safe_rate == 0.5
     assert groups.subset_report(out).first()["zero_std_ratio"] == 0.5
+
+
+def test_ranks_of_values_that_recomputation_changes(spark):
+    """Values whose last bits differ each time they are computed, as sums of shuffled doubles do, still get all their ranks."""
+    shaken = F.udf(lambda i: i + random.random() * 1e-9, "double").asNondeterministic()
+    df = spark.range(500).select(shaken("id").alias("a"), shaken(F.col("id") * 2).alias("b"))
+    assert groups.average_ranks(df, "a", "r").count() == 500
+    assert groups.spearman(df, "a", "b").first()[0] == pytest.approx(1.0)
