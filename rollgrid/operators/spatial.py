@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rollgrid.functions import geometry as G
+from rollgrid.operators import polygons as P
 
 
 def _cells(low: Column, high: Column, size: float) -> Column:
@@ -20,13 +20,14 @@ def _cells(low: Column, high: Column, size: float) -> Column:
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 10.0) -> DataFrame:
-    """Pairs (point id, polygon id): points (pid, x, y) strictly inside rings (gid, ring array<struct<x, y>>)."""
+    """Pairs (point id, polygon id): points (pid, x, y) strictly inside rings (gid, ring array<struct<x, y>>); no edge counts."""
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     boxed = polygons.withColumns({"_x0": F.array_min(xs), "_x1": F.array_max(xs), "_y0": F.array_min(ys), "_y1": F.array_max(ys)})
+    boxed = boxed.withColumn("_e", P.edges(F.array("ring"))).drop("ring")
     gridded = boxed.withColumn("_cx", F.explode(_cells(F.col("_x0"), F.col("_x1"), cell))).withColumn("_cy", F.explode(_cells(F.col("_y0"), F.col("_y1"), cell)))
     placed = points.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
     near = placed.join(gridded, ["_cx", "_cy"]).where(F.col("x").between(F.col("_x0"), F.col("_x1")) & F.col("y").between(F.col("_y0"), F.col("_y1")))
-    return near.where(G.in_polygon(F.col("x"), F.col("y"), F.col("ring"))).select("pid", "gid").distinct()
+    return near.where(P.inside(F.col("_e"), F.col("x"), F.col("y"))).select("pid", "gid").distinct()
 
 
 def boxes_overlapping(a: DataFrame, b: DataFrame, cell: float = 10.0) -> DataFrame:

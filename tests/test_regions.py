@@ -233,3 +233,14 @@ def test_nearest_objects_of_each_scene(spark):
     assert {(r.scene, r.id) for r in found.collect()} == want
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2  # below the exchange and above it
+
+
+# grids
+
+
+def test_no_point_on_an_edge_is_inside(spark):
+    ring = [(0.0, 0.0), (30.0, 0.0), (30.0, 20.0), (0.0, 20.0)]
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate((x, y) for x in (-1, 0, 15, 30, 31) for y in (-1, 0, 10, 20, 21))] + [(99, None, 1.0)]
+    rings = spark.createDataFrame([("a", ring), ("b", ring[::-1])], "gid string, ring array<struct<x:double,y:double>>")
+    got = spatial.points_in_polygons(spark.createDataFrame(points, "pid int, x double, y double"), rings)
+    assert sorted((r.pid, r.gid) for r in got.collect()) == [(12, "a"), (12, "b")]
