@@ -6,6 +6,7 @@ touches) followed by the exact predicate, so nothing is compared with everything
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -30,15 +31,64 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 10.
     return near.where(P.inside(F.col("_e"), F.col("x"), F.col("y"))).select("pid", "gid").distinct()
 
 
-def boxes_overlapping(a: DataFrame, b: DataFrame, cell: float = 10.0) -> DataFrame:
-    """Pairs (aid, bid) of axis-aligned boxes (id, x0, x1, y0, y1) that share a point."""
+def _widest(a: DataFrame, b: DataFrame, cell: float) -> list[tuple[float, int]]:
+    """For each axis the smallest cells and how often they are doubled: at most ``cell`` wide, up to the longest side of a box."""
+    sides = a.select("_x0", "_x1", "_y0", "_y1").unionByName(b.select("_x0", "_x1", "_y0", "_y1"))
+    longest = sides.agg(F.max(F.col("_x1") - F.col("_x0")), F.max(F.col("_y1") - F.col("_y0"))).first()
+    out = []
+    for side in longest:
+        if side is None or not 0 < side < math.inf:
+            out.append((cell, 0))
+        else:
+            k = max(0, math.ceil(math.log2(side / cell)))
+            out.append((side / 2**k, k))
+    return out
 
-    def gridded(df: DataFrame, side: str) -> DataFrame:
-        out = df.select(*[F.col(c).alias(f"{side}{c}") for c in ("id", "x0", "x1", "y0", "y1")])
-        return out.withColumn("_cx", F.explode(_cells(F.col(f"{side}x0"), F.col(f"{side}x1"), cell))).withColumn("_cy", F.explode(_cells(F.col(f"{side}y0"), F.col(f"{side}y1"), cell)))
 
-    met = gridded(a, "a").join(gridded(b, "b"), ["_cx", "_cy"])
-    return met.where("ax0 <= bx1 and bx0 <= ax1 and ay0 <= by1 and by0 <= ay1").select("aid", "bid").distinct()
+def boxes_overlapping(a: DataFrame, b: DataFrame, cell: float = 10.0) -> DataFrame:
+    """Pairs (aid, bid) of axis-aligned boxes that share a point: boxes (id, x0, x1, y0, y1), or boxes by their middle and
+    size (id, x, y, width, height), which are compared by the distance of their middles, without the rounding of edges.
+
+    Each box of ``a`` stands in one cell, that of its lower left corner, on a grid of cells about its size; the boxes of ``b``
+    enter the cells of each such grid from which a box can reach them. So a pair meets once, and most that meet are pairs.
+    """
+    middles = "width" in a.columns
+
+    def sided(df: DataFrame, side: str) -> DataFrame:
+        if not middles:
+            out = df.select(*[F.col(c).alias(f"{side}{c}") for c in ("id", "x0", "x1", "y0", "y1")])
+            ends = {f"_{c}": F.col(f"{side}{c}") for c in ("x0", "x1", "y0", "y1")}
+        else:
+            out = df.select(*[F.col(c).alias(f"{side}{c}") for c in ("id", "x", "y", "width", "height")])
+            half = lambda c, s: F.col(f"{side}{s}") / 2 + (F.abs(f"{side}{c}") + F.col(f"{side}{s}")) * 1e-12  # noqa: E731  (more than any rounding)
+            ends = {f"_{c}{n}": F.col(f"{side}{c}") + sign * half(c, s) for c, s in (("x", "width"), ("y", "height")) for n, sign in ((0, -1), (1, 1))}
+        return out.withColumns(ends).where("_x0 <= _x1 and _y0 <= _y1")
+
+    left, right = sided(a, "a"), sided(b, "b")
+    grids = dict(zip("xy", _widest(left, right, cell)))
+
+    def level(c: str) -> Column:
+        """The finest cells of which the box touches two at most."""
+        size, most = grids[c]
+        two = lambda k: F.floor(F.col(f"_{c}1") / (size * 2**k)) - F.floor(F.col(f"_{c}0") / (size * 2**k)) <= 1
+        return F.coalesce(*[F.when(two(k), F.lit(k)) for k in range(most + 1)], F.lit(most + 1))
+
+    at = lambda c, end: F.floor(F.col(f"_{c}{end}") / (F.lit(grids[c][0]) * F.pow(F.lit(2.0), F.col(f"_k{c}"))))
+    left = left.withColumns({"_kx": level("x"), "_ky": level("y")})
+    placed = left.withColumns({"_cx": at("x", 0), "_cy": at("y", 0)}).drop("_x0", "_x1", "_y0", "_y1")
+    levels = [tuple(r) for r in left.select("_kx", "_ky").distinct().collect()]  # a few: no more than doublings on each axis
+    if not levels:
+        return left.crossJoin(right.limit(0)).select("aid", "bid")
+    every = F.explode(F.array(*[F.struct(F.lit(x).alias("_kx"), F.lit(y).alias("_ky")) for x, y in levels]))
+    gridded = right.withColumn("_k", every).withColumns({"_kx": F.col("_k._kx"), "_ky": F.col("_k._ky")})
+    for c in "xy":
+        gridded = gridded.withColumn(f"_c{c}", F.explode(F.sequence(at(c, 0) - 1, at(c, 1))))
+    # sorted and shuffled: a small table would go to the few tasks that read the other one, which make all the pairs
+    met = placed.join(gridded.drop("_k", "_x0", "_x1", "_y0", "_y1").hint("merge"), ["_kx", "_ky", "_cx", "_cy"])
+    if middles:
+        near = lambda c, s: F.abs(F.col(f"a{c}") - F.col(f"b{c}")) <= (F.col(f"a{s}") + F.col(f"b{s}")) / 2
+        return met.where(near("x", "width") & near("y", "height")).select("aid", "bid")
+    return met.where("ax0 <= bx1 and bx0 <= ax1 and ay0 <= by1 and by0 <= ay1").select("aid", "bid")
 
 
 def nearest(objects: DataFrame, x: float | Column, y: float | Column, limits: dict[str, int], kind: str = "type", order: str = "id", by: Sequence[str] = ()) -> DataFrame:

@@ -361,8 +361,8 @@ def places_on_a_path(spark, sf_dir):
 SELECT a.s_suppkey AS aid, b.s_suppkey AS bid FROM supplier a JOIN supplier b
 ON abs(a.s_acctbal - b.s_acctbal) <= 300 AND abs(a.s_nationkey - b.s_nationkey) <= 1""")
 def overlapping_boxes(spark, sf_dir):
-    n = F.col("s_nationkey").cast("double")
-    boxes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") - 150).alias("x0"), (F.col("s_acctbal") + 150).alias("x1"), (n - 0.5).alias("y0"), (n + 0.5).alias("y1"))
+    """Suppliers as boxes of 300 by 1 about their balance and nation."""
+    boxes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x"), F.col("s_nationkey").cast("double").alias("y"), F.lit(300.0).alias("width"), F.lit(1.0).alias("height"))
     return spatial.boxes_overlapping(boxes, boxes, 100.0)
 
 

@@ -244,3 +244,30 @@ def test_no_point_on_an_edge_is_inside(spark):
     rings = spark.createDataFrame([("a", ring), ("b", ring[::-1])], "gid string, ring array<struct<x:double,y:double>>")
     got = spatial.points_in_polygons(spark.createDataFrame(points, "pid int, x double, y double"), rings)
     assert sorted((r.pid, r.gid) for r in got.collect()) == [(12, "a"), (12, "b")]
+
+
+def test_boxes_by_their_middles(spark):
+    """Middles as far apart as the boxes are wide, whose edges would round apart."""
+    rng = random.Random(4)
+    rows = [(i, round(rng.choice([0, 300, 600]) + rng.randint(0, 30) / 100, 2), float(rng.randint(0, 3)), 300.0, 1.0) for i in range(300)]
+    boxes = spark.createDataFrame(rows, "id int, x double, y double, width double, height double")
+    got = sorted((r.aid, r.bid) for r in spatial.boxes_overlapping(boxes, boxes, 100.0).collect())
+    want = sorted((a[0], b[0]) for a in rows for b in rows if abs(a[1] - b[1]) <= 300 and abs(a[2] - b[2]) <= 1)
+    assert got == want and any((a[1] + 150 >= b[1] - 150) != (b[1] - a[1] <= 300) for a in rows for b in rows)
+
+
+@pytest.mark.parametrize("cell", [0.5, 10.0, 1e4])
+def test_boxes_of_all_sizes_meet_once(spark, cell):
+    rng = random.Random(5)
+
+    def box(i):
+        x, y, w, h = rng.uniform(-60, 60), rng.uniform(-60, 60), rng.choice([0, 0.01, 1, 7, 40]), rng.choice([0, 0.5, 3, 25])
+        x, y = (round(x), round(y)) if i % 3 else (x, y)
+        return (i, float(x), float(x + w), float(y), float(y + h))
+
+    one, two = [box(i) for i in range(150)], [box(i) for i in range(150)] + [(999, None, 1.0, 0.0, 1.0)]
+    kind = "id int, x0 double, x1 double, y0 double, y1 double"
+    got = spatial.boxes_overlapping(spark.createDataFrame(one, kind), spark.createDataFrame(two, kind), cell).collect()
+    want = sorted((a[0], b[0]) for a in one for b in two if b[1] is not None and a[1] <= b[2] and b[1] <= a[2] and a[3] <= b[4] and b[3] <= a[4])
+    assert sorted((r.aid, r.bid) for r in got) == want
+    assert spatial.boxes_overlapping(spark.createDataFrame([], kind), spark.createDataFrame(two, kind), cell).count() == 0
