@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollgrid.functions.arrays import bound
 from rollgrid.operators import polygons
 from rollgrid.operators.storage import stored
 
@@ -22,8 +23,17 @@ def first_lanes(states: DataFrame, lanes: DataFrame, radius: float = 10.0) -> Da
     ``states`` are (scene, agent, step, x, y), each step once, ``lanes`` (scene, lane, rings). The first state is the one of the
     least step with finite coordinates. Agents with no lane within ``radius`` of it give no row.
     """
-    first = _finite(states).groupBy(*KEY).agg(F.min_by(F.struct("x", "y"), "step").alias("_p"))
-    points = first.select("scene", F.col("agent").alias("pid"), "_p.x", "_p.y")
+    return _nearest(_first(_finite(states)), lanes, radius)
+
+
+def _first(held: DataFrame) -> DataFrame:
+    """The step and place of the first state of each agent, stored, as they are read several times."""
+    first = held.groupBy(*KEY).agg(F.min(F.struct("step", "x", "y")).alias("_p"))
+    return stored(first.select(*KEY, F.col("_p.step").alias("_first"), "_p.x", "_p.y"), "first-states")
+
+
+def _nearest(first: DataFrame, lanes: DataFrame, radius: float) -> DataFrame:
+    points = first.select("scene", F.col("agent").alias("pid"), "x", "y")
     held = polygons.near(points, lanes.select("scene", F.col("lane").alias("gid"), "rings"), radius, ["scene"])
     best = held.groupBy("scene", "pid").agg(F.min(F.struct("distance", "gid")).alias("_b"))
     return best.select("scene", F.col("pid").alias("agent"), F.col("_b.gid").alias("lane"), F.col("_b.distance").alias("distance"))
@@ -36,16 +46,18 @@ def matched(states: DataFrame, lanes: DataFrame, edges: DataFrame, radius: float
     Of equally near lanes a successor goes before the first lane, then the smallest. The first state is on the first lane.
     Agents with no lane within ``radius`` of their first state, and states without finite coordinates, give no row.
     """
-    begin = stored(first_lanes(states, lanes, radius).select(*KEY, F.col("lane").alias("src")), "first-lanes")
+    held = stored(_finite(states), "states")
+    first = _first(held)
+    begin = stored(_nearest(first, lanes, radius).select(*KEY, F.col("lane").alias("src")).join(first.select(*KEY, "_first"), KEY), "first-lanes")
     ways = edges.select("scene", "src", F.col("dst").alias("lane")).distinct()
     some = begin.select("scene", "src").distinct()
     own = some.select("scene", "src", F.col("src").alias("lane"), F.lit(1).alias("_own")).unionByName(some.join(ways, ["scene", "src"]).withColumn("_own", F.lit(0)))
     own = own.groupBy("scene", "src", "lane").agg(F.min("_own").alias("_own"))
-    own = own.join(polygons.boxed(lanes.select("scene", "lane", "rings")).select("scene", "lane", "_e"), ["scene", "lane"])
-    firsts = F.min("step").alias("_first")
-    at = _finite(states).join(begin, KEY).join(_finite(states).groupBy(*KEY).agg(firsts), KEY)
-    each = at.join(own, ["scene", "src"]).where((F.col("step") != F.col("_first")) | (F.col("lane") == F.col("src")))
-    measured = each.select(*KEY, "step", "lane", "_own", polygons.distance(F.col("_e"), F.col("x"), F.col("y")).alias("distance"))
+    shapes = polygons.boxed(lanes.select("scene", "lane", "rings")).select("scene", "lane", "_e")
+    small = (shapes.agg(F.max(F.size("_e"))).first()[0] or 0) <= polygons.EDGES
+    own = own.join(shapes.withColumn("_e", polygons.flat(F.col("_e"))) if small else shapes, ["scene", "lane"])
+    each = held.join(begin, KEY).join(own, ["scene", "src"]).where((F.col("step") != F.col("_first")) | (F.col("lane") == F.col("src")))
+    measured = each.select(*KEY, "step", "lane", "_own", (polygons.distances if small else polygons.distance)(F.col("_e"), F.col("x"), F.col("y")).alias("distance"))
     best = measured.groupBy(*KEY, "step").agg(F.min(F.struct("distance", "_own", "lane")).alias("_b"))
     return best.select(*KEY, "step", "_b.lane", "_b.distance")
 
@@ -60,24 +72,24 @@ def walked(states: DataFrame, lanes: DataFrame, edges: DataFrame, radius: float
     """
     t = lanes.schema["lane"].dataType.simpleString()
     none = F.expr(f"cast(array() as array<{t}>)")
-    begin = stored(first_lanes(states, lanes, radius).select(*KEY, F.col("lane").alias("_lane")), "first-lanes")
-    held = _finite(states).join(begin, KEY, "left_semi")
+    held = stored(_finite(states).where(F.col("agent").isNotNull()), "states")
     points = held.select("scene", F.struct("agent", "step").alias("pid"), "x", "y")
     close = polygons.near(points, lanes.select("scene", F.col("lane").alias("gid"), "rings"), radius, ["scene"])
     follow = edges.groupBy("scene", F.col("src").cast(t).alias("lane")).agg(F.collect_set(F.col("dst").cast(t)).alias("_next"))
     close = close.select("scene", "pid.agent", "pid.step", F.col("gid").alias("lane"), "distance").join(follow, ["scene", "lane"], "left")
-    options = close.groupBy(*KEY, "step").agg(F.collect_list(F.struct("distance", "lane", F.coalesce("_next", none).alias("next"))).alias("_options"))
-    steps = held.select(*KEY, "step").join(options, [*KEY, "step"], "left")
-    ordered = F.sort_array(F.collect_list(F.struct("step", F.coalesce("_options", F.expr(f"cast(array() as array<struct<distance: double, lane: {t}, next: array<{t}>>>)")).alias("options"))))
-    folded = steps.groupBy(*KEY).agg(ordered.alias("_steps")).join(begin, KEY).join(follow.withColumnRenamed("lane", "_lane"), ["scene", "_lane"], "left")
-    zero = F.struct(F.array("_lane").alias("path"), F.coalesce("_next", none).alias("next"))
+    option = F.struct("distance", "lane", F.coalesce("_next", none).alias("next"))
+    # every state has a row without an option, so those far from all lanes stay; lists leave nulls out
+    rows = close.select(*KEY, "step", option.alias("_o")).unionByName(held.select(*KEY, "step"), allowMissingColumns=True)
+    steps = rows.repartition(*KEY).groupBy(*KEY, "step").agg(F.collect_list("_o").alias("options"))
+    folded = steps.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("step", "options"))).alias("_steps"))
+    folded = folded.withColumn("_begin", F.array_min(F.element_at("_steps", 1)["options"])).where(F.col("_begin").isNotNull())
+    zero = F.struct(F.array("_begin.lane").alias("path"), F.col("_begin.next").alias("next"))
 
     def on(state, step):
         may = F.filter(step["options"], lambda o: F.array_contains(state["next"], o["lane"]) | F.array_contains(state["path"], o["lane"]))
         ranked = F.transform(may, lambda o: F.struct(o["distance"].alias("distance"), F.when(F.array_contains(state["next"], o["lane"]), 0).otherwise(1).alias("own"), o["lane"].alias("lane"), o["next"].alias("next")))
-        best = F.array_min(ranked)
-        lane = F.coalesce(best["lane"], F.element_at(state["path"], -1))
-        return F.struct(F.concat(state["path"], F.array(lane)).alias("path"), F.coalesce(best["next"], state["next"]).alias("next"))
+        lane = lambda best: F.coalesce(best["lane"], F.element_at(state["path"], -1))
+        return bound(F.array_min(ranked), lambda best: F.struct(F.concat(state["path"], F.array(lane(best))).alias("path"), F.coalesce(best["next"], state["next"]).alias("next")))
 
     rest = F.slice("_steps", F.lit(2), F.greatest(F.size("_steps") - 1, F.lit(0)))
     out = folded.select(*KEY, F.col("_steps.step").alias("_at"), F.aggregate(rest, zero, on)["path"].alias("_path"))

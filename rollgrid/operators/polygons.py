@@ -19,6 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ from rollgrid.functions.arrays import bound
 
 #: Cells that are split on a level, at most; levels; geometries that are never worth splitting.
 CELLS, DEPTH, LEAST = 10_000, 12, 64
+#: Edges of a region with which batches of pairs go to numpy; larger ones are measured row by row.
+EDGES = 256
 BOX = ["_x0", "_y0", "_x1", "_y1"]
 #: Layers of the map. Fixed values.
 ROADBLOCKS = {"ROADBLOCK": "LANE", "ROADBLOCK_CONNECTOR": "LANE_CONNECTOR"}
@@ -89,6 +92,33 @@ def distance(e: Column, x: Column, y: Column, rule: str = "even-odd") -> Column:
     return F.when(covers(e, x, y, rule), F.lit(0.0)).otherwise(F.array_min(F.transform(e, to)))
 
 
+def flat(e: Column) -> Column:
+    """The edges as one array of numbers, four for each, which go to numpy without an object for each."""
+    return F.flatten(F.transform(e, lambda s: F.array(s["x0"], s["y0"], s["x1"], s["y1"])))
+
+
+def distances(numbers: Column, x: Column, y: Column, rule: str = "even-odd") -> Column:
+    """``distance`` for many rows at once, from edges made ``flat``; filters on it do not compute it again."""
+
+    def far(e: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+        n = np.diff(e.offsets.to_numpy()) // 4
+        x0, y0, x1, y1 = e.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4).T
+        x, y = (np.repeat(v.to_numpy(zero_copy_only=False), n) for v in (x, y))
+        begin = np.concatenate([[0], np.cumsum(n)[:-1]])
+        dx, dy = x1 - x0, y1 - y0
+        side = dx * (y - y0) - (x - x0) * dy
+        up, down = (y0 <= y) & (y1 > y) & (side > 0), (y0 > y) & (y1 <= y) & (side < 0)
+        turns = np.add.reduceat(up.astype(np.int64) + (-1 if rule == "nonzero" else 1) * down, begin)
+        on = (side == 0) & (x >= np.minimum(x0, x1)) & (x <= np.maximum(x0, x1)) & (y >= np.minimum(y0, y1)) & (y <= np.maximum(y0, y1))
+        held = (turns != 0 if rule == "nonzero" else turns % 2 == 1) | np.logical_or.reduceat(on, begin)
+        length = dx * dx + dy * dy
+        share = np.clip(np.divide((x - x0) * dx + (y - y0) * dy, length, out=np.zeros(len(length)), where=length > 0), 0.0, 1.0)
+        out = np.sqrt((x0 + share * dx - x) ** 2 + (y0 + share * dy - y) ** 2)
+        return pa.array(np.where(held, 0.0, np.fmin.reduceat(out, begin)))
+
+    return F.arrow_udf(far, "double").asNondeterministic()(numbers, x, y)
+
+
 def _cross(a: Column, b: Column) -> Column:
     """Whether two edges share a point: each straddles the line of the other, and their boxes meet."""
     apart = lambda low, high: (F.greatest(a[low], a[high]) < F.least(b[low], b[high])) | (F.greatest(b[low], b[high]) < F.least(a[low], a[high]))
@@ -204,10 +234,20 @@ def leaves_of(split: np.ndarray, box: tuple[np.ndarray, ...]) -> tuple[np.ndarra
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def in_leaves(df: DataFrame, tree: Quad) -> DataFrame:
-    """A row for each leaf that the box of a row touches, and the box in whole numbers. Only these numbers go to Python."""
+def in_leaves(df: DataFrame, tree: Quad, points: bool = False) -> DataFrame:
+    """A row for each leaf that the box of a row touches, and the box in whole numbers. Only these numbers go to Python.
+
+    Boxes of ``points`` are points, which stand in one leaf each."""
     split = tree.split
 
+    @F.pandas_udf("long")
+    def leaf(x: pd.Series, y: pd.Series) -> pd.Series:
+        at = tuple(v.to_numpy(np.int64) for v in (x, y))
+        row, key = leaves_of(split, (*at, *at))
+        out = np.empty(len(x), np.int64)
+        out[row] = key
+        return pd.Series(out)
+
     @F.pandas_udf("array<long>")
     def leaves(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
         row, key = leaves_of(split, tuple(v.to_numpy(np.int64) for v in (x0, y0, x1, y1)))
@@ -216,17 +256,20 @@ def in_leaves(df: DataFrame, tree: Quad) -> DataFrame:
 
     (a, b), (c, d) = tree.place(F.col("_x0"), F.col("_y0")), tree.place(F.col("_x1"), F.col("_y1"))
     out = df.withColumns({"_gx0": a, "_gy0": b, "_gx1": c, "_gy1": d})
+    if points:
+        return out.withColumn("_leaf", leaf("_gx0", "_gy0"))
     return out.withColumn("_leaf", F.explode(leaves("_gx0", "_gy0", "_gx1", "_gy1")))
 
 
-def pairs(a: DataFrame, b: DataFrame, by: Sequence[str] = (), cells: int = CELLS, least: int = LEAST) -> DataFrame:
-    """Rows of ``a`` and ``b`` (with ``BOX`` and no other common names but ``by``) whose boxes share a point, once each."""
+def pairs(a: DataFrame, b: DataFrame, by: Sequence[str] = (), cells: int = CELLS, least: int = LEAST, points: bool = False) -> DataFrame:
+    """Rows of ``a`` and ``b`` (with ``BOX`` and no other common names but ``by``) whose boxes share a point, once each.
+    With ``points`` the boxes of ``a`` are points."""
     tree = quad(a, b, cells=cells, least=least)
     if tree is None:
         return a.join(b.drop(*BOX), list(by), "inner").limit(0) if by else a.crossJoin(b.drop(*BOX).limit(0))
     box = [*BOX, "_gx0", "_gy0", "_gx1", "_gy1"]
     other = in_leaves(b, tree)
-    met = in_leaves(a, tree).join(other.withColumnsRenamed({c: f"{c}b" for c in box}), [*by, "_leaf"])
+    met = in_leaves(a, tree, points).join(other.withColumnsRenamed({c: f"{c}b" for c in box}), [*by, "_leaf"])
     met = met.where((F.col("_x0") <= F.col("_x1b")) & (F.col("_x0b") <= F.col("_x1")) & (F.col("_y0") <= F.col("_y1b")) & (F.col("_y0b") <= F.col("_y1")))
     level = F.shiftright("_leaf", 40)
     own = {"_gx": F.shiftright("_leaf", 20).bitwiseAND(F.lit((1 << 20) - 1)), "_gy": F.col("_leaf").bitwiseAND(F.lit((1 << 20) - 1))}
@@ -273,7 +316,7 @@ def _at(points: DataFrame, radius: float = 0.0) -> DataFrame:
 
 def points_in(points: DataFrame, regions: DataFrame, by: Sequence[str] = (), rule: str = "even-odd", edge: bool = False, cells: int = CELLS, least: int = LEAST) -> DataFrame:
     """(by, pid, gid): points (pid, x, y) strictly inside regions (gid, rings), or on an edge too."""
-    found = pairs(_at(points.select(*by, "pid", "x", "y")), boxed(regions.select(*by, "gid", "rings")), by, cells, least)
+    found = pairs(_at(points.select(*by, "pid", "x", "y")), boxed(regions.select(*by, "gid", "rings")), by, cells, least, True)
     return found.where((covers if edge else inside)(F.col("_e"), F.col("x"), F.col("y"), rule)).select(*by, "pid", "gid")
 
 
@@ -284,9 +327,21 @@ def in_layer(points: DataFrame, regions: DataFrame, layer: str, by: Sequence[str
 
 
 def near(points: DataFrame, regions: DataFrame, radius: float, by: Sequence[str] = (), rule: str = "even-odd") -> DataFrame:
-    """(by, pid, gid, distance): regions no further than ``radius`` from points (pid, x, y)."""
-    found = pairs(_at(points.select(*by, "pid", "x", "y"), radius), boxed(regions.select(*by, "gid", "rings")), by)
-    return found.withColumn("distance", distance(F.col("_e"), F.col("x"), F.col("y"), rule)).where(F.col("distance") <= radius).select(*by, "pid", "gid", "distance")
+    """(by, pid, gid, distance): regions no further than ``radius`` from points (pid, x, y).
+
+    The boxes of the smaller side are widened by the radius: where many points meet few regions, leaves are far smaller
+    than the radius, and a widened point would enter hundreds of them.
+    """
+    at, held = points.select(*by, "pid", "x", "y"), boxed(regions.select(*by, "gid", "rings"))
+    shape = held.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_e")).alias("edges")).first()
+    few, small = points.count() < shape["n"], (shape["edges"] or 0) <= EDGES
+    if not few:
+        wide = F.lit(float(radius)) + (F.abs("_x0") + F.abs("_x1") + F.abs("_y0") + F.abs("_y1") + radius) * 1e-12  # more than any rounding
+        held = held.withColumns({c: F.col(c) + (wide if c.endswith("1") else -wide) for c in BOX})
+    if small:
+        held = held.withColumn("_e", flat(F.col("_e")))
+    found = pairs(_at(at, radius if few else 0.0), held, by, points=not few)
+    return found.withColumn("distance", (distances if small else distance)(F.col("_e"), F.col("x"), F.col("y"), rule)).where(F.col("distance") <= radius).select(*by, "pid", "gid", "distance")
 
 
 def drivable_map(centres: DataFrame, features: DataFrame, radius: float = 50.0) -> DataFrame:

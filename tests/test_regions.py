@@ -271,3 +271,25 @@ def test_boxes_of_all_sizes_meet_once(spark, cell):
     want = sorted((a[0], b[0]) for a in one for b in two if b[1] is not None and a[1] <= b[2] and b[1] <= a[2] and a[3] <= b[4] and b[3] <= a[4])
     assert sorted((r.aid, r.bid) for r in got) == want
     assert spatial.boxes_overlapping(spark.createDataFrame([], kind), spark.createDataFrame(two, kind), cell).count() == 0
+
+
+def test_states_stand_in_one_leaf(spark):
+    """Many points beside few regions: none is sent to the leaves of its surroundings, and distances are those of plain loops."""
+    rng = random.Random(8)
+    rings = {g: [[(x, y), (x + 45.0, y), (x + 45.0, y + 4.0), (x, y + 4.0)]] for g, (x, y) in enumerate((20.0 * i, 7.3 * (i % 2)) for i in range(12))}
+    rings[99] = [[(0.0, 0.0), (30.0, 0.0), (0.0, 30.0)], [(5.0, 5.0), (8.0, 5.0), (5.0, 8.0)]]
+    points = [(i, rng.uniform(-20, 260), rng.uniform(-20, 30)) for i in range(1500)] + [(9001, 30.0, -10.0), (9002, None, 1.0)]
+    regions = spark.createDataFrame(list(rings.items()), f"gid int, rings {RINGS}")
+    got = P.near(spark.createDataFrame(points, "pid int, x double, y double"), regions, 10.0)
+
+    def far(r, x, y):
+        inside = sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for ring in r for a, b in zip(ring, ring[1:] + ring[:1])) % 2
+        return 0.0 if inside else min(plain_distance(x, y, a, b) for ring in r for a, b in zip(ring, ring[1:] + ring[:1]))
+
+    want = {(i, g): far(r, x, y) for i, x, y in points if x is not None for g, r in rings.items()}
+    assert {(r.pid, r.gid): round(r.distance, 9) for r in got.collect()} == {k: round(d, 9) for k, d in want.items() if d <= 10.0}
+    at = P._at(spark.createDataFrame(points, "pid int, x double, y double"))
+    tree = P.quad(at, least=4)
+    assert len(tree.split) > 100 and P.in_leaves(at, tree, True).count() == 1501
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("leaf(") and plan.count("leaves(")
