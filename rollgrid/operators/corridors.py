@@ -71,13 +71,17 @@ def corridor(path: Column, half: Column) -> Column:
 
 def corridors(paths: DataFrame, half: float | Column) -> DataFrame:
     """``paths`` (..., path array of (x, y, ...), begin, end) with a column rings: the part of the path between the distances
-    ``begin`` and ``end`` widened by ``half`` on each side. Paths without a stretch there are left out."""
+    ``begin`` and ``end`` widened by ``half`` on each side. Paths without a stretch there are left out.
+
+    The arcs of rings have ``QUARTER`` steps; the columns bends (the inner points of that part) and half give them exactly."""
     width = F.lit(float(half)) if isinstance(half, (int, float)) else half
     flat = F.transform("path", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
     part = bound(flat, lambda p: G.between_distances(p, F.col("begin").cast("double"), F.col("end").cast("double")))
     ring = bound(part, lambda p: corridor(p, width))
     # a row without a ring gives none; as a generator the ring is computed once
-    return paths.drop("rings").withColumn("rings", F.explode(F.when(F.size("path") > 1, bound(ring, lambda r: F.when(r.isNotNull(), F.array(F.array(r)))))))
+    inner = bound(part, lambda p: F.slice(p, F.lit(2), F.greatest(F.size(p) - 2, F.lit(0))))
+    whole = paths.drop("rings").withColumns({"bends": F.when(F.size("path") > 1, inner), "half": width})
+    return whole.withColumn("rings", F.explode(F.when(F.size("path") > 1, bound(ring, lambda r: F.when(r.isNotNull(), F.array(F.array(r)))))))
 
 
 def reach(ego_progress: Column, target: Column, poses: int, interval: float) -> Column:
@@ -86,11 +90,21 @@ def reach(ego_progress: Column, target: Column, poses: int, interval: float) ->
 
 
 def intersecting_objects(found: DataFrame, objects: DataFrame) -> DataFrame:
-    """(scene, lateral, step, token): objects (scene, step, token, rings) that a corridor (scene, lateral, rings) meets."""
-    queries = found.select("scene", F.col("lateral").alias("qid"), "rings")
-    regions = objects.select("scene", F.struct("step", "token").alias("gid"), "rings")
-    met = polygons.met(queries, regions, by=["scene"], rule="nonzero")
-    return met.select("scene", F.col("qid").alias("lateral"), "gid.step", "gid.token")
+    """(scene, lateral, step, token): objects (scene, step, token, rings) that a corridor (scene, lateral, rings) meets.
+
+    Where corridors have the columns bends and half, objects within ``half`` of a bend count too, so bends are round."""
+    regions = polygons.boxed(objects.select("scene", "step", "token", "rings"), name="_f")
+    exact = "bends" in found.columns and "half" in found.columns
+    queries = polygons.boxed(found.select("scene", "lateral", "rings", *(["bends", "half"] if exact else [])))
+    if exact:
+        # arcs lie inside their circles by half * (1 - cos(pi / 4 / QUARTER)) at most
+        short = F.col("half") * (1 - math.cos(math.pi / 4 / QUARTER) + 1e-9)
+        queries = queries.withColumns({c: F.col(c) + (short if c.endswith("1") else -short) for c in polygons.BOX})
+    met = polygons.pairs(queries, regions, ["scene"])
+    touched = polygons.intersects(F.col("_e"), F.col("_f"), "nonzero")
+    if exact:
+        touched = touched | F.exists("bends", lambda p: polygons.distance(F.col("_f"), p["x"], p["y"], "nonzero") <= F.col("half"))
+    return met.where(touched).select("scene", "lateral", "step", "token")
 
 
 def leading_objects(found: DataFrame, vehicles: DataFrame, objects: DataFrame, collided: DataFrame | None = None) -> DataFrame:

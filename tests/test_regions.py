@@ -216,6 +216,17 @@ def test_objects_in_corridors(spark):
     assert {r.token for r in first.where("step = 1 and proposal < 2").collect()} == {"near"}
 
 
+def test_bends_of_corridors_are_round(spark):
+    """Small boxes just inside the circle of a bend, between the steps of its arc, are met; those just outside are not."""
+    path = [(0.0, 0.0), (200.0, 0.0), (200.0, 90.0)]
+    found = K.corridors(spark.createDataFrame([("s", 0, path, 10.0, 225.0)], "scene string, lateral int, path array<struct<x:double,y:double>>, begin double, end double"), 12.0)
+    box = lambda x, y: [[(x, y), (x + 1, y), (x + 1, y - 1), (x, y - 1)]]
+    at = lambda k, r: (200 + r * math.cos(-(k + 0.5) * math.pi / 32), r * math.sin(-(k + 0.5) * math.pi / 32))
+    rows = [("s", 0, f"{name}{k}", box(*at(k, r))) for k in range(1, 15) for name, r in (("in", 11.9999), ("out", 12.0001))]
+    got = K.intersecting_objects(found, spark.createDataFrame(rows, f"scene string, step int, token string, rings {RINGS}"))
+    assert {r.token for r in got.collect()} == {f"in{k}" for k in range(1, 15)}
+
+
 # nearest objects
 
 
