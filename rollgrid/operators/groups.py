@@ -28,8 +28,14 @@ def reward(df: DataFrame, names: Sequence[str] = ("training_reward", "pdms_scale
     return F.coalesce(*there)
 
 
-def group_stats(df: DataFrame, key: str = "token", measures: Sequence[str] = ("pdms", "pdms_scaled")) -> DataFrame:
-    """group_size and, for each measure, mean, sample std (NULL for one row) and range."""
+def group_stats(df: DataFrame, key: str = "token", measures: Sequence[str] = ("pdms", "pdms_scaled"), order: Sequence[str] = ()) -> DataFrame:
+    """group_size and, for each measure, mean, sample std (NULL for one row) and range.
+
+    The last bits of means and stds follow the order in which Spark adds, which changes with the files and tasks. With the
+    columns of an ``order`` each group is added in it, so reruns agree; its rows are sent and sorted, not summed before.
+    """
+    if order:
+        df = df.repartition(key).sortWithinPartitions(key, *order)
     aggregates = [F.count(F.lit(1)).alias("group_size")]
     for m in measures:
         aggregates += [F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std"), (F.max(m) - F.min(m)).alias(f"{m}_range")]

@@ -73,7 +73,9 @@ b AS (SELECT *, round_even(p * 32, 0) AS k FROM a WHERE pow(p, 8) + pow(1 - p, 8
 c AS (SELECT *, CASE WHEN k * (32 - k) >= 0 THEN sqrt(k * (32 - k) / 992.0::DOUBLE) * r END AS pred FROM b)
 SELECT token, round(p, 6) AS p_est, round(sd, 6) AS std, round(pred, 6) AS pred_std FROM c WHERE abs(pred - sd) / sd < 0.1""")
 def scene_filter(spark, sf_dir):
-    out = groups.scene_filter(groups.group_stats(rollouts(spark, sf_dir), measures=["pdms_scaled"]))
+    # the last bits of a mean decide ties of the rounded counts, so groups are added as the rows are stored
+    stored = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("token"), (F.col("l_quantity") / 50).alias("pdms_scaled"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    out = groups.scene_filter(groups.group_stats(stored, measures=["pdms_scaled"], order=["file", "row"]))
     return rounded(out.select("token", "p_est", F.col("pdms_scaled_std").alias("std"), "pred_std"))
 
 

@@ -1,12 +1,13 @@
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from rollgrid.functions import scores as S
 from rollgrid.operators import groups, guards, manifests
-from rollgrid.plans import pipelines
+from rollgrid.plans import catalog, pipelines
 
 
 def rows(spark, values):
@@ -31,6 +32,18 @@ def test_scene_filter_drops_single_and_flat_groups(spark):
     assert {r.token for r in groups.scene_filter(stats, group_size=16).collect()} == {"two-valued"}
 
 
+def test_scene_filter_adds_as_rows_are_stored(spark, tmp_path):
+    """With groups that lie over several files, sums of doubles are those of the SQL over the rows in their order."""
+    db = duckdb.connect(config={"threads": 1})
+    (tmp_path / "lineitem.parquet").mkdir()
+    for i in range(8):
+        db.sql(f"COPY (SELECT * FROM '/root/testdata/sf0.01/lineitem.parquet' LIMIT 7500 OFFSET {i * 7500}) TO '{tmp_path}/lineitem.parquet/{i}.parquet'")
+    db.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = db.sql(catalog.ORACLE_SQL["scene_filter"])
+    got = catalog.scene_filter(spark, str(tmp_path)).select(*want.columns).collect()
+    assert len(got) > 1000 and {tuple(r) for r in got} == set(want.fetchall())
+
+
 def test_group_filter_modes(spark):
     df = spark.createDataFrame([("zero", 0.5, 0), ("zero", 0.5, 1), ("signal", 0.2, 2), ("signal", 0.8, 3), ("other", 0.0, 4), ("other", 0.0, 5)], "uid string, score double, pos int")
     assert sorted(r.pos for r in groups.group_filter(df).collect()) == [2, 3]
