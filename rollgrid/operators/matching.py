@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rollgrid.functions.arrays import bound
@@ -10,6 +15,8 @@ from rollgrid.operators import polygons
 from rollgrid.operators.storage import stored
 
 KEY = ["scene", "agent"]
+#: Lanes, and edges and ways of all of them, up to which a map goes to all tasks.
+LANES, PARTS = 1_000, 65_536
 
 
 def _finite(states: DataFrame) -> DataFrame:
@@ -45,7 +52,17 @@ def matched(states: DataFrame, lanes: DataFrame, edges: DataFrame, radius: float
 
     Of equally near lanes a successor goes before the first lane, then the smallest. The first state is on the first lane.
     Agents with no lane within ``radius`` of their first state, and states without finite coordinates, give no row.
+
+    A map of few lanes (``LANES``, ``PARTS``) goes to all tasks, and states move once, to the task of their agent, which
+    sorts them. With larger ones first lanes are searched through ``polygons.near`` and joined to the states.
     """
+    lanes = lanes.where(F.col("scene").isNotNull() & F.col("lane").isNotNull())
+    shapes = polygons.boxed(lanes.select("scene", "lane", "rings")).withColumn("_e", polygons.flat(F.col("_e")))
+    size = shapes.agg(F.count(F.lit(1)).alias("lanes"), F.sum(F.size("_e") / 4).alias("edges"), F.max(F.size("_e") / 4).alias("most")).first()
+    if size["lanes"] <= LANES and (size["edges"] or 0) <= PARTS:
+        small = _small_map(shapes, edges, lanes.schema["lane"].dataType.simpleString())
+        if small is not None:
+            return _matched_on(small, _finite(states), shapes, radius)
     held = stored(_finite(states), "states")
     first = _first(held)
     begin = stored(_nearest(first, lanes, radius).select(*KEY, F.col("lane").alias("src")).join(first.select(*KEY, "_first"), KEY), "first-lanes")
@@ -53,15 +70,100 @@ def matched(states: DataFrame, lanes: DataFrame, edges: DataFrame, radius: float
     some = begin.select("scene", "src").distinct()
     own = some.select("scene", "src", F.col("src").alias("lane"), F.lit(1).alias("_own")).unionByName(some.join(ways, ["scene", "src"]).withColumn("_own", F.lit(0)))
     own = own.groupBy("scene", "src", "lane").agg(F.min("_own").alias("_own"))
-    shapes = polygons.boxed(lanes.select("scene", "lane", "rings")).select("scene", "lane", "_e")
-    small = (shapes.agg(F.max(F.size("_e"))).first()[0] or 0) <= polygons.EDGES
-    own = own.join(shapes.withColumn("_e", polygons.flat(F.col("_e"))) if small else shapes, ["scene", "lane"])
+    small = (size["most"] or 0) <= polygons.EDGES
+    shapes = shapes if small else polygons.boxed(lanes.select("scene", "lane", "rings"))
+    own = own.join(shapes.select("scene", "lane", "_e"), ["scene", "lane"])
     each = held.join(begin, KEY).join(own, ["scene", "src"]).where((F.col("step") != F.col("_first")) | (F.col("lane") == F.col("src")))
     measured = each.select(*KEY, "step", "lane", "_own", (polygons.distances if small else polygons.distance)(F.col("_e"), F.col("x"), F.col("y")).alias("distance"))
     best = measured.groupBy(*KEY, "step").agg(F.min(F.struct("distance", "_own", "lane")).alias("_b"))
     return best.select(*KEY, "step", "_b.lane", "_b.distance")
 
 
+@dataclass
+class SmallMap:
+    """Lanes in their order by number, from 0: scenes, boxes, edges, and the lanes that may follow each, with itself."""
+
+    scene: np.ndarray
+    box: np.ndarray
+    edges: list[np.ndarray]
+    after: list[list[int]]
+    same: list[set[int]]
+
+    def first(self, scene: np.ndarray, x: np.ndarray, y: np.ndarray, radius: float) -> np.ndarray:
+        """The nearest lane within the radius, of equal ones the smallest, or -1."""
+        lane, best = np.full(len(x), -1), np.full(len(x), np.inf)
+        for i, (x0, y0, x1, y1) in enumerate(self.box):
+            wide = radius + (abs(x0) + abs(y0) + abs(x1) + abs(y1) + radius) * 1e-12  # more than any rounding
+            at = np.flatnonzero((scene == self.scene[i]) & (x >= x0 - wide) & (x <= x1 + wide) & (y >= y0 - wide) & (y <= y1 + wide))
+            if len(at):
+                d = polygons.far(self.edges[i], x[at], y[at])
+                better = (d <= radius) & (d < best[at])
+                lane[at[better]], best[at[better]] = i, d[better]
+        return lane
+
+    def nearest(self, begin: np.ndarray, first: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lane and distance of each state of agents that begin on a lane; their first states stay on it."""
+        lane, best = np.full(len(x), -1), np.full(len(x), np.inf)
+        order = np.argsort(begin, kind="stable")
+        starts, cuts = np.unique(begin[order], return_index=True)
+        for i, rows in zip(starts, np.split(order, cuts[1:])):
+            for j in self.after[i] if i >= 0 else ():
+                at = rows if j in self.same[i] else rows[~first[rows]]
+                if len(at):
+                    d = polygons.far(self.edges[j], x[at], y[at])
+                    better = d < best[at]
+                    lane[at[better]], best[at[better]] = j, d[better]
+        return lane, best
+
+
+def _numbered(shapes: DataFrame) -> DataFrame:
+    """The lanes of a small map with the numbers of their scene and their own, both in order from 0."""
+    return shapes.withColumns({"_s": F.dense_rank().over(W.orderBy("scene")) - 1, "_n": F.row_number().over(W.orderBy("scene", "lane")) - 1})
+
+
+def _small_map(shapes: DataFrame, edges: DataFrame, kind: str) -> SmallMap | None:
+    """The lanes of ``shapes``, or None if too many ways join them."""
+    ends = shapes.select("scene", "lane").distinct()
+    ways = edges.select("scene", F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst")).distinct()
+    for end in ("src", "dst"):
+        ways = ways.join(F.broadcast(ends.withColumnRenamed("lane", end)), ["scene", end], "left_semi")
+    pairs = ways.select("scene", "src", "dst").limit(PARTS + 1).collect()
+    if len(pairs) > PARTS:
+        return None
+    rows = sorted(_numbered(shapes).collect(), key=lambda r: r["_n"])
+    numbers, follow = {}, {}
+    for r in rows:
+        numbers.setdefault((r["scene"], r["lane"]), []).append(r["_n"])
+    for p in pairs:
+        follow.setdefault((p["scene"], p["src"]), set()).update(numbers[p["scene"], p["dst"]])
+    same = [set(numbers[r["scene"], r["lane"]]) for r in rows]
+    after = [sorted(follow.get((r["scene"], r["lane"]), ())) for r in rows]  # of equal ones a successor goes before the lane itself
+    after = [[*a, *sorted(s - set(a))] for a, s in zip(after, same)]
+    box = np.array([[r[c] for c in polygons.BOX] for r in rows], float).reshape(-1, 4)
+    return SmallMap(np.array([r["_s"] for r in rows], int), box, [np.array(r["_e"], float).reshape(-1, 4) for r in rows], after, same)
+
+
+def _matched_on(small: SmallMap, held: DataFrame, shapes: DataFrame, radius: float) -> DataFrame:
+    """``matched`` on a map that all tasks have: states are sent once, to the task of their agent, and put on lanes there."""
+    numbered = _numbered(shapes.select("scene", "lane"))
+    given = held.sparkSession.sparkContext.broadcast(small)
+
+    def on(scene: pa.Array, x: pa.Array, y: pa.Array, x0: pa.Array, y0: pa.Array, first: pa.Array) -> pa.Array:
+        scene, x, y, x0, y0, first = (v.to_numpy(zero_copy_only=False) for v in (scene, x, y, x0, y0, first))
+        new = np.concatenate([[True], (scene[1:] != scene[:-1]) | (x0[1:] != x0[:-1]) | (y0[1:] != y0[:-1])])[: len(x)]  # an agent's states follow each other
+        begin = given.value.first(scene[new], x0[new], y0[new], radius)[np.cumsum(new) - 1]
+        lane, distance = given.value.nearest(begin, first.astype(bool), x, y)
+        return pa.StructArray.from_arrays([pa.array(lane, pa.int32()), pa.array(distance, pa.float64())], ["n", "distance"])
+
+    scenes = numbered.select("scene", "_s").distinct()
+    begin = F.first(F.struct("step", "x", "y")).over(W.partitionBy(*KEY).orderBy("step", "x", "y"))
+    states = held.where(F.col("agent").isNotNull()).withColumn("_p", begin).join(F.broadcast(scenes), "scene")
+    first = ~F.coalesce(F.col("step") != F.col("_p.step"), F.lit(False))
+    put = F.arrow_udf(on, "n int, distance double").asNondeterministic()(F.col("_s"), F.col("x"), F.col("y"), F.col("_p.x"), F.col("_p.y"), first)
+    out = states.select(*KEY, "step", put.alias("_b")).where("_b.n >= 0").select(*KEY, "step", F.col("_b.n").alias("_n"), "_b.distance")
+    return out.join(F.broadcast(numbered.select("_n", "lane")), "_n").select(*KEY, "step", "lane", "distance")
+
+
 def walked(states: DataFrame, lanes: DataFrame, edges: DataFrame, radius: float = 10.0) -> DataFrame:
     """(scene, agent, step, lane): as ``matched``, but along the lanes: after each state the successors of the lane it is on
     may follow, and every lane the agent has been on.

@@ -29,6 +29,8 @@ from rollgrid.functions.arrays import bound
 CELLS, DEPTH, LEAST = 10_000, 12, 64
 #: Edges of a region with which batches of pairs go to numpy; larger ones are measured row by row.
 EDGES = 256
+#: Pairs of edge and point that are measured at once.
+PAIRS = 1 << 20
 BOX = ["_x0", "_y0", "_x1", "_y1"]
 #: Layers of the map. Fixed values.
 ROADBLOCKS = {"ROADBLOCK": "LANE", "ROADBLOCK_CONNECTOR": "LANE_CONNECTOR"}
@@ -97,26 +99,45 @@ def flat(e: Column) -> Column:
     return F.flatten(F.transform(e, lambda s: F.array(s["x0"], s["y0"], s["x1"], s["y1"])))
 
 
+def _to_edges(e: Sequence, x: np.ndarray, y: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For edges (x0, y0, x1, y1) and points: their turns about them, whether they hold them, and the distance."""
+    x0, y0, x1, y1 = e
+    dx, dy = x1 - x0, y1 - y0
+    ax, ay = x - x0, y - y0
+    side = dx * ay - ax * dy
+    up, down = (y0 <= y) & (y1 > y) & (side > 0), (y0 > y) & (y1 <= y) & (side < 0)
+    on = (side == 0) & (x >= np.minimum(x0, x1)) & (x <= np.maximum(x0, x1)) & (y >= np.minimum(y0, y1)) & (y <= np.maximum(y0, y1))
+    length = dx * dx + dy * dy
+    share = np.divide(ax * dx + ay * dy, length, out=np.zeros(np.broadcast(x, dx).shape), where=length > 0)
+    share = np.minimum(np.maximum(share, 0.0), 1.0)
+    gap = np.sqrt((x0 + share * dx - x) ** 2 + (y0 + share * dy - y) ** 2)
+    return up.astype(np.int64) + (-1 if rule == "nonzero" else 1) * down, on, gap
+
+
+def _settled(turns: np.ndarray, on: np.ndarray, gap: np.ndarray, rule: str) -> np.ndarray:
+    return np.where((turns != 0 if rule == "nonzero" else turns % 2 == 1) | on, 0.0, gap)
+
+
+def far(e: np.ndarray, x: np.ndarray, y: np.ndarray, rule: str = "even-odd") -> np.ndarray:
+    """``distance`` in numpy from points to the region of the edges (x0, y0, x1, y1), rows of ``e``."""
+    most = max(1, PAIRS // len(e))
+    if len(x) > most:
+        return np.concatenate([far(e, x[i : i + most], y[i : i + most], rule) for i in range(0, len(x), most)])
+    turns, on, gap = _to_edges(e.T[:, :, None], x, y, rule)
+    return _settled(turns.sum(axis=0), on.any(axis=0), np.fmin.reduce(gap, axis=0), rule)
+
+
 def distances(numbers: Column, x: Column, y: Column, rule: str = "even-odd") -> Column:
     """``distance`` for many rows at once, from edges made ``flat``; filters on it do not compute it again."""
 
-    def far(e: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+    def measured(e: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
         n = np.diff(e.offsets.to_numpy()) // 4
-        x0, y0, x1, y1 = e.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4).T
         x, y = (np.repeat(v.to_numpy(zero_copy_only=False), n) for v in (x, y))
         begin = np.concatenate([[0], np.cumsum(n)[:-1]])
-        dx, dy = x1 - x0, y1 - y0
-        side = dx * (y - y0) - (x - x0) * dy
-        up, down = (y0 <= y) & (y1 > y) & (side > 0), (y0 > y) & (y1 <= y) & (side < 0)
-        turns = np.add.reduceat(up.astype(np.int64) + (-1 if rule == "nonzero" else 1) * down, begin)
-        on = (side == 0) & (x >= np.minimum(x0, x1)) & (x <= np.maximum(x0, x1)) & (y >= np.minimum(y0, y1)) & (y <= np.maximum(y0, y1))
-        held = (turns != 0 if rule == "nonzero" else turns % 2 == 1) | np.logical_or.reduceat(on, begin)
-        length = dx * dx + dy * dy
-        share = np.clip(np.divide((x - x0) * dx + (y - y0) * dy, length, out=np.zeros(len(length)), where=length > 0), 0.0, 1.0)
-        out = np.sqrt((x0 + share * dx - x) ** 2 + (y0 + share * dy - y) ** 2)
-        return pa.array(np.where(held, 0.0, np.fmin.reduceat(out, begin)))
+        turns, on, gap = _to_edges(e.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4).T, x, y, rule)
+        return pa.array(_settled(np.add.reduceat(turns, begin), np.logical_or.reduceat(on, begin), np.fmin.reduceat(gap, begin), rule))
 
-    return F.arrow_udf(far, "double").asNondeterministic()(numbers, x, y)
+    return F.arrow_udf(measured, "double").asNondeterministic()(numbers, x, y)
 
 
 def _cross(a: Column, b: Column) -> Column:

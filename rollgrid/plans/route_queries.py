@@ -64,7 +64,8 @@ def lanes_and_states(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     edges = nations.select(F.lit(0).alias("scene"), n.alias("src"), F.explode(F.array(n + 2, n + 3 - 2 * (n % 2))).alias("dst"))
     x = F.col("l_orderkey") * 13 % 400 + F.col("l_linenumber") * 17.01 + F.col("l_discount") * 10
     y = F.col("l_partkey") % 190 / 10 - 4.123
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_discount").alias("l_discount"))
+    sent = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount").repartition("l_orderkey")  # by agent, as matching takes them
+    rows = sent.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_discount").alias("l_discount"))
     items = rows.select(F.lit(0).alias("scene"), F.col("l_orderkey").alias("agent"), F.col("l_linenumber").alias("step"), x.cast("double").alias("x"), y.cast("double").alias("y"))
     return items, lanes, edges
 

@@ -3,10 +3,11 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rollgrid.operators import graph, matching, routes
+from rollgrid.operators import graph, matching, polygons, routes
 
 
 def shortest(edges, starts, ends, most):
@@ -129,3 +130,47 @@ def test_lanes_follow_the_states(spark, walk):
     line = graph.centreline(matching.paths(out), poses)
     assert {(*r.path_id,): len(r.poses) for r in line.collect()} == {k: len(v) for k, v in got.items()}
     assert out.where(F.col("agent") == 60).count() == 0
+
+
+def tangle(spark):
+    """States, lanes and ways of three scenes with ties, a lane in two parts, lanes that follow themselves and missing ones."""
+    rng = random.Random(11)
+    corner = lambda: (float(rng.randint(0, 30)), float(rng.randint(0, 30)))
+    lanes = [(s, lane, [[corner() for _ in range(rng.randint(1, 6))]]) for s in "abc" for lane in [*range(12), 5]] + [("a", 20, []), (None, 1, [[corner()]]), ("a", None, [[corner()]])]
+    ways = [(s, rng.randrange(14), rng.randrange(14)) for s in "abcd" for _ in range(200)] + [("a", 3, 3), ("b", 3, 3), ("a", None, 1), ("a", 1, None)]
+    rows = [(s, agent, t, *corner()) for s in "abcd" for agent in range(40) for t in rng.sample(range(50), rng.randint(1, 8))] + [("a", None, 1, 5.0, 5.0), (None, 1, 1, 5.0, 5.0)]
+    states = spark.createDataFrame(rows, "scene string, agent int, step int, x double, y double")
+    shapes = spark.createDataFrame(lanes, "scene string, lane int, rings array<array<struct<x: double, y: double>>>")
+    return states, shapes, spark.createDataFrame(ways, "scene string, src long, dst long")
+
+
+def test_small_and_large_maps_match_alike(spark, monkeypatch):
+    given = tangle(spark)
+    small = sorted(tuple(r) for r in matching.matched(*given, radius=4.0).collect())
+    monkeypatch.setattr(matching, "LANES", -1)
+    large = sorted(tuple(r) for r in matching.matched(*given, radius=4.0).collect())
+    assert [r[:4] for r in small] == [r[:4] for r in large] and len(small) > 200
+    assert [r[4] for r in small] == pytest.approx([r[4] for r in large], abs=1e-12)
+    no_lanes = matching.matched(given[0], given[1].limit(0), given[2])
+    monkeypatch.undo()
+    assert no_lanes.count() == matching.matched(given[0], given[1].limit(0), given[2]).count() == 0
+    monkeypatch.setattr(matching, "PARTS", 200)  # enough for all edges, not for all ways
+    assert given[1].selectExpr("sum(size(flatten(rings)))").first()[0] <= matching.PARTS
+    assert sorted(tuple(r)[:4] for r in matching.matched(*given, radius=4.0).collect()) == [r[:4] for r in small]
+
+
+def test_on_a_small_map_states_move_once(spark, tmp_path):
+    states, lanes, ways = tangle(spark)
+    states.write.parquet(f"{tmp_path}/states")
+    out = matching.matched(spark.read.parquet(f"{tmp_path}/states"), lanes, ways)
+    execution = out._jdf.queryExecution()
+    assert execution.optimizedPlan().toString().count("Relation [scene") == 1
+    assert execution.executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_distances_in_parts(monkeypatch):
+    rng = np.random.default_rng(5)
+    e, x, y = rng.uniform(0, 9, (7, 4)), rng.uniform(0, 9, 100), rng.uniform(0, 9, 100)
+    whole = polygons.far(e, x, y)
+    monkeypatch.setattr(polygons, "PAIRS", 20)
+    assert (polygons.far(e, x, y) == whole).all() and len(set(whole)) > 50
