@@ -111,7 +111,7 @@ class SmallMap:
                 at = rows if j in self.same[i] else rows[~first[rows]]
                 if len(at):
                     d = polygons.far(self.edges[j], x[at], y[at])
-                    better = d < best[at]
+                    better = (lane[at] < 0) | (d < best[at]) | (np.isnan(best[at]) & ~np.isnan(d))  # distances may overflow
                     lane[at[better]], best[at[better]] = j, d[better]
         return lane, best
 

@@ -139,6 +139,7 @@ def tangle(spark):
     lanes = [(s, lane, [[corner() for _ in range(rng.randint(1, 6))]]) for s in "abc" for lane in [*range(12), 5]] + [("a", 20, []), (None, 1, [[corner()]]), ("a", None, [[corner()]])]
     ways = [(s, rng.randrange(14), rng.randrange(14)) for s in "abcd" for _ in range(200)] + [("a", 3, 3), ("b", 3, 3), ("a", None, 1), ("a", 1, None)]
     rows = [(s, agent, t, *corner()) for s in "abcd" for agent in range(40) for t in rng.sample(range(50), rng.randint(1, 8))] + [("a", None, 1, 5.0, 5.0), (None, 1, 1, 5.0, 5.0)]
+    rows += [(s, agent, 99, 1e200, -1e200) for s in "abc" for agent in range(40)]  # so far that distances overflow
     states = spark.createDataFrame(rows, "scene string, agent int, step int, x double, y double")
     shapes = spark.createDataFrame(lanes, "scene string, lane int, rings array<array<struct<x: double, y: double>>>")
     return states, shapes, spark.createDataFrame(ways, "scene string, src long, dst long")
@@ -149,7 +150,7 @@ def test_small_and_large_maps_match_alike(spark, monkeypatch):
     small = sorted(tuple(r) for r in matching.matched(*given, radius=4.0).collect())
     monkeypatch.setattr(matching, "LANES", -1)
     large = sorted(tuple(r) for r in matching.matched(*given, radius=4.0).collect())
-    assert [r[:4] for r in small] == [r[:4] for r in large] and len(small) > 200
+    assert [r[:4] for r in small] == [r[:4] for r in large] and len(small) > 200 and float("inf") in [r[4] for r in small]
     assert [r[4] for r in small] == pytest.approx([r[4] for r in large], abs=1e-12)
     no_lanes = matching.matched(given[0], given[1].limit(0), given[2])
     monkeypatch.undo()
